@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontaminate, exact, langid, mixing, simhash, token_counts, token_store
+from skillgrid.llm import decontaminate, exact, langid, mixing, simhash, substrings, token_counts, token_store
 from skillgrid.session import shared_path
 
 
@@ -26,6 +26,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path)
 
 
+def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id", "n_links")
@@ -55,5 +60,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_mix_sources, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_repeated_spans, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_mix_sources, op9_language, op10_token_counts)}
 ORACLES: dict[str, str] = {}
