@@ -1,0 +1,199 @@
+"""Personal data by weak supervision.
+
+Labelers of three kinds vote on candidate spans: patterns (the base definitions, with their checks), gazetteers (mail domains, given
+names, dialling and card prefixes) and context (words of the neighbourhood). Expectation-maximisation over the counts of
+all vote patterns of the corpus estimates how reliable each labeler is for each kind; the expected labels train a
+logistic span classifier. Base spans stay as they are; the classifier adds those candidates it is sure of.
+
+What reaches the driver is one count for each combination of kind, votes and shape, whose number is fixed.
+
+Base definitions (fixed values, leftmost and non-overlapping for each kind, failing matches dropped): see ``base_spans``.
+Defined results: a null text is an empty one and has no spans; repeated rows stay; an empty table gives an empty one.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KINDS = ("email", "ip", "card", "phone", "secret", "person")
+LABELERS = ("pattern", "gazetteer", "context", "check")
+#: Probability from which a candidate beyond the base ones is added.
+SURE = 0.9
+
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{1,63}\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z]{2,12}")
+LOCAL_PHONE = re.compile(r"(?<![\w.+-])\(?[0-9]{2,5}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,5}(?![\w-]|\.[0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}|(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,64})(?![A-Za-z0-9])")
+PERSON = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-ZÀ-Þ][a-zß-ÿ]{2,20}(?: [A-ZÀ-Þ][a-zß-ÿ]{2,20})?")
+
+NAMES = frozenset("anna james john maria mary peter robert thomas juan jose carmen pierre marie jean hans karl greta".split())
+NEARBY = {
+    "email": ("mail", "contact", "@", "correo", "courriel"),
+    "ip": ("ip", "server", "host", "address", "login"),
+    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "payment"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "contact", "whatsapp"),
+    "secret": ("token", "key", "secret", "password", "passwd", "api", "auth"),
+    "person": ("name", "contact", "author", "signed", "dear", "patient"),
+}
+
+
+def luhn(digits: str) -> bool:
+    values = [int(d) for d in reversed(digits)]
+    return (sum(values[::2]) + sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10 == 0
+
+
+def emails(text: str):
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from each @ so that long runs cost no more than their length."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > done and text[begin - 1] in LOCAL:
+            begin -= 1
+        found = DOMAIN.match(text, at + 1) if begin < at else None
+        if found:
+            yield begin, found.end()
+            done = found.end()
+        at = text.find("@", max(at + 1, done))
+
+
+def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(start, kind, end) of the base definitions, and of matches that failed their check."""
+    good, bad = [], []
+    good += [(a, 0, b) for a, b in emails(text)] if "@" in text else []
+    for m in IP.finditer(text):
+        fine = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))
+        (good if fine else bad).append((m.start(), 1, m.end()))
+    for m in CARD.finditer(text):
+        if m.end() - m.start() < 14:
+            continue
+        digits = re.sub("[^0-9]", "", m[0])
+        if len(digits) >= 14:
+            (good if len(digits) <= 19 and luhn(digits) else bad).append((m.start(), 2, m.end()))
+    if "+" in text:
+        for m in PHONE.finditer(text):
+            n = sum(c.isdigit() for c in m[0])
+            (good if 10 <= n <= 15 else bad).append((m.start(), 3, m.end()))
+    return sorted(good), bad
+
+
+def more_candidates(text: str) -> list[tuple[int, int, int]]:
+    out = []
+    if "at" in text and "dot" in text:
+        out += [(m.start(), 0, m.end()) for m in OBFUSCATED.finditer(text)]
+    out += [(m.start(), 3, m.end()) for m in LOCAL_PHONE.finditer(text)] if HAS_DIGITS.search(text) else []
+    out += [(m.start(), 4, m.end()) for m in SECRET.finditer(text)] if LONG_RUN.search(text) else []
+    out += [(m.start(), 5, m.end()) for m in PERSON.finditer(text)]
+    return out
+
+
+HAS_DIGITS, LONG_RUN = re.compile("[0-9]{3}"), re.compile("[A-Za-z0-9]{16}")
+
+
+def votes(text: str, start: int, kind: int, end: int, fine: bool) -> int:
+    """Votes of the labelers as bits, and above them three bits of shape: digits, separators, length."""
+    name, span = KINDS[kind], text[start:end]
+    digits = sum(c.isdigit() for c in span)
+    around = text[max(0, start - 40) : start].lower() + " " + text[end : end + 20].lower()
+    gazetteer = {
+        "email": span.rsplit(".", 1)[-1].lower() in ("com", "org", "net", "edu", "de", "fr", "es", "io"),
+        "ip": not span.startswith(("0.", "255.")),
+        "card": span[0] in "3456",
+        "phone": span.startswith(("+1", "+4", "+3", "(", "0")),
+        "secret": len(set(span)) >= 10 or span.startswith(("AKIA", "ghp_", "sk-")),
+        "person": any(p.lower() in NAMES for p in re.findall(r"\w+", span)),
+    }[name]
+    check = {"email": "@" in span, "ip": fine, "card": luhn(re.sub("[^0-9]", "", span)[:40]), "phone": 10 <= digits <= 15, "secret": digits * 4 >= len(span), "person": span.count(" ") >= 2}[name]
+    context = any(w in around for w in NEARBY[name] if w != "@")
+    shape = (digits * 2 > len(span)) | (any(c in " -().[]" for c in span) << 1) | ((end - start > 20) << 2)
+    return fine | gazetteer << 1 | context << 2 | check << 3 | shape << 4
+
+
+def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
+    """(start, kind, end, base, votes) of everything that a labeler proposes; of overlapping ones of a kind the base one is kept."""
+    good, bad = base_spans(text)
+    out = [(a, k, b, True, votes(text, a, k, b, True)) for a, k, b in good]
+    taken = [(a, b) for a, _, b in good]
+    for fine, some in ((True, more_candidates(text)), (False, bad)):
+        for a, k, b in some:
+            if not any(a < y and x < b for x, y in taken):
+                out.append((a, k, b, False, votes(text, a, k, b, fine)))
+    return out
+
+
+def expect(counts: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Probability of each vote pattern being personal data, for one kind, by EM from a majority vote. counts: by pattern of the labelers' bits."""
+    k = len(LABELERS)
+    bits = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
+    p = np.clip(bits.mean(axis=1), 0.05, 0.95)
+    for _ in range(rounds):
+        yes, no = counts * p, counts * (1 - p)
+        # pseudo-counts: a labeler is right four times out of five until the corpus says otherwise
+        a = (yes @ bits + 8) / (yes.sum() + 10)
+        b = (no @ bits + 2) / (no.sum() + 10)
+        prior = (yes.sum() + 1) / (counts.sum() + 2)
+        odds = np.log(prior / (1 - prior)) + bits @ np.log(a / b) + (1 - bits) @ np.log((1 - a) / (1 - b))
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return p
+
+
+def model(patterns: dict[tuple[int, int], int]) -> np.ndarray:
+    """Probability by kind and votes-and-shape of the span classifier trained on the expected labels."""
+    k, shapes = len(LABELERS), 8
+    x = np.array([[1, *((v >> i) & 1 for i in range(k + 3))] for v in range(shapes << k)], float)
+    out = np.zeros((len(KINDS), shapes << k))
+    for kind in range(len(KINDS)):
+        counts = np.zeros(shapes << k)
+        for (of, v), n in patterns.items():
+            if of == kind:
+                counts[v] += n
+        target = expect(counts.reshape(shapes, 1 << k).sum(axis=0))[np.arange(shapes << k) & ((1 << k) - 1)]
+        w, weight = np.zeros(x.shape[1]), counts / max(1.0, counts.sum())
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            s = weight * p * (1 - p)
+            w -= np.linalg.solve((x * s[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (weight * (p - target)) + 1e-2 * w)
+        out[kind] = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return out
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_chars, found) of every row: found is (start, kind, end, base, votes) of its candidates. A null text is empty."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            found = [[dict(zip(("start", "kind", "end", "base", "votes"), c)) for c in candidates(t)] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.int32())])))], ["doc_id", "found"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, found array<struct<start:int,kind:int,end:int,base:boolean,votes:int>>")
+
+
+def label(found: DataFrame) -> DataFrame:
+    """``found`` with only base spans and those that the classifier, trained on all of ``found``, is sure of; in order of start and kind."""
+    counted = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").count().collect()
+    probability = model({(r[0], r[1]): r[2] for r in counted})
+    sure = [int(k) * 1000 + int(v) for k, v in zip(*np.nonzero(probability >= SURE))]
+    # a candidate whose own check failed is never added
+    accepted = F.array(*[F.lit(s) for s in sure if s % 2]) if any(s % 2 for s in sure) else F.array().cast("array<int>")
+    keep = F.filter("found", lambda c: c["base"] | F.array_contains(accepted, c["kind"] * 1000 + c["votes"]))
+    return found.withColumn("found", F.array_sort(keep))
+
+
+def report(labelled: DataFrame) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
+    names = F.array(*map(F.lit, KINDS))
+    base = F.filter("found", lambda c: c["base"])
+    written = lambda spans: F.concat_ws(",", F.transform(spans, lambda c: F.concat_ws(":", F.element_at(names, c["kind"] + 1), c["start"].cast("string"), c["end"].cast("string"))))
+    counts = [F.size(F.filter(base, lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    return labelled.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))

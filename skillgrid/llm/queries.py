@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontaminate, exact, langid, mixing, simhash, substrings, token_counts, token_store
-from skillgrid.session import shared_path
+from skillgrid.llm import decontaminate, exact, html_cut, langid, mixing, pii, simhash, substrings, token_counts, token_store
+from skillgrid.session import materialize, shared_path
 
 
 def vocabulary() -> str:
@@ -49,6 +49,15 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(sized, mixing.plan_mix(sized)).drop("copies")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(pii.find(table(spark, sf_dir, "documents")), "candidates")
+    return pii.report(pii.label(found))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.classify(docs, langid.fit(docs))
@@ -60,5 +69,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_repeated_spans, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_mix_sources, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_repeated_spans, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_mix_sources, op7_main_text, op8_personal_data, op9_language, op10_token_counts)}
 ORACLES: dict[str, str] = {}
