@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LET
 #: A run with any other character, or with the opening of a special string, isn't plain.
 NOT_PLAIN = r"[^!-~\x{A1}-\x{12F}\x{131}-\x{17F}]|<\|"
 #: Pieces a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[int, int]:
@@ -59,7 +60,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
+        #: Place of each known piece; its ids are ``flat[starts[place]:starts[place + 1]]``.
+        self.known: dict[str, int] = {}
+        self.flat, self.starts = array("I"), array("q", [0])
 
     def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of distinct plain pieces."""
@@ -69,11 +72,13 @@ class Encoder:
         for a in range(0, len(new), 128):
             some = new[a : a + 128]
             done = self.pieces.encode(" ".join(some).encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
-            ids, word = np.array(done.ids, np.uint32), np.array(done.word_ids)
-            ends = np.searchsorted(word, np.arange(len(some) + 1))
-            self.known.update((p, ids[i:j]) for p, i, j in zip(some, ends, ends[1:]))
-        found = [self.known[p] for p in pieces]
-        return np.concatenate(found) if found else np.zeros(0, np.uint32), offsets_of(np.fromiter(map(len, found), np.int64, len(found)))
+            ends = np.searchsorted(np.array(done.word_ids), np.arange(1, len(some) + 1))
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+            self.starts.extend((ends + len(self.flat)).tolist())
+            self.flat.extend(done.ids)
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        ids, lengths = gather(np.array(self.flat, np.uint32), np.array(self.starts), at)
+        return ids, offsets_of(lengths)
 
     def run_ids(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of distinct runs without ASCII white space."""

@@ -32,7 +32,7 @@ def frequent_runs(docs: DataFrame, text_col: str = "text", most: int = 20_000, t
     return [w for w in (best[0] or []) if w is not None] if best else []
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", frequent: list[str] | None = None, slice_bytes: int = 12_000_000) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", frequent: list[str] | None = None, slice_bytes: int = 6_000_000) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row. ``tokenizer``: a .json file of tokenizers or a .model file of sentencepiece."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -117,7 +117,7 @@ def unpack(bits: bytes, lanes: bytes, total: int, table: tuple[np.ndarray, np.nd
 # ---- writing -----------------------------------------------------------------------------------
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 12_000_000) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 6_000_000) -> DataFrame:
     """(doc_id, crc, ids): the ids of each whole text and the end id, little-endian, two bytes each where the vocabulary allows."""
     small = encoder(tokenizer).size <= 1 << 16 and (end_id or 0) < 1 << 16
     kind = "<u2" if small else "<u4"
