@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,3 +59,9 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing will read again."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so once the driver's JVM has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()

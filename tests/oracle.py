@@ -14,7 +14,7 @@ def plain(x):
     if x is None or isinstance(x, (bool, str)):
         return x
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 6) + 0.0
+        return None if math.isnan(x) else x + 0.0
     if isinstance(x, (datetime.datetime, datetime.date)):
         return str(x)
     if isinstance(x, (list, tuple)):
