@@ -1,6 +1,6 @@
 """Substring dedup on a compacted de Bruijn graph of word windows.
 
-Windows of ``K`` words are the edges of the graph, identified by 128 bits of hash. Only repeated paths matter, so:
+Windows of ``K`` words are the edges of the graph, identified by 64 bits of hash, and paths by 128. Only repeated paths matter, so:
 
 1. every window takes as its key the smallest hash of the ``GRAM``-word grams in it; runs of windows share their key. Keys that
    occur in two documents come from one aggregate with partial minima and maxima;
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skillgrid.llm.bpe import runs_of
 from skillgrid.llm.ragged import offsets_of, slices
-from skillgrid.session import materialize
+from skillgrid.session import materialize, release
 
 K, GRAM = 13, 5
 #: One window in so many ends a path, on average; and the largest filter (16 MB).
@@ -51,14 +51,16 @@ class Words:
         self.k = k
         words, self.off = runs_of(pc.fill_null(text, ""))
         coded = words.dictionary_encode()
-        both = b"".join(xxhash.xxh3_128_digest(w) for w in coded.dictionary.to_pylist())
+        one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        distinct = pc.binary_join(one, "\n")[0].as_py().split("\n") if len(coded.dictionary) else []
+        both = b"".join(map(xxhash.xxh3_128_digest, distinct))
         table = np.frombuffer(both, np.uint64).reshape(-1, 2)
         self.h1, self.h2 = (table[coded.indices.to_numpy(), c] for c in (0, 1))
         n = len(self.h1)
         ends = np.repeat(self.off[1:], np.diff(self.off))
         #: Places at which a window begins.
         self.at = np.flatnonzero(np.arange(n) + k <= ends)
-        self.doc = np.searchsorted(self.off, self.at, "right") - 1
+        self.doc = np.repeat(np.arange(len(self.off) - 1), np.maximum(np.diff(self.off) - k + 1, 0))
         size = max(n - gram + 1, 0)
         g = np.zeros(size, np.uint64)
         for j in range(gram):
@@ -133,9 +135,8 @@ def paths(rows: DataFrame, known: tuple[int, np.ndarray], k: int, gram: int, sli
                 cols = [_signed(p1), _signed(p2), pa.array(n, pa.int32()), part.column(0).take(of), part.column(1).take(of), pa.array(at[first] - w.off[doc[first]], pa.int32())]
                 names = ["p1", "p2", "n", "d", "th", "at"]
                 if with_windows:
-                    data = np.stack([a, b], axis=1).tobytes()
-                    ends = (np.append(first, len(at)) * 16).astype(np.int32)
-                    cols.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)]))
+                    ends = (np.append(first, len(at)) * 8).astype(np.int32)
+                    cols.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(a.tobytes())]))
                     names.append("windows")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -143,26 +144,44 @@ def paths(rows: DataFrame, known: tuple[int, np.ndarray], k: int, gram: int, sli
     return rows.select("d", "th", "text").mapInArrow(run, kind)
 
 
+def unfolded(compact: DataFrame, known: tuple[int, np.ndarray] | None) -> DataFrame:
+    """(key, sd, x) for each window of the compacted paths, or for those that pass a filter; x is the source word and the window's place in the path."""
+    shared = compact.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy().astype(np.int64)
+            key = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64)
+            i = np.arange(len(key)) - np.repeat(offsets_of(n)[:-1], n)
+            of = np.repeat(np.arange(len(n)), n)
+            if shared.value is not None:
+                bits, table = shared.value
+                place = key >> np.uint64(64 - bits)
+                some = np.flatnonzero((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                key, i, of = key[some], i[some], of[some]
+            x = (batch.column(1).to_numpy().astype(np.int64)[of] << 31) | i
+            yield pa.RecordBatch.from_arrays([_signed(key), batch.column(0).take(pa.array(of)), pa.array(x, pa.int64())], ["key", "sd", "x"])
+
+    return compact.select("sd", "sat", "n", "windows").mapInArrow(run, "key long, sd long, x long")
+
+
 def repeated_spans(rows: DataFrame, k: int = K, gram: int = GRAM, slice_bytes: int = 12_000_000) -> DataFrame:
     """(d, th, spans): for each document with repeats, the [first, last] windows that also start in a document with a smaller id."""
+    spark = rows.sparkSession
     keys = materialize(repeated_keys(rows, k, gram, slice_bytes), "span-keys")
     known = key_filter(keys)
+    release(spark)
     source = F.min(F.struct("d", "at"))
     compact = paths(rows, known, k, gram, slice_bytes, True).groupBy("p1", "p2", "n").agg(source.alias("s"), F.first("windows").alias("windows"))
     compact = materialize(compact.select("p1", "p2", "n", F.col("s.d").alias("sd"), F.col("s.at").alias("sat"), "windows"), "span-paths")
-
-    def unfold(batches):
-        for batch in batches:
-            n = batch.column(2).to_numpy()
-            data = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, 2)
-            i = np.arange(n.sum()) - np.repeat(offsets_of(n)[:-1], n)
-            of = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([_signed(data[:, 0]), _signed(data[:, 1]), batch.column(0).take(of), batch.column(1).take(of), pa.array(i, pa.int32())], ["w1", "w2", "sd", "sat", "i"])
-
-    windows = compact.select("sd", "sat", "n", "windows").mapInArrow(unfold, "w1 long, w2 long, sd long, sat int, i int")
-    shared = windows.groupBy("w1", "w2").agg(F.min("sd").alias("first"), F.max("sd").alias("last")).where("first < last").select("w1", "w2", "first")
-    earlier = windows.join(shared, ["w1", "w2"]).where("first < sd").groupBy("sd", "sat").agg(F.collect_list("i").alias("inside"))
-    listed = compact.drop("windows").join(earlier, ["sd", "sat"], "left")
+    release(spark)
+    shared = unfolded(compact, None).groupBy("key").agg(F.min("sd").alias("first"), F.max("sd").alias("last")).where("first < last").select("key", "first")
+    shared = materialize(shared, "span-shared")
+    release(spark)
+    earlier = unfolded(compact, key_filter(shared)).join(shared, "key").where("first < sd")
+    earlier = earlier.groupBy("sd", F.shiftright("x", 31).cast("int").alias("sat")).agg(F.collect_list(F.col("x").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("inside"))
+    listed = materialize(compact.drop("windows").join(earlier, ["sd", "sat"], "left"), "span-sources")
+    release(spark)
     found = paths(rows, known, k, gram, slice_bytes, False).join(listed, ["p1", "p2", "n"]).where("d > sd or inside is not null")
     whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n") - 1).alias("b")))
     single = F.transform("inside", lambda i: F.struct((F.col("at") + i).alias("a"), (F.col("at") + i).alias("b")))
@@ -174,6 +193,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_words, n_removed, kept) of every row: kept is the words that no repeated window covers, joined by spaces."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("d"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     spans = materialize(repeated_spans(rows, k, gram, slice_bytes), "spans")
+    release(docs.sparkSession)
     spans = spans.select("d", "th", F.transform("spans", lambda s: s["a"]).alias("a"), F.transform("spans", lambda s: s["b"]).alias("b"))
 
     def cut(batches):
