@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 import math
 
 import duckdb
@@ -13,6 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(x):
     if x is None or isinstance(x, (bool, str)):
         return x
+    if isinstance(x, decimal.Decimal):
+        raise TypeError("a decimal: cast it in the SQL")
     if isinstance(x, float):
         return None if math.isnan(x) else x + 0.0
     if isinstance(x, (datetime.datetime, datetime.date)):
