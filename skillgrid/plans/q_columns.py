@@ -118,3 +118,19 @@ def surface_state(spark, d):
     g, dz = B.grid(spark, d), F.col("height") - 1000
     land = lambda x, other: F.when(F.col("land"), x).otherwise(other)
     return rounded(g.select("y", "x", land(P.land_temperature(F.lit(285.0), dz, F.lit(0.0)), 283.0).alias("skin"), land(P.land_temperature(F.lit(285.0), dz, F.lit(1.5)), 283.0).alias("soil"), land(P.clip(0.05 + (F.col("size") * 0.02) * (0.3 - 0.05), 0.05, 0.42), 1.0).alias("water")))
+
+
+@query("udf_column")
+def udf_column(spark, d):
+    """The column kernel's own check: how far the last round still moved each column."""
+    rows = B.profile(spark, d).withColumns({"t": 290.0 - F.col("z") * 0.0065, "q": F.col("value") * 1e-4})
+    state = C.reconstruct(C.as_arrays(rows, "column_id", "level", "z", "t", "q").withColumn("p0", F.lit(100000.0)), "column_id", HEIGHTS)
+    return state.groupBy("column_id").agg((F.max("residual") < 1e-9).alias("settled"))
+
+
+@query("udf_fused_w", f"WITH {B.GRID}, g AS (SELECT y, x, {GRADX} AS s FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT y, x, round((s*3.0+s*3.0*(1-3*0.25*0.25+2*0.25*0.25*0.25))/2,6)+0.0 AS w_mass FROM g")
+def udf_fused_w(spark, d):
+    """Interface winds, then their mean at mass levels, in two stages as expressions; no fused kernel."""
+    s = B.grid(spark, d).select("y", "x", raster.gradient(B.grid(spark, d), "height", "x", 200.0).alias("s"))
+    at = lambda z: P.blend(F.lit(z), 4000.0) * F.col("s") * 3.0
+    return rounded(s.select("y", "x", ((at(0.0) + at(1000.0)) / 2).alias("w_mass")))

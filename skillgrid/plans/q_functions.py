@@ -83,6 +83,7 @@ register("land_temp_correction", lambda i: {"corrected": P.land_temperature(i.t,
 register("wrap_lon", lambda i: {"wrapped": P.wrap_lon(i.lon)}, {"wrapped": d6(MOD("lon+180.0", "360.0") + " - 180.0")})
 register("norm_external", lambda i: {"fraction": F.when(i.size > 30, i.dist / 100).otherwise(i.dist / 10000)}, {"fraction": d6("CASE WHEN size>30 THEN dist/100 ELSE dist/10000 END")})
 register("soil_smi", lambda i: {"smi": F.greatest((i.q * 10 - 0.02) / (0.3 - 0.02), F.lit(0.0)), "saturation": P.clip(i.q * 10 / 0.45, 0.0, 1.0)}, {"smi": d6("greatest((q*10-0.02)/(0.3-0.02),0.0)"), "saturation": d6("least(greatest(q*10/0.45,0.0),1.0)")})
+register("soil_relsat", lambda i: {"saturation": P.clip(i.q * 12 / 0.45, 0.0, 1.0)}, {"saturation": d6("least(greatest(q*12/0.45,0.0),1.0)")})
 register("soil_vwc", lambda i: {"vwc": P.clip(0.05 + (i.q * 100 - 0.2) * (0.3 - 0.05), 0.05, 0.42)}, {"vwc": d6("least(greatest(0.05+(q*100-0.2)*(0.3-0.05),0.05),0.42)")})
 register("norm_units", lambda i: {"units": X.normalized_units(F.concat(F.lit("W m**-2 / K^"), i.brand))}, {"units": "regexp_replace(lower('W m**-2 / K^'||brand), '[\\^\\s*/]', '', 'g')"})
 register("station_key", lambda i: {"key": X.station_key(i.brand, i.id.cast("string"))}, {"key": "brand||':'||id"})

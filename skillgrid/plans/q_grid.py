@@ -338,3 +338,24 @@ def grid_scan(spark, d):
 def distribution_by_class(spark, d):
     q = stats.distribution("height", (0.01, 0.5, 0.99))
     return rounded(B.grid(spark, d).where("land").groupBy("class").agg(F.min("height").alias("least_"), *q).drop("n"))
+
+
+@query("grid_interp", f"WITH {B.GRID}, {B.SITES}, p AS (SELECT site, height, {KM.format(at='s.lat')} AS km, y, x FROM sites s, grid g), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY km, y, x) AS n FROM p) SELECT site, height AS nearest FROM r WHERE n=1")
+def grid_interp(spark, d):
+    """Nearest-cell interpolation: the bin join gives the cell, an equi-join its value."""
+    at = spatial.nearest_cell(B.sites(spark, d), B.grid(spark, d), ["site"]).select("site", "y", "x")
+    return at.join(B.grid(spark, d).select("y", "x", F.col("height").alias("nearest")), ["y", "x"]).select("site", "nearest")
+
+
+@query("udf_kernel_solve")
+def udf_kernel_solve(spark, d):
+    """The batched kernel solves themselves: one row for each target and donor."""
+    return rounded(weights(spark, d))
+
+
+@query("udtf_offsets", "SELECT p_partkey AS site, oy::INT AS oy, ox::INT AS ox FROM part, (SELECT unnest(range(-2,3)) AS oy) a, (SELECT unnest(range(-2,3)) AS ox) b WHERE p_partkey % 97 = 5 AND sqrt(oy*oy+ox*ox) <= 2")
+def udtf_offsets(spark, d):
+    """Offsets of a footprint from two sequences; no Python table function is needed."""
+    steps = F.sequence(F.lit(-2), F.lit(2))
+    o = centres(spark, d).select("site", F.explode(steps).alias("oy")).select("site", "oy", F.explode(steps).alias("ox"))
+    return o.where(F.sqrt(F.col("oy") * F.col("oy") + F.col("ox") * F.col("ox")) <= 2)

@@ -235,3 +235,11 @@ def turnover_filter(spark, d):
 def land_eligibility(spark, d):
     ok, veg = F.col("land") & (F.col("size") < 40), F.col("size") % 2 == 0
     return B.grid(spark, d).groupBy("class").agg(F.count_if(ok & veg).alias("vegetated"), F.count_if(ok & ~veg).alias("bare"), (F.count_if(ok) >= 40).alias("enough"))
+
+
+@query("udaf_pair", f"WITH {B.TRIPLETS} SELECT metric, count(*) AS pair_count, round(avg(candidate)-avg(obs),6)+0.0 AS bias FROM accepted GROUP BY metric")
+def udaf_pair(spark, d):
+    """The accumulator as plain aggregate expressions, merged from partial sums."""
+    partial = B.accepted(spark, d).groupBy("metric", "station").agg(*stats.pair_sums(F.col("candidate"), F.col("obs")))
+    merged = partial.groupBy("metric").agg(*[F.sum(c).alias(c) for c in ("n", "sm", "so", "smm", "soo", "smo", "sdd", "sabs")])
+    return rounded(merged.select("metric", *stats.pair_result()).select("metric", "pair_count", "bias"))
