@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.llm import decontaminate, exact, html_cut, langid, mixing, pii, simhash, substrings, token_counts, token_store
+from skillgrid.llm.oracles import ORACLES  # noqa: F401
 from skillgrid.session import materialize, shared_path
 
 
@@ -69,5 +70,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_repeated_spans, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_mix_sources, op7_main_text, op8_personal_data, op9_language, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_repeated_spans, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_mix_sources, op7_main_text, op8_personal_data, op9_language, op10_token_counts)}
\ No newline at end of file
