@@ -65,3 +65,12 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written: it does so once the driver's JVM has collected what refers to them."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or the first of ``name_1``, ``name_2`` and so on that no column of ``taken`` has."""
+    used, n, out = {c.lower() for c in taken}, 0, name
+    while out.lower() in used:
+        n += 1
+        out = f"{name}_{n}"
+    return out
