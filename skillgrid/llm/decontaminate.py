@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.llm.bpe import runs_of
-from skillgrid.llm.ragged import gather, offsets_of, slices
+from skillgrid.llm.ragged import offsets_of, slices
+from skillgrid.session import fresh
 
 WINDOW = 10
 #: Bytes of benchmark text for one broadcast table.
@@ -87,8 +88,8 @@ class Windows:
             h = mixed(codes, at, width)
             low, high = np.searchsorted(key, h, "left"), np.searchsorted(key, h, "right")
             some = np.flatnonzero(high > low)
-            found, n = gather(np.arange(len(key)), np.arange(len(key) + 1), np.zeros(0, np.int64)) if not len(some) else (None, high[some] - low[some])
-            if found is not None:
+            n = high[some] - low[some]
+            if not len(some):
                 continue
             begin = np.repeat(at[some], n)
             which = np.arange(n.sum()) + np.repeat(low[some] - offsets_of(n)[:-1], n)
@@ -181,10 +182,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     Only ids and hashes of hit texts are joined back, never scan results of clean ones.
     """
     hits = contamination(docs, benchmark, id_col, text_col, item_col, item_text, window).where(F.size("spans") > 0)
-    hits = hits.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_text"), F.col("spans").alias("_hit_spans")).dropDuplicates(["_hit_id", "_hit_text"])
-    same = docs[id_col].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs[text_col]) == F.col("_hit_text"))
+    i, t, p = (fresh(n, docs.columns) for n in ("hit_id", "hit_text", "hit_spans"))
+    hits = hits.select(F.col("doc_id").alias(i), F.col("text_hash").alias(t), F.col("spans").alias(p)).dropDuplicates([i, t])
+    same = docs[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(t))
     if remove == "documents":
         return docs.join(hits, same, "left_anti")
     cutter = F.udf(cut, "string")
     joined = docs.join(hits, same, "left")
-    return joined.withColumn(text_col, F.when(F.col("_hit_spans").isNull(), F.col(text_col)).otherwise(cutter(F.col(text_col), F.col("_hit_spans")))).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col(p).isNull(), F.col(text_col)).otherwise(cutter(F.col(text_col), F.col(p)))).select(*docs.columns)

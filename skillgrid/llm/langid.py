@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillgrid.session import materialize
+from skillgrid.session import fresh, materialize
 
 SAMPLE_DOCS, DICT_BYTES, PIECE, LEVEL = 1500, 110_000, 1024, 6
 
@@ -65,20 +65,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return {k: v or k.encode() for k, v in judges.items()} | _dictionary(judged.where(F.col("_lang") == F.col("lang")), each, dict_bytes)
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score), or the columns ``keep`` with _lang and _score added."""
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("_lang", "_score")) -> DataFrame:
+    """(doc_id, lang_pred, score), or the columns ``keep`` with the language and score added under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    names = sorted(dictionaries)
+    known = sorted(dictionaries)
+    out = ["doc_id", "lang_pred", "score"] if keep is None else [*keep, *names]
 
     def run(batches):
         import zstandard
 
-        tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k in names]
+        tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k in known]
         for batch in batches:
             best, score = [], []
             for text in batch.column(batch.schema.get_field_index(text_col)):
                 text = text.as_py()
-                if not names or text is None or not any(map(str.isalpha, text)):
+                if not known or text is None or not any(map(str.isalpha, text)):
                     best.append("und")
                     score.append(0.0)
                     continue
@@ -86,22 +87,18 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
                 pieces = [raw[a : a + PIECE] for a in range(0, len(raw), PIECE)]
                 sizes = np.array([sum(len(tool.compress(p)) for p in pieces) for tool in tools])
                 order = np.argsort(sizes, kind="stable")
-                best.append(names[order[0]])
-                score.append(1.0 - sizes[order[0]] / sizes[order[1]] if len(names) > 1 else 1.0)
+                best.append(known[order[0]])
+                score.append(1.0 - sizes[order[0]] / max(1, sizes[order[1]]) if len(known) > 1 else 1.0)
             found = [pa.array(best, pa.string()), pa.array(score, pa.float64())]
-            if keep is None:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["doc_id", "lang_pred", "score"])
-            else:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*keep, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.columns if keep is not None else [batch.column(0)]), *found], out)
 
-    if keep is None:
-        kind = docs.schema[id_col].dataType.simpleString()
-        return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
-    kept = docs.select(*keep)
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", _lang string, _score double")
+    kept = docs.select(F.col(id_col), F.col(text_col)) if keep is None else docs.select(*keep)
+    kinds = [kept.schema[0].dataType.simpleString()] if keep is None else [f.dataType.simpleString() for f in kept.schema]
+    return kept.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(out, [*kinds, "string", "double"])))
 
 
 def keep_known(docs: DataFrame, dictionaries: dict[str, bytes], least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are rejected: no language, or a margin of ``least`` or less."""
-    out = classify(docs, dictionaries, id_col, text_col, docs.columns)
-    return out.where((F.col("_lang") != "und") & (F.col("_score") > least)).drop("_lang", "_score")
+    names = (fresh("lang_pred", docs.columns), fresh("score", docs.columns))
+    out = classify(docs, dictionaries, id_col, text_col, docs.columns, names)
+    return out.where((F.col(names[0]) != "und") & (F.col(names[1]) > least)).select(*docs.columns)

@@ -8,7 +8,7 @@ to its target, so that a few very long documents don't pull a small source away
 
 Defined results: a null text has size 0 and is emitted like any other; a null source is a source, the last;
 a source without words has target and rate 0; repeated rows draw alike; an empty table gives an empty one.
-Other columns are carried by ``mix`` unless they are named like the inner ones, which begin with ``_mix``.
+Other columns, whatever their names, are carried by ``mix``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillgrid.session import materialize
+from skillgrid.session import fresh, materialize
 
 #: Weights by a source's rank, repeating.
 WEIGHTS = (3, 1, 2)
@@ -65,8 +65,9 @@ def source_rates(sized: DataFrame, weights: tuple = WEIGHTS, total: float = 1.5,
 def _with_rates(rows: DataFrame, rates: DataFrame, source: str) -> DataFrame:
     """Attach each row's source; the source table is broadcast only while it is known to be small."""
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = rates.withColumnRenamed("source", "_mix_source")
-    return rows.join(F.broadcast(rates) if few else rates, rows[source].eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
+    name = fresh("mix_source", [*rows.columns, *rates.columns])
+    rates = rates.withColumnRenamed("source", name)
+    return rows.join(F.broadcast(rates) if few else rates, rows[source].eqNullSafe(F.col(name)), "left").drop(name)
 
 
 def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, total: float = 1.5, most: int = 2) -> DataFrame:
@@ -95,7 +96,7 @@ def taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, total: float = 1.5, most: int = 2) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with its own columns. Texts aren't shuffled."""
     plan = plan_mix(sizes(docs, id_col, text_col, source_col), weights, total, most)
-    plan = plan.select("source", F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed"))
-    rows = _with_rates(docs, plan, source_col)
-    copies = _copies(F.col(id_col), F.col("_mix_rate"), F.col("_mix_seed"))
-    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    rate, seed, copy = (fresh(n, docs.columns) for n in ("mix_rate", "mix_seed", "mix_copy"))
+    rows = _with_rates(docs, plan.select("source", F.col("rate").alias(rate), F.col("seed").alias(seed)), source_col)
+    copies = _copies(F.col(id_col), F.col(rate), F.col(seed))
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)

@@ -31,3 +31,4 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+            pa.default_memory_pool().release_unused()

@@ -12,6 +12,9 @@ fewer share at least ``8 - d`` of their eight bytes, place by place. So:
 
 A posting list of more than ``LIST`` classes is cut into blocks, and each pair of blocks is one piece of work of its own.
 
+One fingerprint finds texts that differ in very little. For texts that share four fifths of their shingles of five words, which differ in nine bits on
+average, ``copies`` of it with other hashes and a wider ``bits`` are needed; ``sure`` then keeps the posting lists short.
+
 Defined results: a null text or one without words has fingerprint zero; a text with fewer words than a shingle is one shingle; repeated rows have
 equal fingerprints and so one component; an empty table gives an empty one. A null id counts as the smallest.
 """
@@ -26,18 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.operators.graph import connected_components
-from skillgrid.session import materialize
+from skillgrid.session import fresh, materialize, release
 
 SHINGLE, BITS, SEED, LIST = 3, 3, 42, 4096
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text, as a signed 64-bit integer."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, copies: int = 1) -> list[int]:
+    """``copies`` fingerprints of one text, as signed 64-bit integers: the first from the shingles' hashes, the others from mixtures of them."""
     import xxhash
 
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return [0] * copies
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -45,21 +48,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     begin, end = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end)], np.uint64)
-    set_bits = np.zeros(64, np.int64)
+    set_bits = np.zeros((copies, 64), np.int64)
     for a in range(0, len(hashes), 4096):
-        set_bits += np.unpackbits(hashes[a : a + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(hashes)).view(">i8")[0])
+        h = hashes[a : a + 4096]
+        for c in range(copies):
+            set_bits[c] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return np.packbits(2 * set_bits > len(hashes), axis=1).view(">i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, copies: int = 1) -> DataFrame:
+    """(doc_id, fps) of every row."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), shingle, copies) for t in batch.column(1)], pa.list_(pa.int64()))], ["doc_id", "fps"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, fps array<long>")
 
 
 def position_sets(bits: int) -> list[tuple[int, ...]]:
@@ -69,92 +76,121 @@ def position_sets(bits: int) -> list[tuple[int, ...]]:
     return [s for half in (range(4), range(4, 8)) for s in combinations(half, size)]
 
 
-def forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span each linked group within a posting list."""
+def forest(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span each linked group within one posting list."""
     raw = fp.view(np.uint8).reshape(-1, 8)
     left = np.arange(len(fp))
     src, dst = [], []
-    while len(left):
+    while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            tally = (raw[left] == raw[at]).sum(axis=1)
-            near = tally >= 8 - bits
+            near = (raw[left] == raw[at]).sum(axis=1) >= 8 - bits
             near[near] = np.bitwise_count(fp[left[near]].view(np.uint64) ^ fp[at : at + 1].view(np.uint64)) <= bits
             found = left[near]
             src += [at] * len(found)
             dst += found.tolist()
             queue += found.tolist()
             left = left[~near]
-        if len(left) == 1:
-            break
-    return fp[np.array(src, np.int64)], fp[np.array(dst, np.int64)]
+    return node[np.array(src, np.int64)], node[np.array(dst, np.int64)]
 
 
-def links(classes: DataFrame, bits: int = BITS, most: int = LIST) -> DataFrame:
-    """Spanning links (src, dst) between fingerprints of ``classes`` (fp, distinct) that differ in ``bits`` bits or fewer."""
-    masks = [sum(255 << (8 * p) for p in s) for s in position_sets(bits)]
+def list_links(keys: list[np.ndarray], fp: np.ndarray, node: np.ndarray, bits: int, short: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Links within all posting lists of a run of rows in order of their keys. Lists of up to ``short`` rows are compared all at once, place by place."""
+    new = np.ones(len(fp), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(fp)))
+    of, n = np.repeat(np.arange(len(first)), size), np.repeat(size, size)
+    src, dst = [], []
+    some = np.flatnonzero((n > 1) & (n <= short))
+    fs, ns, ls = fp[some].view(np.uint64), node[some], of[some]
+    raw = fs.view(np.uint8).reshape(-1, 8)
+    for step in range(1, short):
+        pair = np.flatnonzero(ls[step:] == ls[:-step]) if len(ls) > step else np.zeros(0, np.int64)
+        if not len(pair):
+            break
+        tally = (raw[pair] == raw[pair + step]).sum(axis=1) >= 8 - bits
+        pair = pair[tally]
+        pair = pair[np.bitwise_count(fs[pair] ^ fs[pair + step]) <= bits]
+        src.append(ns[pair])
+        dst.append(ns[pair + step])
+    for k in np.flatnonzero(size > short):
+        a, b = first[k], first[k] + size[k]
+        x, y = forest(fp[a:b], node[a:b], bits)
+        src.append(x)
+        dst.append(y)
+    return (np.concatenate(src), np.concatenate(dst)) if src else (node[:0], node[:0])
+
+
+def links(classes: DataFrame, bits: int = BITS, sure: int | None = None, most: int = LIST) -> DataFrame:
+    """Spanning links (src, dst) between nodes of ``classes`` (node, fps, nodes distinct) of which a fingerprint differs in ``bits`` bits or fewer.
+
+    Posting keys are such that no pair within ``sure`` bits (``bits`` if not given) is missed; a pair beyond it is found where enough bytes happen to agree.
+    """
+    masks = [sum(255 << (8 * p) for p in s) for s in position_sets(bits if sure is None else sure)]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    posted = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("set", "key"))
-    lists = posted.groupBy("set", "key").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / most).cast("int")).drop("count")
-    rows = posted.join(lists, ["set", "key"])
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    each = classes.select("node", F.posexplode("fps").alias("c", "fp"))
+    posted = each.select("node", "fp", "c", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("s", "key"))
+    posted = posted.select("node", "fp", (F.col("c") * len(masks) + F.col("s")).alias("set"), "key")
+    long = posted.groupBy("set", "key").count().where(F.col("count") > most).select("set", "key", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    long = materialize(long, "long-lists")
+    few = long.limit(100_001).count() <= 100_000  # some 30 bytes each
+    rows = posted.join(F.broadcast(long) if few else long, ["set", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("set", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    rows = rows.select("set", "key", (F.least("own", "other") * 65536 + F.greatest("own", "other")).alias("part"), "fp", "node")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def work(table: pa.Table):
-            cols = [table.column(k).to_numpy() for k in range(5)]
-            change = np.zeros(table.num_rows, bool)
-            for c in cols[:4]:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), table.num_rows]
-            out = [forest(np.ascontiguousarray(cols[4][a:b]), bits) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["src", "dst"])
-
-        key = None
-        for batch in batches:  # a list may go on in the next batch
-            last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in range(4)) if batch.num_rows else key
-            if held and batch.num_rows:
-                same = np.ones(batch.num_rows, bool)
-                for k in range(4):
-                    same &= batch.column(k).to_numpy() == key[k]
-                n = batch.num_rows if same.all() else int(np.argmin(same))
-                held.append(batch.slice(0, n))
-                batch = batch.slice(n)
-                if not batch.num_rows:
-                    continue
+            cols = [np.ascontiguousarray(table.column(k).to_numpy()) for k in range(5)]
+            src, dst = list_links(cols[:3], cols[3], cols[4], bits)
+            if len(src):
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last list of a batch may go on in the next
+            tail = np.ones(batch.num_rows, bool)
+            for k in range(3):
+                c = batch.column(k).to_numpy()
+                tail &= c == c[-1]
+            n = batch.num_rows - int(tail.sum())
+            if n:
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, n)]))
+                held = [batch.slice(n)]
+            elif held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3)):
                 yield from work(pa.Table.from_batches(held))
-                held = []
-            if batch.num_rows:
-                tail = np.ones(batch.num_rows, bool)
-                for k in range(4):
-                    tail &= batch.column(k).to_numpy() == last[k]
-                n = batch.num_rows - int(tail.sum())
-                if n:
-                    yield from work(pa.Table.from_batches([batch.slice(0, n)]))
-                held, key = [batch.slice(n)], last
+                held = [batch]
+            else:
+                held.append(batch)
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    ordered = rows.repartition("set", "key", "i", "j").sortWithinPartitions("set", "key", "i", "j", "fp")
+    ordered = rows.repartition("set", "key", "part").sortWithinPartitions("set", "key", "part")
     return ordered.mapInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id, n_links) of every row; n_links counts the spanning links of its fingerprint."""
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nameless")), "classes")
-    found = materialize(links(classes.select("fp"), bits), "links")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, copies: int = 1, sure: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id, n_links) of every row; fp is the first fingerprint, n_links counts the spanning links of its class.
+
+    With ``copies`` fingerprints a text has several chances to be found near another: documents link if any of them is within ``bits``.
+    """
+    prints = fingerprints(docs, id_col, text_col, shingle, copies)
+    node = F.col("fps")[0] if copies == 1 else F.xxhash64("fps")
+    prints = materialize(prints.withColumn("node", node), "fingerprints")
+    classes = materialize(prints.groupBy("node", "fps").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nameless")), "classes")
+    found = materialize(links(classes.select("node", "fps"), bits, sure), "links")
+    release(docs.sparkSession)
     nodes = connected_components(found)
-    of_class = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    of_class = classes.select("node", "first", "nameless").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_class.groupBy("component").agg(F.when(F.max("nameless"), F.lit(None)).otherwise(F.min("first")).alias("component_id"))
-    degree = found.select("src").unionAll(found.select("dst")).groupBy(F.col("src").alias("fp")).agg(F.count("*").alias("n_links"))
-    named = of_class.join(smallest, "component").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return prints.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id", "n_links")
+    degree = found.select("src").unionAll(found.select("dst")).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_links"))
+    named = of_class.join(smallest, "component").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return prints.select("doc_id", F.col("fps")[0].alias("fp"), "node").join(materialize(named, "named"), "node").select("doc_id", "fp", "component_id", "n_links")
 
 
 def hexadecimal(fp):
@@ -162,9 +198,10 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, copies: int = 1, sure: int | None = None) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; of rows with that id, one."""
-    near = near_duplicates(docs, id_col, text_col, shingle, bits)
-    dropped = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_near_id")).distinct()
-    kept = docs.join(dropped, docs[id_col].eqNullSafe(F.col("_near_id")), "left_anti")
+    near = near_duplicates(docs, id_col, text_col, shingle, bits, copies, sure)
+    name = fresh("near_id", docs.columns)
+    dropped = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(dropped, docs[id_col].eqNullSafe(F.col(name)), "left_anti")
     return kept.dropDuplicates([id_col])
