@@ -165,8 +165,10 @@ def report(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def cut(text: str, spans: list[int]) -> str:
+def cut(text: str | None, spans: list[int] | None) -> str | None:
     """A text without the words of the spans and what stands between them."""
+    if text is None or not spans:
+        return text
     raw = text.encode()
     words = list(WORD.finditer(raw.translate(FOLD)))
     out, at = [], 0

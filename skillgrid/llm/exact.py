@@ -48,7 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         few = heads.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
         again = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"), F.length(norm).alias("n"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("head"), norm.alias("norm"))
         marked = again.join((F.broadcast(heads) if few else heads).withColumn("twice", F.lit(True)), ["n", "head"], "left")
-        hashed = materialize(marked.select("doc_id", "n_points", "n", "head", F.when("twice", F.sha2("norm", 256)).alias("whole")), "exact-whole")
+        hashed = materialize(marked.select("doc_id", "n_points", "n", "head", F.when(F.col("twice"), F.sha2("norm", 256)).alias("whole")), "exact-whole")
     survivors = hashed.join(heads, ["n", "head"], "left_semi") if digest_all else hashed.where("whole is not null")
     first = F.min(F.struct((-F.col("n_points")).alias("m"), F.col("doc_id").alias("keep_id")))
     groups = survivors.groupBy("whole").agg(first.alias("first"), F.count("*").alias("group_size")).where("group_size > 1").select("whole", F.col("first.keep_id").alias("keep_id"), "group_size", F.lit(True).alias("grouped"))

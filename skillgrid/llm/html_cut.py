@@ -164,12 +164,12 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
         return prior
     x, y = np.array(rows["x"].to_pylist()), rows["y"].to_numpy() > 0
     weight = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w = prior.copy()
-    for _ in range(30):  # Newton steps, held near the plain rule
+    w, hold = prior.copy(), min(1.0, 20 / len(y))
+    for _ in range(30):  # Newton steps; few rows hardly move the plain rule
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         s = weight * p * (1 - p)
-        grad = x.T @ (weight * (p - y)) / len(y) + 1e-3 * (w - prior)
-        w -= np.linalg.solve((x * s[:, None]).T @ x / len(y) + 1e-3 * np.eye(len(w)), grad)
+        grad = x.T @ (weight * (p - y)) / len(y) + hold * (w - prior)
+        w -= np.linalg.solve((x * s[:, None]).T @ x / len(y) + hold * np.eye(len(w)), grad)
     return w
 
 
