@@ -312,7 +312,7 @@ def crop_reblend(spark, d):
     return g.select((F.col("y") - 5).alias("y"), (F.col("x") - 5).alias("x"), r6((1 - w) * 900 + w * F.col("height")).alias("blended"))
 
 
-@query("regular_grid", "SELECT y::INT AS y, x::INT AS x, round((y-19.5)*200.0,6)+0.0 AS north, round((x-24.5)*200.0,6)+0.0 AS east FROM (SELECT DISTINCT p_partkey//50 AS y FROM part) a, (SELECT DISTINCT p_partkey%50 AS x FROM part) b")
+@query("regular_grid", "SELECT y::INT AS y, x::INT AS x, round((y-19.5)*200.0::DOUBLE,6)+0.0 AS north, round((x-24.5)*200.0::DOUBLE,6)+0.0 AS east FROM (SELECT DISTINCT p_partkey//50 AS y FROM part) a, (SELECT DISTINCT p_partkey%50 AS x FROM part) b")
 def regular_grid(spark, d):
     g = B.grid(spark, d)
     e = g.agg(F.max("y").alias("my"), F.max("x").alias("mx"))

@@ -47,16 +47,15 @@ def asof_epoch(spark, d):
     return out.select("event_id", "user_id", r6("value").alias("value"), "valid_from", F.col("valid_from").isNull().alias("extrapolated"))
 
 
-SERIES = "s AS (SELECT o_custkey AS k, o_orderdate AS t0, avg(o_totalprice) AS v0 FROM orders GROUP BY 1,2), b AS (SELECT k, t0, v0, lead(t0) OVER w AS t1, lead(v0) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY k ORDER BY t0))"
+SERIES = "s AS (SELECT o_custkey AS k, o_orderdate AS t0, avg(sqrt(o_totalprice)) AS v0 FROM orders GROUP BY 1,2), b AS (SELECT k, t0, v0, lead(t0) OVER w AS t1, lead(v0) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY k ORDER BY t0))"
 
 
-@query("bracket_interp", f"WITH {SERIES}, q AS (SELECT o_orderkey AS record, o_custkey AS k, o_orderdate + INTERVAL 3 DAY AS t FROM orders WHERE o_orderkey % 3 = 0) SELECT record, q.k AS segment, round(CASE WHEN t1 IS NULL THEN CASE WHEN t=t0 THEN v0 END ELSE v0+(v1-v0)*date_diff('second',t0,t)/date_diff('second',t0,t1)::DOUBLE END,9)+0.0 AS interpolated FROM q LEFT JOIN b ON q.k=b.k AND t>=t0 AND (t<t1 OR (t1 IS NULL AND t=t0))")
+@query("bracket_interp", f"WITH {SERIES}, q AS (SELECT o_orderkey AS record, o_custkey AS k, o_orderdate + INTERVAL 3 DAY AS t FROM orders WHERE o_orderkey % 3 = 0) SELECT record, q.k AS segment, round(CASE WHEN t1 IS NULL THEN CASE WHEN t=t0 THEN v0 END ELSE v0+(v1-v0)*date_diff('second',t0,t)/date_diff('second',t0,t1)::DOUBLE END,6)+0.0 AS interpolated FROM q LEFT JOIN b ON q.k=b.k AND t>=t0 AND (t<t1 OR (t1 IS NULL AND t=t0))")
 def bracket_interp(spark, d):
     o = B.table(spark, d, "orders")
-    series = o.groupBy(F.col("o_custkey").alias("segment"), F.col("o_orderdate").alias("t")).agg(F.avg("o_totalprice").alias("v"))
+    series = o.groupBy(F.col("o_custkey").alias("segment"), F.col("o_orderdate").alias("t")).agg(F.avg(F.sqrt("o_totalprice")).alias("v"))
     asked = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("segment"), (F.col("o_orderdate") + F.expr("interval 3 days")).alias("t"))
-    # nine places: halves of the sixth are common where a gap is a power of two days
-    return temporal.bracket_interpolate(asked, series, ["segment"], "t", "v").drop("t").withColumn("interpolated", F.round("interpolated", 9) + F.lit(0.0))
+    return rounded(temporal.bracket_interpolate(asked, series, ["segment"], "t", "v").drop("t"))
 
 
 ANCHOR = "CASE WHEN day(o_orderdate)>=15 THEN make_date(year(o_orderdate),month(o_orderdate),15) ELSE (make_date(year(o_orderdate),month(o_orderdate),15) - INTERVAL 1 MONTH)::DATE END"
