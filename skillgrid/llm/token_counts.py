@@ -24,14 +24,14 @@ from skillgrid.llm.ragged import offsets_of, slices
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def frequent_runs(docs: DataFrame, text_col: str = "text", most: int = 20_000, tracked: int = 65_536, groups: int = 16) -> list[str]:
+def frequent_runs(docs: DataFrame, text_col: str = "text", most: int = 20_000, tracked: int = 65_536, groups: int = 32) -> list[str]:
     """The ``most`` most frequent pre-tokens: a sketch for each task, merged by groups and then once."""
     words = docs.select(F.explode(F.split(F.col(text_col), SPACE)).alias("w"), (F.spark_partition_id() % groups).alias("g")).where("w != '' and length(w) <= 64")
     if words.isEmpty():
         return []
     parts = words.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
     # a few sketches of fixed size; combining them fails in Spark where a partition has none
-    best = parts.coalesce(1).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {most})").alias("top")).select("top.item").first()
+    best = parts.repartition(1).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {most})").alias("top")).select("top.item").first()
     return [w for w in (best[0] or []) if w is not None] if best else []
 
 
