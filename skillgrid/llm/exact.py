@@ -40,7 +40,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     narrow = materialize(narrow, "exact-keys")
     lengths = narrow.groupBy("n").count().where("count > 1").select("n")
-    heads = narrow.join(lengths, "n", "left_semi").groupBy("n", "head").count().where("count > 1").select("n", "head")
+    # counted before they are joined: a group of copies is one row then
+    heads = narrow.groupBy("n", "head").count().join(lengths, "n", "left_semi").where("count > 1").select("n", "head")
     heads = materialize(heads, "exact-heads")
     if digest_all:
         hashed = narrow
@@ -49,9 +50,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         again = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"), F.length(norm).alias("n"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("head"), norm.alias("norm"))
         marked = again.join((F.broadcast(heads) if few else heads).withColumn("twice", F.lit(True)), ["n", "head"], "left")
         hashed = materialize(marked.select("doc_id", "n_points", "n", "head", F.when(F.col("twice"), F.sha2("norm", 256)).alias("whole")), "exact-whole")
-    survivors = hashed.join(heads, ["n", "head"], "left_semi") if digest_all else hashed.where("whole is not null")
     first = F.min(F.struct((-F.col("n_points")).alias("m"), F.col("doc_id").alias("keep_id")))
-    groups = survivors.groupBy("whole").agg(first.alias("first"), F.count("*").alias("group_size")).where("group_size > 1").select("whole", F.col("first.keep_id").alias("keep_id"), "group_size", F.lit(True).alias("grouped"))
+    groups = hashed.where("whole is not null").groupBy("n", "head", "whole").agg(first.alias("first"), F.count("*").alias("group_size"))
+    groups = groups.join(heads, ["n", "head"], "left_semi").where("group_size > 1").select("whole", F.col("first.keep_id").alias("keep_id"), "group_size", F.lit(True).alias("grouped"))
     # rows without a digest join by their own id, so that they don't meet under one null key
     hashed = hashed.withColumn("key", F.coalesce("whole", F.concat(F.lit("single:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = hashed.join(groups.withColumnRenamed("whole", "key"), "key", "left")
