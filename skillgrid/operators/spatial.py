@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillgrid.functions.physics import KM_PER_LAT, KM_PER_LON, arc_km
+from skillgrid.session import materialize
 
 
 def planar_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, at_lat: Column) -> Column:
@@ -32,11 +33,26 @@ def nearest_cell(sites: DataFrame, cells: DataFrame, keys: list[str], size: floa
     if where is not None:
         pairs = pairs.where(where)
     pairs = pairs.withColumn("km", planar_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"), F.col("lat") if at_lat is None else at_lat))
-    best = pairs.groupBy(*keys).agg(F.min_by(F.struct("y", "x", "km"), F.struct("km", "y", "x")).alias("b"))
-    covered = rings * size * KM_PER_LON * 0.5
+    best = pairs.groupBy(*keys).agg(F.min_by(F.struct("y", "x", "km"), F.struct("km", "y", "x")).alias("b"), F.first("lat").alias("_lat"))
+    # what lies outside the bins is at least so far away; a degree of longitude is the shorter one
+    covered = rings * size * KM_PER_LON * F.cos(F.radians(F.abs("_lat") + rings * size))
     return best.select(*keys, "b.*", (F.col("b.km") <= covered).alias("certain"))
 
 
+def nearest_anywhere(sites: DataFrame, cells: DataFrame, keys: list[str], size: float = 0.01, where: Column | None = None, most_rounds: int = 14) -> DataFrame:
+    """As ``nearest_cell``, with twice the rings for those sites whose answer isn't certain yet, until all are."""
+    todo, out, rings = sites, None, 1
+    for _ in range(most_rounds):
+        best = materialize(nearest_cell(todo, cells, keys, size, rings, where=where), "nearest")
+        sure = best.where("certain").drop("certain")
+        out = sure if out is None else out.unionByName(sure)
+        todo = todo.join(sure.select(*keys), keys, "left_anti")
+        if todo.isEmpty():
+            return out
+        rings *= 2
+    raise ValueError("sites without a cell within reach")
+
+
 def k_nearest(targets: DataFrame, donors: DataFrame, k: int, size: float, rings: int = 1) -> DataFrame:
     """(target, rank, donor, km): the k nearest donors on the sphere, ties by donor. ``targets`` and ``donors`` have (target | donor, lat, lon)."""
     pairs = candidates(targets, donors, size, rings).withColumn("km", arc_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")))

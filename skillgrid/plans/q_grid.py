@@ -30,7 +30,7 @@ def nearest_native_cell(spark, d):
 
 @query("nearest_land_cell", _nearest_sql("s.lat", "land"))
 def nearest_land_cell(spark, d):
-    return rounded(spatial.nearest_cell(B.sites(spark, d), B.grid(spark, d), ["site"], where=F.col("land")).drop("certain"))
+    return rounded(spatial.nearest_anywhere(B.sites(spark, d), B.grid(spark, d), ["site"], 0.004, where=F.col("land")))
 
 
 ARC = "2*6371.0*asin(least(sqrt((cos(radians({a}.lat))*cos(radians({a}.lon))-cos(radians({b}.lat))*cos(radians({b}.lon)))*(cos(radians({a}.lat))*cos(radians({a}.lon))-cos(radians({b}.lat))*cos(radians({b}.lon)))+(cos(radians({a}.lat))*sin(radians({a}.lon))-cos(radians({b}.lat))*sin(radians({b}.lon)))*(cos(radians({a}.lat))*sin(radians({a}.lon))-cos(radians({b}.lat))*sin(radians({b}.lon)))+(sin(radians({a}.lat))-sin(radians({b}.lat)))*(sin(radians({a}.lat))-sin(radians({b}.lat))))/2,1.0))"

@@ -140,6 +140,13 @@ def test_nearest_tie_goes_to_the_first(spark):
     assert (r.y, r.x, r.certain) == (0, 0, True)
 
 
+def test_far_sites_get_more_rings(spark):
+    cells = spark.createDataFrame([(0, 0, 46.0, 7.0), (5, 5, 46.3, 7.2)], "y int, x int, lat double, lon double")
+    site = spark.createDataFrame([(1, 46.001, 7.0), (2, 46.2, 7.2)], "site int, lat double, lon double")
+    got = {r.site: (r.y, r.x) for r in spatial.nearest_anywhere(site, cells, ["site"], 0.01).collect()}
+    assert got == {1: (0, 0), 2: (5, 5)}
+
+
 def test_profile_interpolation():
     z, v = np.array([100.0, 200.0]), np.array([10.0, 20.0])
     assert interpolate_one(z, v, np.array([150.0, 50.0]), 1.0, True).tolist() == [15.0, 10.0]  # held in the source's range
