@@ -34,20 +34,27 @@ from skillgrid.session import fresh, materialize, release
 SHINGLE, BITS, SEED, LIST = 3, 3, 42, 4096
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, copies: int = 1) -> list[int]:
-    """``copies`` fingerprints of one text, as signed 64-bit integers: the first from the shingles' hashes, the others from mixtures of them."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of one text's shingles in order; none of a text without words."""
     import xxhash
 
     words = text.encode().lower().split() if text else []
     if not words:
-        return [0] * copies
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(shingle, len(words))
     begin, end = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, copies: int = 1) -> list[int]:
+    """``copies`` fingerprints of one text, as signed 64-bit integers: the first from the shingles' hashes, the others from mixtures of them."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return [0] * copies
     set_bits = np.zeros((copies, 64), np.int64)
     for a in range(0, len(hashes), 4096):
         h = hashes[a : a + 4096]
@@ -198,10 +205,23 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, of ``components`` (text_hash, component) as rows distinct by text_hash.
+
+    A document is an id, which may be null or shared, and its text: the smallest such pair stays, of rows with that pair one.
+    """
+    names = [fresh(n, [*docs.columns, "component"]) for n in ("near_id", "near_hash")]
+    hashed = docs.withColumn(names[1], F.xxhash64(text_col))
+    members = hashed.select(F.struct(F.col(id_col).alias("id"), F.col(names[1]).alias("text_hash")).alias("doc")).distinct()
+    members = materialize(members.join(components, F.col("doc.text_hash") == F.col("text_hash")).select("doc", "component"), "members")
+    first = members.groupBy("component").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+    dropped = members.join(first, "component").where(~F.col("doc").eqNullSafe(F.col("first"))).select(F.col("doc.id").alias(names[0]), F.col("doc.text_hash").alias("dropped_hash"))
+    kept = hashed.join(dropped, docs[id_col].eqNullSafe(F.col(names[0])) & (F.col(names[1]) == F.col("dropped_hash")), "left_anti")
+    return kept.dropDuplicates([id_col, names[1]]).select(*docs.columns)
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, copies: int = 1, sure: int | None = None) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; of rows with that id, one."""
-    near = near_duplicates(docs, id_col, text_col, shingle, bits, copies, sure)
-    name = fresh("near_id", docs.columns)
-    dropped = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(dropped, docs[id_col].eqNullSafe(F.col(name)), "left_anti")
-    return kept.dropDuplicates([id_col])
+    """``docs`` with one document of each component: that of the smallest id, and of these that of the smallest hash of its text."""
+    texts = docs.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    near = near_duplicates(texts, shingle=shingle, bits=bits, copies=copies, sure=sure)
+    return keep_one(docs, near.select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("component")).distinct(), id_col, text_col)
