@@ -2,12 +2,79 @@
 
 import collections
 
+import numpy as np
 import pytest
 
-from skillgrid.llm import simhash
+import corpus_pipeline
+from skillgrid.llm import similar, simhash
 
+STAGES = dict(corpus_pipeline.STAGES)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
-@pytest.mark.parametrize("keep", [simhash.keep_first])
+
+def near_dedup(spark, rows):
+    """(doc_id, text) of the rows that the stage keeps."""
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], SCHEMA)
+    return sorted(((r.doc_id, r.text) for r in STAGES["near_dedup"](spark, docs, "").collect()), key=str)
+
+
+def brute_force(rows):
+    """One row, that of the smallest id, of each component of texts that share 0.8 of their shingles of five words or more."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))})
+    of = collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            of[x].append(k)
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, s in enumerate(sets):
+        for j in {j for x in s for j in of[x] if j < k}:
+            both = len(s & sets[j])
+            if both / (len(s) + len(sets[j]) - both) >= 0.8:
+                a, b = sorted((find(k), find(j)))
+                root[b] = a
+    return sorted((rows[k] for k in range(len(rows)) if find(k) == k), key=str)
+
+
+def altered(rng, words, name, share):
+    """``words`` with a stretch replaced such that about ``share`` of all shingles of both are common."""
+    n = len(words) - 4
+    lost = max(1, round(n * (1 - share) / (1 + share)) - 4)
+    at = int(rng.integers(4, len(words) - lost - 4))
+    return [*words[:at], *[f"{name}x{k}" for k in range(lost)], *words[at + lost :]]
+
+
+@pytest.mark.parametrize("share", [0.72, 0.78, 0.805, 0.83])
+def test_near_dedup_at_a_similarity(spark, share):
+    rng = np.random.default_rng(int(share * 1000))
+    rows = []
+    for k in range(150):
+        words = [f"{k}w{j}" for j in range(int(rng.integers(80, 900)))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(altered(rng, words, f"{k}y", share)))]
+    assert near_dedup(spark, rows) == brute_force(rows)
+
+
+def test_near_dedup_of_chains(spark):
+    """Copies of copies: the ends of a chain aren't alike, its neighbours are."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(25):
+        words = [f"{k}w{j}" for j in range(300)]
+        for step in range(8):
+            rows.append((len(rows), " ".join(words)))
+            words = altered(rng, words, f"{k}s{step}", 0.86)
+    assert near_dedup(spark, rows) == brute_force(rows)
+
+
+@pytest.mark.parametrize("keep", [similar.keep_first, simhash.keep_first])
 def test_null_and_shared_ids(spark, keep):
     """A document is its id and text: neither a null id nor one that two texts share takes other texts with it."""
     text = [" ".join(f"{k}w{j}" for j in range(60)) for k in range(6)]
