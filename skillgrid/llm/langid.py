@@ -3,6 +3,7 @@
 For every language a zstandard raw-content dictionary is cut from labelled texts. A text is compressed with
 each of them, in pieces of ``PIECE`` bytes so that a long text doesn't learn its own language on the way, and the
 language of the smallest total wins. The margin to the second smallest is the score; where it is narrow the text is rejected.
+A text of less than ``SHORT`` bytes is compressed as repeats of itself: alone it would be stored as it is, at the same size for every language.
 
 The dictionaries are fitted on a bounded sample of labelled rows: of each language about twice ``SAMPLE_DOCS``
 documents, chosen by a hash of the id, and ``DICT_BYTES`` of their text. Predictions read whole texts and nothing else.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skillgrid.session import fresh, materialize
 
-SAMPLE_DOCS, DICT_BYTES, PIECE, LEVEL = 1500, 110_000, 1024, 6
+SAMPLE_DOCS, DICT_BYTES, PIECE, LEVEL, SHORT = 1500, 110_000, 1024, 6, 128
 
 #: Every ASCII byte that isn't a letter becomes a space.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -84,6 +85,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
                     score.append(0.0)
                     continue
                 raw = words_of(text)
+                if len(raw) < SHORT:
+                    raw = b" ".join([raw] * (SHORT // (len(raw) + 1) + 1))
                 pieces = [raw[a : a + PIECE] for a in range(0, len(raw), PIECE)]
                 sizes = np.array([sum(len(tool.compress(p)) for p in pieces) for tool in tools])
                 order = np.argsort(sizes, kind="stable")

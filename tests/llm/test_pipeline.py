@@ -83,3 +83,18 @@ def test_null_and_shared_ids(spark, keep):
     got = keep(docs).collect()
     assert collections.Counter(r.text for r in got) == collections.Counter([*text, None])
     assert {(r.doc_id, r.text) for r in got} == {(None, text[0]), (None, text[1]), (5, text[2]), (1, text[3]), (7, text[4]), (9, text[5]), (None, None)}
+
+
+def test_language_margins(spark):
+    """Random letters are rejected by their narrow margin; short clean texts, which zstandard alone stores as they are, stay."""
+    rng = np.random.default_rng(3)
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(n))
+    long = [r for r in clean.where("length(text) > 400").orderBy("doc_id").limit(200).collect()]
+    short = [(2_000_000 + k, " ".join(r.text.split()[20:24]), r.lang, "s", 0) for k, r in enumerate(long)]
+    gibberish = [(1_000_000 + k, words(int(rng.integers(80, 600))), None, "g", 0) for k in range(200)]
+    docs = clean.unionAll(spark.createDataFrame(short + gibberish, SCHEMA))
+    kept = collections.Counter(r.source if r.source in ("s", "g") else "clean" for r in STAGES["language"](spark, docs, "").collect())
+    assert kept["g"] <= 2
+    assert kept["s"] >= 185
+    assert kept["clean"] >= 0.98 * clean.count()
