@@ -29,6 +29,11 @@ BLOCK = frozenset("address article aside blockquote body br button caption cente
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page.
 SILENT = frozenset("script style noscript template head title iframe svg object textarea select button form".split())
+#: What may stand in a head; anything else ends it, since its end tag is optional.
+HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements of few words that a page leaves open by mistake: a block of the second kind ends them.
+SHORT = frozenset("title option select button".split())
+ENDS_SHORT = frozenset("address article aside blockquote body dl figure footer h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())
 CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset("nav footer aside menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
@@ -76,7 +81,19 @@ class Blocks(HTMLParser):
             self.blocks.append((text, self.linked, self.stack[-1][2] if self.stack else 0, tuple(n for _, n, _ in self.stack), next((t for t, _, _ in reversed(self.stack) if t in BLOCK), "")))
         self.text, self.linked = [], 0
 
+    def end_open(self, tag):
+        """End what the start of ``tag`` implies: a head, and elements of few words left open."""
+        tags = [t for t, _, _ in self.stack]
+        if "template" in tags or "svg" in tags:
+            return
+        if "head" in tags and tag not in HEAD and "noscript" not in tags:
+            self.handle_endtag("head")
+        if tag in ENDS_SHORT:
+            for name in [t for t in tags if t in SHORT]:
+                self.handle_endtag(name)
+
     def handle_starttag(self, tag, attrs):
+        self.end_open(tag)
         if tag == "br":
             self.text.append(" ")
             return
@@ -113,6 +130,8 @@ class Blocks(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():  # text ends a head, too
+            self.handle_endtag("head")
         if not self.silent:
             self.text.append(data)
             if self.links:
