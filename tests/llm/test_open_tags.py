@@ -3,6 +3,7 @@
 import pytest
 
 from skillgrid.llm import html_cut
+from skillgrid.llm.html_cut import PRIOR
 
 
 @pytest.mark.parametrize(
@@ -21,4 +22,5 @@ def test_text_after_open_elements(html):
 
 
 def test_silent_elements_stay_silent():
-    assert html_cut.blocks_of("<head><title>x</title><script>1</script><style>2</style><body><form><p>Name</form><template><p>no</template>") == []
+    assert html_cut.blocks_of("<head><title>x</title><script>1</script><style>2</style><body><template><p>no</template>") == []
+    assert html_cut.main_text("<head><title>x</title><script>1</script><style>2</style><body><form><p>Name</form><template><p>no</template>", PRIOR) == ""
