@@ -52,7 +52,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._shared_path = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that nothing will read again."""
+    for table in tables:
+        discard(table.sparkSession, table._shared_path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
