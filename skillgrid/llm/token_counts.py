@@ -1,9 +1,9 @@
 """Token counts by a map-side lookup in two tiers.
 
-The first tier is a compact table of frequent pre-tokens (runs without white space) and their numbers
-of tokens, broadcast to the workers. Which pre-tokens are frequent comes from a frequent-items sketch
-of the whole corpus: its size is a parameter, and no pre-token is shuffled. Misses are encoded by the
-worker's tokenizer, which remembers the pieces it has seen. The sketch decides speed alone, never a count.
+The first tier is a compact table of frequent pre-tokens (runs without white space) and their numbers of tokens, broadcast to the
+workers: those that are a 100,000th of all or more, so at most 100,000. Each task counts its own and no pre-token is shuffled, only the
+tasks' short summaries. Misses are encoded by the worker's tokenizer, which remembers the pieces it has seen. The table decides speed alone,
+never a count.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows stay; an empty table gives an
 empty one; other columns, whatever their names, are not carried; very long texts are handled alone.
@@ -11,6 +11,8 @@ empty one; other columns, whatever their names, are not carried; very long texts
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,20 +21,39 @@ from pyspark.sql import functions as F
 
 from skillgrid.llm.bpe import encoder, runs_of
 from skillgrid.llm.ragged import offsets_of, slices
+from skillgrid.session import drop, materialize
+
+#: The share of all pre-tokens that makes one frequent, and the counters of a task.
+SHARE, TRACKED = 1e-5, 200_000
+
 
-#: Characters of ASCII white space, as a pattern for Spark.
-SPACE = r"[\x20\x09-\x0D]+"
+def frequent_runs(docs: DataFrame, text_col: str = "text", share: float = SHARE, tracked: int = TRACKED, slice_bytes: int = 6_000_000) -> list[str]:
+    """Pre-tokens that are at least ``share`` of all: at most ``1 / share`` of them, whatever the corpus.
 
+    Every task counts what it reads, in at most ``tracked`` counters, and gives those with a quarter of that share of its own words; only
+    these summaries are added up, by word, with no place where all of them meet.
+    """
+
+    def tally(batches):
+        held, total = Counter(), 0
+        for batch in batches:
+            for part in slices(batch, "text", slice_bytes):
+                words = runs_of(pc.fill_null(part.column(0), ""))[0]
+                total += len(words)
+                short = words.filter(pc.less_equal(pc.binary_length(words), 64))
+                found = short.value_counts()
+                held.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist())))
+                if len(held) > tracked:
+                    held = Counter(dict(held.most_common(tracked // 2)))
+        some = {w: n for w, n in held.items() if 4 * n >= share * total}
+        yield pa.RecordBatch.from_arrays([pa.array([None, *some], pa.string()), pa.array([total, *some.values()], pa.int64())], ["w", "n"])
 
-def frequent_runs(docs: DataFrame, text_col: str = "text", most: int = 20_000, tracked: int = 65_536, groups: int = 32) -> list[str]:
-    """The ``most`` most frequent pre-tokens: a sketch for each task, merged by groups and then once."""
-    words = docs.select(F.explode(F.split(F.col(text_col), SPACE)).alias("w"), (F.spark_partition_id() % groups).alias("g")).where("w != '' and length(w) <= 64")
-    if words.isEmpty():
-        return []
-    parts = words.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
-    # a few sketches of fixed size; combining them fails in Spark where a partition has none
-    best = parts.repartition(1).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {most})").alias("top")).select("top.item").first()
-    return [w for w in (best[0] or []) if w is not None] if best else []
+    counted = materialize(docs.select(F.col(text_col).alias("text")).mapInArrow(tally, "w string, n long"), "run-counts")
+    total = counted.where("w is null").agg(F.sum("n")).first()[0] or 0
+    best = counted.where("w is not null").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= share * total)
+    found = best.select("w").toArrow()["w"].to_pylist()
+    drop(counted)
+    return found
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", frequent: list[str] | None = None, slice_bytes: int = 6_000_000) -> DataFrame:
