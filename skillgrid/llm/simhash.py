@@ -140,45 +140,49 @@ def links(classes: DataFrame, bits: int = BITS, sure: int | None = None, most: i
     each = classes.select("node", F.posexplode("fps").alias("c", "fp"))
     posted = each.select("node", "fp", "c", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("s", "key"))
     posted = posted.select("node", "fp", (F.col("c") * len(masks) + F.col("s")).alias("set"), "key")
-    long = posted.groupBy("set", "key").count().where(F.col("count") > most).select("set", "key", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
-    long = materialize(long, "long-lists")
-    few = long.limit(100_001).count() <= 100_000  # some 30 bytes each
-    rows = posted.join(F.broadcast(long) if few else long, ["set", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("set", "key", (F.least("own", "other") * 65536 + F.greatest("own", "other")).alias("part"), "fp", "node")
+    rows = in_parts(posted, ["set", "key"], most)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def work(table: pa.Table):
+        for table in whole_lists(batches, 3):
             cols = [np.ascontiguousarray(table.column(k).to_numpy()) for k in range(5)]
             src, dst = list_links(cols[:3], cols[3], cols[4], bits)
             if len(src):
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # the last list of a batch may go on in the next
-            tail = np.ones(batch.num_rows, bool)
-            for k in range(3):
-                c = batch.column(k).to_numpy()
-                tail &= c == c[-1]
-            n = batch.num_rows - int(tail.sum())
-            if n:
-                yield from work(pa.Table.from_batches([*held, batch.slice(0, n)]))
-                held = [batch.slice(n)]
-            elif held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3)):
-                yield from work(pa.Table.from_batches(held))
-                held = [batch]
-            else:
-                held.append(batch)
-        if held:
-            yield from work(pa.Table.from_batches(held))
-
-    ordered = rows.repartition("set", "key", "part").sortWithinPartitions("set", "key", "part")
-    return ordered.mapInArrow(run, "src long, dst long")
+    return rows.select("set", "key", "part", "fp", "node").mapInArrow(run, "src long, dst long")
+
+
+def in_parts(posted: DataFrame, keys: list[str], most: int = LIST) -> DataFrame:
+    """Posting lists of rows with ``node``, dealt out and sorted by ``keys`` and ``part``: a list of over ``most`` rows is cut into blocks, and each pair of blocks is a part."""
+    long = posted.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    long = materialize(long, "long-lists")
+    few = long.limit(100_001).count() <= 100_000  # some 30 bytes each
+    rows = posted.join(F.broadcast(long) if few else long, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("part", F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).drop("blocks", "own", "other")
+    return rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part")
+
+
+def whole_lists(batches, n_keys: int):
+    """Sorted batches anew, cut so that no list, by the first ``n_keys`` columns, goes on in the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy() for k in range(n_keys)]
+        last = np.logical_and.reduce([c == c[-1] for c in keys])
+        n = batch.num_rows - int(last.sum())
+        if n:
+            yield pa.Table.from_batches([*held, batch.slice(0, n)])
+            held = [batch.slice(n)]
+        elif held and any(held[-1].column(k)[-1].as_py() != keys[k][0] for k in range(n_keys)):
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, copies: int = 1, sure: int | None = None) -> DataFrame:
