@@ -1,21 +1,24 @@
 """Substring dedup on a compacted de Bruijn graph of word windows.
 
-Windows of ``K`` words are the edges of the graph, identified by 64 bits of hash, and paths by 128. Only repeated paths matter, so:
-
-1. every window takes as its key the smallest hash of the ``GRAM``-word grams in it; runs of windows share their key. Keys that
-   occur in two documents come from one aggregate with partial minima and maxima;
-2. a filter of those keys, at most ``FILTER_BITS`` bits whatever the corpus, goes to the tasks. It only spares work: a window
-   that passes without being repeated changes nothing;
-3. runs of passing windows are paths. They are cut at windows that their own hash chooses, so equal stretches are cut alike, and equal
-   paths compact into one by an aggregate over their digests, which keeps the source coordinates (document and word) of the first;
-4. a path in a later document than its source is a repeat as a whole. Within the sources, windows that also stand in
-   another path with an earlier source are found by joining the windows of the compacted paths with their own minima;
-5. spans go back to their documents by an equi-join on the id and a hash of the text.
-
-Texts move once, in step 5. Hot paths shrink in step 3 before they are shuffled, and the joins are plain equi-joins that adaptive execution can split.
+Windows of ``K`` words are the edges of the graph, the ``K - 1`` words that two windows in a row share its nodes. Only repeated windows matter, so:
+
+1. every window takes as its key the smallest hash of the ``GRAM``-word grams in it; runs of windows share their key. Keys that occur in two documents
+   come from one aggregate with partial minima and maxima. A filter of those keys, at most ``FILTER_BITS`` bits whatever the corpus, goes to the tasks.
+   It only spares work: a window that passes without being repeated changes nothing;
+2. runs of passing windows, cut where a window's own hash says so, are the edges with what stands before and after them; equal ones become one;
+3. a node branches if different words stand before it or follow it anywhere, or if a run begins or ends there: one aggregate over the nodes of
+   those stretches. Branching nodes go to the tasks as a filter, too; one that is taken for branching without being so makes a cut more and changes nothing;
+4. the documents' runs are cut at branching nodes and at the windows of step 2. What is left in one piece is a path without a branch: wherever one of
+   its windows stands, all of it stands, so a path is a repeat as a whole or not at all;
+5. equal paths compact by a join on their words themselves, with the document of their first occurrence as the source. Occurrences keep their coordinates (document
+   and word); those in a later document than the source's are repeats. No hash decides that two stretches are equal;
+6. spans go back to their documents by an equi-join on the id and a hash of the text.
+
+Whole texts move once, in step 6. Hot paths shrink before they are shuffled where they are counted, and the joins are plain equi-joins that adaptive execution can
+split. What a hash can do: two different words that stand beside the same node and share 64 bits of hash hide a branch, and a repeat may stay; none is made.
 
 Defined results: a null text has no words; a null id counts as the smallest; rows that share an id never repeat each other; texts of fewer than
-``K`` words lose nothing; an empty table gives an empty one; other columns are not carried.
+``K`` words lose nothing; very long texts are handled alone; an empty table gives an empty one; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.llm.bpe import runs_of
-from skillgrid.llm.ragged import offsets_of, slices
-from skillgrid.session import materialize, release
+from skillgrid.llm.ragged import gather, offsets_of, slices
+from skillgrid.session import drop, materialize, release
 
 K, GRAM = 13, 5
-#: One window in so many ends a path, on average; and the largest filter (16 MB).
-CUT, FILTER_BITS = 16, 27
+#: One window in so many ends a stretch, on average; and the largest filter (16 MB).
+CUT, FILTER_BITS = 32, 27
 LEAST = -(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for the word before or after where there is none.
+EDGE = np.uint64(0x5851F42D4C957F2D)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -42,45 +47,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word, worked out once for each distinct one."""
+    import xxhash
+
+    coded = words.dictionary_encode()
+    one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+    distinct = pc.binary_join(one, "\n")[0].as_py().split("\n") if len(coded.dictionary) else []
+    table = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    return table[coded.indices.to_numpy()]
+
+
+def combined(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` words from each place."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(width):
+        out = (out ^ h[at + j]) * ODD
+    return _mix(out)
+
+
 class Words:
-    """Hashes of the words of a slice of texts, and of what begins at each."""
+    """The words of a slice of texts, their hashes, and the windows that begin at them with their keys."""
 
     def __init__(self, text: pa.Array, k: int = K, gram: int = GRAM):
-        import xxhash
-
         self.k = k
-        words, self.off = runs_of(pc.fill_null(text, ""))
-        coded = words.dictionary_encode()
-        one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-        distinct = pc.binary_join(one, "\n")[0].as_py().split("\n") if len(coded.dictionary) else []
-        both = b"".join(map(xxhash.xxh3_128_digest, distinct))
-        table = np.frombuffer(both, np.uint64).reshape(-1, 2)
-        self.h1, self.h2 = (table[coded.indices.to_numpy(), c] for c in (0, 1))
-        n = len(self.h1)
+        self.words, self.off = runs_of(pc.fill_null(text, ""))
+        self.h = word_hashes(self.words)
+        n = len(self.h)
         ends = np.repeat(self.off[1:], np.diff(self.off))
         #: Places at which a window begins.
         self.at = np.flatnonzero(np.arange(n) + k <= ends)
         self.doc = np.repeat(np.arange(len(self.off) - 1), np.maximum(np.diff(self.off) - k + 1, 0))
-        size = max(n - gram + 1, 0)
-        g = np.zeros(size, np.uint64)
-        for j in range(gram):
-            g = (g ^ self.h1[j : j + size]) * ODD
-        g = _mix(g)
-        width, step, low = k - gram + 1, 1, g
+        width, step, low = k - gram + 1, 1, combined(self.h, np.arange(max(n - gram + 1, 0)), gram)
         while 2 * step <= width:
             low = np.minimum(low[: len(low) - step], low[step:])
             step *= 2
         if step < width:
             rest = width - step
             low = np.minimum(low[: len(low) - rest], low[rest:])
-        self.key = low[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        # minima are small numbers: mixed, all bits tell
+        self.key = _mix(low[self.at]) if len(self.at) else np.zeros(0, np.uint64)
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        for j in range(self.k):
-            a = (a ^ self.h1[at + j]) * ODD
-            b = (b ^ self.h2[at + j]) * ODD
-        return _mix(a), _mix(b)
+    def stretches(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """The words from each place of ``first`` up to the one of ``last``, exclusive, joined by spaces."""
+        places, n = gather(np.arange(len(self.h)), np.stack([first, last], axis=1).ravel(), 2 * np.arange(len(first)))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets_of(n), pa.int32()), self.words.take(pa.array(places))), " ")
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -112,89 +123,102 @@ def key_filter(keys: DataFrame) -> tuple[int, np.ndarray]:
     return bits, out
 
 
-def paths(rows: DataFrame, known: tuple[int, np.ndarray], k: int, gram: int, slice_bytes: int, with_windows: bool) -> DataFrame:
-    """(p1, p2, n, d, th, at[, windows]): paths of n passing windows, from word ``at`` of their document."""
+def passes(known: tuple[int, np.ndarray], key: np.ndarray) -> np.ndarray:
+    bits, table = known
+    place = key >> np.uint64(64 - bits)
+    return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def runs(w: Words, known: tuple[int, np.ndarray], branching: tuple[int, np.ndarray] | None):
+    """(first, last, document, whether a stretch goes on before and after) of stretches of passing windows: cut by content, and at branching nodes if given."""
+    passed = np.flatnonzero(passes(known, w.key))
+    at, doc = w.at[passed], w.doc[passed]
+    joined = np.zeros(len(at) + 1, bool)
+    joined[1:-1] = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])
+    begin = ~joined[:-1] | (combined(w.h, at, w.k) % np.uint64(CUT) == 0)
+    if branching is not None:
+        begin |= passes(branching, combined(w.h, at, w.k - 1))
+    first = np.flatnonzero(begin)
+    last = np.append(first[1:], len(at)) - 1 if len(first) else first
+    return at[first], at[last] if len(first) else at[:0], doc[first], joined[first], joined[last + 1]
+
+
+def stretches(rows: DataFrame, known: tuple[int, np.ndarray], k: int, gram: int, slice_bytes: int) -> DataFrame:
+    """(words, before, after): the distinct stretches of step 2; the first word stands before their first window if ``before``, and the run goes on if ``after``."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        bits, table = shared.value
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
-                w = Words(part.column(2), k, gram)
-                place = w.key >> np.uint64(64 - bits)
-                passed = np.flatnonzero((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
-                at, doc = w.at[passed], w.doc[passed]
-                a, b = w.windows(at)
-                begin = np.ones(len(at), bool)
-                begin[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (a[1:] % np.uint64(CUT) == 0)
-                first = np.flatnonzero(begin)
-                n = np.diff(np.append(first, len(at)))
-                order = (np.arange(len(at)) - np.repeat(first, n)).astype(np.uint64) * ODD
-                p1, p2 = (np.add.reduceat(_mix(x + order), first) if len(first) else np.zeros(0, np.uint64) for x in (a, b))
-                of = pa.array(doc[first])
-                cols = [_signed(p1), _signed(p2), pa.array(n, pa.int32()), part.column(0).take(of), part.column(1).take(of), pa.array(at[first] - w.off[doc[first]], pa.int32())]
-                names = ["p1", "p2", "n", "d", "th", "at"]
-                if with_windows:
-                    ends = (np.append(first, len(at)) * 8).astype(np.int32)
-                    cols.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(a.tobytes())]))
-                    names.append("windows")
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    kind = "p1 long, p2 long, n int, d long, th long, at int" + ", windows binary" * with_windows
-    return rows.select("d", "th", "text").mapInArrow(run, kind)
-
-
-def unfolded(compact: DataFrame, known: tuple[int, np.ndarray] | None) -> DataFrame:
-    """(key, sd, x) for each window of the compacted paths, or for those that pass a filter; x is the source word and the window's place in the path."""
-    shared = compact.sparkSession.sparkContext.broadcast(known)
+                w = Words(part.column(0), k, gram)
+                first, last, _, before, after = runs(w, shared.value, None)
+                yield pa.RecordBatch.from_arrays([w.stretches(first - before, last + k), pa.array(before), pa.array(after)], ["words", "before", "after"])
+
+    return rows.select("text").mapInArrow(run, "words string, before boolean, after boolean").distinct()
+
+
+def branching_nodes(found: DataFrame, k: int) -> DataFrame:
+    """(key): hashes of the nodes that have more than one word before or after them, or an end of a run."""
 
     def run(batches):
         for batch in batches:
-            n = batch.column(2).to_numpy().astype(np.int64)
-            key = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64)
-            i = np.arange(len(key)) - np.repeat(offsets_of(n)[:-1], n)
-            of = np.repeat(np.arange(len(n)), n)
-            if shared.value is not None:
-                bits, table = shared.value
-                place = key >> np.uint64(64 - bits)
-                some = np.flatnonzero((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
-                key, i, of = key[some], i[some], of[some]
-            x = (batch.column(1).to_numpy().astype(np.int64)[of] << 31) | i
-            yield pa.RecordBatch.from_arrays([_signed(key), batch.column(0).take(pa.array(of)), pa.array(x, pa.int64())], ["key", "sd", "x"])
-
-    return compact.select("sd", "sat", "n", "windows").mapInArrow(run, "key long, sd long, x long")
-
-
-def repeated_spans(rows: DataFrame, k: int = K, gram: int = GRAM, slice_bytes: int = 12_000_000) -> DataFrame:
-    """(d, th, spans): for each document with repeats, the [first, last] windows that also start in a document with a smaller id."""
+            words, off = runs_of(batch.column(0))
+            h = np.concatenate([word_hashes(words), [EDGE]])
+            before, after = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            n = np.diff(off) - k + 1 - before + ~after  # nodes: one before each window, and one after the last if the run ends there
+            place, of = gather(np.arange(len(words) + 1), np.stack([off[:-1] + before, off[:-1] + before + n], axis=1).ravel(), 2 * np.arange(len(n)))
+            ends = np.cumsum(of)
+            begins = ends - of
+            left, right = place - 1, place + k - 1
+            left[begins[~before]] = len(words)
+            right[ends[~after] - 1] = len(words)
+            beside = _mix((h[left] * ODD) ^ h[right])
+            yield pa.RecordBatch.from_arrays([_signed(combined(h, place, k - 1)), _signed(beside)], ["key", "x"])
+
+    nodes = found.mapInArrow(run, "key long, x long")
+    return nodes.groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a < b").select("key")
+
+
+def paths(rows: DataFrame, known: tuple[int, np.ndarray], branching: tuple[int, np.ndarray], k: int, gram: int, slice_bytes: int) -> DataFrame:
+    """(words, d, th, at, n): every path without a branch, n windows from word ``at`` of its document."""
+    shared = rows.sparkSession.sparkContext.broadcast((known, branching))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", slice_bytes):
+                w = Words(part.column(2), k, gram)
+                first, last, doc, _, _ = runs(w, *shared.value)
+                of = pa.array(doc)
+                cols = [w.stretches(first, last + k), part.column(0).take(of), part.column(1).take(of), pa.array(first - w.off[doc], pa.int32()), pa.array(last - first + 1, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["words", "d", "th", "at", "n"])
+
+    return rows.select("d", "th", "text").mapInArrow(run, "words string, d long, th long, at int, n int")
+
+
+def repeated_paths(rows: DataFrame, k: int = K, gram: int = GRAM, slice_bytes: int = 12_000_000) -> DataFrame:
+    """(d, th, at, n, sd): occurrences of compacted paths in documents of a larger id than their source's, ``sd``."""
     spark = rows.sparkSession
     keys = materialize(repeated_keys(rows, k, gram, slice_bytes), "span-keys")
     known = key_filter(keys)
+    drop(keys)
     release(spark)
-    source = F.min(F.struct("d", "at"))
-    compact = paths(rows, known, k, gram, slice_bytes, True).groupBy("p1", "p2", "n").agg(source.alias("s"), F.first("windows").alias("windows"))
-    compact = materialize(compact.select("p1", "p2", "n", F.col("s.d").alias("sd"), F.col("s.at").alias("sat"), "windows"), "span-paths")
-    release(spark)
-    shared = unfolded(compact, None).groupBy("key").agg(F.min("sd").alias("first"), F.max("sd").alias("last")).where("first < last").select("key", "first")
-    shared = materialize(shared, "span-shared")
-    release(spark)
-    earlier = unfolded(compact, key_filter(shared)).join(shared, "key").where("first < sd")
-    earlier = earlier.groupBy("sd", F.shiftright("x", 31).cast("int").alias("sat")).agg(F.collect_list(F.col("x").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("inside"))
-    listed = materialize(compact.drop("windows").join(earlier, ["sd", "sat"], "left"), "span-sources")
+    nodes = materialize(branching_nodes(stretches(rows, known, k, gram, slice_bytes), k), "span-branches")
+    branching = key_filter(nodes)
+    drop(nodes)
     release(spark)
-    found = paths(rows, known, k, gram, slice_bytes, False).join(listed, ["p1", "p2", "n"]).where("d > sd or inside is not null")
-    whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n") - 1).alias("b")))
-    single = F.transform("inside", lambda i: F.struct((F.col("at") + i).alias("a"), (F.col("at") + i).alias("b")))
-    spans = found.select("d", "th", F.when(F.col("d") > F.col("sd"), whole).otherwise(single).alias("s"))
-    return spans.groupBy("d", "th").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
+    found = materialize(paths(rows, known, branching, k, gram, slice_bytes), "span-paths")
+    found = found.withColumn("p", F.xxhash64("words"))  # sorts faster than words, and goes before them
+    sources = found.groupBy("p", "words").agg(F.min("d").alias("sd"), F.max("d").alias("b")).where("sd < b").drop("b")
+    return found.join(sources, ["p", "words"]).where("d > sd").select("d", "th", "at", "n", "sd")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, gram: int = GRAM, slice_bytes: int = 12_000_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row: kept is the words that no repeated window covers, joined by spaces."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("d"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    spans = materialize(repeated_spans(rows, k, gram, slice_bytes), "spans")
+    span = F.struct("at", (F.col("at") + F.col("n") - 1).alias("to"))
+    spans = repeated_paths(rows, k, gram, slice_bytes).groupBy("d", "th").agg(F.collect_set(span).alias("spans"))  # of rows that are alike in all once
+    spans = materialize(spans.select("d", "th", F.col("spans.at").alias("a"), F.col("spans.to").alias("b")), "spans")
     release(docs.sparkSession)
-    spans = spans.select("d", "th", F.transform("spans", lambda s: s["a"]).alias("a"), F.transform("spans", lambda s: s["b"]).alias("b"))
 
     def cut(batches):
         for batch in batches:
