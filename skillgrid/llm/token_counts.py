@@ -25,6 +25,8 @@ from skillgrid.session import drop, materialize
 
 #: The share of all pre-tokens that makes one frequent, and the counters of a task.
 SHARE, TRACKED = 1e-5, 200_000
+#: Words from which a slice of texts leaves out what it has once.
+MANY = 100_000
 
 
 def frequent_runs(docs: DataFrame, text_col: str = "text", share: float = SHARE, tracked: int = TRACKED, slice_bytes: int = 6_000_000) -> list[str]:
@@ -42,6 +44,8 @@ def frequent_runs(docs: DataFrame, text_col: str = "text", share: float = SHARE,
                 total += len(words)
                 short = words.filter(pc.less_equal(pc.binary_length(words), 64))
                 found = short.value_counts()
+                if len(words) >= MANY:  # once in so many is rare
+                    found = found.filter(pc.greater(found.field(1), 1))
                 held.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist())))
                 if len(held) > tracked:
                     held = Counter(dict(held.most_common(tracked // 2)))
