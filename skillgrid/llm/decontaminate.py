@@ -5,11 +5,11 @@ benchmark item; an item of fewer words, but not none, is one window. Words of th
 window is found by a hash over the numbers and verified by comparing all of them, so a hit is never a collision.
 Texts stay where they are: the only thing that moves is the table of windows.
 
-The table is broadcast while the benchmark's texts are no larger than ``BROADCAST_BYTES``. A larger benchmark is cut by a hash of the
-item into parts of that size, each scanned by its own pass, and the passes' hits are put together by document.
+The table is broadcast while it takes no more than ``BROADCAST_BYTES``, by a count of the benchmark's words. A larger benchmark is cut by a hash of the
+item into parts of that size on average, each scanned by its own pass, and the passes' hits are put together by document.
 
 Defined results: a null text has no words and no hits; repeated items count by their own id, and a null id as the text
-``null``; repeated rows stay; an empty benchmark hits nothing; an empty table gives an empty one.
+``null``; an item that is there twice counts once; repeated rows stay; very long texts are scanned alone; an empty benchmark hits nothing; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from skillgrid.llm.ragged import offsets_of, slices
 from skillgrid.session import fresh
 
 WINDOW = 10
-#: Bytes of benchmark text for one broadcast table.
-BROADCAST_BYTES = 32 << 20
+#: Most bytes of one broadcast table: its texts, and 12 for each of their words.
+BROADCAST_BYTES = 64 << 20
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Lower-cases A-Z and makes every ASCII byte that isn't a letter or digit a space.
@@ -48,39 +48,37 @@ def fold(text: pa.Array) -> pa.Array:
 
 
 def mixed(codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """A hash of ``width`` codes from each start."""
+    """32 bits of hash of ``width`` codes from each start; what they find is verified."""
     out = np.zeros(len(starts), np.uint64)
     for j in range(width):
         x = codes[starts + j].astype(np.uint64) * MULTIPLIER
         out = (out ^ (x ^ (x >> np.uint64(31)))) * MULTIPLIER
-    return out
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 class Windows:
-    """The windows of a benchmark's items, by their number of words."""
+    """The windows of a benchmark's items, by their number of words: the words' numbers once, and of each window its start and 32 bits of hash, in order of the hash."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        names = [n for n, _ in items]
-        words, off = runs_of(fold(pa.array([t for _, t in items], pa.string())))
+        self.names = [n for n, _ in items]
+        words, self.off = runs_of(fold(pa.array([t for _, t in items], pa.string())))
         coded = words.dictionary_encode()
-        self.words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64) + 1
-        n = np.diff(off)
+        self.words, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int32) + 1
+        n = np.diff(self.off)
         self.by_width = []
         for width in sorted({min(int(x), window) for x in n if x}):
             of = np.flatnonzero(n >= window) if width == window else np.flatnonzero(n == width)
             per = n[of] - width + 1
-            starts = np.repeat(off[:-1][of] - offsets_of(per)[:-1], per) + np.arange(per.sum())
-            key = mixed(codes, starts, width)
+            starts = np.repeat(self.off[:-1][of] - offsets_of(per)[:-1], per) + np.arange(per.sum())
+            key = mixed(self.codes, starts, width)
             order = np.argsort(key, kind="stable")
-            sequences = codes[starts[order][:, None] + np.arange(width)]
-            self.by_width.append((width, key[order], sequences, np.repeat(of, per)[order]))
-        self.names = names
+            self.by_width.append((width, key[order], starts[order].astype(np.int32)))
 
     def hits(self, codes: np.ndarray, off: np.ndarray):
         """(start of word, width, number of the item) of every occurrence, for texts whose words begin at ``off``."""
         unknown = np.concatenate([[0], np.cumsum(codes == 0)])
         ends = np.repeat(off[1:], np.diff(off))
-        for width, key, sequences, item in self.by_width:
+        for width, key, starts in self.by_width:
             at = np.arange(len(codes) - width + 1)
             at = at[(unknown[at + width] == unknown[at]) & (at + width <= ends[at])] if len(at) else at
             if not len(at):
@@ -92,9 +90,11 @@ class Windows:
             if not len(some):
                 continue
             begin = np.repeat(at[some], n)
-            which = np.arange(n.sum()) + np.repeat(low[some] - offsets_of(n)[:-1], n)
-            same = (codes[begin[:, None] + np.arange(width)] == sequences[which]).all(axis=1)
-            yield begin[same], width, item[which[same]]
+            test = starts[np.arange(n.sum()) + np.repeat(low[some] - offsets_of(n)[:-1], n)]
+            same = np.ones(len(begin), bool)
+            for j in range(width):
+                same &= codes[begin + j] == self.codes[test + j]
+            yield begin[same], width, np.searchsorted(self.off, test[same], "right") - 1
 
 
 def scan(docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW, slice_bytes: int = 16_000_000) -> DataFrame:
@@ -118,8 +118,9 @@ def scan(docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW, sl
                 spans, found = [[]] * n, [[]] * n
                 if pairs:
                     both = np.unique(np.concatenate(pairs), axis=0)
-                    for d in np.unique(both[:, 0]):
-                        found[d] = [table.names[i] for i in both[both[:, 0] == d, 1]]
+                    hits, first = np.unique(both[:, 0], return_index=True)
+                    for d, a, b in zip(hits, first, [*first[1:], len(both)]):
+                        found[d] = [table.names[i] for i in both[a:b, 1]]
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[off[d] : off[d + 1]].astype(np.int8), [0]])))
                         spans[d] = edge.tolist()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(off), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text_hash", "n_words", "spans", "items"])
@@ -143,7 +144,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, text_hash, n_words, spans, items) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     tests = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text"))
-    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tests = tests.distinct()
+    in_table = F.octet_length("text") + 12 * F.size(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    size = tests.agg(F.sum(in_table)).first()[0] or 0
     passes = -(-size // most_bytes) or 1
     if passes == 1:
         return scan(rows, [tuple(r) for r in tests.collect()], window)
