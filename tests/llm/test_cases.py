@@ -380,8 +380,8 @@ def test_expectation_maximisation_finds_the_reliable_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.4
     right = (0.95, 0.9, 0.6, 0.85)
-    votes = sum(((rng.random(len(truth)) < a) == truth).astype(int) << k for k, a in enumerate(right))
-    p = pii.expect(np.bincount(votes, minlength=16).astype(float))
+    votes = sum(np.where((rng.random(len(truth)) < a) == truth, pii.YES, pii.NO) * 3**k for k, a in enumerate(right))
+    p = pii.expect(np.bincount(votes, minlength=81).astype(float))
     assert ((p[votes] > 0.5) == truth).mean() > 0.95
 
 
