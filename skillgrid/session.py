@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Most bytes of a batch of rows for Python.
+BATCH_BYTES = 8 << 20
+
+
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "skillgrid") -> SparkSession:
     """A local session with the settings every operator assumes (UTC, ANSI, adaptive execution)."""
     return (
@@ -48,9 +52,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let batches that go to Python have no more than ``BATCH_BYTES``; a row that is longer goes alone. By default they may have eight times that, in every worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    bound_batches(spark)
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._shared_path = path
