@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skillgrid.llm import decontaminate, exact, html_cut, langid, mixing, pii, simhash, substrings, token_counts, token_store
 from skillgrid.llm.oracles import ORACLES  # noqa: F401
-from skillgrid.session import materialize, shared_path
+from skillgrid.session import bound_batches, materialize, shared_path
 
 
 def vocabulary() -> str:
@@ -18,6 +18,7 @@ def vocabulary() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
