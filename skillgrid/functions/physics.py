@@ -87,21 +87,23 @@ def edge_taper(distance: Column, width: float, shape: str) -> Column:
 
 
 def soil_texture(sand: Column, silt: Column, clay: Column) -> Column:
-    """Class 1 to 12 of the texture triangle; rules written so that the first that holds wins, default 6."""
-    return (
-        F.when((clay >= 40) & (silt < 40) & (sand <= 45), 12)
-        .when((clay >= 40) & (silt >= 40), 11)
-        .when((clay >= 35) & (sand > 45), 10)
-        .when((clay >= 27) & (clay < 40) & (sand > 20) & (sand <= 45), 9)
-        .when((clay >= 27) & (clay < 40) & (sand <= 20), 8)
-        .when((clay >= 20) & (clay < 35) & (silt < 28) & (sand > 45), 7)
-        .when((silt >= 80) & (clay < 12), 5)
-        .when((silt >= 50) & (clay < 27), 4)
-        .when((sand >= 85) & (silt + 1.5 * clay < 15), 1)
-        .when((sand >= 70) & (silt + 2 * clay < 30), 2)
-        .when((clay < 20) & (sand > 52), 3)
-        .otherwise(6)
-    )
+    """Class 1 to 12 of the texture triangle by shares in percent; of several that hold the highest counts, default 6."""
+    c15, c2 = silt + 1.5 * clay, silt + 2 * clay
+    classes = {
+        1: (sand >= 85) & (c15 < 15),
+        2: sand.between(70, 90) & (sand != 90) & (c15 >= 15) & (c2 < 30),
+        3: (c2 >= 30) & ((clay >= 7) & (clay < 20) & (sand > 52) | (clay < 7) & (silt < 50)),
+        4: (silt >= 50) & ((clay >= 12) & (clay < 27) | (clay < 12) & (silt < 80)),
+        5: (silt >= 80) & (clay < 12),
+        6: (clay >= 7) & (clay < 27) & (silt >= 28) & (silt < 50) & (sand <= 52),
+        7: (clay >= 20) & (clay < 35) & (silt < 28) & (sand > 45),
+        8: (clay >= 27) & (clay < 40) & (sand <= 20),
+        9: (clay >= 27) & (clay < 40) & (sand > 20) & (sand <= 45),
+        10: (clay >= 35) & (sand > 45),
+        11: (clay >= 40) & (silt >= 40),
+        12: (clay >= 40) & (sand <= 45) & (silt < 40),
+    }
+    return F.coalesce(F.greatest(*[F.when(holds, k) for k, holds in classes.items()]), F.lit(6))
 
 
 def dry_mixing_ratio(species: list[Column]) -> list[Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillgrid.functions.physics import edge_taper
 from skillgrid.operators.graph import connected_components
 from skillgrid.session import materialize
 
@@ -29,6 +30,15 @@ def box_mean(cells: DataFrame, value: str, half: int, passes: int = 1) -> DataFr
     return cells
 
 
+def box_median(cells: DataFrame, value: str, half: int, name: str = "median") -> DataFrame:
+    """Median over a square of half-width ``half`` cut at the edges: values of a row's stretch first, then those of the rows around; no cell is joined with its neighbours."""
+    row = cells.withColumn("_r", F.collect_list(value).over(along("x").rangeBetween(-half, half)))
+    box = row.withColumn("_b", F.array_sort(F.flatten(F.collect_list("_r").over(along("y").rangeBetween(-half, half)))))
+    n = F.size("_b")
+    middle = (F.element_at("_b", ((n + 1) / 2).cast("int")) + F.element_at("_b", (n / 2).cast("int") + 1)) / 2
+    return box.withColumn(name, F.when(n > 0, middle)).drop("_r", "_b")
+
+
 def smooth_121(cells: DataFrame, value: str, active: str) -> DataFrame:
     """1-2-1 filter normalised over active neighbours, along x and then y."""
     for axis in ("x", "y"):
@@ -54,6 +64,12 @@ def shapiro(cells: DataFrame, value: str, active: str, order: int = 4, strength:
     return cells
 
 
+def reblend(cells: DataFrame, value: str, outer: Column, width: float) -> DataFrame:
+    """``value`` blended into ``outer`` over ``width`` cells from the edges (x0, x1, y0, y1), which are columns."""
+    w = edge_taper(F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y")), width, "cosine")
+    return cells.withColumn(value, (1 - w) * outer + w * F.col(value))
+
+
 def gradient(cells: DataFrame, value: str, axis: str, step: float) -> Column:
     """Second-order difference: centred inside, one-sided over two steps at the edges."""
     w = along(axis)
@@ -77,5 +93,13 @@ def label_components(cells: DataFrame, mask: Column, width: int = 1 << 20) -> Da
     edges = neighbour_pairs(on, ["node"]).select(F.col("node").alias("src"), F.col("next_node").alias("dst"))
     found = connected_components(edges)
     named = on.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labels = named.select("component").distinct().withColumn("label", F.row_number().over(Window.orderBy("component")))
-    return named.join(labels, "component").select("y", "x", "label")
+    return named.join(numbered(named.select("component").distinct()), "component").select("y", "x", "label")
+
+
+def numbered(components: DataFrame) -> DataFrame:
+    """(component, label) with labels from 1 in order of component: places within ranges, and how many lie in the ranges before."""
+    ranged = materialize(components.repartitionByRange("component").withColumn("_p", F.spark_partition_id()), "ranges")
+    before = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each task
+    before = before.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("component"))
+    return ranged.withColumn("_i", place).join(F.broadcast(before), "_p").select("component", (F.col("_i") + F.col("_before")).cast("int").alias("label"))

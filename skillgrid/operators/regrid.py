@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillgrid.operators.spatial import k_nearest
+from skillgrid.session import materialize
 
-#: Condition limit of a kernel system, largest sum of absolute weights, ladder of nuggets.
-CONDITION, MOST_WEIGHT, NUGGETS = 1e10, 10.0, (0.0, 1e-10, 1e-8, 1e-6, 1e-4, 1e-2)
+#: Condition limit of a kernel system, largest sum of absolute weights, ladder of nuggets, kernel scale in radians at a spacing of 13 km, spacings within which a donor must lie.
+CONDITION, MOST_WEIGHT, NUGGETS = 1e10, 10.0, (0.0, 1e-14, 1e-12, 1e-10, 1e-8, 1e-7, 1e-6)
+SCALE, SCALE_KM, MOST_SPACINGS = 0.05, 13.0, 3.0
 
 
 def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -18,42 +20,59 @@ def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=-1)
 
 
-def kernel_weights(points: np.ndarray, donors: np.ndarray, scale: float) -> np.ndarray:
-    """Weights of k donors for n targets, all systems of a batch at once. points: (n, 3), donors: (n, k, 3)."""
+def kernel_scale(spacing_km: float, factor: float = 1.0) -> float:
+    """Scale of the kernel, in radians, for donors of a spacing."""
+    return SCALE * spacing_km / SCALE_KM * factor
+
+
+def kernel_weights(points: np.ndarray, donors: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of k donors for n targets that sum to 1, and the nugget that each system took; all systems of a batch at once. points: (n, 3), donors: (n, k, 3).
+
+    A system that stays ill-conditioned with the largest nugget, or whose weights add up to nothing, has weights of NaN.
+    """
     arc = lambda a, b: 2 * np.arcsin(np.clip(np.linalg.norm(a - b, axis=-1) / 2, 0, 1))
     matrix = np.exp(-((arc(donors[:, :, None], donors[:, None]) / scale) ** 2))
     right = np.exp(-((arc(points[:, None], donors) / scale) ** 2))
-    out, todo = np.zeros(right.shape), np.arange(len(points))
+    out, took, todo = np.full(right.shape, np.nan), np.full(len(points), np.nan), np.arange(len(points))
     for nugget in NUGGETS:
         m = matrix[todo] + nugget * np.eye(matrix.shape[1])
         fine = np.linalg.cond(m) <= CONDITION
         out[todo[fine]] = np.linalg.solve(m[fine], right[todo[fine]][..., None])[..., 0]
+        took[todo[fine]] = nugget
         todo = todo[~fine]
         if not len(todo):
             break
     total = out.sum(axis=1, keepdims=True)
-    return out / np.where(np.abs(total) > 1e-12, total, np.nan)
+    return out / np.where(np.abs(total) > 1e-14, total, np.nan), took
+
 
+def rbf_weights(targets: DataFrame, donors: DataFrame, k: int, bin_degrees: float, scale: float, spacing_km: float | None = None, strict: bool = True) -> DataFrame:
+    """(target, rank, donor, weight, nugget): Gaussian kernel weights of the k nearest donors, summing to 1.
 
-def rbf_weights(targets: DataFrame, donors: DataFrame, k: int, bin_degrees: float, scale: float, rings: int = 1) -> DataFrame:
-    """(target, rank, donor, weight): Gaussian kernel weights of the k nearest donors, summing to 1; targets whose weights exceed the limit are left out."""
-    near = k_nearest(targets, donors, k, bin_degrees, rings)
-    rows = near.groupBy("target").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.array_sort(F.collect_list(F.struct("rank", "donor", "cell_lat", "cell_lon"))).alias("d")).where(F.size("d") == k)
-    rows = rows.select("target", "lat", "lon", *[F.col(f"d.{c}").alias(c) for c in ("donor", "cell_lat", "cell_lon")])
+    A target without a donor within three spacings, with a system that stays ill-conditioned or with weights over the limit is an error; with ``strict``
+    off it keeps its rows, with null weights.
+    """
+    near = k_nearest(targets, donors, k, bin_degrees)
+    rows = near.groupBy("target").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.min("km").alias("km"), F.array_sort(F.collect_list(F.struct("rank", "donor", "cell_lat", "cell_lon"))).alias("d"))
+    rows = rows.select("target", "lat", "lon", "km", *[F.col(f"d.{c}").alias(c) for c in ("donor", "cell_lat", "cell_lon")])
+    reach = float("inf") if spacing_km is None else MOST_SPACINGS * spacing_km
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
+            n = b.num_rows
+            if not n:
                 continue
             lat, lon = b.column(1).to_numpy(), b.column(2).to_numpy()
-            grid = [b.column(c).flatten().to_numpy().reshape(-1, k) for c in (3, 4, 5)]
-            w = kernel_weights(_unit(lat, lon), _unit(grid[1], grid[2]), scale)
-            good = np.abs(w).sum(axis=1) <= MOST_WEIGHT
-            n = int(good.sum())
-            target = b.column(0).filter(pa.array(good)).take(pa.array(np.repeat(np.arange(n), k)))
-            yield pa.RecordBatch.from_arrays([target, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)), pa.array(grid[0][good].ravel()), pa.array(w[good].ravel())], ["target", "rank", "donor", "weight"])
+            grid = [b.column(c).flatten().to_numpy().reshape(-1, k) for c in (4, 5, 6)]
+            w, took = kernel_weights(_unit(lat, lon), _unit(grid[1], grid[2]), scale)
+            bad = ~(np.abs(w).sum(axis=1) <= MOST_WEIGHT) | (b.column(3).to_numpy() > reach)
+            if strict and bad.any():
+                raise ValueError(f"{int(bad.sum())} targets without sound weights, of them {b.column(0)[int(np.flatnonzero(bad)[0])]}")
+            w[bad] = np.nan
+            cols = [b.column(0).take(pa.array(np.repeat(np.arange(n), k))), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)), pa.array(grid[0].ravel()), pa.array(w.ravel(), from_pandas=True), pa.array(np.repeat(took, k), from_pandas=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["target", "rank", "donor", "weight", "nugget"])
 
-    return rows.mapInArrow(run, "target long, rank int, donor long, weight double")
+    return rows.mapInArrow(run, "target long, rank int, donor long, weight double, nugget double")
 
 
 def apply_weights(weights: DataFrame, source: DataFrame, value: str, clip: bool = True) -> DataFrame:
@@ -64,18 +83,42 @@ def apply_weights(weights: DataFrame, source: DataFrame, value: str, clip: bool
     return g.select("target", (F.least(F.greatest("v", "lo"), F.col("hi")) if clip else F.col("v")).alias(value))
 
 
-def same_surface(weights: DataFrame, source: DataFrame, targets: DataFrame, value: str) -> DataFrame:
-    """Weighted means over donors on the target's own surface; else the first such donor of the stencil, else null. ``how`` says which.
+def same_surface(weights: DataFrame, source: DataFrame, targets: DataFrame, value: str, bin_degrees: float | None = None) -> DataFrame:
+    """(target, value, how, km): weighted means over donors on the target's own surface, clipped to their range; else the first such donor of the stencil; else, with
+    ``bin_degrees``, the nearest cell of that surface anywhere, with its distance; else null. ``how`` says which.
 
-    source: (donor, surface, value); targets: (target, surface).
+    source: (donor, surface, value[, lat, lon]); targets: (target, surface[, lat, lon]).
     """
-    j = weights.join(source, "donor").join(targets.withColumnRenamed("surface", "own"), "target")
+    j = weights.join(source.select("donor", "surface", value), "donor").join(targets.select("target", F.col("surface").alias("own")), "target")
     ok = (F.col("surface") == F.col("own")) & F.col(value).isNotNull()
     w = F.sum(F.when(ok, F.col("weight")))
     g = j.groupBy("target").agg(w.alias("w"), F.sum(F.when(ok, F.col("weight") * F.col(value))).alias("s"), F.min(F.when(ok, F.col(value))).alias("lo"), F.max(F.when(ok, F.col(value))).alias("hi"), F.min_by(F.when(ok, F.col(value)), F.when(ok, F.col("rank"))).alias("first"))
-    normal = F.abs("w") > 1e-6
+    normal = F.abs("w") > 1e-14
     mean = F.least(F.greatest(F.col("s") / F.col("w"), F.col("lo")), F.col("hi"))
-    return g.select("target", F.when(normal, mean).otherwise(F.col("first")).alias(value), F.when(normal, "weights").when(F.col("first").isNotNull(), "first_donor").otherwise("none").alias("how"))
+    out = g.select("target", F.when(normal, mean).otherwise(F.col("first")).alias(value), F.when(normal, "weights").when(F.col("first").isNotNull(), "first_donor").otherwise("none").alias("how"))
+    if bin_degrees is None:
+        return out.withColumn("km", F.lit(None).cast("double"))
+    out = materialize(out, "same-surface")
+    lost = targets.join(out.where("how = 'none'").select("target"), "target", "left_semi")
+    far = None
+    for surface in (True, False):
+        cells = source.where((F.col("surface") == surface) & F.col(value).isNotNull())
+        some = lost.where(F.col("surface") == surface).select("target", "lat", "lon")
+        if some.isEmpty() or cells.isEmpty():
+            continue
+        near = k_nearest(some, cells.select("donor", "lat", "lon"), 1, bin_degrees).select("target", "donor", "km")
+        found = near.join(cells.select("donor", F.col(value).alias("_far")), "donor").select("target", "_far", "km")
+        far = found if far is None else far.unionByName(found)
+    if far is None:
+        return out.withColumn("km", F.lit(None).cast("double"))
+    return out.join(far, "target", "left").select("target", F.coalesce(value, "_far").alias(value), F.when(F.col("_far").isNotNull(), "nearest").otherwise(F.col("how")).alias("how"), "km")
+
+
+def wind_from_normals(weights: DataFrame, edges: DataFrame) -> DataFrame:
+    """(target, u, v) from winds along edge normals (donor, ne, nn, vn): each component has weights of its own, normalised by the squares of the normals' projection on it."""
+    j = weights.join(edges.select("donor", "ne", "nn", "vn"), "donor")
+    part = lambda n: F.try_divide(F.sum(F.col("weight") * F.col("vn") * F.col(n)), F.sum(F.col("weight") * F.col(n) * F.col(n)))
+    return j.groupBy("target").agg(part("ne").alias("u"), part("nn").alias("v"))
 
 
 def spacing_km(cells: DataFrame, bin_degrees: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillgrid.functions.physics import KM_PER_LAT, KM_PER_LON, arc_km
+from skillgrid.functions.physics import EARTH_KM, KM_PER_LAT, KM_PER_LON, arc_km
 from skillgrid.session import materialize
 
 
@@ -39,25 +39,60 @@ def nearest_cell(sites: DataFrame, cells: DataFrame, keys: list[str], size: floa
     return best.select(*keys, "b.*", (F.col("b.km") <= covered).alias("certain"))
 
 
-def nearest_anywhere(sites: DataFrame, cells: DataFrame, keys: list[str], size: float = 0.01, where: Column | None = None, most_rounds: int = 14) -> DataFrame:
-    """As ``nearest_cell``, with twice the rings for those sites whose answer isn't certain yet, until all are."""
-    todo, out, rings = sites, None, 1
+def _widen(todo: DataFrame, keys: list[str], found, size: float, most_rounds: int) -> DataFrame:
+    """Results of ``found(rows, rings)`` (keys, ..., certain), with twice the rings for those rows whose answer isn't certain yet, until all are; an error if some never are."""
+    out, rings = None, 1
     for _ in range(most_rounds):
-        best = materialize(nearest_cell(todo, cells, keys, size, rings, where=where), "nearest")
+        best = materialize(found(todo, rings), "nearest")
         sure = best.where("certain").drop("certain")
         out = sure if out is None else out.unionByName(sure)
-        todo = todo.join(sure.select(*keys), keys, "left_anti")
+        todo = todo.join(sure.select(*keys).distinct(), keys, "left_anti")
         if todo.isEmpty():
             return out
         rings *= 2
-    raise ValueError("sites without a cell within reach")
+    raise ValueError(f"rows without an answer within {rings // 2 * size:g} degrees")
 
 
-def k_nearest(targets: DataFrame, donors: DataFrame, k: int, size: float, rings: int = 1) -> DataFrame:
-    """(target, rank, donor, km): the k nearest donors on the sphere, ties by donor. ``targets`` and ``donors`` have (target | donor, lat, lon)."""
-    pairs = candidates(targets, donors, size, rings).withColumn("km", arc_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")))
-    w = Window.partitionBy("target").orderBy(F.round("km", 9), "donor")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("target", "rank", "donor", "km", "lat", "lon", "cell_lat", "cell_lon")
+def nearest_anywhere(sites: DataFrame, cells: DataFrame, keys: list[str], size: float = 0.01, where: Column | None = None, at_lat: Column | None = None, most_rounds: int = 14) -> DataFrame:
+    """As ``nearest_cell``, for every site, however far its cell."""
+    return _widen(sites, keys, lambda rows, rings: nearest_cell(rows, cells, keys, size, rings, at_lat, where), size, most_rounds)
+
+
+def nearest_land_cell(sites: DataFrame, cells: DataFrame, keys: list[str], bound_km: float, size: float = 0.01) -> DataFrame:
+    """(keys, y0, x0, km0, y, x, km, displacement, override): the cell next to a site, and of the land cells that are no further than ``bound_km`` from that cell the
+    one next to the site. Distances are planar at the mean latitude of the cells. A site without such a cell keeps its row, with nulls: a violation.
+    """
+    mean = cells.agg(F.avg("lat").alias("mean_lat"))
+    at = F.col("mean_lat")
+    sites, cells = sites.crossJoin(F.broadcast(mean)), cells.select("y", "x", "lat", "lon", "land")
+    first = nearest_anywhere(sites, cells, keys, size, at_lat=at).select(*keys, F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("km").alias("km0"))
+    origin = first.join(cells.select(F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0")), ["y0", "x0"]).join(sites, keys)
+    # bins as wide as the bound even where a degree of longitude is half as long
+    near = candidates(origin, cells.where("land"), 2 * bound_km / KM_PER_LAT, 1, ("lat0", "lon0"))
+    moved = planar_km(F.col("cell_lat"), F.col("cell_lon"), F.col("lat0"), F.col("lon0"), at)
+    near = near.withColumn("displacement", moved).where(F.col("displacement") <= bound_km + max(1e-9, 1e-6 * bound_km))
+    near = near.withColumn("km", planar_km(F.col("cell_lat"), F.col("cell_lon"), F.col("lat"), F.col("lon"), at))
+    best = near.groupBy(*keys).agg(F.min_by(F.struct("y", "x", "km", "displacement"), F.struct("km", "y", "x")).alias("b")).select(*keys, "b.*")
+    return first.join(best, keys, "left").withColumn("override", (F.col("y") != F.col("y0")) | (F.col("x") != F.col("x0")))
+
+
+def k_nearest(targets: DataFrame, donors: DataFrame, k: int, size: float, most_rounds: int = 14) -> DataFrame:
+    """(target, rank, donor, km, ...): the k nearest donors on the sphere, ties by donor, for every target. ``targets`` and ``donors`` have (target | donor, lat, lon).
+
+    A target is done when the bins that were looked through reach at least as far as its k-th donor; till then it goes on with twice as many.
+    """
+
+    def within(rows: DataFrame, rings: int) -> DataFrame:
+        pairs = candidates(rows, donors, size, rings).withColumn("km", arc_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")))
+        w = Window.partitionBy("target").orderBy(F.round("km", 9), "donor")
+        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        # what lies outside the bins is at least so far away; a degree of longitude is the shorter one
+        covered = F.radians(F.lit(rings * size)) * EARTH_KM * F.cos(F.radians(F.abs("lat") + rings * size))
+        whole = Window.partitionBy("target")
+        best = best.withColumn("certain", (F.count("*").over(whole) == k) & (F.max("km").over(whole) <= covered))
+        return best.select("target", "rank", "donor", "km", "lat", "lon", "cell_lat", "cell_lon", "certain")
+
+    return _widen(targets, ["target"], within, size, most_rounds)
 
 
 def footprint(sites: DataFrame, cells: DataFrame, radius_km: float, dx_km: float) -> DataFrame:
@@ -70,6 +105,28 @@ def footprint(sites: DataFrame, cells: DataFrame, radius_km: float, dx_km: float
 
 
 def brackets(axis: DataFrame, value: str) -> DataFrame:
-    """(lo, hi, index) intervals of an ascending axis; the last one is closed."""
+    """(lo, hi, i, last) intervals of an ascending axis, which is one row of a raster long."""
     w = Window.orderBy(value)
-    return axis.select(F.col(value).alias("lo"), F.lead(value).over(w).alias("hi"), (F.row_number().over(w) - 1).alias("i")).where("hi is not null")
+    out = axis.select(F.col(value).alias("lo"), F.lead(value).over(w).alias("hi"), (F.row_number().over(w) - 1).alias("i")).where("hi is not null")
+    return out.withColumn("last", F.lead("i").over(Window.orderBy("i")).isNull())
+
+
+def in_bracket(rows: DataFrame, axis: DataFrame, value: str, size: float, index: str, fraction: str) -> DataFrame:
+    """``rows`` with the interval of ``axis`` that ``value`` lies in and how far into it; nulls outside. The last interval holds its end.
+
+    Intervals are joined by the bins of ``size`` that they touch, so no rows are compared with the whole axis.
+    """
+    b = brackets(axis, value).withColumn("_b", F.explode(F.sequence(_bin(F.col("lo"), size), _bin(F.col("hi"), size))))
+    at = rows.withColumn("_b", _bin(F.col(value), size))
+    inside = (at["_b"] == b["_b"]) & (at[value] >= b["lo"]) & ((at[value] < b["hi"]) | (b["last"] & (at[value] == b["hi"])))
+    out = at.join(b, inside, "left")
+    return out.select(*[at[c] for c in rows.columns], F.col("i").alias(index), ((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias(fraction))
+
+
+def bilinear(sites: DataFrame, cells: DataFrame, value: str, key: str, size: float = 0.01) -> DataFrame:
+    """(key, value, outside) from the four cells around a site on ascending axes; a site outside them keeps its row with a null value."""
+    w = in_bracket(in_bracket(sites, cells.select("lat").distinct(), "lat", size, "y0", "fy"), cells.select("lon").distinct(), "lon", size, "x0", "fx")
+    corner = lambda j, i: F.struct((F.col("y0") + j).alias("y"), (F.col("x0") + i).alias("x"), ((F.col("fy") if j else 1 - F.col("fy")) * (F.col("fx") if i else 1 - F.col("fx"))).alias("w"))
+    c = w.select(key, F.explode(F.array(*[corner(j, i) for j in (0, 1) for i in (0, 1)])).alias("c")).select(key, "c.*")
+    g = c.join(cells.select("y", "x", F.col(value).alias("_v")), ["y", "x"], "left").groupBy(key).agg(F.sum(F.col("w") * F.col("_v")).alias("_s"), F.count("_v").alias("_n"))
+    return g.select(key, F.when(F.col("_n") == 4, F.col("_s")).alias(value), (F.col("_n") < 4).alias("outside"))

@@ -59,13 +59,15 @@ GRID = "grid AS (SELECT (p_partkey // 50)::INT AS y, (p_partkey % 50)::INT AS x,
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(site, lat, lon, elevation): stations spread over the grid, between its cells."""
-    s = table(spark, sf_dir, "supplier")
-    k = (F.col("s_suppkey") * 7919) % 2000
+    """(site, lat, lon, elevation): stations spread over the whole grid, between its cells."""
+    n = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    s = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(n))
+    k = (F.col("s_suppkey") * 7919) % F.col("n")
     return s.select(F.col("s_suppkey").alias("site"), (46.0007 + 0.002 * F.floor(k / 50)).alias("lat"), (7.0004 + 0.003 * (k % 50)).alias("lon"), F.abs(F.col("s_acctbal") / 3).alias("elevation"))
 
 
-SITES = "sites AS (SELECT s_suppkey AS site, 46.0007 + 0.002*(((s_suppkey*7919) % 2000)//50) AS lat, 7.0004 + 0.003*(((s_suppkey*7919) % 2000) % 50) AS lon, abs(s_acctbal/3) AS elevation FROM supplier)"
+_K = "((s_suppkey*7919) % (SELECT count(*) FROM part))"
+SITES = f"sites AS (SELECT s_suppkey AS site, 46.0007 + 0.002*({_K}//50) AS lat, 7.0004 + 0.003*({_K} % 50) AS lon, abs(s_acctbal/3) AS elevation FROM supplier)"
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,9 +111,10 @@ def leave_one_out(spark, d):
     return out.select("omitted", "metric", r6("median").alias("median"), (F.col("median") <= 1e-12).alias("nondegrading"))
 
 
-@query("safeguard_strata", f"WITH {ROWS}, {STRATA_SQL}, sg AS (SELECT station, CASE stratum WHEN 'ge_2000' THEN 'high' ELSE stratum END AS guard FROM strata_ WHERE stratum IN ('ridge','valley','ge_2000')), g AS (SELECT guard, season, count(*) AS stations, {_mc('sqrt(avg(candidate_rmse*candidate_rmse))-sqrt(avg(baseline_rmse*baseline_rmse))', 'sqrt(avg(baseline_rmse*baseline_rmse))')} AS class FROM sr JOIN sg USING (station) WHERE metric='vector' GROUP BY 1,2) SELECT guard, count(*) AS seasons, count(*) FILTER (class='degradation') AS degradations, count(*) FILTER (class='degradation') >= 2 AS fails FROM g WHERE stations >= 10 GROUP BY guard")
+@query("safeguard_strata", f"WITH {ROWS}, {STRATA_SQL}, sg AS (SELECT station, stratum AS guard FROM strata_ WHERE stratum IN ('ridge','valley') UNION ALL SELECT station, 'high' FROM site_ WHERE z >= 1500), g AS (SELECT guard, season, count(*) AS stations, {_mc('sqrt(avg(candidate_rmse*candidate_rmse))-sqrt(avg(baseline_rmse*baseline_rmse))', 'sqrt(avg(baseline_rmse*baseline_rmse))')} AS class FROM sr JOIN sg USING (station) WHERE metric='vector' GROUP BY 1,2) SELECT guard, count(*) AS seasons, count(*) FILTER (class='degradation') AS degradations, count(*) FILTER (class='degradation') >= 2 AS fails FROM g WHERE stations >= 10 GROUP BY guard")
 def safeguard_strata(spark, d):
-    guards = site_strata(spark, d).where("stratum in ('ridge', 'valley', 'ge_2000')").select("station", F.when(F.col("stratum") == "ge_2000", "high").otherwise(F.col("stratum")).alias("guard"))
+    sites = site_strata(spark, d)
+    guards = sites.where("stratum in ('ridge', 'valley')").select("station", F.col("stratum").alias("guard")).unionByName(sites.where("stratum = 'all' and z >= 1500").select("station", F.lit("high").alias("guard")))
     g = campaign.equal_station_summary(station_rows(spark, d).where("metric = 'vector'").join(guards, "station"), ["guard", "season"]).where("stations >= 10")
     g = g.withColumn("class", stats.material_change(F.col("candidate_equal_rmse") - F.col("baseline_equal_rmse"), F.col("baseline_equal_rmse")))
     bad = F.count_if(F.col("class") == "degradation")

@@ -72,7 +72,21 @@ R = "least(greatest(dist/4000.0,0.0),1.0)"
 register("blend", lambda i: {"weight": P.blend(i.dist, 4000.0)}, {"weight": d6(f"1-3*{R}*{R}+2*{R}*{R}*{R}")})
 register("edge_taper", lambda i: {k: P.edge_taper(i.dist, 4000.0, k) for k in ("linear", "cosine", "smoother")}, {"linear": d6(R), "cosine": d6(f"0.5-0.5*cos(pi()*{R})"), "smoother": d6(f"{R}*{R}*{R}*({R}*({R}*6-15)+10)")})
 SILT = "(100.0-sand-clay)"
-register("soil_texture", lambda i: {"class": P.soil_texture(i.sand, 100.0 - i.sand - i.clay, i.clay)}, {"class": f"CASE WHEN clay>=40 AND {SILT}<40 AND sand<=45 THEN 12 WHEN clay>=40 AND {SILT}>=40 THEN 11 WHEN clay>=35 AND sand>45 THEN 10 WHEN clay>=27 AND clay<40 AND sand>20 AND sand<=45 THEN 9 WHEN clay>=27 AND clay<40 AND sand<=20 THEN 8 WHEN clay>=20 AND clay<35 AND {SILT}<28 AND sand>45 THEN 7 WHEN {SILT}>=80 AND clay<12 THEN 5 WHEN {SILT}>=50 AND clay<27 THEN 4 WHEN sand>=85 AND {SILT}+1.5*clay<15 THEN 1 WHEN sand>=70 AND {SILT}+2*clay<30 THEN 2 WHEN clay<20 AND sand>52 THEN 3 ELSE 6 END"})
+TEXTURE = [
+    f"sand>=85 AND {SILT}+1.5*clay<15",
+    f"sand>=70 AND sand<90 AND {SILT}+1.5*clay>=15 AND {SILT}+2*clay<30",
+    f"{SILT}+2*clay>=30 AND ((clay>=7 AND clay<20 AND sand>52) OR (clay<7 AND {SILT}<50))",
+    f"{SILT}>=50 AND ((clay>=12 AND clay<27) OR (clay<12 AND {SILT}<80))",
+    f"{SILT}>=80 AND clay<12",
+    f"clay>=7 AND clay<27 AND {SILT}>=28 AND {SILT}<50 AND sand<=52",
+    f"clay>=20 AND clay<35 AND {SILT}<28 AND sand>45",
+    "clay>=27 AND clay<40 AND sand<=20",
+    "clay>=27 AND clay<40 AND sand>20 AND sand<=45",
+    "clay>=35 AND sand>45",
+    f"clay>=40 AND {SILT}>=40",
+    f"clay>=40 AND sand<=45 AND {SILT}<40",
+]
+register("soil_texture", lambda i: {"class": P.soil_texture(i.sand, 100.0 - i.sand - i.clay, i.clay)}, {"class": "CASE " + " ".join(f"WHEN {c} THEN {k}" for k, c in reversed(list(enumerate(TEXTURE, 1)))) + " ELSE 6 END"})
 register("dry_mixing_ratio", lambda i: dict(zip(("vapour", "cloud", "rain"), P.dry_mixing_ratio([i.q, i.q / 2, i.q / 5]))), {"vapour": d6("q/(1-(q+q/2+q/5))"), "cloud": d6("(q/2)/(1-(q+q/2+q/5))"), "rain": d6("(q/5)/(1-(q+q/2+q/5))")})
 register("snow_state", lambda i: {"density": F.try_divide(i.size * 5.0, i.dist / 1000), "temperature": P.snow_temperature(i.t)}, {"density": d6("CASE WHEN dist<>0 THEN size*5.0/(dist/1000) END"), "temperature": d6("least(greatest(t,greatest(t-10,180.0)),least(t,273.15))")})
 register("relax_weight", lambda i: {"weight": P.relaxation_weight(i.dist, 3000.0)}, {"weight": d6("CASE WHEN dist>=3000 THEN 0.0 ELSE cos(0.5*pi()*dist/3000.0)*cos(0.5*pi()*dist/3000.0) END")})

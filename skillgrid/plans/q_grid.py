@@ -6,31 +6,38 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skillgrid.functions import stats
-from skillgrid.functions.physics import arc_km
 from skillgrid.operators import raster, regrid, spatial
 from skillgrid.plans import bindings as B
 from skillgrid.plans.registry import query, r6, rounded, sql6
+from skillgrid.session import materialize
 
 KM = "sqrt(((s.lat-g.lat)*110.57)*((s.lat-g.lat)*110.57)+((s.lon-g.lon)*111.32*cos(radians({at})))*((s.lon-g.lon)*111.32*cos(radians({at}))))"
 
 
-def _nearest_sql(at: str, where: str = "TRUE") -> str:
-    return f"WITH {B.GRID}, {B.SITES}, p AS (SELECT site, y, x, {KM.format(at=at)} AS km FROM sites s, grid g WHERE {where}), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY km, y, x) AS n FROM p) SELECT site, y, x, round(km,6)+0.0 AS km FROM r WHERE n=1"
+def _nearest_sql(at: str, more: str = "") -> str:
+    return f"WITH {B.GRID}, {B.SITES}, p AS (SELECT site, y, x, {KM.format(at=at)} AS km FROM sites s, grid g), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY km, y, x) AS n FROM p) SELECT site, y, x, round(km,6)+0.0 AS km{more} FROM r WHERE n=1"
 
 
 @query("nearest_cell", _nearest_sql("46.04"))
 def nearest_cell(spark, d):
-    return rounded(spatial.nearest_cell(B.sites(spark, d), B.grid(spark, d), ["site"], at_lat=F.lit(46.04)).drop("certain"))
+    return rounded(spatial.nearest_anywhere(B.sites(spark, d), B.grid(spark, d), ["site"], at_lat=F.lit(46.04)))
 
 
-@query("nearest_native_cell", _nearest_sql("s.lat"))
+@query("nearest_native_cell", _nearest_sql("s.lat", ", km > 2.0 AS beyond"))
 def nearest_native_cell(spark, d):
-    return rounded(spatial.nearest_cell(B.sites(spark, d), B.grid(spark, d), ["site"]).where("km <= 2.0").drop("certain"))
+    """Every site's cell; what is over 2 km away is marked, not left out."""
+    return rounded(spatial.nearest_anywhere(B.sites(spark, d), B.grid(spark, d), ["site"]).withColumn("beyond", F.col("km") > 2.0))
 
 
-@query("nearest_land_cell", _nearest_sql("s.lat", "land"))
+AT_MEAN = "(SELECT avg(lat) FROM grid)"
+PLANAR = "sqrt((({a}lat-{b}lat)*110.57)*(({a}lat-{b}lat)*110.57)+(({a}lon-{b}lon)*111.32*cos(radians(m)))*(({a}lon-{b}lon)*111.32*cos(radians(m))))"
+
+
+@query("nearest_land_cell", f"WITH {B.GRID}, {B.SITES}, mm AS (SELECT {AT_MEAN} AS m), p AS (SELECT site, y, x, s.lat AS slat, s.lon AS slon, g.lat AS glat, g.lon AS glon, m, {PLANAR.format(a='s.', b='g.')} AS km FROM sites s, grid g, mm), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY km, y, x) AS n FROM p) WHERE n=1), q AS (SELECT o.site, g.y, g.x, {PLANAR.format(a='g.', b='o.g')} AS displacement, {PLANAR.format(a='g.', b='o.s')} AS km FROM o, grid g WHERE g.land), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY km, y, x) AS n FROM q WHERE displacement <= 0.4 + 1e-6*0.4) SELECT o.site, o.y AS y0, o.x AS x0, round(o.km,6)+0.0 AS km0, r.y, r.x, round(r.km,6)+0.0 AS km, round(r.displacement,6)+0.0 AS displacement, r.y<>o.y OR r.x<>o.x AS override FROM o LEFT JOIN r ON r.site=o.site AND r.n=1")
 def nearest_land_cell(spark, d):
-    return rounded(spatial.nearest_anywhere(B.sites(spark, d), B.grid(spark, d), ["site"], 0.004, where=F.col("land")))
+    """Land cells within 400 m of a site's cell; sites without one are violations and keep their rows."""
+    out = spatial.nearest_land_cell(B.sites(spark, d).select("site", "lat", "lon"), B.grid(spark, d), ["site"], 0.4)
+    return rounded(out.select("site", "y0", "x0", "km0", "y", "x", "km", "displacement", "override"))
 
 
 ARC = "2*6371.0*asin(least(sqrt((cos(radians({a}.lat))*cos(radians({a}.lon))-cos(radians({b}.lat))*cos(radians({b}.lon)))*(cos(radians({a}.lat))*cos(radians({a}.lon))-cos(radians({b}.lat))*cos(radians({b}.lon)))+(cos(radians({a}.lat))*sin(radians({a}.lon))-cos(radians({b}.lat))*sin(radians({b}.lon)))*(cos(radians({a}.lat))*sin(radians({a}.lon))-cos(radians({b}.lat))*sin(radians({b}.lon)))+(sin(radians({a}.lat))-sin(radians({b}.lat)))*(sin(radians({a}.lat))-sin(radians({b}.lat))))/2,1.0))"
@@ -38,29 +45,25 @@ ARC = "2*6371.0*asin(least(sqrt((cos(radians({a}.lat))*cos(radians({a}.lon))-cos
 
 @query("nearest_great_circle", f"WITH {B.GRID}, {B.SITES} SELECT site, round(min({ARC.format(a='s', b='g')}),6)+0.0 AS km FROM sites s, grid g WHERE NOT land GROUP BY site")
 def nearest_great_circle(spark, d):
-    water = B.grid(spark, d).where("not land")
-    p = spatial.candidates(B.sites(spark, d), water, 0.02).withColumn("km", arc_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")))
-    return rounded(p.groupBy("site").agg(F.min("km").alias("km")))
+    water = B.grid(spark, d).where("not land").select((F.col("y").cast("long") * 50 + F.col("x")).alias("donor"), "lat", "lon")
+    near = spatial.k_nearest(B.sites(spark, d).select(F.col("site").alias("target"), "lat", "lon"), water, 1, 0.01)
+    return rounded(near.select(F.col("target").alias("site"), "km"))
+
+
+BILINEAR = "b AS (SELECT site, s.lat AS lat, s.lon AS lon, floor((s.lat-46)/0.002)::INT AS y0, floor((s.lon-7)/0.003)::INT AS x0 FROM sites s), w AS (SELECT *, (lat-46)/0.002-y0 AS fy, (lon-7)/0.003-x0 AS fx FROM b), bl AS (SELECT site, a.height*(1-fy)*(1-fx)+b2.height*(1-fy)*fx+c.height*fy*(1-fx)+e.height*fy*fx AS value FROM w LEFT JOIN grid a ON a.y=y0 AND a.x=x0 LEFT JOIN grid b2 ON b2.y=y0 AND b2.x=x0+1 LEFT JOIN grid c ON c.y=y0+1 AND c.x=x0 LEFT JOIN grid e ON e.y=y0+1 AND e.x=x0+1)"
 
 
-@query("bilinear_corners", f"WITH {B.GRID}, {B.SITES}, b AS (SELECT site, s.lat AS lat, s.lon AS lon, floor((s.lat-46)/0.002)::INT AS y0, floor((s.lon-7)/0.003)::INT AS x0 FROM sites s), w AS (SELECT *, (lat-46)/0.002-y0 AS fy, (lon-7)/0.003-x0 AS fx FROM b) SELECT site, round(a.height*(1-fy)*(1-fx)+b2.height*(1-fy)*fx+c.height*fy*(1-fx)+e.height*fy*fx,6)+0.0 AS value FROM w JOIN grid a ON a.y=y0 AND a.x=x0 JOIN grid b2 ON b2.y=y0 AND b2.x=x0+1 JOIN grid c ON c.y=y0+1 AND c.x=x0 JOIN grid e ON e.y=y0+1 AND e.x=x0+1")
+@query("bilinear_corners", f"WITH {B.GRID}, {B.SITES}, {BILINEAR} SELECT site, round(value,6)+0.0 AS value, value IS NULL AS outside FROM bl")
 def bilinear_corners(spark, d):
-    """Brackets of both axes, then four corners by one equi-join; sites without all four lie outside."""
-    g, s = B.grid(spark, d), B.sites(spark, d)
-    by, bx = spatial.brackets(g.select("lat").distinct(), "lat"), spatial.brackets(g.select("lon").distinct(), "lon")
-    w = s.join(F.broadcast(by), (s.lat >= by.lo) & (s.lat < by.hi)).select("site", "lon", F.col("i").alias("y0"), ((F.col("lat") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("fy"))
-    w = w.join(F.broadcast(bx), (w.lon >= bx.lo) & (w.lon < bx.hi)).select("site", "y0", "fy", F.col("i").alias("x0"), ((F.col("lon") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("fx"))
-    corner = lambda j, i: F.struct((F.col("y0") + j).alias("y"), (F.col("x0") + i).alias("x"), ((F.col("fy") if j else 1 - F.col("fy")) * (F.col("fx") if i else 1 - F.col("fx"))).alias("w"))
-    c = w.select("site", F.explode(F.array(*[corner(j, i) for j in (0, 1) for i in (0, 1)])).alias("c")).select("site", "c.*")
-    out = c.join(g.select("y", "x", "height"), ["y", "x"]).groupBy("site").agg(F.sum(F.col("w") * F.col("height")).alias("value"), F.count("*").alias("n"))
-    return rounded(out.where("n = 4").drop("n"))
+    """Brackets of both axes, then four corners by one equi-join; sites without all four keep their rows and are marked."""
+    return rounded(spatial.bilinear(B.sites(spark, d), B.grid(spark, d), "height", "site").select("site", F.col("height").alias("value"), "outside"))
 
 
-TARGETS = "t AS (SELECT p_partkey AS target, 46.0011+0.002*(p_partkey//50) AS lat, 7.0013+0.003*(p_partkey%50) AS lon FROM part WHERE p_partkey % 7 = 0)"
+TARGETS = "t AS (SELECT p_partkey AS target, 46.0011+0.002*(p_partkey//50) AS lat, 7.0013+0.003*(p_partkey%50) AS lon FROM part)"
 
 
 def targets(spark, d):
-    p = B.table(spark, d, "part").where("p_partkey % 7 = 0")
+    p = B.table(spark, d, "part")
     return p.select(F.col("p_partkey").alias("target"), (46.0011 + 0.002 * F.floor(F.col("p_partkey") / 50)).alias("lat"), (7.0013 + 0.003 * (F.col("p_partkey") % 50)).alias("lon"))
 
 
@@ -68,56 +71,74 @@ def donors(spark, d):
     return B.grid(spark, d).select((F.col("y").cast("long") * 50 + F.col("x")).alias("donor"), "lat", "lon", "height", "land", "size")
 
 
-@query("knn_donors", f"WITH {B.GRID}, {TARGETS}, p AS (SELECT target, g.y::BIGINT*50+g.x AS donor, {ARC.format(a='t', b='g')} AS km FROM t, grid g), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(km,9), donor) AS rank FROM p) SELECT target, rank::INT AS rank, donor, round(km,6)+0.0 AS km FROM r WHERE rank <= 4")
+SPACING = f"sp AS (SELECT median(km) AS spacing FROM (SELECT a.y*50+a.x AS t, min({ARC.format(a='a', b='b')}) AS km FROM grid a JOIN grid b ON (a.y<>b.y OR a.x<>b.x) AND abs(a.y-b.y)<=1 AND abs(a.x-b.x)<=1 GROUP BY 1))"
+
+
+def spacing(spark, d) -> float:
+    return regrid.spacing_km(donors(spark, d).select("donor", "lat", "lon"), 0.01).first()[0]
+
+
+@query("knn_donors", f"WITH {B.GRID}, {TARGETS}, {SPACING}, p AS (SELECT target, g.y::BIGINT*50+g.x AS donor, {ARC.format(a='t', b='g')} AS km FROM t JOIN grid g ON abs(t.lat-g.lat) < 0.02 AND abs(t.lon-g.lon) < 0.03), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(km,9), donor) AS rank, min(km) OVER (PARTITION BY target) AS nearest FROM p) SELECT target, rank::INT AS rank, donor, round(km,6)+0.0 AS km, nearest <= 3*spacing AS covered FROM r, sp WHERE rank <= 10")
 def knn_donors(spark, d):
-    return rounded(spatial.k_nearest(targets(spark, d), donors(spark, d), 4, 0.01).select("target", "rank", "donor", "km"))
+    """Ten donors for every target; one whose nearest donor is over three spacings away isn't covered."""
+    near = spatial.k_nearest(targets(spark, d), donors(spark, d), 10, 0.01)
+    covered = F.min("km").over(Window.partitionBy("target")) <= regrid.MOST_SPACINGS * spacing(spark, d)
+    return rounded(near.withColumn("covered", covered).select("target", "rank", "donor", "km", "covered"))
 
 
-@query("grid_spacing", f"WITH {B.GRID}, p AS (SELECT a.y*50+a.x AS t, min({ARC.format(a='a', b='b')}) AS km FROM grid a JOIN grid b ON (a.y<>b.y OR a.x<>b.x) AND abs(a.y-b.y)<=1 AND abs(a.x-b.x)<=1 GROUP BY 1) SELECT round(median(km),6)+0.0 AS spacing_km FROM p")
+@query("grid_spacing", f"WITH {B.GRID}, {SPACING} SELECT round(spacing,6)+0.0 AS spacing_km, round(0.05*spacing/13.0*1.0,9)+0.0 AS scale FROM sp")
 def grid_spacing(spark, d):
-    return rounded(regrid.spacing_km(donors(spark, d).select("donor", "lat", "lon"), 0.01))
+    """The median distance to the next point, and the scale of the kernel that goes with it."""
+    s = regrid.spacing_km(donors(spark, d).select("donor", "lat", "lon"), 0.01)
+    return s.select(r6("spacing_km").alias("spacing_km"), (F.round(regrid.SCALE * F.col("spacing_km") / regrid.SCALE_KM, 9) + F.lit(0.0)).alias("scale"))
 
 
 def weights(spark, d):
-    return regrid.rbf_weights(targets(spark, d), donors(spark, d).select("donor", "lat", "lon"), 9, 0.01, 0.00008)
+    """Weights of ten donors for every target that has sound ones."""
+    km = spacing(spark, d)
+    return regrid.rbf_weights(targets(spark, d), donors(spark, d).select("donor", "lat", "lon"), 10, 0.01, regrid.kernel_scale(km), km, strict=False)
 
 
 @query("rbf_weights")
 def rbf_weights(spark, d):
-    """Sum of weights and of their sizes for every target: 1, and no more than the limit."""
-    return rounded(weights(spark, d).groupBy("target").agg(F.count("*").alias("donors"), F.sum("weight").alias("total"), F.sum(F.abs("weight")).alias("size")))
+    """Sum of weights and of their sizes for every target, 1 and no more than the limit; targets without sound weights are marked."""
+    g = weights(spark, d).groupBy("target").agg(F.count("*").alias("donors"), F.sum("weight").alias("total"), F.sum(F.abs("weight")).alias("size"), F.max("nugget").alias("nugget"))
+    return rounded(g.withColumn("sound", F.col("total").isNotNull()).drop("nugget"))
 
 
-@query("rbf_apply", f"WITH {TARGETS} SELECT target, 5.0::DOUBLE AS constant FROM t WHERE target IN (SELECT p_partkey FROM part)")
+@query("rbf_apply", f"WITH {TARGETS} SELECT target, 5.0::DOUBLE AS constant FROM t")
 def rbf_apply(spark, d):
-    """A constant is preserved."""
-    return rounded(regrid.apply_weights(weights(spark, d), donors(spark, d).withColumn("constant", F.lit(5.0)), "constant"))
+    """A constant is preserved at every target; where weights aren't sound, the nearest donor's value stands in."""
+    w = weights(spark, d)
+    filled = w.withColumn("weight", F.coalesce("weight", F.when(F.col("rank") == 1, 1.0).otherwise(0.0)))
+    return rounded(regrid.apply_weights(filled, donors(spark, d).withColumn("constant", F.lit(5.0)), "constant"))
 
 
 @query("rbf_vector")
 def rbf_vector(spark, d):
-    """(u, v) from edge-normal winds: two weighted sums over the same donors, each over the squared projection of the normals."""
-    edges = donors(spark, d).withColumns({"ne": F.cos(F.radians(F.col("size") * 7.0)), "nn": F.sin(F.radians(F.col("size") * 7.0)), "vn": F.col("height") / 100})
-    j = weights(spark, d).join(edges.select("donor", "ne", "nn", "vn"), "donor")
-    w = F.abs("weight")
-    g = j.groupBy("target").agg(*[F.try_divide(F.sum(w * F.col("vn") * F.col(n)), F.sum(w * F.col(n) * F.col(n))).alias(k) for k, n in (("u", "ne"), ("v", "nn"))])
-    return rounded(g)
+    """(u, v) from edge-normal winds, by one set of weights for each component."""
+    edges = donors(spark, d).select("donor", F.cos(F.radians(F.col("size") * 7.0)).alias("ne"), F.sin(F.radians(F.col("size") * 7.0)).alias("nn"), (F.col("height") / 100).alias("vn"))
+    return rounded(regrid.wind_from_normals(weights(spark, d), edges))
 
 
 @query("same_surface_remap")
 def same_surface_remap(spark, d):
-    src = donors(spark, d).select("donor", F.col("land").alias("surface"), "height")
-    own = targets(spark, d).select("target", (F.col("target") % 3 != 0).alias("surface"))
-    return rounded(regrid.same_surface(weights(spark, d), src, own, "height"))
+    """Every target's height from cells of its own surface: by weights, from the stencil, or from the nearest such cell of all."""
+    src = donors(spark, d).select("donor", F.col("land").alias("surface"), "height", "lat", "lon")
+    own = targets(spark, d).select("target", (F.col("target") % 3 != 0).alias("surface"), "lat", "lon")
+    return rounded(regrid.same_surface(weights(spark, d), src, own, "height", 0.01))
 
 
 @query("sst_target")
 def sst_target(spark, d):
-    """Same-surface value on water, the all-surface value where there is none, and which it was."""
-    w, src = weights(spark, d), donors(spark, d)
-    water = regrid.same_surface(w, src.select("donor", F.col("land").alias("surface"), "height"), targets(spark, d).select("target", F.lit(False).alias("surface")), "height")
+    """Same-surface value on water, the all-surface value where the stencil has none, which it was, and how far the nearest water is there."""
+    w, src, at = weights(spark, d), donors(spark, d), targets(spark, d)
+    water = regrid.same_surface(w, src.select("donor", F.col("land").alias("surface"), "height"), at.select("target", F.lit(False).alias("surface")), "height")
     every = regrid.apply_weights(w, src.withColumnRenamed("height", "any"), "any")
-    return rounded(water.join(every, "target").select("target", F.coalesce("height", "any").alias("sst"), F.col("height").isNull().alias("unsupported")))
+    lost = at.join(water.where("height is null").select("target"), "target", "left_semi")
+    near = spatial.k_nearest(lost, src.where("not land").select("donor", "lat", "lon"), 1, 0.01).select("target", F.col("km").alias("candidate_km"))
+    out = water.drop("km").join(every, "target").join(near, "target", "left")
+    return rounded(out.select("target", F.coalesce("height", "any").alias("sst"), F.col("height").isNull().alias("unsupported"), "candidate_km"))
 
 
 @query("box_mean_2d", f"WITH {B.GRID} SELECT a.y, a.x, round(avg(b.height),6)+0.0 AS height FROM grid a JOIN grid b ON abs(a.y-b.y)<=2 AND abs(a.x-b.x)<=2 GROUP BY 1,2")
@@ -147,13 +168,11 @@ def gradient_2d(spark, d):
     return rounded(g.select("y", "x", raster.gradient(g, "h", "x", 200.0).alias("dx"), raster.gradient(g, "h", "y", 200.0).alias("dy")))
 
 
-@query("neighborhood_median", f"WITH {B.GRID} SELECT a.y, a.x, round(a.height-median(b.height),6)+0.0 AS relative FROM grid a JOIN grid b ON abs(a.y-b.y)<=3 AND abs(a.x-b.x)<=3 WHERE a.size=7 GROUP BY a.y, a.x, a.height")
+@query("neighborhood_median", f"WITH {B.GRID} SELECT a.y, a.x, round(a.height-median(b.height),6)+0.0 AS relative FROM grid a JOIN grid b ON abs(a.y-b.y)<=25 AND abs(a.x-b.x)<=25 GROUP BY a.y, a.x, a.height")
 def neighborhood_median(spark, d):
-    g = B.grid(spark, d)
-    steps = F.sequence(F.lit(-3), F.lit(3))
-    at = g.where("size = 7").select(F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("height").alias("own")).withColumn("oy", F.explode(steps)).withColumn("ox", F.explode(steps))
-    j = at.withColumns({"y": F.col("y0") + F.col("oy"), "x": F.col("x0") + F.col("ox")}).join(g.select("y", "x", "height"), ["y", "x"])
-    return rounded(j.groupBy(F.col("y0").alias("y"), F.col("x0").alias("x"), "own").agg(F.median("height").alias("m")).select("y", "x", (F.col("own") - F.col("m")).alias("relative")))
+    """Height over the median of a square of 5 km half-width, which is 25 cells of 200 m."""
+    g = raster.box_median(B.grid(spark, d).select("y", "x", "height"), "height", round(5000 / 200))
+    return rounded(g.select("y", "x", (F.col("height") - F.col("median")).alias("relative")))
 
 
 @query("edge_distance", f"WITH {B.GRID}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM grid) SELECT y, x, least(x-x0, x1-x, y-y0, y1-y) AS cells FROM grid, e")
@@ -163,11 +182,11 @@ def edge_distance(spark, d):
     return g.join(F.broadcast(e)).select("y", "x", F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y")).alias("cells"))
 
 
-FOOT = f"{B.GRID}, c AS (SELECT p_partkey AS site, (p_partkey//50)::INT AS y0, (p_partkey%50)::INT AS x0 FROM part WHERE p_partkey % 97 = 5)"
+FOOT = f"{B.GRID}, c AS (SELECT p_partkey AS site, (p_partkey//50)::INT AS y0, (p_partkey%50)::INT AS x0 FROM part)"
 
 
 def centres(spark, d):
-    return B.table(spark, d, "part").where("p_partkey % 97 = 5").select(F.col("p_partkey").alias("site"), F.floor(F.col("p_partkey") / 50).cast("int").alias("y0"), (F.col("p_partkey") % 50).cast("int").alias("x0"))
+    return B.table(spark, d, "part").select(F.col("p_partkey").alias("site"), F.floor(F.col("p_partkey") / 50).cast("int").alias("y0"), (F.col("p_partkey") % 50).cast("int").alias("x0"))
 
 
 @query("footprint_join", f"WITH {FOOT}, j AS (SELECT site, oy, ox, g.y AS y, g.land AS land, g.height AS height FROM c, (SELECT unnest(range(-6,7)) AS oy) a, (SELECT unnest(range(-6,7)) AS ox) b2 LEFT JOIN grid g ON g.y=y0+oy AND g.x=x0+ox WHERE sqrt(oy*oy+ox*ox)*0.2 <= 1.0) SELECT site, count(*) AS expected, count(y) AS in_domain, count(*) FILTER (land) AS land_cells, round(count(*) FILTER (land)/count(*)::DOUBLE,6)+0.0 AS coverage, min(height) FILTER (land) AS lowest, max(height) FILTER (land) AS highest, round(stddev_pop(height) FILTER (land),6)+0.0 AS roughness, count(y) < count(*) AS clipped FROM j GROUP BY site")
@@ -178,7 +197,7 @@ def footprint_join(spark, d):
     return rounded(j.groupBy("site").agg(F.count("*").alias("expected"), F.count("lat").alias("in_domain"), n.alias("land_cells"), (n / F.count("*")).alias("coverage"), F.min(F.when(land, F.col("height"))).alias("lowest"), F.max(F.when(land, F.col("height"))).alias("highest"), F.stddev_pop(F.when(land, F.col("height"))).alias("roughness"), (F.count("lat") < F.count("*")).alias("clipped")))
 
 
-@query("footprint_stats", f"WITH {FOOT}, j AS (SELECT site, abs(g.height-950)*(1+g.size/100.0) AS e FROM c JOIN grid g ON sqrt((g.y-y0)*(g.y-y0)+(g.x-x0)*(g.x-x0))*0.2 <= 0.8 WHERE g.land) SELECT site, count(*) AS cells, round(median(e),6)+0.0 AS median, round(quantile_cont(e,0.1),6)+0.0 AS p10, round(quantile_cont(e,0.9),6)+0.0 AS p90 FROM j GROUP BY site")
+@query("footprint_stats", f"WITH {FOOT}, j AS (SELECT site, abs(g.height-950)*(1+g.size/100.0) AS e FROM c JOIN grid g ON abs(g.y-y0)<=4 AND abs(g.x-x0)<=4 AND sqrt((g.y-y0)*(g.y-y0)+(g.x-x0)*(g.x-x0))*0.2 <= 0.8 WHERE g.land) SELECT site, count(*) AS cells, round(median(e),6)+0.0 AS median, round(quantile_cont(e,0.1),6)+0.0 AS p10, round(quantile_cont(e,0.9),6)+0.0 AS p90 FROM j GROUP BY site")
 def footprint_stats(spark, d):
     e = F.abs(F.col("height") - 950) * (1 + F.col("size") / 100)
     j = spatial.footprint(centres(spark, d), B.grid(spark, d), 0.8, 0.2).where("land").withColumn("e", e)
@@ -186,7 +205,7 @@ def footprint_stats(spark, d):
     return rounded(j.groupBy("site").agg(F.count("*").alias("cells"), q[0].alias("median"), q[1].alias("p10"), q[2].alias("p90")))
 
 
-@query("best_cell", f"WITH {FOOT}, j AS (SELECT site, g.y, g.x, abs(g.height-950) AS e FROM c JOIN grid g ON sqrt((g.y-y0)*(g.y-y0)+(g.x-x0)*(g.x-x0))*0.2 <= 0.8 WHERE g.land), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY e, y, x) AS n FROM j) SELECT site, y, x, round(e,6)+0.0 AS e FROM r WHERE n=1")
+@query("best_cell", f"WITH {FOOT}, j AS (SELECT site, g.y, g.x, abs(g.height-950) AS e FROM c JOIN grid g ON abs(g.y-y0)<=4 AND abs(g.x-x0)<=4 AND sqrt((g.y-y0)*(g.y-y0)+(g.x-x0)*(g.x-x0))*0.2 <= 0.8 WHERE g.land), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY e, y, x) AS n FROM j) SELECT site, y, x, round(e,6)+0.0 AS e FROM r WHERE n=1")
 def best_cell(spark, d):
     j = spatial.footprint(centres(spark, d), B.grid(spark, d), 0.8, 0.2).where("land").withColumn("e", F.abs(F.col("height") - 950))
     return rounded(j.groupBy("site").agg(F.min_by(F.struct("y", "x", "e"), F.struct("e", "y", "x")).alias("b")).select("site", "b.*"))
@@ -241,18 +260,26 @@ def connected_components(spark, d):
     return raster.label_components(B.grid(spark, d), F.expr(MASK))
 
 
-@query("component_stats", f"WITH {LABELS} SELECT label::INT AS label, count(*) AS cells, count(*) FILTER (size > 30) AS unsupported, round(avg(y),6)+0.0 AS cy, round(avg(x),6)+0.0 AS cx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM lab GROUP BY label ORDER BY count(*) DESC, label LIMIT 20")
+@query("component_stats", f"WITH {LABELS}, st AS (SELECT label, count(*) AS cells, count(*) FILTER (size > 30) AS unsupported, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM lab GROUP BY label), k AS (SELECT *, row_number() OVER (ORDER BY cells DESC, label) <= 20 OR row_number() OVER (ORDER BY unsupported DESC, label) <= 20 OR cells*0.04 >= 1.0 OR unsupported*0.04 >= 0.2 AS kept FROM st) SELECT label::INT AS label, 1::BIGINT AS bodies, cells, round(cells*0.04::DOUBLE,6)+0.0 AS km2, unsupported, round(unsupported/cells::DOUBLE,6)+0.0 AS fraction, round(cy,6)+0.0 AS cy, round(cx,6)+0.0 AS cx, y0, y1, x0, x1 FROM k WHERE kept UNION ALL SELECT NULL, count(*), coalesce(sum(cells),0)::BIGINT, round(coalesce(sum(cells),0)*0.04::DOUBLE,6)+0.0, coalesce(sum(unsupported),0)::BIGINT, round(CASE WHEN sum(cells)>0 THEN sum(unsupported)/sum(cells)::DOUBLE END,6)+0.0, NULL, NULL, NULL, NULL, NULL, NULL FROM k WHERE NOT kept")
 def component_stats(spark, d):
+    """Bodies that are among the 20 largest or the 20 with most unsupported cells, or have 1 km2, or 0.2 km2 without support; and one row, without a label, for all others."""
     g = B.grid(spark, d)
     lab = raster.label_components(g, F.expr(MASK)).join(g, ["y", "x"])
-    s = lab.groupBy("label").agg(F.count("*").alias("cells"), F.count_if(F.col("size") > 30).alias("unsupported"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    return rounded(s.orderBy(F.desc("cells"), "label").limit(20))
-
-
-@query("top_components", f"WITH {LABELS} SELECT label::INT AS label, count(*) AS cells FROM lab GROUP BY label ORDER BY count(*) DESC, label LIMIT 10")
+    s = materialize(lab.groupBy("label").agg(F.count("*").alias("cells"), F.count_if(F.col("size") > 30).alias("unsupported"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")), "bodies")
+    top = lambda by: s.orderBy(F.desc(by), "label").limit(20).select("label")
+    best = top("cells").unionByName(top("unsupported")).distinct().withColumn("best", F.lit(True))
+    s = s.join(F.broadcast(best), "label", "left").withColumn("kept", F.coalesce("best", F.lit(False)) | (F.col("cells") * 0.04 >= 1.0) | (F.col("unsupported") * 0.04 >= 0.2))
+    area = (F.col("cells") * 0.04).alias("km2")
+    kept = s.where("kept").select("label", F.lit(1).cast("long").alias("bodies"), "cells", area, "unsupported", (F.col("unsupported") / F.col("cells")).alias("fraction"), "cy", "cx", "y0", "y1", "x0", "x1")
+    total = s.where("not kept").agg(F.count("*").alias("bodies"), F.coalesce(F.sum("cells"), F.lit(0).cast("long")).alias("cells"), F.coalesce(F.sum("unsupported"), F.lit(0).cast("long")).alias("unsupported"))
+    rest = total.select("bodies", "cells", area, "unsupported", F.try_divide("unsupported", "cells").alias("fraction"))
+    return rounded(kept.unionByName(rest, allowMissingColumns=True))
+
+
+@query("top_components", f"WITH {LABELS} SELECT label::INT AS label, count(*) AS cells FROM lab GROUP BY label ORDER BY count(*) DESC, label LIMIT 20")
 def top_components(spark, d):
     s = raster.label_components(B.grid(spark, d), F.expr(MASK)).groupBy("label").agg(F.count("*").alias("cells"))
-    return s.orderBy(F.desc("cells"), "label").limit(10)
+    return s.orderBy(F.desc("cells"), "label").limit(20)
 
 
 @query("area_summary", f"WITH {B.GRID} SELECT round(count(*) FILTER (NOT land)*0.04::DOUBLE,6)+0.0 AS water_km2, round(count(*) FILTER (NOT land AND size<4)*0.04::DOUBLE,6)+0.0 AS unsupported_km2, round(count(*) FILTER (NOT land AND size<4)/nullif(count(*) FILTER (NOT land),0)::DOUBLE,6)+0.0 AS fraction FROM grid")
@@ -289,9 +316,10 @@ def interval_overlap(spark, d):
     return rounded(o.groupBy("column_id", "top").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("mean")))
 
 
-@query("point_gather", f"WITH {B.GRID} SELECT o.o_orderkey AS record, g.height FROM orders o JOIN grid g ON g.y = o.o_orderkey % 40 AND g.x = o.o_custkey % 50")
+@query("point_gather", f"WITH {B.GRID} SELECT o.o_orderkey AS record, g.height FROM orders o JOIN grid g ON g.y = o.o_orderkey % (SELECT max(y)+1 FROM grid) AND g.x = o.o_custkey % 50")
 def point_gather(spark, d):
-    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("record"), (F.col("o_orderkey") % 40).alias("y"), (F.col("o_custkey") % 50).alias("x"))
+    rows = B.grid(spark, d).agg((F.max("y") + 1).alias("ny"))
+    o = B.table(spark, d, "orders").crossJoin(F.broadcast(rows)).select(F.col("o_orderkey").alias("record"), (F.col("o_orderkey") % F.col("ny")).alias("y"), (F.col("o_custkey") % 50).alias("x"))
     return o.join(B.grid(spark, d).select("y", "x", "height"), ["y", "x"]).select("record", "height")
 
 
@@ -303,16 +331,19 @@ def layer_attach(spark, d):
     return base.join(layer, ["y", "x"], "left")
 
 
-@query("crop_reblend", f"WITH {B.GRID} SELECT y-5 AS y, x-5 AS x, round((1-(0.5-0.5*cos(pi()*least(least(x-5,44-x,y-5,34-y)/6.0,1.0))))*900 + (0.5-0.5*cos(pi()*least(least(x-5,44-x,y-5,34-y)/6.0,1.0)))*height,6)+0.0 AS blended FROM grid WHERE y BETWEEN 5 AND 34 AND x BETWEEN 5 AND 44")
-def crop_reblend(spark, d):
-    from skillgrid.functions.physics import edge_taper
+EDGES = "e AS (SELECT min(x)+5 AS x0, max(x)-5 AS x1, min(y)+5 AS y0, max(y)-5 AS y1 FROM grid)"
+TAPER = "(0.5-0.5*cos(pi()*least(least(x-x0,x1-x,y-y0,y1-y)/6.0,1.0)))"
 
-    g = B.grid(spark, d).where("y between 5 and 34 and x between 5 and 44")
-    w = edge_taper(F.least(F.col("x") - 5, 44 - F.col("x"), F.col("y") - 5, 34 - F.col("y")), 6.0, "cosine")
-    return g.select((F.col("y") - 5).alias("y"), (F.col("x") - 5).alias("x"), r6((1 - w) * 900 + w * F.col("height")).alias("blended"))
+
+@query("crop_reblend", f"WITH {B.GRID}, {EDGES} SELECT y-y0 AS y, x-x0 AS x, round((1-{TAPER})*900 + {TAPER}*height,6)+0.0 AS blended FROM grid, e WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1")
+def crop_reblend(spark, d):
+    """The raster without five cells at each edge, and edge weights made anew."""
+    g = B.grid(spark, d)
+    e = g.agg((F.min("x") + 5).alias("x0"), (F.max("x") - 5).alias("x1"), (F.min("y") + 5).alias("y0"), (F.max("y") - 5).alias("y1"))
+    return rounded(raster.reblend(g.crossJoin(F.broadcast(e)).where("y between y0 and y1 and x between x0 and x1"), "height", F.lit(900.0), 6.0).select((F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), F.col("height").alias("blended")))
 
 
-@query("regular_grid", "SELECT y::INT AS y, x::INT AS x, round((y-19.5)*200.0::DOUBLE,6)+0.0 AS north, round((x-24.5)*200.0::DOUBLE,6)+0.0 AS east FROM (SELECT DISTINCT p_partkey//50 AS y FROM part) a, (SELECT DISTINCT p_partkey%50 AS x FROM part) b")
+@query("regular_grid", "SELECT y::INT AS y, x::INT AS x, round((y-max(y) OVER ()/2.0)*200.0::DOUBLE,6)+0.0 AS north, round((x-max(x) OVER ()/2.0)*200.0::DOUBLE,6)+0.0 AS east FROM (SELECT DISTINCT p_partkey//50 AS y FROM part) a, (SELECT DISTINCT p_partkey%50 AS x FROM part) b")
 def regular_grid(spark, d):
     g = B.grid(spark, d)
     e = g.agg(F.max("y").alias("my"), F.max("x").alias("mx"))
@@ -327,7 +358,7 @@ def embed_dem(spark, d):
     return g.join(inner, ["y", "x"], "left").select("y", "x", F.coalesce("inner", "height").alias("height"))
 
 
-@query("grid_scan", f"WITH {B.GRID} SELECT c.site, g.height FROM (SELECT p_partkey AS site, (p_partkey//50)::INT AS y, (p_partkey%50)::INT AS x FROM part WHERE p_partkey % 97 = 5) c JOIN grid g USING (y,x)")
+@query("grid_scan", f"WITH {B.GRID} SELECT c.site, g.height FROM (SELECT p_partkey AS site, (p_partkey//50)::INT AS y, (p_partkey%50)::INT AS x FROM part) c JOIN grid g USING (y,x)")
 def grid_scan(spark, d):
     """Point samples: a small table of points against the cells."""
     at = centres(spark, d).select("site", F.col("y0").alias("y"), F.col("x0").alias("x"))
@@ -340,11 +371,13 @@ def distribution_by_class(spark, d):
     return rounded(B.grid(spark, d).where("land").groupBy("class").agg(F.min("height").alias("least_"), *q).drop("n"))
 
 
-@query("grid_interp", f"WITH {B.GRID}, {B.SITES}, p AS (SELECT site, height, {KM.format(at='s.lat')} AS km, y, x FROM sites s, grid g), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY km, y, x) AS n FROM p) SELECT site, height AS nearest FROM r WHERE n=1")
+@query("grid_interp", f"WITH {B.GRID}, {B.SITES}, {BILINEAR}, p AS (SELECT site, height, {KM.format(at='s.lat')} AS km, y, x FROM sites s, grid g), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY km, y, x) AS n FROM p) SELECT r.site, height AS nearest, round(value,6)+0.0 AS linear FROM r JOIN bl USING (site) WHERE n=1")
 def grid_interp(spark, d):
-    """Nearest-cell interpolation: the bin join gives the cell, an equi-join its value."""
-    at = spatial.nearest_cell(B.sites(spark, d), B.grid(spark, d), ["site"]).select("site", "y", "x")
-    return at.join(B.grid(spark, d).select("y", "x", F.col("height").alias("nearest")), ["y", "x"]).select("site", "nearest")
+    """Nearest and linear interpolation; linear has no value outside the grid."""
+    s, g = B.sites(spark, d), B.grid(spark, d)
+    at = spatial.nearest_anywhere(s, g, ["site"]).select("site", "y", "x")
+    near = at.join(g.select("y", "x", F.col("height").alias("nearest")), ["y", "x"]).select("site", "nearest")
+    return rounded(near.join(spatial.bilinear(s, g, "height", "site").select("site", F.col("height").alias("linear")), "site"))
 
 
 @query("udf_kernel_solve")
@@ -353,7 +386,7 @@ def udf_kernel_solve(spark, d):
     return rounded(weights(spark, d))
 
 
-@query("udtf_offsets", "SELECT p_partkey AS site, oy::INT AS oy, ox::INT AS ox FROM part, (SELECT unnest(range(-2,3)) AS oy) a, (SELECT unnest(range(-2,3)) AS ox) b WHERE p_partkey % 97 = 5 AND sqrt(oy*oy+ox*ox) <= 2")
+@query("udtf_offsets", "SELECT p_partkey AS site, oy::INT AS oy, ox::INT AS ox FROM part, (SELECT unnest(range(-2,3)) AS oy) a, (SELECT unnest(range(-2,3)) AS ox) b WHERE sqrt(oy*oy+ox*ox) <= 2")
 def udtf_offsets(spark, d):
     """Offsets of a footprint from two sequences; no Python table function is needed."""
     steps = F.sequence(F.lit(-2), F.lit(2))
