@@ -207,17 +207,25 @@ def repeated_paths(rows: DataFrame, k: int = K, gram: int = GRAM, slice_bytes: i
     drop(nodes)
     release(spark)
     found = materialize(paths(rows, known, branching, k, gram, slice_bytes), "span-paths")
-    found = found.withColumn("p", F.xxhash64("words"))  # sorts faster than words, and goes before them
-    sources = found.groupBy("p", "words").agg(F.min("d").alias("sd"), F.max("d").alias("b")).where("sd < b").drop("b")
-    return found.join(sources, ["p", "words"]).where("d > sd").select("d", "th", "at", "n", "sd")
+    release(spark)
+    keyed = found.withColumn("p", F.xxhash64("words"))  # sorts faster than words, and goes before them
+    sources = keyed.groupBy("p", "words").agg(F.min("d").alias("sd"), F.max("d").alias("b")).where("sd < b").drop("b")
+    sources = materialize(sources, "span-sources")  # a table of its own: a join with it, not with an aggregate, is split where a path is in very many documents
+    release(spark)
+    repeats = materialize(keyed.join(sources, ["p", "words"]).where("d > sd").select("d", "th", "at", "n", "sd"), "span-repeats")
+    drop(found, sources)
+    release(spark)
+    return repeats
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, gram: int = GRAM, slice_bytes: int = 12_000_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row: kept is the words that no repeated window covers, joined by spaces."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("d"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     span = F.struct("at", (F.col("at") + F.col("n") - 1).alias("to"))
-    spans = repeated_paths(rows, k, gram, slice_bytes).groupBy("d", "th").agg(F.collect_set(span).alias("spans"))  # of rows that are alike in all once
+    repeats = repeated_paths(rows, k, gram, slice_bytes)
+    spans = repeats.groupBy("d", "th").agg(F.collect_set(span).alias("spans"))  # of rows that are alike in all once
     spans = materialize(spans.select("d", "th", F.col("spans.at").alias("a"), F.col("spans.to").alias("b")), "spans")
+    drop(repeats)
     release(docs.sparkSession)
 
     def cut(batches):
