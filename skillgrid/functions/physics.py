@@ -106,6 +106,65 @@ def soil_texture(sand: Column, silt: Column, clay: Column) -> Column:
     return F.coalesce(F.greatest(*[F.when(holds, k) for k, holds in classes.items()]), F.lit(6))
 
 
+#: Fixed values by soil class 1 to 10 of the source model: field capacity, wilting point, porosity; layer bounds in metres; the classes that hold water.
+FIELD_CAPACITY = (1e-10, 1e-10, 0.196, 0.260, 0.340, 0.370, 0.463, 0.763, 1e-10, 1e-10)
+WILTING_POINT = (0.0, 0.0, 0.042, 0.100, 0.110, 0.185, 0.257, 0.265, 0.0, 0.0)
+POROSITY = (1e-10, 1e-10, 0.364, 0.445, 0.455, 0.475, 0.507, 0.863, 1e-10, 1e-10)
+SOIL_BOUNDS = (0.0, 0.01, 0.03, 0.09, 0.27, 0.81, 2.43, 7.29, 21.87)
+WATER_DENSITY, HOLDS_WATER = 1000.0, (3, 8)
+
+
+def by_class(code: Column, values: tuple) -> Column:
+    """A fixed value by class from 1; null outside."""
+    return F.when(code.between(1, len(values)), F.element_at(F.array(*map(F.lit, values)), F.greatest(code.cast("int"), F.lit(1))))
+
+
+def water_content(mass: Column, layer: int) -> Column:
+    """Volume share of the water mass (kg/m2) of a soil layer from 0."""
+    return mass / (WATER_DENSITY * (SOIL_BOUNDS[layer + 1] - SOIL_BOUNDS[layer]))
+
+
+def soil_moisture_index(mass: Column, layer: int, code: Column) -> Column:
+    """0 at the wilting point, 1 at field capacity, more above it; null for classes that hold no water."""
+    wilting = by_class(code, WILTING_POINT)
+    return F.when(code.between(*HOLDS_WATER), F.greatest((water_content(mass, layer) - wilting) / (by_class(code, FIELD_CAPACITY) - wilting), F.lit(0.0)))
+
+
+def relative_saturation(mass: Column, layer: int, code: Column) -> Column:
+    """Share of the pores that is water, from 0 to 1; null for classes that hold none."""
+    return F.when(code.between(*HOLDS_WATER), clip(water_content(mass, layer) / by_class(code, POROSITY), 0.0, 1.0))
+
+
+def index_to_water(index: Column, dry: Column, wilting: Column, capacity: Column, most: Column) -> Column:
+    """Water content of the target class from a moisture index, within its bounds."""
+    return clip(wilting + index * (capacity - wilting), dry, most)
+
+
+def saturation_to_water(saturation: Column, dry: Column, most: Column) -> Column:
+    """Water content of the target class from a share of its pores."""
+    return clip(clip(saturation, 0.0, 1.0) * most, dry, most)
+
+
+def to_degrees(angle: Column, unit: Column) -> Column:
+    """Degrees of an angle in a declared unit; an error for units that aren't degrees or radians."""
+    u = F.lower(F.trim(unit))
+    return F.when(u.isin("radian", "radians", "rad"), F.degrees(angle)).when(u.isin("degree", "degrees", "deg", "degrees_north", "degrees_east"), angle).otherwise(F.raise_error(F.concat(F.lit("unknown unit of angle: "), F.coalesce(unit, F.lit("none")))).cast("double"))
+
+
+def as_percent(df, column: str, name: str):
+    """A cover in percent: a column whose largest value is 1 or less is a fraction. ``name``_ok tells values outside 0 to 100."""
+    most = df.agg(F.max(column).alias("_most"))  # one row
+    x = F.when(F.col("_most") <= 1, F.col(column) * 100).otherwise(F.col(column))
+    return df.crossJoin(F.broadcast(most)).withColumn(name, x).withColumn(f"{name}_ok", F.coalesce(F.col(name).between(0, 100), F.lit(False))).drop("_most")
+
+
+def as_fraction(df, column: str, name: str):
+    """An albedo as a fraction: a column whose largest value is over 1 is in percent. ``name``_ok tells values outside 0 to 1."""
+    most = df.agg(F.max(column).alias("_most"))
+    x = F.when(F.col("_most") > 1, F.col(column) / 100).otherwise(F.col(column))
+    return df.crossJoin(F.broadcast(most)).withColumn(name, x).withColumn(f"{name}_ok", F.coalesce(F.col(name).between(0, 1), F.lit(False))).drop("_most")
+
+
 def dry_mixing_ratio(species: list[Column]) -> list[Column]:
     total = sum(species[1:], species[0])
     return [s / (1 - total) for s in species]

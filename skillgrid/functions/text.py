@@ -43,5 +43,34 @@ def tile_tag(lat: Column, lon: Column, step: int) -> Column:
 
 
 def canonical_digest(*columns: str) -> Column:
-    """sha256 of the columns in order of their names."""
-    return F.sha2(F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in sorted(columns)]), 256)
+    """sha256 of the columns as JSON, keys in order of their names and nothing between."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+#: Seasons by their names.
+SEASONS = {"winter": "DJF", "spring": "MAM", "summer": "JJA", "autumn": "SON"}
+
+
+def season_code(name: Column) -> Column:
+    """DJF, MAM, JJA or SON of a season's name; null for anything else."""
+    n = F.lower(F.trim(name))
+    return F.coalesce(*[F.when(n == k, v) for k, v in SEASONS.items()])
+
+
+def first_given(*columns: Column) -> Column:
+    """The first of several columns that isn't null or an empty text."""
+    return F.coalesce(*[F.when(F.trim(c.cast("string")) != "", c) for c in columns])
+
+
+def aliased(df, name: str, aliases: list[str]):
+    """``df`` with ``name`` from those of ``aliases`` that it has, the first that is given; none of them at all is an error."""
+    there = [a for a in aliases if a in df.columns]
+    if not there:
+        raise ValueError(f"none of {', '.join(aliases)} is there for {name}")
+    return df.withColumn(name, first_given(*[F.col(a) for a in there]))
+
+
+def class_code(code: Column, most: int) -> Column:
+    """Whether a code is a whole number from 1 to ``most``."""
+    x = code.cast("double")
+    return F.coalesce(~F.isnan(x) & (x == F.floor(x)) & x.between(1, most), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillgrid.functions.physics import wind_uv
+
 
 def ending_hour(ts: Column) -> Column:
     """The hour that a sample of (hour - 1h, hour] belongs to."""
@@ -18,6 +20,35 @@ def trapezoid(df: DataFrame, keys: list[str], time: str, value: str) -> DataFram
     return df.withColumn("hourly", F.when(gap == 3600, (F.col(value) + F.lag(value).over(w)) / 2))
 
 
+def trapezoid_wind(df: DataFrame, keys: list[str], time: str, speed: str, u: str, v: str) -> DataFrame:
+    """Hourly speed, u and v: the mean of the previous hour's end and this one's; the mean vector is brought to the mean speed, and is 0 where it is no vector. Nulls where the previous hour is missing."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    follows = F.unix_seconds(F.col(time).cast("timestamp")) - F.unix_seconds(F.lag(time).over(w).cast("timestamp")) == 3600
+    half = lambda c: F.when(follows, (F.col(c) + F.lag(c).over(w)) / 2)
+    return rescaled(df.select("*", half(speed).alias("hourly_speed"), half(u).alias("_u"), half(v).alias("_v")), "hourly_speed", "_u", "_v", "hourly_u", "hourly_v").drop("_u", "_v")
+
+
+def rescaled(df: DataFrame, speed: str, u: str, v: str, u_name: str, v_name: str) -> DataFrame:
+    """A mean vector in its own direction with the length ``speed``; 0 where the mean vector is 0."""
+    length = F.sqrt(F.col(u) * F.col(u) + F.col(v) * F.col(v))
+    factor = F.when(length > 0, F.col(speed) / length).when(length == 0, 0.0)
+    return df.withColumns({u_name: F.col(u) * factor, v_name: F.col(v) * factor})
+
+
+def ending_hour_wind(df: DataFrame, keys: list[str], time: str, speed: str, direction: str, samples: int = 6) -> DataFrame:
+    """(keys, hour, samples, speed, u, v) from the means of the ten-minute samples in (hour - 1h, hour]; nulls unless all ``samples`` are there.
+
+    Several values within one sample's ten minutes are averaged first.
+    """
+    u, v = wind_uv(F.col(speed), F.col(direction))
+    slot = F.timestamp_seconds(F.ceil(F.unix_micros(F.col(time).cast("timestamp")) / 600000000) * 600)
+    tens = df.groupBy(*keys, slot.alias("_slot")).agg(F.avg(speed).alias("_s"), F.avg(u).alias("_u"), F.avg(v).alias("_v"))
+    g = tens.groupBy(*keys, ending_hour(F.col("_slot")).alias("hour")).agg(F.count("*").alias("samples"), *[F.avg(c).alias(c) for c in ("_s", "_u", "_v")])
+    full = F.col("samples") == samples
+    g = g.select(*keys, "hour", "samples", F.when(full, F.col("_s")).alias("speed"), "_u", "_v")
+    return rescaled(g, "speed", "_u", "_v", "u", "v").drop("_u", "_v")
+
+
 def cumulative_difference(df: DataFrame, keys: list[str], time: str, value: str, tolerance: float = 0.01) -> DataFrame:
     """Increase since the previous time, at least 0; the first is 0; ``violation`` where it falls by more than ``tolerance``."""
     d = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(time))
@@ -30,14 +61,19 @@ def lead_hour(valid: Column, start: Column) -> Column:
     return F.when((s >= 0) & (s % 3600 == 0), F.floor(s / 3600))
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str) -> DataFrame:
-    """The last ``value`` with right_time <= left_time, as union and a running last: one shuffle by keys, no range join."""
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, back: bool = False) -> DataFrame:
+    """The last ``value`` with right_time <= left_time, as union and a running last: one shuffle by keys, no range join.
+
+    Before the first there is none, or, with ``back``, the first one's; ``extrapolated`` says so. Without any there is null.
+    """
     a = left.withColumns({"_t": F.col(left_time), "_s": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType), "_f": F.lit(None).cast(right.schema[right_time].dataType)})
     b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_s"), F.col(value).alias("_v"), F.col(right_time).alias("_f"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy("_t", "_s")
+    past, all_ = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     both = a.unionByName(b, allowMissingColumns=True)
-    out = both.withColumns({value: F.last("_v", ignorenulls=True).over(w), "valid_from": F.last("_f", ignorenulls=True).over(w)})
-    return out.where("_s = 1").drop("_t", "_s", "_v", "_f")
+    pick = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(all_)) if back else F.last(c, ignorenulls=True).over(past)
+    out = both.withColumns({value: pick("_v"), "valid_from": pick("_f")})
+    return out.where("_s = 1").withColumn("extrapolated", F.coalesce(F.col("valid_from") > F.col(left_time), F.lit(False))).drop("_t", "_s", "_v", "_f")
 
 
 def bracket_interpolate(left: DataFrame, series: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:

@@ -67,7 +67,7 @@ register("height_adjust", lambda i: {"temperature": P.height_adjust_temperature(
 register("unit_sphere", lambda i: dict(zip("xyz", P.unit_sphere(i.lat, i.lon))), {"x": d6("cos(radians(lat))*cos(radians(lon))"), "y": d6("cos(radians(lat))*sin(radians(lon))"), "z": d6("sin(radians(lat))")})
 CH = "sqrt((cos(radians(lat))*cos(radians(lon))-cos(radians(46.5))*cos(radians(8.0)))*(cos(radians(lat))*cos(radians(lon))-cos(radians(46.5))*cos(radians(8.0)))+(cos(radians(lat))*sin(radians(lon))-cos(radians(46.5))*sin(radians(8.0)))*(cos(radians(lat))*sin(radians(lon))-cos(radians(46.5))*sin(radians(8.0)))+(sin(radians(lat))-sin(radians(46.5)))*(sin(radians(lat))-sin(radians(46.5))))"
 register("arc", lambda i: {"km": P.arc_km(i.lat, i.lon, F.lit(46.5), F.lit(8.0))}, {"km": d6(f"2*6371.0*asin(least({CH}/2,1.0))")})
-register("angle_units", lambda i: {"degrees": F.when(i.size % 2 == 0, F.degrees(i.lon)).otherwise(i.lon)}, {"degrees": d6("CASE WHEN size % 2 = 0 THEN degrees(lon) ELSE lon END")})
+register("angle_units", lambda i: {"degrees": P.to_degrees(i.lon, F.when(i.size % 2 == 0, "radians").otherwise("degrees_east"))}, {"degrees": d6("CASE WHEN size % 2 = 0 THEN degrees(lon) ELSE lon END")})
 R = "least(greatest(dist/4000.0,0.0),1.0)"
 register("blend", lambda i: {"weight": P.blend(i.dist, 4000.0)}, {"weight": d6(f"1-3*{R}*{R}+2*{R}*{R}*{R}")})
 register("edge_taper", lambda i: {k: P.edge_taper(i.dist, 4000.0, k) for k in ("linear", "cosine", "smoother")}, {"linear": d6(R), "cosine": d6(f"0.5-0.5*cos(pi()*{R})"), "smoother": d6(f"{R}*{R}*{R}*({R}*({R}*6-15)+10)")})
@@ -95,19 +95,21 @@ register("shapiro_response", lambda i: {"response": P.shapiro_response(4, 0.9, i
 register("sleve_basis", lambda i: {"decay": P.sleve_basis(i.dist, 6000.0, 5000.0, 1.35)}, {"decay": d6("((exp(pow(6000.0/5000.0,1.35)-pow(dist/5000.0,1.35))-exp(-(pow(6000.0/5000.0,1.35)-pow(dist/5000.0,1.35))))/2)/((exp(pow(6000.0/5000.0,1.35))-exp(-pow(6000.0/5000.0,1.35)))/2)")})
 register("land_temp_correction", lambda i: {"corrected": P.land_temperature(i.t, i.dz, i.dist / 1000)}, {"corrected": d6("t-0.007*dz*least(greatest(1-(dist/1000)/3.0,0.0),1.0)")})
 register("wrap_lon", lambda i: {"wrapped": P.wrap_lon(i.lon)}, {"wrapped": d6(MOD("lon+180.0", "360.0") + " - 180.0")})
-register("norm_external", lambda i: {"fraction": F.when(i.size > 30, i.dist / 100).otherwise(i.dist / 10000)}, {"fraction": d6("CASE WHEN size>30 THEN dist/100 ELSE dist/10000 END")})
-register("soil_smi", lambda i: {"smi": F.greatest((i.q * 10 - 0.02) / (0.3 - 0.02), F.lit(0.0)), "saturation": P.clip(i.q * 10 / 0.45, 0.0, 1.0)}, {"smi": d6("greatest((q*10-0.02)/(0.3-0.02),0.0)"), "saturation": d6("least(greatest(q*10/0.45,0.0),1.0)")})
-register("soil_relsat", lambda i: {"saturation": P.clip(i.q * 12 / 0.45, 0.0, 1.0)}, {"saturation": d6("least(greatest(q*12/0.45,0.0),1.0)")})
-register("soil_vwc", lambda i: {"vwc": P.clip(0.05 + (i.q * 100 - 0.2) * (0.3 - 0.05), 0.05, 0.42)}, {"vwc": d6("least(greatest(0.05+(q*100-0.2)*(0.3-0.05),0.05),0.42)")})
+CODE = "(size % 10 + 1)"
+_CASE = lambda values: f"(CASE {CODE} " + " ".join(f"WHEN {k} THEN {v!r}" for k, v in enumerate(values, 1)) + " END)::DOUBLE"
+VWC = "(size*0.08/(1000.0*(0.09-0.03)))"
+register("soil_smi", lambda i: {"smi": P.soil_moisture_index(i.size * 0.08, 2, i.size % 10 + 1)}, {"smi": d6(f"CASE WHEN {CODE} BETWEEN 3 AND 8 THEN greatest(({VWC}-{_CASE(P.WILTING_POINT)})/({_CASE(P.FIELD_CAPACITY)}-{_CASE(P.WILTING_POINT)}),0.0) END::DOUBLE")})
+register("soil_relsat", lambda i: {"saturation": P.relative_saturation(i.size * 0.5, 2, i.size % 10 + 1)}, {"saturation": d6(f"CASE WHEN {CODE} BETWEEN 3 AND 8 THEN least(greatest((size*0.5/(1000.0*(0.09-0.03)))/{_CASE(P.POROSITY)},0.0),1.0) END::DOUBLE")})
+register("soil_vwc", lambda i: {"from_index": P.index_to_water(i.q * 100 - 0.2, F.lit(0.05), F.lit(0.08), F.lit(0.3), F.lit(0.42)), "from_saturation": P.saturation_to_water(i.q * 150, F.lit(0.05), F.lit(0.42)), "absolute": P.clip(i.q * 60, 0.05, 0.42)}, {"from_index": d6("least(greatest(0.08+(q*100-0.2)*(0.3-0.08),0.05),0.42)"), "from_saturation": d6("least(greatest(least(greatest(q*150,0.0),1.0)*0.42,0.05),0.42)"), "absolute": d6("least(greatest(q*60,0.05),0.42)")})
 register("norm_units", lambda i: {"units": X.normalized_units(F.concat(F.lit("W m**-2 / K^"), i.brand))}, {"units": "regexp_replace(lower('W m**-2 / K^'||brand), '[\\^\\s*/]', '', 'g')"})
 register("station_key", lambda i: {"key": X.station_key(i.brand, i.id.cast("string"))}, {"key": "brand||':'||id"})
 register("step_hours", lambda i: {"hours": X.step_hours(F.concat((i.size * 30).cast("string"), F.when(i.size % 4 == 0, "m").when(i.size % 4 == 1, "h").when(i.size % 4 == 2, "d").otherwise("s")))}, {"hours": "CASE size%4 WHEN 0 THEN CASE WHEN size*30*60 % 3600=0 THEN size*30*60//3600 END WHEN 1 THEN size*30 WHEN 2 THEN size*30*24 ELSE CASE WHEN size*30 % 3600=0 THEN size*30//3600 END END::BIGINT"})
 register("tile_ids", lambda i: {"one": X.tile_tag(i.lat, i.lon, 1), "three": X.tile_tag(i.lat, i.lon, 3)}, {k: f"(CASE WHEN floor(lat/{n})*{n}>=0 THEN 'N' ELSE 'S' END)||lpad(abs(floor(lat/{n})*{n})::INT::VARCHAR,2,'0')||(CASE WHEN floor(lon/{n})*{n}>=0 THEN 'E' ELSE 'W' END)||lpad(abs(floor(lon/{n})*{n})::INT::VARCHAR,3,'0')" for k, n in (("one", 1), ("three", 3))})
-register("canonical_hash", lambda i: {"digest": X.canonical_digest("size", "brand")}, {"digest": "sha256('brand='||brand||'|size='||size)"})
-register("coalesce_alias", lambda i: {"value": F.coalesce(F.when(i.size % 3 == 0, i.dist), F.when(i.size % 3 == 1, i.dz), i.t)}, {"value": d6("CASE size%3 WHEN 0 THEN dist WHEN 1 THEN dz ELSE t END")})
+register("canonical_hash", lambda i: {"digest": X.canonical_digest("size", "brand")}, {"digest": """sha256('{"brand":"'||brand||'","size":'||size||'}')"""})
+register("coalesce_alias", lambda i: {"value": X.first_given(F.when(i.size % 3 == 0, i.brand), F.when(i.size % 3 == 1, F.lit(" ")), i.id.cast("string"))}, {"value": "CASE WHEN size%3=0 THEN brand ELSE id::VARCHAR END"})
 register("slope_aspect", lambda i: {"slope": F.acos(P.clip(1 / F.sqrt(i.u * i.u + i.v * i.v + 1), -1.0, 1.0)), "aspect": F.pmod(F.pi() / 2 - F.atan2(i.v, i.u), 2 * F.pi()), "horizon": 90.0 - F.greatest(F.degrees(i.u / 40), F.lit(0.0))}, {"slope": d6("acos(least(greatest(1/sqrt(u*u+v*v+1),-1.0),1.0))"), "aspect": d6(MOD("pi()/2-atan2(v,u)", "(2*pi())")), "horizon": d6("90.0-greatest(degrees(u/40),0.0)")}, "u != 0 or v != 0")
-register("class_code", lambda i: {"valid": (i.size / 2.0 == F.floor(i.size / 2.0)) & i.size.between(1, 40)}, {"valid": "(size/2.0 = floor(size/2.0)) AND size BETWEEN 1 AND 40"})
-register("season_label", lambda i: {"label": F.element_at(F.create_map(*[F.lit(x) for x in ("0", "DJF", "1", "MAM", "2", "JJA", "3", "SON")]), (i.size % 4).cast("string"))}, {"label": "CASE size%4 WHEN 0 THEN 'DJF' WHEN 1 THEN 'MAM' WHEN 2 THEN 'JJA' ELSE 'SON' END"})
+register("class_code", lambda i: {"valid": X.class_code(i.size / 2.0, 20)}, {"valid": "(size/2.0 = floor(size/2.0)) AND size/2.0 BETWEEN 1 AND 20"})
+register("season_label", lambda i: {"label": X.season_code(F.element_at(F.array(*map(F.lit, ("winter", " Spring", "SUMMER", "autumn", "harvest"))), i.size % 5 + 1))}, {"label": "CASE size%5 WHEN 0 THEN 'DJF' WHEN 1 THEN 'MAM' WHEN 2 THEN 'JJA' WHEN 3 THEN 'SON' END"})
 
 
 def _parse_time(spark, d):
@@ -121,3 +123,26 @@ QUERIES["parse_time_multi"] = _parse_time
 ORACLES["parse_time_multi"] = "SELECT o_orderkey AS record, CASE WHEN o_orderkey%4=3 THEN NULL ELSE o_orderdate END AS valid, CASE WHEN o_orderkey%4=2 THEN strftime(o_orderdate,'%Y-%m-%dT%H:%M:%SZ') END AS iso FROM orders"
 QUERIES["iso_utc"] = lambda spark, d: B.table(spark, d, "orders").select(F.col("o_orderkey").alias("record"), X.iso_utc(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T02:00:00+02:00"))).alias("iso"))
 ORACLES["iso_utc"] = "SELECT o_orderkey AS record, strftime(o_orderdate,'%Y-%m-%dT00:00:00Z') AS iso FROM orders"
+
+
+def _norm_external(spark, d):
+    """A cover given as a fraction, the same in percent, and an albedo in percent: each column's largest value says which it is."""
+    i = inputs(spark, d).select("id", (F.col("dist") / 6000).alias("share"), (F.col("dist") / 60).alias("cover"), (F.col("dist") / 70).alias("albedo"))
+    out = P.as_fraction(P.as_percent(P.as_percent(i, "share", "share_percent"), "cover", "cover_percent"), "albedo", "albedo_share")
+    return out.select("id", *[r6(c).alias(c) for c in ("share_percent", "cover_percent", "albedo_share")], "share_percent_ok", "cover_percent_ok", "albedo_share_ok")
+
+
+QUERIES["norm_external"] = _norm_external
+ORACLES["norm_external"] = f"WITH {INPUT_SQL}, m AS (SELECT max(dist/6000) AS a, max(dist/60) AS b, max(dist/70) AS c FROM i), n AS (SELECT id, dist/6000*(CASE WHEN a<=1 THEN 100 ELSE 1 END) AS share_percent, dist/60*(CASE WHEN b<=1 THEN 100 ELSE 1 END) AS cover_percent, dist/70/(CASE WHEN c>1 THEN 100 ELSE 1 END) AS albedo_share FROM i, m) SELECT id, {', '.join(d6(c) + ' AS ' + c for c in ('share_percent', 'cover_percent', 'albedo_share'))}, share_percent BETWEEN 0 AND 100 AS share_percent_ok, cover_percent BETWEEN 0 AND 100 AS cover_percent_ok, albedo_share BETWEEN 0 AND 1 AS albedo_share_ok FROM n"
+
+
+def _grid_fingerprint(spark, d):
+    """A digest of each raster row's coordinates, and one of the rows' digests in order."""
+    g = B.grid(spark, d).select("y", "x", F.concat_ws(",", *[F.round(F.col(c) * 1e7).cast("long").cast("string") for c in ("lat", "lon")]).alias("c"))
+    rows = g.groupBy("y").agg(F.sha2(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("x", "c"))), lambda p: p["c"])), 256).alias("digest"))
+    whole = rows.agg(F.sha2(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("y", "digest"))), lambda p: p["digest"])), 256).alias("digest"))
+    return rows.unionByName(whole.select(F.lit(-1).alias("y"), "digest"))
+
+
+QUERIES["grid_fingerprint"] = _grid_fingerprint
+ORACLES["grid_fingerprint"] = f"WITH {B.GRID}, r AS (SELECT y, sha256(string_agg(round(lat*1e7)::BIGINT||','||round(lon*1e7)::BIGINT, ';' ORDER BY x)) AS digest FROM grid GROUP BY y) SELECT y, digest FROM r UNION ALL SELECT -1, sha256(string_agg(digest, ';' ORDER BY y)) FROM r"

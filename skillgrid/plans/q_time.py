@@ -16,9 +16,23 @@ def endpoints(spark, d):
     return B.endpoints(spark, d).withColumn("hour", F.col("hour").cast(NTZ))
 
 
-@query("trapezoid_hour", f"WITH {B.ENDPOINTS} SELECT station, hour, {sql6('value')}, round(CASE WHEN date_diff('second', lag(hour) OVER w, hour)=3600 THEN (value+lag(value) OVER w)/2 END,6)+0.0 AS hourly FROM endpoints WINDOW w AS (PARTITION BY station ORDER BY hour)")
+VECTORS = "ev AS (SELECT station, date_trunc('hour', ts) AS hour, avg(speed) AS s, avg(-speed*sin(radians(direction))) AS u, avg(-speed*cos(radians(direction))) AS v FROM wind GROUP BY 1, 2)"
+
+
+def vectors(spark, d):
+    from skillgrid.functions.physics import wind_uv
+
+    u, v = wind_uv(F.col("speed"), F.col("direction"))
+    return B.wind(spark, d).groupBy("station", F.date_trunc("hour", "ts").cast(NTZ).alias("hour")).agg(F.avg("speed").alias("s"), F.avg(u).alias("u"), F.avg(v).alias("v"))
+
+
+_MEAN = lambda c: f"CASE WHEN date_diff('second', lag(hour) OVER w, hour)=3600 THEN ({c}+lag({c}) OVER w)/2 END"
+
+
+@query("trapezoid_hour", f"WITH {B.WIND}, {VECTORS}, t AS (SELECT station, hour, {_MEAN('s')} AS hs, {_MEAN('u')} AS hu, {_MEAN('v')} AS hv FROM ev WINDOW w AS (PARTITION BY station ORDER BY hour)) SELECT station, hour, round(hs,6)+0.0 AS hourly_speed, round(hu*CASE WHEN sqrt(hu*hu+hv*hv)>0 THEN hs/sqrt(hu*hu+hv*hv) ELSE 0 END,6)+0.0 AS hourly_u, round(hv*CASE WHEN sqrt(hu*hu+hv*hv)>0 THEN hs/sqrt(hu*hu+hv*hv) ELSE 0 END,6)+0.0 AS hourly_v FROM t")
 def trapezoid_hour(spark, d):
-    return rounded(temporal.trapezoid(endpoints(spark, d), ["station"], "hour", "value"))
+    out = temporal.trapezoid_wind(vectors(spark, d), ["station"], "hour", "s", "u", "v")
+    return rounded(out.select("station", "hour", "hourly_speed", "hourly_u", "hourly_v"))
 
 
 @query("cumulative_diff", f"WITH {B.ENDPOINTS}, c AS (SELECT station, hour, sum(value) OVER (PARTITION BY station ORDER BY hour) - CASE WHEN station=3 THEN value*1.5 ELSE 0 END AS total FROM endpoints) SELECT station, hour, round(coalesce(greatest(total-lag(total) OVER w,0),0),6)+0.0 AS increase, coalesce(total-lag(total) OVER w < -0.01, FALSE) AS violation FROM c WINDOW w AS (PARTITION BY station ORDER BY hour)")
@@ -28,10 +42,12 @@ def cumulative_diff(spark, d):
     return rounded(temporal.cumulative_difference(c, ["station"], "hour", "total").drop("total"))
 
 
-@query("ending_hour_mean", f"WITH {B.WIND} SELECT station, date_trunc('hour', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS hour, count(*) AS samples, round(avg(speed),6)+0.0 AS mean FROM wind GROUP BY 1,2 HAVING count(*) >= 2")
+@query("ending_hour_mean", "WITH w AS (SELECT user_id % 2 AS station, make_timestamp((ceil(epoch_us(ts)/600000000.0)*600000000)::BIGINT) AS slot, value AS speed, radians(((event_id*37) % 360)::DOUBLE) AS a FROM events), t AS (SELECT station, slot, avg(speed) AS s, avg(-speed*sin(a)) AS u, avg(-speed*cos(a)) AS v FROM w GROUP BY 1,2), h AS (SELECT station, date_trunc('hour', slot - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS hour, count(*) AS samples, avg(s) AS s, avg(u) AS u, avg(v) AS v FROM t GROUP BY 1,2), f AS (SELECT *, CASE WHEN sqrt(u*u+v*v)>0 THEN s/sqrt(u*u+v*v) ELSE 0 END AS k FROM h) SELECT station, hour, samples, round(CASE WHEN samples=6 THEN s END,6)+0.0 AS speed, round(CASE WHEN samples=6 THEN u*k END,6)+0.0 AS u, round(CASE WHEN samples=6 THEN v*k END,6)+0.0 AS v FROM f")
 def ending_hour_mean(spark, d):
-    g = B.wind(spark, d).groupBy("station", temporal.ending_hour(F.col("ts")).cast(NTZ).alias("hour")).agg(F.count("*").alias("samples"), F.avg("speed").alias("mean"))
-    return rounded(g.where("samples >= 2"))
+    """Hours of six ten-minute samples; incomplete ones keep their count and have no mean."""
+    w = B.wind(spark, d).join(B.table(spark, d, "events").select("event_id", (F.col("user_id") % 2).alias("half")), "event_id").drop("station").withColumnRenamed("half", "station")
+    out = temporal.ending_hour_wind(w, ["station"], "ts", "speed", "direction")
+    return rounded(out.withColumn("hour", F.col("hour").cast(NTZ)))
 
 
 @query("lead_hour", "SELECT event_id, CASE WHEN epoch(ts)::BIGINT >= 0 AND date_diff('second', TIMESTAMP '2024-01-10', date_trunc('minute', ts)) >= 0 AND date_diff('second', TIMESTAMP '2024-01-10', date_trunc('minute', ts)) % 3600 = 0 THEN date_diff('second', TIMESTAMP '2024-01-10', date_trunc('minute', ts))//3600 END AS lead FROM events")
@@ -39,22 +55,23 @@ def lead_hour(spark, d):
     return B.table(spark, d, "events").select("event_id", temporal.lead_hour(F.date_trunc("minute", "ts"), F.lit("2024-01-10").cast("timestamp")).alias("lead"))
 
 
-@query("asof_epoch", "WITH e AS (SELECT user_id, ts, value FROM events WHERE event_type='purchase'), c AS (SELECT event_id, user_id, ts FROM events WHERE event_type='click') SELECT event_id, c.user_id, round(e.value,6)+0.0 AS value, e.ts AS valid_from, e.ts IS NULL AS extrapolated FROM c ASOF LEFT JOIN e ON c.user_id=e.user_id AND c.ts >= e.ts")
+@query("asof_epoch", "WITH e AS (SELECT user_id, ts, value FROM events WHERE event_type='purchase'), f AS (SELECT user_id, min(ts) AS ts, arg_min(value, ts) AS value FROM e GROUP BY 1), c AS (SELECT event_id, user_id, ts FROM events WHERE event_type='click') SELECT event_id, c.user_id, round(coalesce(e.value, f.value),6)+0.0 AS value, coalesce(e.ts, f.ts) AS valid_from, e.ts IS NULL AND f.ts IS NOT NULL AS extrapolated, f.ts IS NULL AS violation FROM c ASOF LEFT JOIN e ON c.user_id=e.user_id AND c.ts >= e.ts LEFT JOIN f ON c.user_id=f.user_id")
 def asof_epoch(spark, d):
+    """The epoch in force; before the first, that one, marked; a series without any is a violation."""
     e = B.table(spark, d, "events")
     clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    out = temporal.asof(clicks, e.where("event_type = 'purchase'").select("user_id", "ts", "value"), ["user_id"], "ts", "ts", "value")
-    return out.select("event_id", "user_id", r6("value").alias("value"), "valid_from", F.col("valid_from").isNull().alias("extrapolated"))
+    out = temporal.asof(clicks, e.where("event_type = 'purchase'").select("user_id", "ts", "value"), ["user_id"], "ts", "ts", "value", back=True)
+    return out.select("event_id", "user_id", r6("value").alias("value"), "valid_from", "extrapolated", F.col("valid_from").isNull().alias("violation"))
 
 
 SERIES = "s AS (SELECT o_custkey AS k, o_orderdate AS t0, avg(sqrt(o_totalprice)) AS v0 FROM orders GROUP BY 1,2), b AS (SELECT k, t0, v0, lead(t0) OVER w AS t1, lead(v0) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY k ORDER BY t0))"
 
 
-@query("bracket_interp", f"WITH {SERIES}, q AS (SELECT o_orderkey AS record, o_custkey AS k, o_orderdate + INTERVAL 3 DAY AS t FROM orders WHERE o_orderkey % 3 = 0) SELECT record, q.k AS segment, round(CASE WHEN t1 IS NULL THEN CASE WHEN t=t0 THEN v0 END ELSE v0+(v1-v0)*date_diff('second',t0,t)/date_diff('second',t0,t1)::DOUBLE END,6)+0.0 AS interpolated FROM q LEFT JOIN b ON q.k=b.k AND t>=t0 AND (t<t1 OR (t1 IS NULL AND t=t0))")
+@query("bracket_interp", f"WITH {SERIES}, q AS (SELECT o_orderkey AS record, o_custkey AS k, o_orderdate + INTERVAL 3 DAY AS t FROM orders) SELECT record, q.k AS segment, round(CASE WHEN t1 IS NULL THEN CASE WHEN t=t0 THEN v0 END ELSE v0+(v1-v0)*date_diff('second',t0,t)/date_diff('second',t0,t1)::DOUBLE END,6)+0.0 AS interpolated FROM q LEFT JOIN b ON q.k=b.k AND t>=t0 AND (t<t1 OR (t1 IS NULL AND t=t0))")
 def bracket_interp(spark, d):
     o = B.table(spark, d, "orders")
     series = o.groupBy(F.col("o_custkey").alias("segment"), F.col("o_orderdate").alias("t")).agg(F.avg(F.sqrt("o_totalprice")).alias("v"))
-    asked = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("segment"), (F.col("o_orderdate") + F.expr("interval 3 days")).alias("t"))
+    asked = o.select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("segment"), (F.col("o_orderdate") + F.expr("interval 3 days")).alias("t"))
     return rounded(temporal.bracket_interpolate(asked, series, ["segment"], "t", "v").drop("t"))
 
 
@@ -102,11 +119,13 @@ def time_bracketed_sum(spark, d):
     return rounded(pairing.bracketed_sum(endpoints(spark, d), ["station"], "hour", "value", 3).drop("value"))
 
 
-@query("segment_inputs", f"WITH {B.CATALOG}, s AS (SELECT unnest(range(0,8)) AS segment_index), b AS (SELECT segment_index, TIMESTAMP '1995-01-01' + segment_index*INTERVAL 365 DAY AS begin_, TIMESTAMP '1995-01-01' + (segment_index+1)*INTERVAL 365 DAY AS end_ FROM s) SELECT segment_index::BIGINT AS segment_index, count(*) AS records, min(valid) AS first, max(valid) AS last FROM b JOIN catalog ON valid BETWEEN begin_ AND end_ GROUP BY 1")
+@query("segment_inputs", f"WITH {B.CATALOG}, s AS (SELECT unnest(range((SELECT min(year(valid)) FROM catalog), (SELECT max(year(valid)) FROM catalog)+1)) AS segment_index), b AS (SELECT segment_index, make_timestamp(segment_index,1,1,0,0,0) AS begin_, make_timestamp(segment_index+1,1,1,0,0,0) AS end_ FROM s) SELECT segment_index::INT AS segment_index, count(*) AS records, min(valid) AS first, max(valid) AS last FROM b JOIN catalog ON valid BETWEEN begin_ AND end_ GROUP BY 1")
 def segment_inputs(spark, d):
-    b = spark.range(8).select(F.col("id").alias("segment_index"), F.expr("timestamp_ntz'1995-01-01' + make_interval(0,0,0,cast(id*365 as int))").alias("begin"), F.expr("timestamp_ntz'1995-01-01' + make_interval(0,0,0,cast((id+1)*365 as int))").alias("end"))
-    j = B.catalog(spark, d).join(F.broadcast(b), F.col("valid").between(F.col("begin"), F.col("end")))
-    return j.groupBy("segment_index").agg(F.count("*").alias("records"), F.min("valid").alias("first"), F.max("valid").alias("last"))
+    """Records of each yearly segment, both ends included: what lies on a boundary goes to both sides, so there is no range join."""
+    year, least = F.year("valid"), B.catalog(spark, d).agg(F.min(F.year("valid")).alias("least"))
+    on_edge = F.date_trunc("year", F.col("valid").cast("timestamp")) == F.col("valid").cast("timestamp")
+    c = B.catalog(spark, d).crossJoin(F.broadcast(least)).withColumn("segment_index", F.explode(F.when(on_edge & (year > F.col("least")), F.array(year - 1, year)).otherwise(F.array(year))))
+    return c.groupBy("segment_index").agg(F.count("*").alias("records"), F.min("valid").alias("first"), F.max("valid").alias("last"))
 
 
 @query("monotonic_check", f"WITH {B.PROFILE}, dd AS (SELECT column_id, value - lag(value) OVER w AS dv, z - lag(z) OVER w AS dz FROM profile WINDOW w AS (PARTITION BY column_id ORDER BY level)) SELECT column_id, coalesce(min(dz)>0, TRUE) AS z_increasing, coalesce(min(dv)>0, TRUE) AS value_increasing, coalesce(max(dv)<0, TRUE) AS value_decreasing FROM dd GROUP BY 1")
@@ -143,11 +162,15 @@ def segment_position(spark, d):
     return B.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("lead"), F.floor(i / 3).cast("int").alias("segment"), (i % 3 + 1).alias("position"), (F.floor(i / 3) > 0).alias("restarted")).distinct()
 
 
-@query("adjacent_link", f"WITH {B.CATALOG}, l AS (SELECT segment, record, priority, lead(record) OVER w AS next, lead(priority) OVER w AS next_priority FROM catalog WINDOW w AS (PARTITION BY segment ORDER BY valid, record)) SELECT segment, record, next, priority = next_priority AS linked FROM l WHERE next IS NOT NULL")
+@query("adjacent_link", f"WITH {B.CATALOG}, g AS (SELECT segment, record, valid, valid + (record % 40) * INTERVAL 1 DAY AS until, priority FROM catalog), l AS (SELECT segment, record, until, priority, lead(record) OVER w AS next, lead(valid) OVER w AS begins, lead(priority) OVER w AS np FROM g WINDOW w AS (PARTITION BY segment ORDER BY valid, record)) SELECT segment, record, next, begins = until AS meets, date_diff('day', until, begins)::INT AS gap_days, sha256(until::DATE||priority) = sha256(begins::DATE||np) AS same_state, begins = until AND priority = np AS linked FROM l WHERE next IS NOT NULL")
 def adjacent_link(spark, d):
+    """Each segment must begin where the one before ends, in the state that it ended in."""
     w = Window.partitionBy("segment").orderBy("valid", "record")
-    c = B.catalog(spark, d).withColumns({"next": F.lead("record").over(w), "np": F.lead("priority").over(w)})
-    return c.where("next is not null").select("segment", "record", "next", (F.col("priority") == F.col("np")).alias("linked"))
+    g = B.catalog(spark, d).withColumn("until", F.expr("valid + make_interval(0, 0, 0, cast(record % 40 as int))"))
+    l = g.withColumns({"next": F.lead("record").over(w), "begins": F.lead("valid").over(w), "np": F.lead("priority").over(w)}).where("next is not null")
+    state = lambda t, p: F.sha2(F.concat(F.date_format(t, "yyyy-MM-dd"), F.col(p)), 256)
+    meets = F.col("begins") == F.col("until")
+    return l.select("segment", "record", "next", meets.alias("meets"), F.datediff("begins", "until").alias("gap_days"), (state("until", "priority") == state("begins", "np")).alias("same_state"), (meets & (F.col("priority") == F.col("np"))).alias("linked"))
 
 
 @query("interval_extrema", f"WITH {B.CATALOG}, g AS (SELECT segment, date_diff('day', lag(valid) OVER (PARTITION BY segment ORDER BY valid, record), valid) AS gap FROM catalog) SELECT segment, min(gap)::INT AS shortest, max(gap)::INT AS longest, coalesce(min(gap)>0, TRUE) AS increasing FROM g GROUP BY 1")
@@ -156,10 +179,10 @@ def interval_extrema(spark, d):
     return B.catalog(spark, d).select("segment", gap.alias("gap")).groupBy("segment").agg(F.min("gap").alias("shortest"), F.max("gap").alias("longest"), F.coalesce(F.min("gap") > 0, F.lit(True)).alias("increasing"))
 
 
-@query("round_robin", f"WITH {B.CATALOG}, s AS (SELECT segment % 4 AS season, valid, row_number() OVER (PARTITION BY segment % 4 ORDER BY valid) AS pos FROM (SELECT DISTINCT segment % 4 AS segment, valid FROM catalog)) SELECT season, valid, pos::INT AS pos FROM s WHERE pos <= 50")
+@query("round_robin", f"WITH {B.CATALOG}, s AS (SELECT segment % 4 AS season, valid, row_number() OVER (PARTITION BY segment % 4 ORDER BY valid) AS pos FROM (SELECT DISTINCT segment % 4 AS segment, valid FROM catalog)) SELECT season, valid, pos::INT AS pos FROM s")
 def round_robin(spark, d):
     s = B.catalog(spark, d).select((F.col("segment") % 4).alias("season"), "valid").dropDuplicates()
-    out = s.withColumn("pos", F.row_number().over(Window.partitionBy("season").orderBy("valid"))).where("pos <= 50")
+    out = s.withColumn("pos", F.row_number().over(Window.partitionBy("season").orderBy("valid")))
     return out.orderBy("pos", "season")
 
 
@@ -170,18 +193,25 @@ def time_slices(spark, d):
     return g.select("k", "slice_begin", F.least(F.col("slice_begin") + F.expr("interval 12 hours"), F.col("e")).alias("slice_end"))
 
 
-@query("archive_inventory", "WITH k AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 5 = 0), b AS (SELECT min(day) AS a, max(day) AS z FROM k), g AS (SELECT unnest(generate_series(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM b) SELECT year(g.day)::INT AS year, count(k.day) AS available, count(*) AS expected, count(*) - count(k.day) AS missing FROM g LEFT JOIN k ON g.day=k.day GROUP BY 1")
+@query("archive_inventory", "WITH n AS (SELECT o_orderdate::DATE AS day, o_orderstatus='P' AS field FROM orders), k AS (SELECT DISTINCT day FROM n WHERE field), b AS (SELECT min(day) AS a, max(day) AS z FROM k), g AS (SELECT unnest(generate_series(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM b) SELECT year(g.day)::INT AS year, count(k.day) AS available, count(*) AS expected, count(*) - count(k.day) AS missing, (SELECT count(*) FROM n WHERE NOT field) AS ignored, (SELECT count(*) FROM k) = (SELECT count(*) FROM g) AS passes FROM g LEFT JOIN k ON g.day=k.day GROUP BY 1")
 def archive_inventory(spark, d):
-    names = B.table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit(":0000:field")).alias("name"))
-    k = names.select(F.to_date(F.regexp_extract("name", r"^(\d{8}):0000:", 1), "yyyyMMdd").alias("day")).where("day is not null").distinct()
+    """A listing of daily keys among other entries, which are counted and ignored."""
+    name = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.when(F.col("o_orderstatus") == "P", ":0000:field").otherwise(".log"))
+    names = B.table(spark, d, "orders").select(name.alias("name"))
+    days = names.select(F.try_to_timestamp(F.regexp_extract("name", r"^(\d{8}):0000:", 1), F.lit("yyyyMMdd")).cast("date").alias("day"))
+    k = days.where("day is not null").distinct()
+    other = days.agg(F.count_if(F.col("day").isNull()).alias("ignored"))
     g = k.agg(F.min("day").alias("a"), F.max("day").alias("z")).select(F.explode(F.expr("sequence(a, z, interval 1 day)")).alias("day"))
-    have = k.withColumn("have", F.lit(1))
-    return g.join(have, "day", "left").groupBy(F.year("day").alias("year")).agg(F.count("have").alias("available"), F.count("*").alias("expected"), (F.count("*") - F.count("have")).alias("missing"))
+    years = g.join(k.withColumn("have", F.lit(1)), "day", "left").groupBy(F.year("day").alias("year")).agg(F.count("have").alias("available"), F.count("*").alias("expected"), (F.count("*") - F.count("have")).alias("missing"))
+    gaps = F.sum("missing").over(Window.partitionBy(F.lit(1)))  # a row a year
+    return years.crossJoin(F.broadcast(other)).withColumn("passes", gaps == 0)
 
 
-@query("archive_rollup", "SELECT year(o_orderdate)::INT AS year, count(*) AS records, count(DISTINCT o_orderdate) AS days, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY 1")
+@query("archive_rollup", "WITH y AS (SELECT year(o_orderdate)::INT AS year, count(*) AS records, count(DISTINCT o_orderdate) AS days, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY 1) SELECT *, date_diff('day', make_date(year,1,1), make_date(year+1,1,1))::INT AS expected, (date_diff('day', make_date(year,1,1), make_date(year+1,1,1)) - days)::BIGINT AS missing FROM y")
 def archive_rollup(spark, d):
-    return B.table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("records"), F.count_distinct("o_orderdate").alias("days"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    y = B.table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("records"), F.count_distinct("o_orderdate").alias("days"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    expected = F.datediff(F.make_date(F.col("year") + 1, F.lit(1), F.lit(1)), F.make_date("year", F.lit(1), F.lit(1)))
+    return y.withColumn("expected", expected).withColumn("missing", F.col("expected") - F.col("days"))
 
 
 @query("ready_pairs", f"WITH {B.CATALOG} SELECT segment, valid, bool_or(priority='1-URGENT') AS forcing, bool_or(priority='2-HIGH') AS boundary, bool_or(priority='1-URGENT') AND bool_or(priority='2-HIGH') AS ready FROM catalog WHERE priority IN ('1-URGENT','2-HIGH') GROUP BY 1,2")
