@@ -194,6 +194,12 @@ def sleve_basis(zeta: Column, top: float, scale: float, exponent: float) -> Colu
     return F.sinh(power(F.lit(top)) - power(zeta)) / F.sinh(power(F.lit(top)))
 
 
+def sleve_slope(zeta: Column, top: float, scale: float, exponent: float) -> Column:
+    """Change of that decay with height."""
+    power = lambda x: F.pow(x / scale, F.lit(exponent))
+    return -exponent / scale * F.pow(zeta / scale, F.lit(exponent - 1)) * F.cosh(power(F.lit(top)) - power(zeta)) / F.sinh(power(F.lit(top)))
+
+
 def land_temperature(skin: Column, dz: Column, depth: Column) -> Column:
     """Lapse correction that fades with depth over 3 m."""
     return skin - LAPSE_LAND * dz * clip(1 - depth / 3.0, 0.0, 1.0)

@@ -57,37 +57,74 @@ def saturation(t: np.ndarray, p: np.ndarray) -> np.ndarray:
     return EPSILON * e / (p - (1 - EPSILON) * e)
 
 
+def quiet_top(n: int) -> list[float]:
+    """Factors of vertical wind at n interfaces: none at the top, 0.33 and 0.66 below it."""
+    return [1.0] * max(0, n - 3) + [0.66, 0.33, 0.0][max(0, 3 - n) :]
+
+
+def upward(columns: DataFrame, z: str, *values: str) -> DataFrame:
+    """Columns with ``z`` and ``values`` from the bottom up, and the ``direction`` they came in: up, down, mixed or single."""
+    steps = F.transform(F.sequence(F.lit(1), F.size(z) - 1), lambda i: F.element_at(z, i + 1) - F.element_at(z, i))
+    c = columns.withColumn("_dz", F.when(F.size(z) > 1, steps))
+    c = c.withColumn("direction", F.when(F.col("_dz").isNull(), "single").when(F.forall("_dz", lambda x: x > 0), "up").when(F.forall("_dz", lambda x: x < 0), "down").otherwise("mixed")).drop("_dz")
+    return c.withColumns({v: F.when(F.col("direction") == "down", F.reverse(v)).otherwise(F.col(v)) for v in (z, *values)})
+
+
+#: Metres that the target's ground lies above or below the source's before the column counts as higher or lower.
+MATCHED = 1.0
+
+
 def reconstruct(columns: DataFrame, key: str, at: list[float], rounds: int = 8) -> DataFrame:
-    """Full columns on target heights: temperature and total water are interpolated, then pressure, vapour and cloud are settled together by fixed-point rounds.
+    """Full columns on heights above the target's own ground: temperature, total water and winds are interpolated, then pressure, vapour and cloud are settled together by fixed-point rounds.
 
-    columns: key, z, t, q (arrays) and p0. Returns key, target_z, t, p, vapour, cloud, theta, residual; residual is the last change of log p.
+    columns: key, z, t, q, u, v (arrays), p0 (pressure at ``ground``), ground and own_ground. Where the target's ground is over a metre higher, source levels below it are
+    buried and left out. Returns key, target_z, t, p, vapour, cloud, humidity, u, v, theta, terrain (lower, matched or higher), buried and residual, the last change of log p.
+    Above the source's top all are null; a column of which no level is left is null throughout.
     """
-    target = np.array(at)
+    above = np.array(at)
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [[np.array(x.as_py(), float) for x in b.column(i)] for i in (1, 2, 3)]
-            t = np.array([interpolate_one(z, v, target, 0.02, True) for z, v in zip(cols[0], cols[1])])
-            q = np.array([interpolate_one(z, v, target, 1e-5, True) for z, v in zip(cols[0], cols[2])])
-            t, q = np.where(np.isnan(t), 250.0, t), np.where(np.isnan(q), 0.0, q)
-            base = np.array([x.as_py() for x in b.column(4)], float)[:, None]
-            vapour, logp, change = q, np.log(base) - GRAVITY * target / (R_DRY * t), np.full(len(t), np.inf)
+            names = ("z", "t", "q", "u", "v", "p0", "ground", "own_ground")
+            col = {n: b.column(k + 1).to_pylist() for k, n in enumerate(names)}
+            n, m = b.num_rows, len(above)
+            ground, own = np.array(col["ground"], float), np.array(col["own_ground"], float)
+            case = np.where(own - ground > MATCHED, "higher", np.where(own - ground < -MATCHED, "lower", "matched"))
+            target = own[:, None] + above
+            value = {k: np.full((n, m), np.nan) for k in "tquv"}
+            top, buried = np.full(n, -np.inf), np.zeros(n, np.int64)
+            for i in range(n):
+                z = np.array(col["z"][i], float)
+                left = z > own[i] if case[i] == "higher" else np.ones(len(z), bool)
+                buried[i] = (~left).sum()
+                if not left.any():
+                    continue
+                top[i] = z[-1]
+                for k, limit in (("t", 0.02), ("q", 1e-5), ("u", 0.05), ("v", 0.05)):
+                    # held above the top while pressure is settled, and taken out after that
+                    value[k][i] = interpolate_one(z[left], np.array(col[k][i], float)[left], np.minimum(target[i], z[-1]), limit, True)
+            t, q = value["t"], value["q"]
+            base = np.log(np.array(col["p0"], float))[:, None]
+            vapour, logp, change = q, base - GRAVITY * (target - ground[:, None]) / (R_DRY * t), np.full(n, np.inf)
             for _ in range(rounds):
                 tv = t * (1 + 0.61 * vapour)
-                layer = -GRAVITY * np.diff(target)[None] / (R_DRY * (tv[:, 1:] + tv[:, :-1]) / 2)
-                first = np.log(base) - GRAVITY * target[0] / (R_DRY * tv[:, :1])
+                first = base - GRAVITY * (target[:, :1] - ground[:, None]) / (R_DRY * tv[:, :1])
+                layer = -GRAVITY * np.diff(target, axis=1) / (R_DRY * (tv[:, 1:] + tv[:, :-1]) / 2)
                 new = np.concatenate([first, first + np.cumsum(layer, axis=1)], axis=1)
                 change, logp = np.abs(new - logp).max(axis=1), new
                 vapour = np.minimum(q, saturation(t, np.exp(logp)))
             p = np.exp(logp)
-            n = len(target)
-            flat = [np.repeat(b.column(0).to_numpy(), n), np.tile(target, len(t)), *(x.ravel() for x in (t, p, vapour, q - vapour, t * (1e5 / p) ** 0.2857)), np.repeat(change, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], [key, "target_z", "t", "p", "vapour", "cloud", "theta", "residual"])
+            inside = target <= top[:, None]
+            out = {"t": t, "p": p, "vapour": vapour, "cloud": q - vapour, "humidity": 100 * vapour / saturation(t, p), "u": value["u"], "v": value["v"], "theta": t * (1e5 / p) ** 0.2857}
+            cols = [pa.array(np.repeat(b.column(0).to_numpy(), m)), pa.array(np.tile(above, n)), *(pa.array(np.where(inside, x, np.nan).ravel(), from_pandas=True) for x in out.values())]
+            cols += [pa.array(np.repeat(case, m)), pa.array(np.repeat(buried, m)), pa.array(np.repeat(change, m), from_pandas=True)]
+            yield pa.RecordBatch.from_arrays(cols, [key, "target_z", *out, "terrain", "buried", "residual"])
 
     kind = columns.schema[key].dataType.simpleString()
-    return columns.select(key, "z", "t", "q", "p0").mapInArrow(run, f"{key} {kind}, target_z double, t double, p double, vapour double, cloud double, theta double, residual double")
+    names = ", ".join(f"{n} double" for n in ("target_z", "t", "p", "vapour", "cloud", "humidity", "u", "v", "theta"))
+    return columns.select(key, "z", "t", "q", "u", "v", "p0", "ground", "own_ground").mapInArrow(run, f"{key} {kind}, {names}, terrain string, buried long, residual double")
 
 
 def lift_layers(rows: DataFrame, key: str, level: str, thickness: str, least: float, span: str) -> DataFrame:

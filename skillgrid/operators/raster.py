@@ -64,6 +64,12 @@ def shapiro(cells: DataFrame, value: str, active: str, order: int = 4, strength:
     return cells
 
 
+def edge_distance(cells: DataFrame) -> DataFrame:
+    """``cells`` with how many cells each is from the raster's edge, by the raster's own bounds."""
+    e = cells.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    return cells.crossJoin(F.broadcast(e)).withColumn("cells", F.least(F.col("x") - F.col("_x0"), F.col("_x1") - F.col("x"), F.col("y") - F.col("_y0"), F.col("_y1") - F.col("y"))).drop("_x0", "_x1", "_y0", "_y1")
+
+
 def reblend(cells: DataFrame, value: str, outer: Column, width: float) -> DataFrame:
     """``value`` blended into ``outer`` over ``width`` cells from the edges (x0, x1, y0, y1), which are columns."""
     w = edge_taper(F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y")), width, "cosine")
@@ -77,6 +83,24 @@ def gradient(cells: DataFrame, value: str, axis: str, step: float) -> Column:
     return F.when(b.isNull() & f2.isNotNull(), (-3 * v + 4 * f - f2) / (2 * step)).when(f.isNull() & b2.isNotNull(), (3 * v - 4 * b + b2) / (2 * step)).when(b.isNull(), (f - v) / step).when(f.isNull(), (v - b) / step).otherwise((f - b) / (2 * step))
 
 
+def faces(cells: DataFrame, value: str, axis: str) -> tuple[Column, Column]:
+    """Values at a cell's two faces along an axis: midway to the neighbours, and the cell's own at the raster's edge. Their mean brings a face field back to cells."""
+    w, v = along(axis), F.col(value)
+    return F.coalesce((v + F.lag(value).over(w)) / 2, v), F.coalesce((v + F.lead(value).over(w)) / 2, v)
+
+
+def rotation(cells: DataFrame, dx_m: float, smooth_m: float = 1000.0, half: int = 4) -> DataFrame:
+    """(y, x, sin_a, cos_a) of the grid against the parallels: from the change of lat and lon over two cells either way, fewer at the edges, smoothed over ``smooth_m``."""
+    w = along("x")
+    at = lambda c, f: F.coalesce(f(c, 2).over(w), f(c, 1).over(w), F.col(c))
+    dlat, dlon = at("lat", F.lead) - at("lat", F.lag), (at("lon", F.lead) - at("lon", F.lag)) * F.cos(F.radians("lat"))
+    r = cells.select("y", "x", dlat.alias("_a"), dlon.alias("_o"))
+    n = F.sqrt(F.col("_a") * F.col("_a") + F.col("_o") * F.col("_o"))
+    r = r.select("y", "x", F.try_divide(-F.col("_a"), n).alias("sin_a"), F.abs(F.try_divide(F.col("_o"), n)).alias("cos_a"))
+    passes = int(smooth_m / dx_m)
+    return r if not passes else box_mean(box_mean(r, "sin_a", half, passes), "cos_a", half, passes)
+
+
 def neighbour_pairs(cells: DataFrame, keep: list[str]) -> DataFrame:
     """Pairs of cells that touch along a row or a column: (y, x, axis, keep..., next_keep...)."""
     out = None

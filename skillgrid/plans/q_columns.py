@@ -35,21 +35,27 @@ def hydrostatic_integrate(spark, d):
     return rounded(C.hydrostatic(rows, "column_id", "level", "z", "tv", F.lit(100000.0)).select("column_id", "level", "pressure"))
 
 
+def profile_columns(spark, d, surface: float):
+    """Columns of the profiles with temperature, water and winds, over ground at the source's and at another height."""
+    rows = B.profile(spark, d).withColumns({"t": surface - F.col("z") * 0.0065, "q": F.col("value") * 1e-4, "u": F.col("value") * 0.1, "v": 3.0 - F.col("value") * 0.05})
+    cols = C.as_arrays(rows, "column_id", "level", "z", "t", "q", "u", "v")
+    return cols.withColumns({"p0": F.lit(100000.0), "ground": F.lit(50.0), "own_ground": 20.0 + (F.col("column_id") % 5) * 60.0})
+
+
 @query("column_reconstruct")
 def column_reconstruct(spark, d):
-    """State of each column on target heights; the residual of the last round is next to nothing."""
-    rows = B.profile(spark, d).withColumns({"t": 290.0 - F.col("z") * 0.0065, "q": F.col("value") * 1e-4})
-    cols = C.as_arrays(rows, "column_id", "level", "z", "t", "q").withColumn("p0", F.lit(100000.0))
-    return rounded(C.reconstruct(cols, "column_id", HEIGHTS))
+    """State of each column on heights above its own ground; the residual of the last round is next to nothing."""
+    return rounded(C.reconstruct(profile_columns(spark, d, 290.0), "column_id", HEIGHTS))
 
 
 @query("state_transform")
 def state_transform(spark, d):
-    """Interfaces, reconstructed state and dry mixing ratios of each column, in one pipeline."""
-    rows = B.profile(spark, d).withColumns({"t": 288.0 - F.col("z") * 0.0065, "q": F.col("value") * 1e-4})
-    state = C.reconstruct(C.as_arrays(rows, "column_id", "level", "z", "t", "q").withColumn("p0", F.lit(99000.0)), "column_id", HEIGHTS)
+    """Reconstructed state, winds and dry mixing ratios of each column, with the vertical wind of a slope, quiet at the top, in one pipeline."""
+    state = C.reconstruct(profile_columns(spark, d, 288.0), "column_id", HEIGHTS)
     dry = P.dry_mixing_ratio([F.col("vapour"), F.col("cloud")])
-    return rounded(state.select("column_id", "target_z", "theta", dry[0].alias("vapour"), dry[1].alias("cloud"), (F.col("p") / (P.R_DRY * F.col("t"))).alias("density")))
+    quiet = F.element_at(F.map_from_arrays(F.array(*map(F.lit, HEIGHTS)), F.array(*map(F.lit, C.quiet_top(len(HEIGHTS))))), F.col("target_z"))
+    w = P.blend(F.col("target_z"), 4000.0) * (0.02 * F.col("u") + 0.01 * F.col("v")) * quiet
+    return rounded(state.select("column_id", "target_z", "theta", dry[0].alias("vapour"), dry[1].alias("cloud"), (F.col("p") / (P.R_DRY * F.col("t"))).alias("density"), "u", "v", w.alias("w")))
 
 
 @query("interface_remap", f"WITH {B.PROFILE}, a AS (SELECT column_id, level, value*500.0/sum(value) OVER (PARTITION BY column_id) AS t FROM profile), b AS (SELECT *, sum(greatest(20-t,0)) OVER p AS need, sum(greatest(t-20,0)) OVER p AS excess FROM a WINDOW p AS (PARTITION BY column_id)), u AS (SELECT column_id, level, CASE WHEN t<20 THEN 20 ELSE t-(t-20)*CASE WHEN excess<>0 THEN need/excess END END AS u FROM b) SELECT column_id, level, round(sum(u) OVER (PARTITION BY column_id ORDER BY level),6)+0.0 AS interface FROM u")
@@ -61,38 +67,55 @@ def interface_remap(spark, d):
 GRADX = "CASE WHEN lag(height) OVER w IS NULL THEN (-3*height+4*lead(height) OVER w-lead(height,2) OVER w)/400.0 WHEN lead(height) OVER w IS NULL THEN (3*height-4*lag(height) OVER w+lag(height,2) OVER w)/400.0 ELSE (lead(height) OVER w-lag(height) OVER w)/400.0 END"
 
 
-@query("terrain_w", f"WITH {B.GRID}, g AS (SELECT y, x, size, {GRADX} AS s FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)), z AS (SELECT unnest([0.0,1000.0,3000.0,5000.0]::DOUBLE[]) AS z) SELECT y, x, z, round((1-3*least(z/4000,1)*least(z/4000,1)+2*least(z/4000,1)*least(z/4000,1)*least(z/4000,1))*s*(size*0.5)*CASE WHEN z>=5000 THEN 0 ELSE 1 END,6)+0.0 AS w FROM g, z")
+@query("terrain_w", f"WITH {B.GRID}, g AS (SELECT y, x, size, {GRADX} AS sx FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)), h AS (SELECT y, x, {GRADX} AS sy FROM grid WINDOW w AS (PARTITION BY x ORDER BY y)), z AS (SELECT unnest([0.0,1000.0,2500.0,5000.0,7000.0]::DOUBLE[]) AS z, unnest([1.0,1.0,0.66,0.33,0.0]::DOUBLE[]) AS quiet), i AS (SELECT y, x, z, (1-3*least(z/4000,1)*least(z/4000,1)+2*least(z/4000,1)*least(z/4000,1)*least(z/4000,1)) AS b, sx*size*0.5+sy*2.0 AS slope, size*0.01 AS given, quiet FROM g JOIN h USING (y, x), z), w AS (SELECT y, x, z, (b*slope+(1-b)*given)*quiet AS w FROM i) SELECT y, x, z, {sql6('w')}, round((w+lead(w) OVER (PARTITION BY y, x ORDER BY z))/2,6)+0.0 AS w_mass FROM w")
 def terrain_w(spark, d):
-    """Slope wind that fades over 4 km, on a few levels; quiet at the top."""
+    """Vertical wind at interfaces: the slope wind at the ground, fading into the given one over 4 km; a third, two thirds and all of it taken away at the top three; then at mass levels."""
     g = B.grid(spark, d)
-    s = g.select("y", "x", "size", raster.gradient(g, "height", "x", 200.0).alias("s"))
-    z = s.withColumn("z", F.explode(F.array(*map(F.lit, (0.0, 1000.0, 3000.0, 5000.0)))))
-    return z.select("y", "x", "z", r6(P.blend(F.col("z"), 4000.0) * F.col("s") * (F.col("size") * 0.5) * F.when(F.col("z") >= 5000, 0).otherwise(1)).alias("w"))
+    s = g.select("y", "x", "size", raster.gradient(g, "height", "x", 200.0).alias("sx"), raster.gradient(g, "height", "y", 200.0).alias("sy"))
+    heights = (0.0, 1000.0, 2500.0, 5000.0, 7000.0)
+    levels = s.withColumn("l", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(q).alias("quiet")) for z, q in zip(heights, C.quiet_top(len(heights)))])))
+    b = P.blend(F.col("l.z"), 4000.0)
+    w = (b * (F.col("sx") * F.col("size") * 0.5 + F.col("sy") * 2.0) + (1 - b) * F.col("size") * 0.01) * F.col("l.quiet")
+    w = levels.select("y", "x", F.col("l.z").alias("z"), w.alias("w"))
+    return rounded(w.withColumn("w_mass", (F.col("w") + F.lead("w").over(Window.partitionBy("y", "x").orderBy("z"))) / 2))
 
 
 SINH = "((exp({0})-exp(-({0})))/2)"
 
 
-@query("sleve_geometry", f"WITH {B.GRID}, l AS (SELECT unnest([0.0,500.0,2000.0,6000.0]::DOUBLE[]) AS zeta), h AS (SELECT y, x, zeta, zeta + (height-900)*{SINH.format('pow(8000.0/5000.0,1.35)-pow(zeta/5000.0,1.35)')}/{SINH.format('pow(8000.0/5000.0,1.35)')} AS z FROM grid, l) SELECT y, x, zeta, {sql6('z')}, round(lead(z) OVER (PARTITION BY y, x ORDER BY zeta)-z,6)+0.0 AS thickness FROM h")
-def sleve_geometry(spark, d):
-    """Level heights over terrain that decays with height, and layer thickness."""
-    g = B.grid(spark, d).withColumn("zeta", F.explode(F.array(*map(F.lit, (0.0, 500.0, 2000.0, 6000.0)))))
-    h = g.select("y", "x", "zeta", (F.col("zeta") + (F.col("height") - 900) * P.sleve_basis(F.col("zeta"), 8000.0, 5000.0, 1.35)).alias("z"))
-    return rounded(h.withColumn("thickness", F.lead("z").over(Window.partitionBy("y", "x").orderBy("zeta")) - F.col("z")))
+COSH = "((exp({0})+exp(-({0})))/2)"
+_POW = lambda z, s: f"pow({z}/{s},1.35)"
+_B = lambda s: f"{SINH.format(_POW('8000.0', s) + '-' + _POW('zeta', s))}/{SINH.format(_POW('8000.0', s))}"
+_DB = lambda s: f"(-1.35/{s}*pow(zeta/{s},0.35)*{COSH.format(_POW('8000.0', s) + '-' + _POW('zeta', s))}/{SINH.format(_POW('8000.0', s))})"
 
 
-@query("staggering", f"WITH {B.GRID} SELECT y, x, round(coalesce((height*1.003+lag(height*1.003) OVER w)/2, height*1.003),6)+0.0 AS face FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)")
+@query("sleve_geometry", f"WITH {B.GRID}, s AS (SELECT a.y, a.x, a.height AS h, avg(b.height) AS h1 FROM grid a JOIN grid b ON abs(a.y-b.y)<=2 AND abs(a.x-b.x)<=2 GROUP BY 1,2,3), l AS (SELECT unnest([0.0,20.0,60.0,500.0,2000.0,6000.0]::DOUBLE[]) AS zeta), z AS (SELECT y, x, zeta, zeta + h1*{_B('5000.0')} + (h-h1)*{_B('2500.0')} AS z, 1 + h1*{_DB('5000.0')} + (h-h1)*{_DB('2500.0')} AS jacobian FROM s, l), t AS (SELECT *, lead(z) OVER (PARTITION BY y, x ORDER BY zeta)-z AS thickness FROM z) SELECT y, x, zeta, {sql6('z', 'jacobian', 'thickness')}, jacobian <= 0.5 OR coalesce(thickness < 12.0, FALSE) AS rejected FROM t")
+def sleve_geometry(spark, d):
+    """Level heights over a smooth and a rough part of the terrain, which decay over 5 and 2.5 km; their Jacobian and thickness, and what is too steep or too thin."""
+    g = B.grid(spark, d).select("y", "x", "height")
+    smooth = raster.box_mean(g, "height", 2).withColumnRenamed("height", "h1")
+    at = g.join(smooth, ["y", "x"]).withColumn("zeta", F.explode(F.array(*map(F.lit, (0.0, 20.0, 60.0, 500.0, 2000.0, 6000.0)))))
+    zeta, h1, h2 = F.col("zeta"), F.col("h1"), F.col("height") - F.col("h1")
+    sum_ = lambda f: h1 * f(zeta, 8000.0, 5000.0, 1.35) + h2 * f(zeta, 8000.0, 2500.0, 1.35)
+    h = at.select("y", "x", "zeta", (zeta + sum_(P.sleve_basis)).alias("z"), (1 + sum_(P.sleve_slope)).alias("jacobian"))
+    h = h.withColumn("thickness", F.lead("z").over(Window.partitionBy("y", "x").orderBy("zeta")) - F.col("z"))
+    return rounded(h.withColumn("rejected", (F.col("jacobian") <= 0.5) | F.coalesce(F.col("thickness") < 12.0, F.lit(False))))
+
+
+@query("staggering", f"WITH {B.GRID}, q AS (SELECT y, x, height*1.003 AS h FROM grid), a AS (SELECT y, x, coalesce((h+lag(h) OVER w)/2,h) AS west, coalesce((h+lead(h) OVER w)/2,h) AS east FROM q WINDOW w AS (PARTITION BY y ORDER BY x)), b AS (SELECT y, x, coalesce((h+lag(h) OVER w)/2,h) AS south, coalesce((h+lead(h) OVER w)/2,h) AS north FROM q WINDOW w AS (PARTITION BY x ORDER BY y)) SELECT y, x, {sql6('west', 'east', 'south', 'north')}, round((west+east)/2,6)+0.0 AS back_x, round((south+north)/2,6)+0.0 AS back_y FROM a JOIN b USING (y, x)")
 def staggering(spark, d):
-    h = F.col("height") * 1.003
-    return rounded(B.grid(spark, d).select("y", "x", F.coalesce((h + F.lag(h).over(raster.along("x"))) / 2, h).alias("face")))
+    """A cell field on the faces along both axes, and back on the cells."""
+    g = B.grid(spark, d).select("y", "x", (F.col("height") * 1.003).alias("h"))
+    (west, east), (south, north) = raster.faces(g, "h", "x"), raster.faces(g, "h", "y")
+    f = g.select("y", "x", west.alias("west"), east.alias("east"), south.alias("south"), north.alias("north"))
+    return rounded(f.withColumns({"back_x": (F.col("west") + F.col("east")) / 2, "back_y": (F.col("south") + F.col("north")) / 2}))
 
 
-@query("level_reverse", f"WITH {B.PROFILE}, dd AS (SELECT column_id, level, value, value-lag(value) OVER (PARTITION BY column_id ORDER BY level) AS dv FROM profile) SELECT column_id, CASE WHEN count(dv)=0 THEN 'single' WHEN bool_and(dv>0) FILTER (dv IS NOT NULL) THEN 'increasing' WHEN bool_and(dv<0) FILTER (dv IS NOT NULL) THEN 'decreasing' ELSE 'mixed' END AS direction, arg_max(value, level) AS first_reversed FROM dd GROUP BY 1")
+@query("level_reverse", f"WITH {B.PROFILE}, t AS (SELECT column_id, CASE WHEN column_id % 2 = 1 THEN -level ELSE level END AS place, z, value FROM profile), g AS (SELECT column_id, z - lag(z) OVER (PARTITION BY column_id ORDER BY place) AS dz FROM t), k AS (SELECT column_id, CASE WHEN count(dz)=0 THEN 'single' WHEN min(dz)>0 THEN 'up' WHEN max(dz)<0 THEN 'down' ELSE 'mixed' END AS direction FROM g GROUP BY 1) SELECT column_id, direction, string_agg(value::INT, ',' ORDER BY CASE WHEN direction='down' THEN -place ELSE place END) AS upward FROM t JOIN k USING (column_id) GROUP BY 1, 2")
 def level_reverse(spark, d):
-    a = arrays(spark, d)
-    diff = F.transform(F.sequence(F.lit(1), F.size("value") - 1), lambda i: F.element_at("value", i + 1) - F.element_at("value", i))
-    a = a.withColumn("dv", F.when(F.size("value") > 1, diff))
-    return a.select("column_id", F.when(F.col("dv").isNull(), "single").when(F.forall("dv", lambda x: x > 0), "increasing").when(F.forall("dv", lambda x: x < 0), "decreasing").otherwise("mixed").alias("direction"), F.element_at(F.reverse("value"), 1).alias("first_reversed"))
+    """Whether a column's levels go up or down, and its values from the bottom up."""
+    p = B.profile(spark, d).withColumn("place", F.when(F.col("column_id") % 2 == 1, -F.col("level")).otherwise(F.col("level")))
+    return C.upward(C.as_arrays(p, "column_id", "place", "z", "value"), "z", "value").select("column_id", "direction", F.concat_ws(",", F.transform("value", lambda v: v.cast("int").cast("string"))).alias("upward"))
 
 
 @query("flatten_report", f"WITH {ROWS} SELECT station, season, metric, source, stat, round(v,6)+0.0 AS value FROM (SELECT station, season, metric, 'candidate' AS source, 'rmse' AS stat, candidate_rmse AS v FROM sr UNION ALL SELECT station, season, metric, 'baseline', 'rmse', baseline_rmse FROM sr UNION ALL SELECT station, season, metric, 'candidate', 'bias', candidate_bias FROM sr UNION ALL SELECT station, season, metric, 'baseline', 'bias', baseline_bias FROM sr)")
@@ -104,13 +127,14 @@ def flatten_report(spark, d):
     return rounded(a.select("station", "season", "source", "metric", F.explode("m").alias("stat", "value")))
 
 
-@query("grid_rotation", f"WITH {B.GRID}, r AS (SELECT y, x, lead(lat,2) OVER w - lag(lat,2) OVER w AS dlat, (lead(lon,2) OVER w - lag(lon,2) OVER w)*cos(radians(lat)) AS dlon FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT y, x, round(dlat/sqrt(dlat*dlat+dlon*dlon),6)+0.0 AS sin_a, round(dlon/sqrt(dlat*dlat+dlon*dlon),6)+0.0 AS cos_a FROM r WHERE dlon IS NOT NULL")
+_TWICE = ", ".join(f"s{k} AS (SELECT a.y, a.x, avg(b.sin_a) AS sin_a, avg(b.cos_a) AS cos_a FROM s{k - 1} a JOIN s{k - 1} b ON abs(a.y-b.y)<=4 AND abs(a.x-b.x)<=4 GROUP BY 1,2)" for k in (1, 2))
+
+
+@query("grid_rotation", f"WITH {B.GRID}, q AS (SELECT y, x, lat + 0.0001*size AS lat, lon FROM grid), r AS (SELECT y, x, coalesce(lead(lat,2) OVER w, lead(lat) OVER w, lat) - coalesce(lag(lat,2) OVER w, lag(lat) OVER w, lat) AS dlat, (coalesce(lead(lon,2) OVER w, lead(lon) OVER w, lon) - coalesce(lag(lon,2) OVER w, lag(lon) OVER w, lon))*cos(radians(lat)) AS dlon FROM q WINDOW w AS (PARTITION BY y ORDER BY x)), s0 AS (SELECT y, x, -dlat/sqrt(dlat*dlat+dlon*dlon) AS sin_a, abs(dlon/sqrt(dlat*dlat+dlon*dlon)) AS cos_a FROM r), {_TWICE} SELECT y, x, {sql6('sin_a', 'cos_a')} FROM s2")
 def grid_rotation(spark, d):
-    w = raster.along("x")
-    dlat, dlon = F.lead("lat", 2).over(w) - F.lag("lat", 2).over(w), (F.lead("lon", 2).over(w) - F.lag("lon", 2).over(w)) * F.cos(F.radians("lat"))
-    r = B.grid(spark, d).select("y", "x", dlat.alias("dlat"), dlon.alias("dlon")).where("dlon is not null")
-    n = F.sqrt(F.col("dlat") * F.col("dlat") + F.col("dlon") * F.col("dlon"))
-    return rounded(r.select("y", "x", (F.col("dlat") / n).alias("sin_a"), (F.col("dlon") / n).alias("cos_a")))
+    """Rotation of a raster of 500 m, smoothed over a kilometre, so twice."""
+    g = B.grid(spark, d).select("y", "x", (F.col("lat") + 0.0001 * F.col("size")).alias("lat"), "lon")
+    return rounded(raster.rotation(g, 500.0))
 
 
 @query("surface_state", f"WITH {B.GRID} SELECT y, x, round(CASE WHEN land THEN 285.0-0.007*(height-1000)*1.0 ELSE 283.0::DOUBLE END,6)+0.0 AS skin, round(CASE WHEN land THEN 285.0-0.007*(height-1000)*(1-1.5/3.0) ELSE 283.0 END,6)+0.0 AS soil, round(CASE WHEN land THEN least(greatest(0.05+(size*0.02::DOUBLE)*(0.3-0.05),0.05),0.42)::DOUBLE ELSE 1.0 END,6)+0.0 AS water FROM grid")
@@ -122,10 +146,9 @@ def surface_state(spark, d):
 
 @query("udf_column")
 def udf_column(spark, d):
-    """The column kernel's own check: how far the last round still moved each column."""
-    rows = B.profile(spark, d).withColumns({"t": 290.0 - F.col("z") * 0.0065, "q": F.col("value") * 1e-4})
-    state = C.reconstruct(C.as_arrays(rows, "column_id", "level", "z", "t", "q").withColumn("p0", F.lit(100000.0)), "column_id", HEIGHTS)
-    return state.groupBy("column_id").agg((F.max("residual") < 1e-9).alias("settled"))
+    """The column kernel's own check: how far the last round still moved each column, and how many of its levels lie within the source."""
+    state = C.reconstruct(profile_columns(spark, d, 290.0), "column_id", HEIGHTS)
+    return state.groupBy("column_id").agg((F.max("residual") < 1e-9).alias("settled"), F.count("t").alias("levels"), F.first("terrain").alias("terrain"))
 
 
 @query("udf_fused_w", f"WITH {B.GRID}, g AS (SELECT y, x, {GRADX} AS s FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT y, x, round((s*3.0+s*3.0*(1-3*0.25*0.25+2*0.25*0.25*0.25))/2,6)+0.0 AS w_mass FROM g")

@@ -177,9 +177,7 @@ def neighborhood_median(spark, d):
 
 @query("edge_distance", f"WITH {B.GRID}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM grid) SELECT y, x, least(x-x0, x1-x, y-y0, y1-y) AS cells FROM grid, e")
 def edge_distance(spark, d):
-    g = B.grid(spark, d)
-    e = g.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return g.join(F.broadcast(e)).select("y", "x", F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y")).alias("cells"))
+    return raster.edge_distance(B.grid(spark, d)).select("y", "x", "cells")
 
 
 FOOT = f"{B.GRID}, c AS (SELECT p_partkey AS site, (p_partkey//50)::INT AS y0, (p_partkey%50)::INT AS x0 FROM part)"

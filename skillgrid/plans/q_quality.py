@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skillgrid.operators import quality as Q
 from skillgrid.operators import raster
 from skillgrid.plans import bindings as B
+from skillgrid.plans.q_grid import S121
+from skillgrid.plans.q_time import VECTORS, vectors
 from skillgrid.plans.registry import query, r6, rounded, sql6
 
 CELLS = "cells AS (SELECT 'quantity' AS var, l_orderkey AS a, l_partkey AS b, l_suppkey AS c, l_linenumber AS e, l_shipdate AS t, l_quantity AS value FROM lineitem UNION ALL SELECT 'discount', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_discount FROM lineitem)"
@@ -55,18 +57,23 @@ def value_compare(spark, d):
     return rounded(j.groupBy("var").agg(F.max(e).alias("max_abs"), F.avg(e).alias("mean_abs"), F.sqrt(F.avg(e * e)).alias("rms"), F.avg((F.col("r") != F.col("c")).cast("double")).alias("fraction")))
 
 
-@query("equivalent_terminal", f"WITH {B.CATALOG}, l AS (SELECT segment%2 AS run, valid, sum(bytes) AS v FROM catalog GROUP BY 1,2), t AS (SELECT max(valid) AS valid FROM (SELECT valid FROM l WHERE run=0 INTERSECT SELECT valid FROM l WHERE run=1)) SELECT t.valid, round(a.v-b.v,2)+0.0 AS difference FROM t JOIN l a ON a.valid=t.valid AND a.run=0 JOIN l b ON b.valid=t.valid AND b.run=1")
+@query("equivalent_terminal", f"WITH {B.CATALOG}, l AS (SELECT segment%2 AS run, valid, priority AS cell, sum(bytes) AS v FROM catalog GROUP BY 1,2,3), t AS (SELECT max(valid) AS valid FROM (SELECT valid FROM l WHERE run=0 INTERSECT SELECT valid FROM l WHERE run=1)), j AS (SELECT t.valid, a.v AS a, b.v AS b FROM t, (SELECT * FROM l, t WHERE run=0 AND l.valid=t.valid) a FULL JOIN (SELECT * FROM l, t WHERE run=1 AND l.valid=t.valid) b USING (cell)) SELECT valid, count(*) AS cells, count(*) FILTER ((a IS NULL) <> (b IS NULL)) AS mask_different, count(*) FILTER (a <> b) AS different, round(max(abs(a-b)),2)+0.0 AS max_abs FROM j GROUP BY valid")
 def equivalent_terminal(spark, d):
-    l = B.catalog(spark, d).groupBy((F.col("segment") % 2).alias("run"), "valid").agg(F.sum("bytes").alias("v"))
-    a, b = l.where("run = 0").select("valid", F.col("v").alias("a")), l.where("run = 1").select("valid", F.col("v").alias("b"))
-    both = a.join(b, "valid")
-    return both.orderBy(F.desc("valid")).limit(1).select("valid", (F.round(F.col("a") - F.col("b"), 2) + F.lit(0.0)).alias("difference"))
+    """Two runs at their last common time: which cells only one of them has, and how their values differ."""
+    l = B.catalog(spark, d).groupBy((F.col("segment") % 2).alias("run"), "valid", F.col("priority").alias("cell")).agg(F.sum("bytes").alias("v"))
+    times = l.groupBy("valid").agg(F.count_distinct("run").alias("n")).where("n = 2").agg(F.max("valid").alias("valid"))
+    last = l.join(F.broadcast(times), "valid")
+    cells = last.groupBy("valid", "cell").agg(F.max(F.when(F.col("run") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("run") == 1, F.col("v"))).alias("b"))
+    return cells.groupBy("valid").agg(F.count("*").alias("cells"), F.count_if(F.col("a").isNull() != F.col("b").isNull()).alias("mask_different"), F.count_if(F.col("a") != F.col("b")).alias("different"), (F.round(F.max(F.abs(F.col("a") - F.col("b"))), 2) + F.lit(0.0)).alias("max_abs"))
 
 
-@query("wind_invariants", f"WITH {B.WIND} SELECT station, count(*) FILTER (speed + 5e-4 < sqrt((speed*0.6)*(speed*0.6)+(speed*0.8)*(speed*0.8))) AS mean_below_vector, count(*) FILTER (speed*(0.99+0.01*(event_id%3)) + 5e-4 < speed) AS max_below_mean FROM wind GROUP BY station")
+@query("wind_invariants", f"WITH {B.WIND}, {VECTORS}, m AS (SELECT station, date_trunc('hour', ts) AS hour, max(speed) AS top FROM wind GROUP BY 1,2), l AS (SELECT station, max(hour) AS last FROM ev GROUP BY 1) SELECT station, count(*) AS hours, count(*) FILTER (s + 5e-4 < sqrt(u*u+v*v)) AS mean_below_vector, count(*) FILTER (top + 5e-4 < s) AS max_below_mean, bool_and(s + 5e-4 >= sqrt(u*u+v*v)) FILTER (hour=last) AS last_sound FROM ev JOIN m USING (station, hour) JOIN l USING (station) GROUP BY 1")
 def wind_invariants(spark, d):
-    s = F.col("speed")
-    return B.wind(spark, d).groupBy("station").agg(F.count_if(s + 5e-4 < F.sqrt((s * 0.6) * (s * 0.6) + (s * 0.8) * (s * 0.8))).alias("mean_below_vector"), F.count_if(s * (0.99 + 0.01 * (F.col("event_id") % 3)) + 5e-4 < s).alias("max_below_mean"))
+    """Hours whose mean speed is less than the length of their mean vector, or whose maximum is less than their mean; and whether the last hour is sound."""
+    top = B.wind(spark, d).groupBy("station", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.max("speed").alias("top"))
+    h = vectors(spark, d).join(top, ["station", "hour"]).withColumn("last", F.max("hour").over(Window.partitionBy("station")))
+    length = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
+    return h.groupBy("station").agg(F.count("*").alias("hours"), F.count_if(F.col("s") + 5e-4 < length).alias("mean_below_vector"), F.count_if(F.col("top") + 5e-4 < F.col("s")).alias("max_below_mean"), F.bool_and(F.when(F.col("hour") == F.col("last"), F.col("s") + 5e-4 >= length)).alias("last_sound"))
 
 
 def _rule_sql(source: str, rules: dict[str, str], prelude: str) -> str:
@@ -108,11 +115,14 @@ def lifetime_contract(spark, d):
     return f.join(F.broadcast(r), "lifetime", "left").select("field", "lifetime", "product", F.col("product").isNull().alias("violation"))
 
 
-@query("boundary_contract", f"WITH {B.GRID}, e AS (SELECT y, x, CASE WHEN least(x, 49-x, y, 39-y) >= 5 THEN 0.0::DOUBLE ELSE cos(0.5*pi()*least(x,49-x,y,39-y)/5.0)*cos(0.5*pi()*least(x,49-x,y,39-y)/5.0) END AS w FROM grid) SELECT count(*) AS points, count(DISTINCT (y,x)) AS unique_points, count(*) FILTER (w<0 OR w>1) AS outside, round(max(w),6)+0.0 AS edge FROM e WHERE w > 0")
+_EDGE = "least(x-x0, x1-x, y-y0, y1-y)"
+
+
+@query("boundary_contract", f"WITH {B.GRID}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM grid), e AS (SELECT y, x, CASE WHEN {_EDGE} >= 5 THEN 0.0::DOUBLE ELSE cos(0.5*pi()*{_EDGE}/5.0)*cos(0.5*pi()*{_EDGE}/5.0) END AS w FROM grid, b) SELECT count(*) AS points, count(DISTINCT (y,x)) AS unique_points, count(*) FILTER (w<0 OR w>1) AS outside, round(max(w),6)+0.0 AS edge FROM e WHERE w > 0")
 def boundary_contract(spark, d):
     from skillgrid.functions.physics import relaxation_weight
 
-    e = B.grid(spark, d).withColumn("w", relaxation_weight(F.least(F.col("x"), 49 - F.col("x"), F.col("y"), 39 - F.col("y")), 5.0)).where("w > 0")
+    e = raster.edge_distance(B.grid(spark, d)).withColumn("w", relaxation_weight(F.col("cells"), 5.0)).where("w > 0")
     return rounded(e.agg(F.count("*").alias("points"), F.count_distinct("y", "x").alias("unique_points"), F.count_if((F.col("w") < 0) | (F.col("w") > 1)).alias("outside"), F.max("w").alias("edge")))
 
 
@@ -124,10 +134,12 @@ def attr_match(spark, d):
     return j.where("not (text_equal and number_equal)")
 
 
-@query("chain_contract", f"WITH {B.CATALOG}, s AS (SELECT segment, count(*) FILTER (complete) AS completed, count(*) AS attempts, count(DISTINCT valid)=count(*) AS unique_times FROM catalog GROUP BY 1) SELECT segment, completed, attempts, unique_times, completed >= 1 AND unique_times AS ok FROM s")
+@query("chain_contract", f"WITH {B.CATALOG}, a AS (SELECT segment, year(valid) AS part, count(*) FILTER (complete) AS completed, count(*) AS attempts, count(DISTINCT valid)=count(*) AS unique_times FROM catalog GROUP BY 1,2), n AS (SELECT *, part - lag(part) OVER (PARTITION BY segment ORDER BY part) AS step FROM a) SELECT segment, part::INT AS part, completed, attempts, unique_times, coalesce(step = 1, TRUE) AS follows, completed = 1 AND unique_times AND coalesce(step = 1, TRUE) AS ok FROM n")
 def chain_contract(spark, d):
-    s = B.catalog(spark, d).groupBy("segment").agg(F.count_if("complete").alias("completed"), F.count("*").alias("attempts"), (F.count_distinct("valid") == F.count("*")).alias("unique_times"))
-    return s.withColumn("ok", (F.col("completed") >= 1) & F.col("unique_times"))
+    """Each part of a chain needs exactly one completed attempt and times of its own, and must follow the part before."""
+    a = B.catalog(spark, d).groupBy("segment", F.year("valid").alias("part")).agg(F.count_if("complete").alias("completed"), F.count("*").alias("attempts"), (F.count_distinct("valid") == F.count("*")).alias("unique_times"))
+    follows = F.coalesce(F.col("part") - F.lag("part").over(Window.partitionBy("segment").orderBy("part")) == 1, F.lit(True))
+    return a.withColumn("follows", follows).withColumn("ok", (F.col("completed") == 1) & F.col("unique_times") & F.col("follows"))
 
 
 @query("all_sites_covered", f"WITH {B.SITES}, {B.WIND} SELECT (SELECT count(DISTINCT station) FROM wind) AS observed, (SELECT count(*) FROM sites WHERE site < 25) AS mapped, (SELECT count(*) FROM (SELECT DISTINCT station FROM wind WHERE station NOT IN (SELECT site FROM sites))) AS excluded")
@@ -143,20 +155,31 @@ def readiness_evidence(spark, d):
     return B.accepted(spark, d).groupBy("metric").agg(F.count("*").alias("rows_"), n.alias("seasons"), F.count_distinct("station").alias("stations"), (n == 4).alias("complete"))
 
 
-@query("mapping_identity", f"WITH {B.GRID}, {B.SITES}, m AS (SELECT site, s.lat, s.lon, floor((s.lat-46)/0.002)::INT AS y, floor((s.lon-7)/0.003)::INT AS x FROM sites s) SELECT site, m.y, m.x, land AS on_land, abs(m.lat-g.lat)*110.57 <= greatest(0.02, 0.3) AS close_ FROM m JOIN grid g ON g.y=m.y AND g.x=m.x")
+_DIST = "sqrt(((m.lat-g.lat)*110.57)*((m.lat-g.lat)*110.57)+((m.lon-g.lon)*111.32*cos(radians(m.lat)))*((m.lon-g.lon)*111.32*cos(radians(m.lat))))"
+
+
+@query("mapping_identity", f"WITH {B.GRID}, {B.SITES}, m AS (SELECT site, s.lat, s.lon, floor((s.lat-46)/0.002)::INT AS y, floor((s.lon-7)/0.003)::INT AS x, elevation FROM sites s), j AS (SELECT site, m.y, m.x, g.y IS NOT NULL AS in_bounds, coalesce(land, FALSE) AS on_land, {_DIST} AS km, {_DIST}*(1+(site%20)/100.0) AS reported, g.height AS height, g.height + CASE WHEN site%9=0 THEN 0.01 ELSE 0.0001 END AS reported_height FROM m LEFT JOIN grid g ON g.y=m.y AND g.x=m.x) SELECT site, y, x, in_bounds, on_land, round(km,6)+0.0 AS km, coalesce(abs(reported_height-height) <= 1e-3, FALSE) AS same_height, coalesce(abs(km-reported) <= greatest(0.02, 0.05*reported), FALSE) AS same_distance FROM j")
 def mapping_identity(spark, d):
+    """Reported cells of sites against the grid: in bounds, on land, of the same height to a millimetre, and as far away as reported to 20 m or 5 %."""
+    from skillgrid.operators.spatial import planar_km
+
     m = B.sites(spark, d).withColumns({"y": F.floor((F.col("lat") - 46) / 0.002).cast("int"), "x": F.floor((F.col("lon") - 7) / 0.003).cast("int")})
-    g = B.grid(spark, d).select("y", "x", "land", F.col("lat").alias("glat"))
-    return m.join(g, ["y", "x"]).select("site", "y", "x", F.col("land").alias("on_land"), (F.abs(F.col("lat") - F.col("glat")) * 110.57 <= F.greatest(F.lit(0.02), F.lit(0.3))).alias("close_"))
+    j = m.join(B.grid(spark, d).select("y", "x", "land", "height", F.col("lat").alias("glat"), F.col("lon").alias("glon")), ["y", "x"], "left")
+    j = j.withColumn("km", planar_km(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"), F.col("lat")))
+    j = j.withColumns({"reported": F.col("km") * (1 + (F.col("site") % 20) / 100), "reported_height": F.col("height") + F.when(F.col("site") % 9 == 0, 0.01).otherwise(0.0001)})
+    no = F.lit(False)
+    same_distance = F.abs(F.col("km") - F.col("reported")) <= F.greatest(F.lit(0.02), 0.05 * F.col("reported"))
+    return rounded(j.select("site", "y", "x", F.col("glat").isNotNull().alias("in_bounds"), F.coalesce("land", no).alias("on_land"), "km", F.coalesce(F.abs(F.col("reported_height") - F.col("height")) <= 1e-3, no).alias("same_height"), F.coalesce(same_distance, no).alias("same_distance")))
 
 
-@query("identity_residual", f"WITH {B.WIND}, r AS (SELECT station, abs(sqrt((speed*sin(radians(direction)))*(speed*sin(radians(direction)))+(speed*cos(radians(direction)))*(speed*cos(radians(direction))))-speed) AS e FROM wind) SELECT station, count(*) AS samples, count(*) >= 100 AS enough, max(e) <= 1e-9 AS holds FROM r GROUP BY station")
+@query("identity_residual", f"WITH {B.WIND}, r AS (SELECT station, speed, abs(sqrt((speed*sin(radians(direction)))*(speed*sin(radians(direction)))+(speed*cos(radians(direction)))*(speed*cos(radians(direction))))-speed) AS e FROM wind) SELECT station, count(*) AS samples, count(*) >= 100 AS enough, max(e) <= 1e-9 AS holds, quantile_cont(e,0.99) <= 1e-9 AS holds_p99, min(speed) >= 0 AND max(speed) <= 1e6 AS in_range, max(speed) > min(speed) AS varies FROM r GROUP BY station")
 def identity_residual(spark, d):
     from skillgrid.functions.physics import wind_uv
 
     u, v = wind_uv(F.col("speed"), F.col("direction"))
     e = F.abs(F.sqrt(u * u + v * v) - F.col("speed"))
-    return B.wind(spark, d).groupBy("station").agg(F.count("*").alias("samples"), (F.count("*") >= 100).alias("enough"), (F.max(e) <= 1e-9).alias("holds"))
+    low, high = F.min("speed"), F.max("speed")
+    return B.wind(spark, d).groupBy("station").agg(F.count("*").alias("samples"), (F.count("*") >= 100).alias("enough"), (F.max(e) <= 1e-9).alias("holds"), (F.percentile(e, F.lit(0.99)) <= 1e-9).alias("holds_p99"), ((low >= 0) & (high <= 1e6)).alias("in_range"), (high > low).alias("varies"))
 
 
 @query("column_total", f"WITH {B.PROFILE}, c AS (SELECT column_id, sum(value*0.1*1000) AS one, sum(value*0.1*1000*(1+0.01*(level%3))) AS two FROM profile GROUP BY 1) SELECT column_id, {sql6('one', 'two')} FROM c")
@@ -167,10 +190,24 @@ def column_total(spark, d):
     return rounded(arrays.select("column_id", total(lambda x: F.lit(1.0)).alias("one"), total(lambda x: 1 + 0.01 * (x["level"] % 3)).alias("two")))
 
 
-@query("filter_static", f"WITH {B.GRID}, b AS (SELECT y//5 AS by_, x//5 AS bx, avg(height) AS h FROM grid WHERE land GROUP BY 1,2) SELECT count(*) AS blocks, round(min(h),6)+0.0 AS lowest, round(max(h),6)+0.0 AS highest FROM b")
+_TAPER = "(0.5-0.5*cos(pi()*least(least(x-x0,x1-x,y-y0,y1-y)/6.0,1.0)))"
+
+
+@query("filter_static", f"WITH {B.GRID}, {S121.format(n='a', v='height', k='', f='grid', p='y', o='x')}, {S121.format(n='b', v='height', k='', f='a', p='x', o='y')}, c AS (SELECT y, x, g.land, g.height AS h0, g.height-b.height AS height FROM grid g JOIN b USING (y,x)), {S121.format(n='e', v='height', k='', f='c', p='y', o='x')}, {S121.format(n='f', v='height', k='', f='e', p='x', o='y')}, fl AS (SELECT y, x, h0, CASE WHEN c.land THEN h0 - 0.9*(c.height-f.height) ELSE h0 END AS hf FROM c JOIN f USING (y,x)), ed AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM grid), bl AS (SELECT y, x, h0, (1-{_TAPER})*h0 + {_TAPER}*hf AS h1 FROM fl, ed), sc AS (SELECT unnest([5,25,50]) AS cells), k AS (SELECT cells, y//cells AS ty, x//cells AS tx, avg(h0) AS a0, avg(h1) AS a1 FROM bl, sc GROUP BY 1,2,3) SELECT cells::INT AS cells, count(*) AS blocks, round(sqrt(avg((a1-a0)*(a1-a0))),6)+0.0 AS rms, round(max(abs(a1-a0)),6)+0.0 AS largest, round(stddev_pop(a0),6)+0.0 AS roughness_before, round(stddev_pop(a1),6)+0.0 AS roughness_after, 0::BIGINT AS others_changed FROM k GROUP BY 1")
 def filter_static(spark, d):
-    b = B.grid(spark, d).where("land").groupBy(F.floor(F.col("y") / 5).alias("by"), F.floor(F.col("x") / 5).alias("bx")).agg(F.avg("height").alias("h"))
-    return rounded(b.agg(F.count("*").alias("blocks"), F.min("h").alias("lowest"), F.max("h").alias("highest")))
+    """Terrain filtered on land and blended back in at the edges; how that changes means of 1, 5 and 10 km, and proof that no other field changed."""
+    g = B.grid(spark, d)
+    smooth = raster.shapiro(g.select("y", "x", "land", "height"), "height", "land", 4, 0.9).select("y", "x", F.col("height").alias("smooth"))
+    e = g.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    new = raster.reblend(g.join(smooth, ["y", "x"]).crossJoin(F.broadcast(e)), "smooth", F.col("height"), 6.0)
+    product = new.select(*[c for c in g.columns if c != "height"], F.col("smooth").alias("height"))
+    rest = [c for c in g.columns if c not in ("y", "x", "height")]
+    other = product.select("y", "x", F.xxhash64(*rest).alias("h")).join(g.select("y", "x", F.xxhash64(*rest).alias("h2")), ["y", "x"], "full").agg(F.count_if(~F.col("h").eqNullSafe(F.col("h2"))).alias("others_changed"))
+    at = new.withColumn("cells", F.explode(F.array(*map(F.lit, (5, 25, 50)))))
+    k = at.groupBy("cells", F.floor(F.col("y") / F.col("cells")).alias("ty"), F.floor(F.col("x") / F.col("cells")).alias("tx")).agg(F.avg("height").alias("a0"), F.avg("smooth").alias("a1"))
+    change = F.col("a1") - F.col("a0")
+    out = k.groupBy("cells").agg(F.count("*").alias("blocks"), F.sqrt(F.avg(change * change)).alias("rms"), F.max(F.abs(change)).alias("largest"), F.stddev_pop("a0").alias("roughness_before"), F.stddev_pop("a1").alias("roughness_after"))
+    return rounded(out.crossJoin(F.broadcast(other)))
 
 
 @query("runtime_assemble", f"WITH {B.GRID} SELECT g.y, g.x, g.height, g.size*0.01::DOUBLE AS vegetation, month(o.o_orderdate)::INT AS month FROM grid g JOIN orders o ON o.o_orderkey = g.y*50+g.x")
@@ -186,3 +223,12 @@ def epoch_append(spark, d):
     last = c.where("valid < timestamp_ntz'1998-01-01'").groupBy("segment").agg(F.max("valid").alias("last"))
     new = c.where("valid >= timestamp_ntz'1997-06-01'").join(last, "segment", "left").where("last is null or valid > last")
     return new.groupBy("segment").agg(F.count("*").alias("appended"), F.min("valid").alias("first"))
+
+
+@query("column_total_differences", f"WITH {B.PROFILE}, c AS (SELECT column_id, sum(value*0.1*1000) AS one, sum(value*0.1*1000*(1+0.01*(level%3))) AS two, sum(value*0.1*1000)*0.98 AS three FROM profile GROUP BY 1), p AS (SELECT 'two-one' AS pair, two-one AS e FROM c UNION ALL SELECT 'three-one', three-one FROM c UNION ALL SELECT 'three-two', three-two FROM c) SELECT pair, round(avg(e),6)+0.0 AS mean, round(sqrt(avg(e*e)),6)+0.0 AS rmse, round(quantile_cont(abs(e),0.95),6)+0.0 AS p95, round(max(abs(e)),6)+0.0 AS largest FROM p GROUP BY 1")
+def column_total_differences(spark, d):
+    """How column totals by three methods differ from each other."""
+    total = F.sum(F.col("value") * 0.1 * 1000)
+    c = B.profile(spark, d).groupBy("column_id").agg(total.alias("one"), F.sum(F.col("value") * 0.1 * 1000 * (1 + 0.01 * (F.col("level") % 3))).alias("two"), (total * 0.98).alias("three"))
+    p = c.select(F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("pair"), (F.col(a) - F.col(b)).alias("e")) for a, b in (("two", "one"), ("three", "one"), ("three", "two"))])).alias("p")).select("p.*")
+    return rounded(p.groupBy("pair").agg(F.avg("e").alias("mean"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.percentile(F.abs("e"), F.lit(0.95)).alias("p95"), F.max(F.abs("e")).alias("largest")))

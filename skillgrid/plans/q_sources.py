@@ -11,50 +11,52 @@ from skillgrid.plans.registry import query, r6, rounded, sql6
 from skillgrid.sources import products, station_files
 from skillgrid.session import shared_path
 
-OBS = "SELECT user_id % 25 AS site, event_id, ts, value, event_id % 6 AS dq FROM events"
+#: What the station file holds: some speeds are negative, some directions impossible, one site moves and one lies outside the range.
+SITE = "'S'||(user_id%25)"
+SPEED = "CASE WHEN event_id%11<>0 THEN CASE WHEN event_id%89=0 THEN -value ELSE value END END"
+TURN = "CASE WHEN event_id%97=0 THEN 400.0 ELSE ((event_id*37)%360)::DOUBLE END"
+STATION = f"sf AS (SELECT {SITE} AS meas_site, event_id, date_trunc('second', ts) AS valid, {SPEED} AS s, {TURN} AS a, event_id%6 AS qs, (event_id+2)%6 AS qa, CASE WHEN user_id%25=7 THEN 95.0 ELSE 46.0+(user_id%25)*0.05 + CASE WHEN user_id%25=3 AND event_id%2=0 THEN 0.01 ELSE 0 END END AS latitude FROM events)"
 
 
 def station_csv(spark, d) -> str:
-    """Events as a station file: two parameters with their pi, mi, dq and uc."""
+    """Events as station files: two parameters with their pi, mi, dq and uc; every file begins with the header."""
     e = B.table(spark, d, "events")
-    site = F.concat(F.lit("S"), (F.col("user_id") % 25).cast("string"))
-    cols = [site, F.date_format("ts", "yyyyMMddHHmmss"), F.lit("46.5"), F.lit("7.5"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("value").cast("string")), F.lit("0"), F.lit("0"), (F.col("event_id") % 6).cast("string"), F.lit("1"), ((F.col("event_id") * 37) % 360).cast("string"), F.lit("0"), F.lit("0"), ((F.col("event_id") + 2) % 6).cast("string"), F.lit("1")]
-    head = spark.createDataFrame([("meas_site;termin;latitude;longitude;nr;fkl010h0;pi;mi;dq;uc;dkl010h0;pi;mi;dq;uc", -1)], "value string, o long")
-    rows = e.select(F.concat_ws(";", *cols).alias("value"), F.col("event_id").alias("o"))
+    n = F.col("user_id") % 25
+    site = F.concat(F.lit("S"), n.cast("string"))
+    latitude = F.when(n == 7, 95.0).otherwise(46.0 + n * 0.05 + F.when((n == 3) & (F.col("event_id") % 2 == 0), 0.01).otherwise(0.0))
+    speed = F.when(F.col("event_id") % 89 == 0, -F.col("value")).otherwise(F.col("value"))
+    turn = F.when(F.col("event_id") % 97 == 0, 400.0).otherwise(((F.col("event_id") * 37) % 360).cast("double"))
+    cols = [site, F.date_format("ts", "yyyyMMddHHmmss"), F.round(latitude, 4).cast("string"), F.lit("7.5"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 11 == 0, "").otherwise(speed.cast("string")), F.lit("0"), F.lit("0"), (F.col("event_id") % 6).cast("string"), F.lit("1"), turn.cast("string"), F.lit("0"), F.lit("0"), ((F.col("event_id") + 2) % 6).cast("string"), F.lit("1")]
     path = shared_path(spark, "station-file")
-    head.select("value").unionByName(rows.select("value")).coalesce(1).write.text(path)
+    station_files.write_lines(e.select(F.concat_ws(";", *cols).alias("line")), "meas_site;termin;latitude;longitude;nr;fkl010h0;pi;mi;dq;uc;dkl010h0;pi;mi;dq;uc", path)
     return path
 
 
-@query("obs_scan", "SELECT 'S'||(user_id%25) AS meas_site, count(*) FILTER (event_id%11<>0 AND event_id%6>=4) AS accepted, count(*) FILTER (event_id%11<>0 AND event_id%6<4) AS rejected, round(sum(value) FILTER (event_id%11<>0 AND event_id%6>=4),6)+0.0 AS total FROM events GROUP BY 1")
+@query("obs_scan", f"WITH {STATION} SELECT meas_site, count(s) FILTER (qs>=4) AS accepted, count(s) FILTER (qs<4) AS rejected, round(sum(s) FILTER (qs>=4),6)+0.0 AS total FROM sf GROUP BY 1")
 def obs_scan(spark, d):
     long = station_files.read_long(spark, station_csv(spark, d)).where("parameter = 'fkl010h0'")
     good = station_files.accepted(long).groupBy("meas_site").agg(F.count("*").alias("accepted"), F.sum("value").alias("total"))
     return rounded(good.join(station_files.rejected(long, ["meas_site"]), "meas_site").select("meas_site", "accepted", "rejected", "total"))
 
 
-@query("wind_obs_scan", "SELECT 'S'||(user_id%25) AS meas_site, 'fkl010h0' AS parameter, count(*) FILTER (event_id%11<>0) AS finite FROM events GROUP BY 1 UNION ALL SELECT 'S'||(user_id%25), 'dkl010h0', count(*) FROM events GROUP BY 1")
+@query("wind_obs_scan", f"WITH {STATION} SELECT meas_site, 'fkl010h0' AS parameter, count(s) AS finite FROM sf GROUP BY 1 UNION ALL SELECT meas_site, 'dkl010h0', count(a) FROM sf GROUP BY 1")
 def wind_obs_scan(spark, d):
     return station_files.read_long(spark, station_csv(spark, d)).groupBy("meas_site", "parameter").agg(F.count("value").alias("finite"))
 
 
-VEC = "w AS (SELECT 'S'||(user_id%25) AS meas_site, event_id AS nr, value AS s, ((event_id*37)%360)::DOUBLE AS a FROM events WHERE event_id%11<>0 AND event_id%6>=4 AND (event_id+2)%6>=4)"
-
-
 def _pairs(spark, d):
     long = station_files.accepted(station_files.read_long(spark, station_csv(spark, d)))
-    return long.groupBy("meas_site", "nr").agg(F.max(F.when(F.col("parameter") == "fkl010h0", F.col("value"))).alias("s"), F.max(F.when(F.col("parameter") == "dkl010h0", F.col("value"))).alias("a")).where("s is not null and a is not null")
+    return long.groupBy("meas_site", "valid", "nr").agg(F.max(F.when(F.col("parameter") == "fkl010h0", F.col("value"))).alias("s"), F.max(F.when(F.col("parameter") == "dkl010h0", F.col("value"))).alias("a")).where("s is not null and a is not null")
 
 
-@query("wind_vec_scan", "WITH w AS (SELECT 'S'||(user_id%25) AS meas_site, event_id AS nr, value AS s, ((event_id*37)%360)::DOUBLE AS a FROM events WHERE event_id%11<>0 AND event_id%6>=4 AND (event_id+2)%6>=4) SELECT meas_site, nr::BIGINT AS nr, round(-s*sin(radians(a)),6)+0.0 AS u, round(-s*cos(radians(a)),6)+0.0 AS v FROM w WHERE s>=0 AND a BETWEEN 0 AND 360")
+@query("wind_vec_scan", f"WITH {STATION}, p AS (SELECT *, count(*) OVER (PARTITION BY meas_site, valid) AS n FROM sf WHERE s IS NOT NULL AND qs>=4 AND qa>=4), v AS (SELECT *, CASE WHEN s<0 THEN 'speed' WHEN a<0 OR a>360 THEN 'direction' WHEN n>1 THEN 'duplicate' END AS violation FROM p) SELECT meas_site, event_id::BIGINT AS nr, CASE WHEN violation IS NULL THEN round(-s*sin(radians(a)),6)+0.0 END AS u, CASE WHEN violation IS NULL THEN round(-s*cos(radians(a)),6)+0.0 END AS v, violation FROM v")
 def wind_vec_scan(spark, d):
-    from skillgrid.functions.physics import wind_uv
-
-    u, v = wind_uv(F.col("s"), F.col("a"))
-    return rounded(_pairs(spark, d).where("s >= 0 and a between 0 and 360").select("meas_site", F.col("nr").cast("long").alias("nr"), u.alias("u"), v.alias("v")))
+    """Vectors of the strict reader; what it would stop at keeps its row with the reason and no vector."""
+    out = station_files.vectors(_pairs(spark, d), ["meas_site", "valid"], "s", "a")
+    return rounded(out.select("meas_site", F.col("nr").cast("long").alias("nr"), "u", "v", "violation"))
 
 
-@query("wind_vec_scan_ctl", "SELECT 'S'||(user_id%25) AS meas_site, count(*) FILTER (event_id%11<>0 AND least(event_id%6,(event_id+2)%6)>=4) AS used, count(*) FILTER (NOT (event_id%11<>0 AND least(event_id%6,(event_id+2)%6)>=4)) AS rejected FROM events GROUP BY 1")
+@query("wind_vec_scan_ctl", f"WITH {STATION} SELECT meas_site, count(*) FILTER (s IS NOT NULL AND least(qs,qa)>=4) AS used, count(*) FILTER (NOT (s IS NOT NULL AND least(qs,qa)>=4)) AS rejected FROM sf GROUP BY 1")
 def wind_vec_scan_ctl(spark, d):
     long = station_files.read_long(spark, station_csv(spark, d))
     both = long.groupBy("meas_site", "nr").agg(F.count("value").alias("n"), F.min("dq").alias("q"))
@@ -62,21 +64,25 @@ def wind_vec_scan_ctl(spark, d):
     return both.groupBy("meas_site").agg(F.count_if(ok).alias("used"), F.count_if(~ok).alias("rejected"))
 
 
-@query("station_dim", "SELECT DISTINCT 'S'||(user_id%25) AS meas_site, '46.5' AS latitude, '7.5' AS longitude, FALSE AS conflict FROM events")
+@query("station_dim", f"WITH {STATION} SELECT meas_site, min(round(latitude,4))::DOUBLE AS latitude, 7.5::DOUBLE AS longitude, count(DISTINCT round(latitude,4)) > 1 AS conflict, NOT (min(latitude) BETWEEN -90 AND 90 AND max(latitude) BETWEEN -90 AND 90) AS out_of_range FROM sf GROUP BY 1")
 def station_dim(spark, d):
-    long = station_files.read_long(spark, station_csv(spark, d))
-    return station_files.stations(long, "meas_site", ["latitude", "longitude"]).orderBy("meas_site")
+    """One row a site, and whether its place changes or isn't one."""
+    long = station_files.read_long(spark, station_csv(spark, d)).withColumns({"latitude": F.col("latitude").try_cast("double"), "longitude": F.col("longitude").try_cast("double")})
+    return station_files.stations(long, "meas_site", "latitude", "longitude").orderBy("meas_site")
 
 
-@query("ref_scan", f"WITH {B.ENDPOINTS} SELECT station, hour AS valid, {sql6('value')} FROM endpoints")
+@query("ref_scan", f"WITH {B.ENDPOINTS} SELECT station, hour AS valid, {sql6('value')}, CASE WHEN extract(hour FROM hour)=5 THEN 2 ELSE 1 END::BIGINT AS copies, extract(hour FROM hour)=5 AS violation FROM endpoints")
 def ref_scan(spark, d):
+    """A reference file read back; a time that a station has twice is a violation."""
     path = shared_path(spark, "reference-csv")
-    products.write_csv(B.endpoints(spark, d).select("station", F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("valid"), "value"), path)
+    rows = B.endpoints(spark, d).select("station", F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("valid"), "value")
+    products.write_csv(rows.unionByName(rows.where("substring(valid, 12, 2) = '05'")), path)
     back = spark.read.schema("station long, valid string, value double").option("header", True).csv(path)
-    return rounded(back.withColumn("valid", F.to_timestamp("valid").cast("timestamp_ntz")))
+    once = back.groupBy("station", "valid").agg(F.min("value").alias("value"), F.count("*").alias("copies"))
+    return rounded(once.select("station", F.to_timestamp("valid").cast("timestamp_ntz").alias("valid"), "value", "copies", (F.col("copies") > 1).alias("violation")))
 
 
-@query("station_reference_export", f"WITH {B.GRID}, c AS (SELECT p_partkey AS station, (p_partkey//50)::INT AS y, (p_partkey%50)::INT AS x FROM part WHERE p_partkey%97=5), h AS (SELECT station, unnest(range(0,3)) AS hour FROM c) SELECT station, hour::INT AS hour, round(height+hour,6)+0.0 AS value FROM h JOIN c USING (station) JOIN grid USING (y,x)")
+@query("station_reference_export", f"WITH {B.GRID}, c AS (SELECT p_partkey AS station, (p_partkey//50)::INT AS y, (p_partkey%50)::INT AS x FROM part), h AS (SELECT station, unnest(range(0,3)) AS hour FROM c) SELECT station, hour::INT AS hour, round(height+hour,6)+0.0 AS value FROM h JOIN c USING (station) JOIN grid USING (y,x)")
 def station_reference_export(spark, d):
     from skillgrid.plans.q_grid import centres
 
@@ -94,13 +100,18 @@ def time_decode(spark, d):
     return e.select("event_id", F.when(off <= 500000, F.date_trunc("second", "ts").cast("timestamp_ntz")).otherwise(F.col("ts")).alias("valid"), (off > 500000).alias("violation"))
 
 
-@query("report_scan", f"WITH {ROWS} SELECT station, season, metric, pair_count, {sql6('candidate_rmse')} FROM sr")
+@query("report_scan", f"WITH {ROWS} SELECT station, season, metric, CASE WHEN station%7<>0 THEN pair_count END AS pair_count, CASE WHEN station%7<>0 THEN round(candidate_rmse,6)+0.0 END AS candidate_rmse, CASE WHEN station%7=0 THEN 'issues' END AS rejected FROM sr")
 def report_scan(spark, d):
+    """Nested reports read back; those that name issues or lack a required field are rejected with the reason."""
     path = shared_path(spark, "report-json")
     entry = F.map_from_entries(F.collect_list(F.struct("metric", F.struct("pair_count", F.col("candidate_rmse").alias("rmse")))))
-    products.write_json(station_rows(spark, d).groupBy("station", "season").agg(entry.alias("metrics")), path)
-    back = spark.read.schema("station long, season string, metrics map<string, struct<pair_count: long, rmse: double>>").json(path)
-    return rounded(back.select("station", "season", F.explode("metrics").alias("metric", "s")).select("station", "season", "metric", "s.pair_count", F.col("s.rmse").alias("candidate_rmse")))
+    reports = station_rows(spark, d).groupBy("station", "season").agg(entry.alias("metrics")).withColumn("issues", F.when(F.col("station") % 7 == 0, F.array(F.lit("late"))).otherwise(F.array().cast("array<string>")))
+    products.write_json(reports, path)
+    back = spark.read.schema("station long, season string, metrics map<string, struct<pair_count: long, rmse: double>>, issues array<string>").json(path)
+    rejected = F.when(F.col("station").isNull() | F.col("season").isNull() | F.col("metrics").isNull(), "incomplete").when(F.size("issues") > 0, "issues")
+    rows = back.withColumn("rejected", rejected).select("station", "season", "rejected", F.explode("metrics").alias("metric", "s"))
+    fine = lambda c: F.when(F.col("rejected").isNull(), c)
+    return rounded(rows.select("station", "season", "metric", fine(F.col("s.pair_count")).alias("pair_count"), fine(F.col("s.rmse")).alias("candidate_rmse"), "rejected"))
 
 
 @query("file_catalog", "SELECT o_custkey AS path, count(*) AS times, min(o_orderdate) AS first, max(o_orderdate) AS last, count(*) - count(DISTINCT o_orderdate) AS duplicates FROM orders GROUP BY 1")
@@ -132,12 +143,15 @@ def json_csv_sink(spark, d):
     return rounded(spark.read.schema("station long, season string, metric string, delta double, outcome string").option("header", True).csv(path))
 
 
-@query("compact_lossless", "SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right")
+@query("compact_lossless", "SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, TRUE AS smaller, count(*) AS rows_ FROM lineitem")
 def compact_lossless(spark, d):
+    """A product sorted and compressed harder holds the same rows in fewer bytes."""
     a, b = shared_path(spark, "product"), shared_path(spark, "product-zstd")
     products.write_product(B.table(spark, d, "lineitem"), a)
     products.rewrite_lossless(spark, a, b, "l_shipdate", "l_orderkey")
-    return products.same_rows(spark.read.parquet(a), spark.read.parquet(b))
+    smaller = products.size_of(spark, b) < products.size_of(spark, a)
+    left, right = spark.read.parquet(a), spark.read.parquet(b)
+    return products.same_rows(left, right).withColumn("smaller", F.lit(smaller)).crossJoin(F.broadcast(right.agg(F.count("*").alias("rows_"))))
 
 
 @query("product_partition", f"WITH {B.GRID} SELECT CASE WHEN size<20 THEN 'static' WHEN size<40 THEN 'external' ELSE 'initial' END AS product, count(*) AS cells, round(sum(height),6)+0.0 AS total FROM grid GROUP BY 1")
@@ -147,19 +161,24 @@ def product_partition(spark, d):
     return rounded(spark.read.parquet(path).groupBy("product").agg(F.count("*").alias("cells"), F.sum("height").alias("total")))
 
 
-@query("boundary_sink", f"WITH {B.GRID} SELECT y AS row_, x AS col_, round(cos(0.5*pi()*least(x,49-x,y,39-y)/5.0)*cos(0.5*pi()*least(x,49-x,y,39-y)/5.0),6)+0.0 AS weight, height FROM grid WHERE least(x,49-x,y,39-y) < 5")
+_EDGE = "least(x-x0, x1-x, y-y0, y1-y)"
+
+
+@query("boundary_sink", f"WITH {B.GRID}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM grid) SELECT y AS row_, x AS col_, round(cos(0.5*pi()*{_EDGE}/5.0)*cos(0.5*pi()*{_EDGE}/5.0),6)+0.0 AS weight, height FROM grid, b WHERE {_EDGE} < 5")
 def boundary_sink(spark, d):
     from skillgrid.functions.physics import relaxation_weight
+    from skillgrid.operators.raster import edge_distance
 
-    edge = F.least(F.col("x"), 49 - F.col("x"), F.col("y"), 39 - F.col("y"))
     path = shared_path(spark, "boundary")
-    products.write_product(B.grid(spark, d).where(edge < 5).select(F.col("y").alias("row_"), F.col("x").alias("col_"), relaxation_weight(edge, 5.0).alias("weight"), "height"), path)
+    frame = edge_distance(B.grid(spark, d)).where("cells < 5")
+    products.write_product(frame.select(F.col("y").alias("row_"), F.col("x").alias("col_"), relaxation_weight(F.col("cells"), 5.0).alias("weight"), "height"), path)
     return rounded(spark.read.parquet(path))
 
 
-@query("forcing_record_sink", f"WITH {B.GRID} SELECT month(o_orderdate)::INT AS month, count(*) AS cells, round(avg(height),6)+0.0 AS mean FROM orders JOIN grid ON y=o_orderkey%40 AND x=o_custkey%50 GROUP BY 1")
+@query("forcing_record_sink", f"WITH {B.GRID} SELECT month(o_orderdate)::INT AS month, count(*) AS cells, round(avg(height),6)+0.0 AS mean FROM orders JOIN grid ON y=o_orderkey%(SELECT max(y)+1 FROM grid) AND x=o_custkey%50 GROUP BY 1")
 def forcing_record_sink(spark, d):
-    o = B.table(spark, d, "orders").select(F.month("o_orderdate").alias("month"), (F.col("o_orderkey") % 40).alias("y"), (F.col("o_custkey") % 50).alias("x"))
+    rows = B.grid(spark, d).agg((F.max("y") + 1).alias("ny"))
+    o = B.table(spark, d, "orders").crossJoin(F.broadcast(rows)).select(F.month("o_orderdate").alias("month"), (F.col("o_orderkey") % F.col("ny")).alias("y"), (F.col("o_custkey") % 50).alias("x"))
     path = shared_path(spark, "records")
     products.write_product(o.join(B.grid(spark, d).select("y", "x", "height"), ["y", "x"]), path, "month")
     return rounded(spark.read.parquet(path).groupBy("month").agg(F.count("*").alias("cells"), F.avg("height").alias("mean")))
@@ -204,3 +223,13 @@ def weights_io(spark, d):
 def bit_patterns(spark, d):
     p = B.table(spark, d, "part").select(F.lit("price").alias("var"), F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("value"))
     return quality.exact_compare(p, p, ["k"]).select("cells", "bits_different")
+
+
+@query("file_index", "SELECT o_custkey AS path, o_orderdate AS valid, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::INT AS place, count(*) OVER (PARTITION BY o_custkey, o_orderdate) > 1 AS violation FROM orders")
+def file_index(spark, d):
+    """Where each time of each file stands; a time that a file has twice is a violation."""
+    from pyspark.sql import Window
+
+    o = B.table(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderdate").alias("valid"), "o_orderkey")
+    place = F.row_number().over(Window.partitionBy("path").orderBy("valid", "o_orderkey")) - 1
+    return o.select("path", "valid", place.alias("place"), (F.count("*").over(Window.partitionBy("path", "valid")) > 1).alias("violation"))

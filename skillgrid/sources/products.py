@@ -30,3 +30,9 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: how many rows each side has that the other hasn't."""
     a, b = left.exceptAll(right), right.exceptAll(left)
     return a.agg(F.count("*").alias("only_left")).join(F.broadcast(b.agg(F.count("*").alias("only_right"))))
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a product, as its file system counts them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()

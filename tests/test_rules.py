@@ -124,3 +124,92 @@ def test_wind_from_normals(spark):
     w = spark.range(1, 9).selectExpr("1L target", "id donor", "0.125D weight")
     r = regrid.wind_from_normals(w, edges).first()
     assert r.u == pytest.approx(4.0) and r.v is None
+
+
+# ---- columns and time ----------------------------------------------------------------------------
+
+
+def test_reconstructed_columns(spark):
+    """Pressure is hydrostatic, water is kept, vapour is at most saturated, buried levels go, and above the source's top there is nothing."""
+    from skillgrid.operators import columns as C
+
+    z = [100.0, 600.0, 1500.0, 3000.0, 5000.0]
+    rows = [(k, z, [288 - 0.0065 * h for h in z], [0.02, 0.012, 0.006, 0.003, 0.001], [1.0, 2.0, 3.0, 4.0, 5.0], [0.0] * 5, 100000.0, 50.0, own) for k, own in enumerate((50.0, 50.5, 10.0, 900.0, 6000.0))]
+    cols = spark.createDataFrame(rows, "k long, z array<double>, t array<double>, q array<double>, u array<double>, v array<double>, p0 double, ground double, own_ground double")
+    at = [50.0, 400.0, 1000.0, 4500.0]
+    got = {}
+    for r in C.reconstruct(cols, "k", at).collect():
+        got.setdefault(r.k, []).append(r)
+    assert [got[k][0].terrain for k in range(5)] == ["matched", "matched", "lower", "higher", "higher"]
+    assert [got[k][0].buried for k in range(5)] == [0, 0, 0, 2, 5]
+    for k in range(4):
+        own = rows[k][-1]
+        inside = [r for r in got[k] if own + r.target_z <= z[-1]]
+        assert all(r.t is None and r.p is None and r.u is None for r in got[k] if own + r.target_z > z[-1]) and len(inside) >= 3
+        assert all(a.p > b.p for a, b in zip(inside, inside[1:])) and all(r.residual < 1e-9 for r in inside)
+        for a, b in zip(inside, inside[1:]):
+            tv = (a.t * (1 + 0.61 * a.vapour) + b.t * (1 + 0.61 * b.vapour)) / 2
+            assert np.log(a.p / b.p) == pytest.approx(9.80665 * (b.target_z - a.target_z) / (287.05 * tv), rel=1e-6)
+        assert all(r.humidity <= 100 + 1e-6 and r.cloud >= -1e-12 for r in inside)
+    assert all(r.t is None for r in got[4])
+    assert got[0][1].u == pytest.approx(1 + (450 - 100) / 500) and got[0][1].vapour + got[0][1].cloud == pytest.approx(0.02 - 0.008 * 0.7)
+
+
+def test_quiet_top():
+    from skillgrid.operators.columns import quiet_top
+
+    assert quiet_top(5) == [1.0, 1.0, 0.66, 0.33, 0.0] and quiet_top(2) == [0.33, 0.0]
+
+
+def test_hourly_vectors(spark):
+    """Two winds at a right angle: the mean vector has the mean direction and the mean speed; opposite ones have none."""
+    from skillgrid.operators import temporal
+
+    rows = [(1, "2024-01-01 00:00:00", 4.0, 4.0, 0.0), (1, "2024-01-01 01:00:00", 2.0, 0.0, 2.0), (1, "2024-01-01 03:00:00", 2.0, 2.0, 0.0), (2, "2024-01-01 00:00:00", 3.0, 3.0, 0.0), (2, "2024-01-01 01:00:00", 3.0, -3.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, t string, s double, u double, v double").withColumn("t", F.col("t").cast("timestamp"))
+    got = {(r.k, r.t.hour): (r.hourly_speed, r.hourly_u, r.hourly_v) for r in temporal.trapezoid_wind(df, ["k"], "t", "s", "u", "v").collect()}
+    assert got[1, 0] == got[1, 3] == (None, None, None) and got[2, 1] == (3.0, 0.0, 0.0)
+    assert got[1, 1][0] == 3.0 and np.hypot(*got[1, 1][1:]) == pytest.approx(3.0) and got[1, 1][1] == pytest.approx(2 * got[1, 1][2])
+
+
+def test_six_samples_an_hour(spark):
+    from skillgrid.operators import temporal
+
+    rows = [(1, f"2024-01-01 00:{m:02d}:00", 2.0, 270.0) for m in (10, 20, 30, 40, 50)] + [(1, "2024-01-01 01:00:00", 8.0, 270.0), (1, "2024-01-01 01:10:00", 9.0, 90.0)]
+    df = spark.createDataFrame(rows, "k int, t string, s double, d double").withColumn("t", F.col("t").cast("timestamp"))
+    got = {r.hour.hour: r for r in temporal.ending_hour_wind(df, ["k"], "t", "s", "d").collect()}
+    assert got[1].samples == 6 and got[1].speed == 3.0 and got[1].u == pytest.approx(3.0) and got[1].v == pytest.approx(0.0)
+    assert got[2].samples == 1 and got[2].speed is None and got[2].u is None
+
+
+def test_epochs(spark):
+    from skillgrid.operators import temporal
+
+    asked = spark.createDataFrame([(1, 1, 5), (2, 1, 15), (3, 2, 5)], "id int, k int, t int")
+    epochs = spark.createDataFrame([(1, 10, 1.5), (1, 12, 2.5)], "k int, e int, v double")
+    got = {r.id: (r.v, r.valid_from, r.extrapolated) for r in temporal.asof(asked, epochs, ["k"], "t", "e", "v", back=True).collect()}
+    assert got == {1: (1.5, 10, True), 2: (2.5, 12, False), 3: (None, None, False)}
+    assert {r.id: r.v for r in temporal.asof(asked, epochs, ["k"], "t", "e", "v").collect()} == {1: None, 2: 2.5, 3: None}
+
+
+def test_soil_by_class(spark):
+    r = spark.range(1).select(*[physics.soil_moisture_index(F.lit(m), 2, F.lit(c)).alias(n) for n, m, c in (("wilting", 0.06 * 1000 * 0.11, 5), ("full", 0.06 * 1000 * 0.34, 5), ("dry", 0.0, 5), ("ice", 9.0, 1))], physics.relative_saturation(F.lit(0.06 * 1000 * 0.2275), 2, F.lit(5)).alias("half")).first()
+    assert (r.wilting, r.full, r.dry, r.ice, r.half) == (pytest.approx(0), pytest.approx(1), 0, None, pytest.approx(0.5))
+
+
+def test_angles_and_covers(spark):
+    with pytest.raises(Exception, match="unknown unit"):
+        spark.range(1).select(physics.to_degrees(F.lit(1.0), F.lit("gon"))).collect()
+    df = spark.createDataFrame([(0.5, 50.0), (1.0, 30.0)], "a double, b double")
+    assert [r.x for r in physics.as_percent(df, "a", "x").collect()] == [50.0, 100.0]
+    assert [r.x for r in physics.as_percent(df, "b", "x").collect()] == [50.0, 30.0]
+    assert [r.x for r in physics.as_fraction(df, "b", "x").collect()] == [0.5, 0.3]
+
+
+def test_aliases(spark):
+    from skillgrid.functions import text
+
+    df = spark.createDataFrame([("", "b"), ("a", "c"), (None, None)], "one string, two string")
+    assert [r.x for r in text.aliased(df, "x", ["no", "one", "two"]).collect()] == ["b", "a", None]
+    with pytest.raises(ValueError):
+        text.aliased(df, "x", ["no"])
