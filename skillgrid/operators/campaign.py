@@ -86,3 +86,39 @@ def with_bands(rows: DataFrame, sites: DataFrame) -> DataFrame:
     """Station rows with elevation and terrain class of their site (station, z, rel)."""
     s = sites.select("station", elevation_class(F.col("z")).alias("elevation_class"), terrain_class(F.col("rel")).alias("terrain_class"), "z", "rel")
     return rows.join(s, "station")
+
+
+def sensitivity(rows: DataFrame, keys: list[str], base: str, other: str, baseline: str) -> DataFrame:
+    """Equal-station RMSE of a run and of another of the same stations, their difference and its class, medians and counts of stations, and the class against the baseline."""
+    equal = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
+    change = F.col(other) - F.col(base)
+    g = rows.groupBy(*keys).agg(F.count("*").alias("stations"), equal(base).alias("base"), equal(other).alias("sensitivity"), equal(baseline).alias("_b"), F.median(change).alias("median_delta"), F.count_if(change < 0).alias("improved"), F.count_if(change > 0).alias("degraded"))
+    delta = F.col("sensitivity") - F.col("base")
+    return g.select(*keys, "stations", "base", "sensitivity", delta.alias("delta"), stats.material_change(delta, F.col("base"), 0.0).alias("class"), stats.material_change(F.col("sensitivity") - F.col("_b"), F.col("_b"), 0.0).alias("class_to_baseline"), "median_delta", "improved", "degraded")
+
+
+def three_way(rows: DataFrame, keys: list[str], names: tuple[str, str, str]) -> DataFrame:
+    """Differences of equal-station RMSE between each pair of three sources (columns ``<name>_rmse``), their classes and the medians over stations."""
+    pairs = [(names[0], names[1]), (names[1], names[2]), (names[0], names[2])]
+    col = lambda n: F.col(f"{n}_rmse")
+    g = rows.groupBy(*keys).agg(*[F.sqrt(F.avg(col(n) * col(n))).alias(f"_{n}") for n in names], *[F.median(col(a) - col(b)).alias(f"median_{a}_{b}") for a, b in pairs])
+    delta = lambda a, b: F.col(f"_{a}") - F.col(f"_{b}")
+    return g.select(*keys, *[delta(a, b).alias(f"{a}_vs_{b}") for a, b in pairs], *[stats.material_change(delta(a, b), F.col(f"_{b}"), 0.0).alias(f"{a}_{b}_class") for a, b in pairs], *[f"median_{a}_{b}" for a, b in pairs])
+
+
+def footprint_errors(rows: DataFrame, site: str) -> tuple[DataFrame, DataFrame]:
+    """Errors of a site's cells over time, and how they spread at each time, from rows (site, t, y, x, u, v, obs_u, obs_v, nearest).
+
+    The first table has a row a site: vector RMSE of the nearest cell, of the mean vector of all cells, and median, tenth and ninetieth percentile of the RMSE of
+    single cells that are there at every time of the site, with the best of them. The second has a row for each site and time: count, mean, median, p90 and largest error.
+    """
+    e2 = lambda u, v: (F.col(u) - F.col("obs_u")) * (F.col(u) - F.col("obs_u")) + (F.col(v) - F.col("obs_v")) * (F.col(v) - F.col("obs_v"))
+    r = rows.withColumn("_e2", e2("u", "v"))
+    nearest = r.where("nearest").groupBy(site).agg(F.sqrt(F.avg("_e2")).alias("nearest_rmse"))
+    at = r.groupBy(site, "t").agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.first("obs_u").alias("obs_u"), F.first("obs_v").alias("obs_v"), F.count("*").alias("cells"), F.avg(F.sqrt("_e2")).alias("mean"), F.percentile(F.sqrt("_e2"), F.array(F.lit(0.5), F.lit(0.9))).alias("q"), F.max(F.sqrt("_e2")).alias("largest"))
+    whole = at.groupBy(site).agg(F.sqrt(F.avg(e2("u", "v"))).alias("mean_vector_rmse"), F.count("*").alias("times"))
+    cell = r.groupBy(site, "y", "x").agg(F.sqrt(F.avg("_e2")).alias("rmse"), F.count("*").alias("n")).join(whole.select(site, "times"), site).where("n = times")
+    fixed = cell.groupBy(site).agg(F.count("*").alias("cells"), F.percentile("rmse", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("q"), F.min_by(F.struct("y", "x", "rmse"), F.struct("rmse", "y", "x")).alias("best"))
+    out = whole.join(nearest, site, "left").join(fixed, site, "left")
+    sites = out.select(site, "times", "nearest_rmse", "mean_vector_rmse", "cells", F.col("q")[0].alias("median"), F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"), F.col("best.y").alias("best_y"), F.col("best.x").alias("best_x"), F.col("best.rmse").alias("best_rmse"))
+    return sites, at.select(site, "t", "cells", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), "largest")

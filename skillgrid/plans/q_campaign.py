@@ -121,29 +121,43 @@ def safeguard_strata(spark, d):
     return g.groupBy("guard").agg(F.count("*").alias("seasons"), bad.alias("degradations"), (bad >= 2).alias("fails"))
 
 
-@query("sensitivity_compare", f"WITH {ROWS}, x AS (SELECT *, candidate_rmse*(1+0.02*((station % 5)-2)) AS sens FROM sr) SELECT season, metric, round(sqrt(avg(candidate_rmse*candidate_rmse)),6)+0.0 AS base, round(sqrt(avg(sens*sens)),6)+0.0 AS sensitivity, {_mc('sqrt(avg(sens*sens))-sqrt(avg(candidate_rmse*candidate_rmse))', 'sqrt(avg(candidate_rmse*candidate_rmse))').replace('-1e-12', '').replace('+1e-12', '')} AS class, round(median(sens-candidate_rmse),6)+0.0 AS median_delta, count(*) FILTER (sens < candidate_rmse) AS improved, count(*) FILTER (sens > candidate_rmse) AS degraded FROM x GROUP BY 1,2")
+FOUR_STRATA = "('all', 'valley', 'ridge', 'ge_2000')"
+_MC0 = lambda delta, base: _mc(delta, base).replace("-1e-12", "").replace("+1e-12", "")
+
+
+@query("sensitivity_compare", f"WITH {ROWS}, {STRATA_SQL}, x AS (SELECT sr.*, stratum, candidate_mae*(1+0.05*((station % 5)-2)) + candidate_rmse - candidate_mae AS sens FROM sr JOIN strata_ USING (station) WHERE stratum IN {FOUR_STRATA}), g AS (SELECT season, stratum, metric, count(*) AS stations, sqrt(avg(candidate_rmse*candidate_rmse)) AS base, sqrt(avg(sens*sens)) AS sensitivity, sqrt(avg(baseline_rmse*baseline_rmse)) AS baseline, median(sens-candidate_rmse) AS median_delta, count(*) FILTER (sens < candidate_rmse) AS improved, count(*) FILTER (sens > candidate_rmse) AS degraded FROM x GROUP BY 1,2,3) SELECT season, stratum, metric, stations, {sql6('base', 'sensitivity', 'median_delta')}, round(sensitivity-base,6)+0.0 AS delta, {_MC0('sensitivity-base', 'base')} AS class, {_MC0('sensitivity-baseline', 'baseline')} AS class_to_baseline, improved, degraded FROM g")
 def sensitivity_compare(spark, d):
-    x = station_rows(spark, d).withColumn("sens", F.col("candidate_rmse") * (1 + 0.02 * ((F.col("station") % 5) - 2)))
-    g = x.groupBy("season", "metric").agg(F.sqrt(F.avg(F.col("candidate_rmse") ** 2)).alias("base"), F.sqrt(F.avg(F.col("sens") ** 2)).alias("sensitivity"), F.median(F.col("sens") - F.col("candidate_rmse")).alias("median_delta"), F.count_if(F.col("sens") < F.col("candidate_rmse")).alias("improved"), F.count_if(F.col("sens") > F.col("candidate_rmse")).alias("degraded"))
-    return rounded(g.withColumn("class", stats.material_change(F.col("sensitivity") - F.col("base"), F.col("base"), 0.0)))
+    """A second run of the same stations against the first, by stratum, and against the baseline."""
+    x = station_rows(spark, d).withColumn("sens", F.col("candidate_mae") * (1 + 0.05 * ((F.col("station") % 5) - 2)) + F.col("candidate_rmse") - F.col("candidate_mae"))
+    x = x.join(site_strata(spark, d).where(f"stratum in {FOUR_STRATA}").select("station", "stratum"), "station")
+    return rounded(campaign.sensitivity(x, ["season", "stratum", "metric"], "candidate_rmse", "sens", "baseline_rmse"))
 
 
-@query("control_compare", f"WITH {ROWS}, x AS (SELECT *, (candidate_rmse+baseline_rmse)/2 AS control_rmse FROM sr) SELECT season, metric, round(sqrt(avg(candidate_rmse*candidate_rmse))-sqrt(avg(control_rmse*control_rmse)),6)+0.0 AS candidate_vs_control, round(sqrt(avg(control_rmse*control_rmse))-sqrt(avg(baseline_rmse*baseline_rmse)),6)+0.0 AS control_vs_baseline, {_mc('sqrt(avg(control_rmse*control_rmse))-sqrt(avg(baseline_rmse*baseline_rmse))', 'sqrt(avg(baseline_rmse*baseline_rmse))').replace('-1e-12', '').replace('+1e-12', '')} AS control_class FROM x GROUP BY 1,2")
+@query("control_compare", f"WITH {ROWS}, x AS (SELECT *, (candidate_rmse+baseline_rmse)/2 AS control_rmse FROM sr), g AS (SELECT season, metric, sqrt(avg(candidate_rmse*candidate_rmse)) AS c, sqrt(avg(control_rmse*control_rmse)) AS k, sqrt(avg(baseline_rmse*baseline_rmse)) AS b, median(candidate_rmse-control_rmse) AS mck, median(control_rmse-baseline_rmse) AS mkb, median(candidate_rmse-baseline_rmse) AS mcb FROM x GROUP BY 1,2) SELECT season, metric, round(c-k,6)+0.0 AS candidate_vs_control, round(k-b,6)+0.0 AS control_vs_baseline, round(c-b,6)+0.0 AS candidate_vs_baseline, {_MC0('c-k', 'k')} AS candidate_control_class, {_MC0('k-b', 'b')} AS control_baseline_class, {_MC0('c-b', 'b')} AS candidate_baseline_class, round(mck,6)+0.0 AS median_candidate_control, round(mkb,6)+0.0 AS median_control_baseline, round(mcb,6)+0.0 AS median_candidate_baseline FROM g")
 def control_compare(spark, d):
+    """Candidate, control and baseline of the same stations: three differences, their classes and their medians."""
     x = station_rows(spark, d).withColumn("control_rmse", (F.col("candidate_rmse") + F.col("baseline_rmse")) / 2)
-    e = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
-    g = x.groupBy("season", "metric").agg(e("candidate_rmse").alias("c"), e("control_rmse").alias("k"), e("baseline_rmse").alias("b"))
-    return g.select("season", "metric", r6(F.col("c") - F.col("k")).alias("candidate_vs_control"), r6(F.col("k") - F.col("b")).alias("control_vs_baseline"), stats.material_change(F.col("k") - F.col("b"), F.col("b"), 0.0).alias("control_class"))
+    return rounded(campaign.three_way(x, ["season", "metric"], ("candidate", "control", "baseline")))
 
 
-@query("control_eval", f"WITH {B.ENDPOINTS}, h AS (SELECT *, CASE WHEN date_diff('second', lag(hour) OVER w, hour)=3600 THEN (value+lag(value) OVER w)/2 END AS t FROM endpoints WINDOW w AS (PARTITION BY station ORDER BY hour)), dd AS (SELECT station, date_trunc('day', hour) AS day, count(t) AS n, sqrt(avg((t-value)*(t-value))) AS rmse FROM h GROUP BY 1,2) SELECT station, day, n, {sql6('rmse')} FROM dd WHERE n >= 10")
-def control_eval(spark, d):
-    from skillgrid.operators.temporal import trapezoid
+HALVES = "hv AS (SELECT user_id % 2 AS station, date_trunc('hour', ts) AS hour, avg(value) AS s, avg(-value*sin(radians(((event_id*37) % 360)::DOUBLE))) AS u, avg(-value*cos(radians(((event_id*37) % 360)::DOUBLE))) AS v FROM events GROUP BY 1,2)"
+_H = lambda c: f"CASE WHEN date_diff('second', lag(hour) OVER w, hour)=3600 THEN ({c}+lag({c}) OVER w)/2 END"
+
 
-    h = trapezoid(B.endpoints(spark, d), ["station"], "hour", "value")
-    e = F.col("hourly") - F.col("value")
-    out = h.groupBy("station", F.date_trunc("day", "hour").cast("timestamp_ntz").alias("day")).agg(F.count("hourly").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    return rounded(out.where("n >= 10"))
+@query("control_eval", f"WITH {HALVES}, t AS (SELECT *, {_H('s')} AS hs, {_H('u')} AS hu, {_H('v')} AS hv_ FROM hv WINDOW w AS (PARTITION BY station ORDER BY hour)), r AS (SELECT station, date_trunc('day', hour) AS day, s, u, v, hs, hu*CASE WHEN sqrt(hu*hu+hv_*hv_)>0 THEN hs/sqrt(hu*hu+hv_*hv_) ELSE 0 END AS ru, hv_*CASE WHEN sqrt(hu*hu+hv_*hv_)>0 THEN hs/sqrt(hu*hu+hv_*hv_) ELSE 0 END AS rv FROM t), dd AS (SELECT station, day, count(hs) AS n, avg(hs-s) AS bias, sqrt(avg((hs-s)*(hs-s))) AS rmse, sqrt(avg((ru-u)*(ru-u)+(rv-v)*(rv-v))) AS vector_rmse FROM r GROUP BY 1,2) SELECT station, day, n, CASE WHEN n=24 THEN round(bias,6)+0.0 END AS bias, CASE WHEN n=24 THEN round(rmse,6)+0.0 END AS rmse, CASE WHEN n=24 THEN round(vector_rmse,6)+0.0 END AS vector_rmse FROM dd")
+def control_eval(spark, d):
+    """Days of hourly winds by trapezoids against the hours' ends; only days with all 24 hours are scored."""
+    from skillgrid.functions.physics import wind_uv
+    from skillgrid.operators.temporal import trapezoid_wind
+
+    e = B.table(spark, d, "events")
+    u, v = wind_uv(F.col("value"), ((F.col("event_id") * 37) % 360).cast("double"))
+    ends = e.groupBy((F.col("user_id") % 2).alias("station"), F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("s"), F.avg(u).alias("u"), F.avg(v).alias("v"))
+    h = trapezoid_wind(ends, ["station"], "hour", "s", "u", "v")
+    es, eu, ev = (F.col(f"hourly_{a}") - F.col(b) for a, b in (("speed", "s"), ("u", "u"), ("v", "v")))
+    g = h.groupBy("station", F.date_trunc("day", "hour").cast("timestamp_ntz").alias("day")).agg(F.count("hourly_speed").alias("n"), F.avg(es).alias("bias"), F.sqrt(F.avg(es * es)).alias("rmse"), F.sqrt(F.avg(eu * eu + ev * ev)).alias("vector_rmse"))
+    whole = F.col("n") == 24
+    return rounded(g.select("station", "day", "n", *[F.when(whole, F.col(c)).alias(c) for c in ("bias", "rmse", "vector_rmse")]))
 
 
 @query("strata_wind_summary", f"WITH {ROWS}, {STRATA_SQL} SELECT stratum, sum(pair_count)::BIGINT AS pairs, round(sqrt(avg(candidate_rmse*candidate_rmse)),6)+0.0 AS equal_rmse, round(avg(candidate_rmse),6)+0.0 AS mean_rmse, round(avg(rel),6)+0.0 AS mean_relative FROM sr JOIN strata_ USING (station) JOIN site_ USING (station) WHERE stratum IN ('valley','neutral','ridge','ge_2000') AND metric='vector' GROUP BY stratum")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skillgrid.functions import stats
-from skillgrid.operators import raster, regrid, spatial
+from skillgrid.operators import campaign, raster, regrid, spatial
 from skillgrid.plans import bindings as B
 from skillgrid.plans.registry import query, r6, rounded, sql6
 from skillgrid.session import materialize
@@ -195,12 +195,25 @@ def footprint_join(spark, d):
     return rounded(j.groupBy("site").agg(F.count("*").alias("expected"), F.count("lat").alias("in_domain"), n.alias("land_cells"), (n / F.count("*")).alias("coverage"), F.min(F.when(land, F.col("height"))).alias("lowest"), F.max(F.when(land, F.col("height"))).alias("highest"), F.stddev_pop(F.when(land, F.col("height"))).alias("roughness"), (F.count("lat") < F.count("*")).alias("clipped")))
 
 
-@query("footprint_stats", f"WITH {FOOT}, j AS (SELECT site, abs(g.height-950)*(1+g.size/100.0) AS e FROM c JOIN grid g ON abs(g.y-y0)<=4 AND abs(g.x-x0)<=4 AND sqrt((g.y-y0)*(g.y-y0)+(g.x-x0)*(g.x-x0))*0.2 <= 0.8 WHERE g.land) SELECT site, count(*) AS cells, round(median(e),6)+0.0 AS median, round(quantile_cont(e,0.1),6)+0.0 AS p10, round(quantile_cont(e,0.9),6)+0.0 AS p90 FROM j GROUP BY site")
+FOOT_TIME = f"{FOOT}, j AS (SELECT site, t, g.y, g.x, g.height/100.0 + t*g.size/50.0 AS u, g.size/10.0 - t AS v, y0*0.1+t AS obs_u, 5.0-x0*0.1 AS obs_v, g.y=y0 AND g.x=x0 AS nearest FROM c JOIN grid g ON abs(g.y-y0)<=4 AND abs(g.x-x0)<=4 AND sqrt((g.y-y0)*(g.y-y0)+(g.x-x0)*(g.x-x0))*0.2 <= 0.8, (SELECT unnest(range(0,3)) AS t) tt WHERE g.land AND NOT (g.size=7 AND t=1)), e AS (SELECT *, (u-obs_u)*(u-obs_u)+(v-obs_v)*(v-obs_v) AS e2 FROM j), ne AS (SELECT site, sqrt(avg(e2)) AS nearest_rmse FROM e WHERE nearest GROUP BY 1), at_ AS (SELECT site, t, avg(u) AS mu, avg(v) AS mv, any_value(obs_u) AS ou, any_value(obs_v) AS ov, count(*) AS cells, avg(sqrt(e2)) AS mean, median(sqrt(e2)) AS median, quantile_cont(sqrt(e2),0.9) AS p90, max(sqrt(e2)) AS largest FROM e GROUP BY 1,2), wh AS (SELECT site, sqrt(avg((mu-ou)*(mu-ou)+(mv-ov)*(mv-ov))) AS mean_vector_rmse, count(*) AS times FROM at_ GROUP BY 1), ce AS (SELECT site, y, x, sqrt(avg(e2)) AS rmse FROM e JOIN wh USING (site) GROUP BY 1,2,3,times HAVING count(*)=times), fx AS (SELECT site, count(*) AS cells, median(rmse) AS median, quantile_cont(rmse,0.1) AS p10, quantile_cont(rmse,0.9) AS p90, min(rmse) AS best_rmse FROM ce GROUP BY 1)"
+
+
+@query("footprint_stats", f"WITH {FOOT_TIME} SELECT site, times, cells, {sql6('nearest_rmse', 'mean_vector_rmse', 'median', 'p10', 'p90', 'best_rmse')} FROM wh LEFT JOIN ne USING (site) LEFT JOIN fx USING (site)")
 def footprint_stats(spark, d):
-    e = F.abs(F.col("height") - 950) * (1 + F.col("size") / 100)
-    j = spatial.footprint(centres(spark, d), B.grid(spark, d), 0.8, 0.2).where("land").withColumn("e", e)
-    q = F.percentile("e", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)))
-    return rounded(j.groupBy("site").agg(F.count("*").alias("cells"), q[0].alias("median"), q[1].alias("p10"), q[2].alias("p90")))
+    """Errors of the cells around every site over three times: of its own cell, of the mean vector, and of each cell that is there at every time."""
+    return rounded(campaign.footprint_errors(footprint_times(spark, d), "site")[0].drop("best_y", "best_x"))
+
+
+def footprint_times(spark, d):
+    j = spatial.footprint(centres(spark, d), B.grid(spark, d), 0.8, 0.2).where("land")
+    t = j.withColumn("t", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("not (size = 7 and t = 1)")
+    return t.select("site", "t", "y", "x", (F.col("height") / 100 + F.col("t") * F.col("size") / 50).alias("u"), (F.col("size") / 10 - F.col("t")).alias("v"), (F.col("y0") * 0.1 + F.col("t")).alias("obs_u"), (5.0 - F.col("x0") * 0.1).alias("obs_v"), ((F.col("oy") == 0) & (F.col("ox") == 0)).alias("nearest"))
+
+
+@query("footprint_spread", f"WITH {FOOT_TIME} SELECT site, t::INT AS t, cells, {sql6('mean', 'median', 'p90', 'largest')} FROM at_")
+def footprint_spread(spark, d):
+    """How the errors of the cells around every site spread at each time."""
+    return rounded(campaign.footprint_errors(footprint_times(spark, d), "site")[1])
 
 
 @query("best_cell", f"WITH {FOOT}, j AS (SELECT site, g.y, g.x, abs(g.height-950) AS e FROM c JOIN grid g ON abs(g.y-y0)<=4 AND abs(g.x-x0)<=4 AND sqrt((g.y-y0)*(g.y-y0)+(g.x-x0)*(g.x-x0))*0.2 <= 0.8 WHERE g.land), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY e, y, x) AS n FROM j) SELECT site, y, x, round(e,6)+0.0 AS e FROM r WHERE n=1")
@@ -280,10 +293,13 @@ def top_components(spark, d):
     return s.orderBy(F.desc("cells"), "label").limit(20)
 
 
-@query("area_summary", f"WITH {B.GRID} SELECT round(count(*) FILTER (NOT land)*0.04::DOUBLE,6)+0.0 AS water_km2, round(count(*) FILTER (NOT land AND size<4)*0.04::DOUBLE,6)+0.0 AS unsupported_km2, round(count(*) FILTER (NOT land AND size<4)/nullif(count(*) FILTER (NOT land),0)::DOUBLE,6)+0.0 AS fraction FROM grid")
+@query("area_summary", f"WITH {B.GRID}, k AS (SELECT *, NOT land AS water, NOT land AND size<4 AS bad, size*0.25 AS km FROM grid) SELECT round(count(*) FILTER (water)*0.04::DOUBLE,6)+0.0 AS water_km2, round(count(*) FILTER (bad)*0.04::DOUBLE,6)+0.0 AS unsupported_km2, round(count(*) FILTER (bad)/nullif(count(*) FILTER (water),0)::DOUBLE,6)+0.0 AS fraction, round(quantile_cont(km::DOUBLE,0.5) FILTER (bad),6)+0.0 AS km_p50, round(quantile_cont(km::DOUBLE,0.9) FILTER (bad),6)+0.0 AS km_p90, (max(km) FILTER (bad))::DOUBLE AS km_largest FROM k")
 def area_summary(spark, d):
-    water, bad = F.count_if(~F.col("land")), F.count_if(~F.col("land") & (F.col("size") < 4))
-    return rounded(B.grid(spark, d).agg((water * 0.04).alias("water_km2"), (bad * 0.04).alias("unsupported_km2"), F.try_divide(bad, water).alias("fraction")))
+    """Areas of water and of water without support, and how far away that support is."""
+    water, lost = F.count_if(~F.col("land")), ~F.col("land") & (F.col("size") < 4)
+    bad, km = F.count_if(lost), F.when(lost, F.col("size") * 0.25)
+    q = F.percentile(km, F.array(F.lit(0.5), F.lit(0.9)))
+    return rounded(B.grid(spark, d).agg((water * 0.04).alias("water_km2"), (bad * 0.04).alias("unsupported_km2"), F.try_divide(bad, water).alias("fraction"), q[0].alias("km_p50"), q[1].alias("km_p90"), F.max(km).alias("km_largest")))
 
 
 @query("extrema_record", f"WITH {B.GRID}, r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY height*size, y, x) AS n FROM grid) SELECT class, y, x, round(height*size,6)+0.0 AS least_value FROM r WHERE n=1")

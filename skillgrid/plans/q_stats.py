@@ -128,20 +128,37 @@ def calm_mask(spark, d):
     return B.wind(spark, d).groupBy("station").agg(F.count_if(F.col("speed") >= 2.5).alias("scored"), F.count_if(F.col("speed") < 2.5).alias("calm"))
 
 
-CLIM_SQL = f"""WITH {B.WIND}, {UV}, k AS (SELECT station, {B.SEASON_SQL.format('ts')} AS season, date_trunc('hour', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS hour, avg(speed) AS s, avg(u) AS u, avg(v) AS v, max(speed) AS mx FROM uv GROUP BY 1,2,3)
-SELECT station, season, count(*) AS hours, round(avg(s),6)+0.0 AS mean_speed, round(sqrt(avg((u*0.9-u)*(u*0.9-u)+(v*0.9-v)*(v*0.9-v))),6)+0.0 AS vector_rmse, round(avg(mx),6)+0.0 AS max_mean, round(min(mx),6)+0.0 AS max_min, round(max(mx),6)+0.0 AS max_max, count(*) FILTER (mx + 1e-6 >= s) AS max_at_least_mean FROM k GROUP BY 1,2"""
+CLIM_SQL = f"""WITH {B.WIND}, {UV}, k AS (SELECT station, {B.SEASON_SQL.format('ts')} AS season, date_trunc('hour', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS hour, avg(speed) AS s, avg(u) AS u, avg(v) AS v, max(speed) AS mx FROM uv GROUP BY 1,2,3),
+f AS (SELECT *, hour = min(hour) OVER (PARTITION BY station) AS cold, u*0.9+0.4 AS mu, v*0.9-0.2 AS mv FROM k), m AS (SELECT *, sqrt(mu*mu+mv*mv) AS ms, sqrt(u*u+v*v) AS os, degrees(atan2(mu,mv)-atan2(u,v)) AS turn FROM f),
+g AS (SELECT 'all' AS grain, 'all' AS part, * FROM m UNION ALL SELECT 'season', season, * FROM m UNION ALL SELECT 'site', station::VARCHAR, * FROM m)
+SELECT grain, part, count(*) FILTER (NOT cold) AS hours, count(*) FILTER (cold) AS cold_start, round(avg(s) FILTER (NOT cold),6)+0.0 AS mean_speed, round(avg(ms-os) FILTER (NOT cold),6)+0.0 AS speed_bias, round(sqrt(avg((ms-os)*(ms-os)) FILTER (NOT cold)),6)+0.0 AS speed_rmse, round(avg(mu-u) FILTER (NOT cold),6)+0.0 AS u_bias, round(avg(mv-v) FILTER (NOT cold),6)+0.0 AS v_bias, round(sqrt(avg((mu-u)*(mu-u)+(mv-v)*(mv-v)) FILTER (NOT cold)),6)+0.0 AS vector_rmse, round(degrees(atan2(sum(sin(radians(turn))) FILTER (NOT cold), sum(cos(radians(turn))) FILTER (NOT cold))),6)+0.0 AS direction_bias,
+ round(avg(mx) FILTER (NOT cold),6)+0.0 AS max_mean, round(min(mx) FILTER (NOT cold),6)+0.0 AS max_min, round(max(mx) FILTER (NOT cold),6)+0.0 AS max_max, count(*) FILTER (NOT cold AND mx + 1e-6 >= s) AS max_at_least_mean FROM g GROUP BY 1,2"""
 
 
 @query("wind_clim_stats", CLIM_SQL)
 def wind_clim_stats(spark, d):
+    """Speed, components, direction and maxima of hours, over all, by season and by site; a station's first hour has no full interval and is only counted."""
+    from pyspark.sql import Window
+
     from skillgrid.functions.physics import wind_uv
     from skillgrid.operators.temporal import ending_hour
 
     u, v = wind_uv(F.col("speed"), F.col("direction"))
     w = B.wind(spark, d).withColumns({"u": u, "v": v, "season": strata.season(F.col("ts")), "hour": ending_hour(F.col("ts"))})
     k = w.groupBy("station", "season", "hour").agg(F.avg("speed").alias("s"), F.avg("u").alias("u"), F.avg("v").alias("v"), F.max("speed").alias("mx"))
-    du, dv = F.col("u") * 0.9 - F.col("u"), F.col("v") * 0.9 - F.col("v")
-    return rounded(k.groupBy("station", "season").agg(F.count("*").alias("hours"), F.avg("s").alias("mean_speed"), stats.vector_rmse(du, dv).alias("vector_rmse"), F.avg("mx").alias("max_mean"), F.min("mx").alias("max_min"), F.max("mx").alias("max_max"), F.count_if(F.col("mx") + 1e-6 >= F.col("s")).alias("max_at_least_mean")))
+    k = k.withColumns({"cold": F.col("hour") == F.min("hour").over(Window.partitionBy("station")), "mu": F.col("u") * 0.9 + 0.4, "mv": F.col("v") * 0.9 - 0.2})
+    length = lambda a, b: F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b))
+    k = k.withColumns({"e": length("mu", "mv") - length("u", "v"), "turn": F.atan2("mu", "mv") - F.atan2("u", "v")})
+    grains = F.array(*[F.struct(F.lit(g).alias("grain"), p.alias("part")) for g, p in (("all", F.lit("all")), ("season", F.col("season")), ("site", F.col("station").cast("string")))])
+    g = k.withColumn("g", F.explode(grains)).withColumn("warm", ~F.col("cold"))
+    warm = lambda c: F.when(F.col("warm"), c)
+    du, dv = F.col("mu") - F.col("u"), F.col("mv") - F.col("v")
+    out = g.groupBy("g.grain", "g.part").agg(
+        F.count_if("warm").alias("hours"), F.count_if("cold").alias("cold_start"), F.avg(warm(F.col("s"))).alias("mean_speed"), F.avg(warm(F.col("e"))).alias("speed_bias"), F.sqrt(F.avg(warm(F.col("e") * F.col("e")))).alias("speed_rmse"),
+        F.avg(warm(du)).alias("u_bias"), F.avg(warm(dv)).alias("v_bias"), F.sqrt(F.avg(warm(du * du + dv * dv))).alias("vector_rmse"), F.degrees(F.atan2(F.sum(warm(F.sin("turn"))), F.sum(warm(F.cos("turn"))))).alias("direction_bias"),
+        F.avg(warm(F.col("mx"))).alias("max_mean"), F.min(warm(F.col("mx"))).alias("max_min"), F.max(warm(F.col("mx"))).alias("max_max"), F.count_if(F.col("warm") & (F.col("mx") + 1e-6 >= F.col("s"))).alias("max_at_least_mean"),
+    )
+    return rounded(out)
 
 
 @query("distribution", f"WITH {B.GRID} SELECT class, count(height) AS n, max(height) AS max, round(quantile_cont(height,0.5),6)+0.0 AS p50, round(quantile_cont(height,0.9),6)+0.0 AS p90, round(quantile_cont(height,0.99),6)+0.0 AS p99 FROM grid GROUP BY class")

@@ -24,16 +24,21 @@ def events(spark, d, copies: int = 1):
     return hourly.read_samples(spark, path, SCHEMA).withColumn("station", F.col("user_id") % 25)
 
 
-@query("stream_ending_hour", f"WITH h AS (SELECT user_id%25 AS station, date_trunc('hour', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS hour, count(value) AS samples, avg(value) AS mean, max(value) AS highest FROM events GROUP BY 1,2) SELECT station, hour, samples, round(mean,6)+0.0 AS mean, highest FROM h WHERE {CLOSED}")
+@query("stream_ending_hour", f"WITH h AS (SELECT user_id%25 AS station, date_trunc('hour', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS hour, count(value) AS samples, avg(value) AS mean, max(value) AS highest FROM events GROUP BY 1,2) SELECT station, hour, samples, round(mean,6)+0.0 AS mean, highest FROM h WHERE {CLOSED} AND hour > (SELECT min(f.hour) FROM h f WHERE f.station = h.station)")
 def stream_ending_hour(spark, d):
-    out = hourly.run_once(hourly.ending_hours(events(spark, d)), "hours")
+    """Closed hours but the first of each station, which the run may have begun within."""
+    from skillgrid.operators.temporal import ending_hour
+
+    starts = B.table(spark, d, "events").groupBy((F.col("user_id") % 25).alias("station")).agg(F.min(ending_hour(F.col("ts"))).alias("first"))
+    out = hourly.run_once(hourly.without_first(hourly.ending_hours(events(spark, d)), starts), "hours")
     return rounded(out.withColumn("hour", F.col("hour").cast("timestamp_ntz")))
 
 
-@query("stream_late", f"WITH h AS (SELECT user_id%25 AS station, date_trunc('hour', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS hour, count(value) AS samples, avg(value) AS mean FROM events GROUP BY 1,2 HAVING count(value)=2) SELECT station, hour, round(mean,6)+0.0 AS mean FROM h WHERE {CLOSED}")
+@query("stream_late", f"WITH h AS (SELECT user_id%25 AS station, date_trunc('hour', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS hour, count(value) AS samples, avg(value) AS mean FROM events GROUP BY 1,2) SELECT station, hour, samples, CASE WHEN samples=2 THEN round(mean,6)+0.0 END AS mean, samples<>2 AS violation FROM h WHERE {CLOSED}")
 def stream_late(spark, d):
-    out = hourly.run_once(hourly.complete(hourly.ending_hours(events(spark, d)), 2), "complete-hours")
-    return out.select("station", F.col("hour").cast("timestamp_ntz").alias("hour"), r6("mean").alias("mean"))
+    """Hours that lack a sample, or have one too many, are violations without a mean."""
+    out = hourly.run_once(hourly.by_completeness(hourly.ending_hours(events(spark, d)), 2), "complete-hours")
+    return out.select("station", F.col("hour").cast("timestamp_ntz").alias("hour"), "samples", r6("mean").alias("mean"), "violation")
 
 
 @query("stream_dedup", "SELECT event_id, user_id%25 AS station FROM events")
@@ -53,3 +58,14 @@ def stream_pair_join(spark, d):
 def stream_stats(spark, d):
     e = events(spark, d).select("station", F.col("value").alias("obs"), (F.col("value") * 1.1 + 0.5).alias("model"))
     return rounded(hourly.run_once(hourly.running_sums(e, ["station"]), "sums", "complete"))
+
+
+@query("stream_replace", "SELECT event_id, ts AS valid, 2 AS segment, round(value+2,6)+0.0 AS value, 2::BIGINT AS copies FROM events WHERE ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def stream_replace(spark, d):
+    """Records that a restarted segment has again: the later one's replace the earlier's."""
+    path = shared_path(spark, "events")
+    e = B.table(spark, d, "events").withColumn("segment", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("value", F.col("value") + F.col("segment"))
+    e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    stream = hourly.read_samples(spark, path, SCHEMA + ", segment int")
+    out = hourly.run_once(hourly.last_of_overlap(stream, ["event_id"], "segment", "value"), "replaced")
+    return out.select("event_id", F.col("te").cast("timestamp_ntz").alias("valid"), "segment", r6("value").alias("value"), "copies")

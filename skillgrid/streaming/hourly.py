@@ -28,8 +28,15 @@ def ending_hours(samples: DataFrame, late: str = LATE) -> DataFrame:
     return g.select("station", F.col("w.end").alias("hour"), "samples", "mean", "highest")
 
 
-def complete(hours: DataFrame, samples: int) -> DataFrame:
-    return hours.where(F.col("samples") == samples)
+def by_completeness(hours: DataFrame, samples: int) -> DataFrame:
+    """Hours with ``violation`` where their samples aren't all there; such an hour has no mean, rather than one of other weights."""
+    whole = F.col("samples") == samples
+    return hours.select("station", "hour", "samples", F.when(whole, F.col("mean")).alias("mean"), (~whole).alias("violation"))
+
+
+def without_first(hours: DataFrame, starts: DataFrame) -> DataFrame:
+    """Hours without the first of each station (station, first), whose interval began before the run did."""
+    return hours.join(F.broadcast(starts.withColumnRenamed("first", "_first")), "station").where(F.col("hour") > F.col("_first")).drop("_first")
 
 
 def first_of_overlap(samples: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
@@ -37,6 +44,12 @@ def first_of_overlap(samples: DataFrame, keys: list[str], late: str = LATE) -> D
     return samples.withColumn("te", F.col("ts").cast("timestamp")).withWatermark("te", late).dropDuplicatesWithinWatermark(keys)
 
 
+def last_of_overlap(samples: DataFrame, keys: list[str], segment: str, value: str, late: str = LATE) -> DataFrame:
+    """(keys, te, segment, value, copies): of records that segments share, the one of the latest segment, once the watermark has passed their time; ``copies`` says how many there were."""
+    te = samples.withColumn("te", F.col("ts").cast("timestamp")).withWatermark("te", late)
+    return te.groupBy(*keys, "te").agg(F.max(segment).alias(segment), F.max_by(value, segment).alias(value), F.count("*").alias("copies"))
+
+
 def pair(left: DataFrame, right: DataFrame, late: str = LATE) -> DataFrame:
     """Stream-stream join of (station, ts, value) by exact time."""
     l = left.select(F.col("station"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("obs")).withWatermark("ts", late)
