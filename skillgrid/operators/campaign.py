@@ -67,10 +67,12 @@ def subsets(rows: DataFrame, four_season: DataFrame, fixed: DataFrame) -> DataFr
     return marked.withColumn("subset", F.explode(names)).drop("_four", "_fixed")
 
 
-def leave_one_out(rows: DataFrame, group: str, value: str, keys: list[str]) -> DataFrame:
-    """Median of ``value`` without each group in turn. The omitted groups are a handful, so each row is copied to the other ones."""
-    groups = rows.select(F.col(group).alias("omitted")).distinct()
-    return rows.join(F.broadcast(groups), F.col(group) != F.col("omitted")).groupBy("omitted", *keys).agg(F.median(value).alias("median"))
+def leave_one_out(rows: DataFrame, group: str, value: str, keys: list[str], most: int = 100) -> DataFrame:
+    """Median of ``value`` without each group in turn: every row is copied to the other groups, of which there may be ``most``."""
+    groups = rows.select(group).distinct().agg(F.collect_list(group).alias("_groups"), F.count("*").alias("_n"))  # one row
+    few = groups.select(F.when(F.col("_n") <= most, F.col("_groups")).otherwise(F.raise_error(F.lit(f"over {most} groups")).cast(f"array<{rows.schema[group].dataType.simpleString()}>")).alias("_groups"))
+    others = F.filter("_groups", lambda g: g != F.col(group))
+    return rows.crossJoin(F.broadcast(few)).withColumn("omitted", F.explode(others)).groupBy("omitted", *keys).agg(F.median(value).alias("median"))
 
 
 def decision(summaries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skillgrid.functions.physics import edge_taper
 from skillgrid.operators.graph import connected_components
+from skillgrid.operators.order import ranked
 from skillgrid.session import materialize
 
 
@@ -121,9 +122,5 @@ def label_components(cells: DataFrame, mask: Column, width: int = 1 << 20) -> Da
 
 
 def numbered(components: DataFrame) -> DataFrame:
-    """(component, label) with labels from 1 in order of component: places within ranges, and how many lie in the ranges before."""
-    ranged = materialize(components.repartitionByRange("component").withColumn("_p", F.spark_partition_id()), "ranges")
-    before = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each task
-    before = before.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("component"))
-    return ranged.withColumn("_i", place).join(F.broadcast(before), "_p").select("component", (F.col("_i") + F.col("_before")).cast("int").alias("label"))
+    """(component, label) with labels from 1 in order of component."""
+    return ranked(components, "component", name="label").select("component", F.col("label").cast("int").alias("label"))

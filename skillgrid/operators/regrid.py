@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillgrid.operators.order import quantiles
 from skillgrid.operators.spatial import k_nearest
 from skillgrid.session import materialize
 
@@ -124,7 +125,7 @@ def wind_from_normals(weights: DataFrame, edges: DataFrame) -> DataFrame:
 def spacing_km(cells: DataFrame, bin_degrees: float) -> DataFrame:
     """One row: the median distance to the nearest other point. cells: (donor, lat, lon)."""
     near = k_nearest(cells.withColumnRenamed("donor", "target"), cells, 2, bin_degrees).where("rank = 2")
-    return near.agg(F.median("km").alias("spacing_km"))
+    return cells.sparkSession.createDataFrame([(quantiles(near, "km", [0.5])[0],)], "spacing_km double")
 
 
 def tie_rank(df: DataFrame, key: str, order: list) -> DataFrame:

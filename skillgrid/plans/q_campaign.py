@@ -10,6 +10,7 @@ from skillgrid.operators import campaign, pairing, strata
 from skillgrid.plans import bindings as B
 from skillgrid.plans.q_stats import PAIR_SQL, STRATA_SQL, site_strata
 from skillgrid.plans.registry import query, r6, rounded, sql6
+from skillgrid.session import materialize
 
 #: Station-season rows in SQL.
 ROWS = f"""{B.TRIPLETS}, rows_ AS (SELECT station, season, metric, 'c' AS source, candidate AS m, obs AS o FROM accepted UNION ALL SELECT station, season, metric, 'b', baseline, obs FROM accepted),
@@ -25,6 +26,11 @@ def station_rows(spark, d):
     return campaign.station_rows(B.accepted(spark, d), KEYS)
 
 
+def written_rows(spark, d):
+    """The same as a table, for queries that read them more than once."""
+    return materialize(station_rows(spark, d), "station-rows")
+
+
 @query("compare_row", f"WITH {ROWS} SELECT station, season, metric, pair_count, {sql6('candidate_rmse', 'baseline_rmse', 'candidate_mae', 'baseline_mae', 'candidate_centered_rmse', 'baseline_centered_rmse', 'candidate_bias', 'baseline_bias', 'delta', 'sd_ratio', 'correlation')}, outcome FROM sr")
 def compare_row(spark, d):
     cols = "station season metric pair_count candidate_rmse baseline_rmse candidate_mae baseline_mae candidate_centered_rmse baseline_centered_rmse candidate_bias baseline_bias delta sd_ratio correlation outcome".split()
@@ -46,7 +52,7 @@ FOUR = "four AS (SELECT metric, station FROM sr GROUP BY 1,2 HAVING count(DISTIN
 
 @query("multi_subset_union", f"WITH {ROWS}, {FOUR}, u AS (SELECT 'national' AS subset, * FROM sr UNION ALL SELECT 'four_season', * FROM sr WHERE (metric, station) IN (SELECT metric, station FROM four) UNION ALL SELECT 'fixed', * FROM sr WHERE station IN (SELECT station FROM fixed_)) SELECT subset, season, metric, count(*) AS stations, {sql6('e')} FROM (SELECT subset, season, metric, station, sqrt(avg(candidate_rmse*candidate_rmse) OVER (PARTITION BY subset, season, metric)) AS e FROM u) GROUP BY subset, season, metric, e")
 def multi_subset_union(spark, d):
-    rows = station_rows(spark, d)
+    rows = written_rows(spark, d)
     four = rows.groupBy("metric", "station").agg(F.count_distinct("season").alias("s")).where("s = 4").drop("s")
     sub = campaign.subsets(rows, four, campaign.cohort(rows, 8, 20))
     return rounded(sub.groupBy("subset", "season", "metric").agg(F.count("*").alias("stations"), F.sqrt(F.avg(F.col("candidate_rmse") ** 2)).alias("e")))
@@ -86,8 +92,8 @@ JOINT = "CASE WHEN vector='improvement' AND speed='improvement' THEN 'strong' WH
 EVENTS_SQL = f"ev AS (SELECT season, metric, {_mc('sqrt(avg(candidate_rmse*candidate_rmse))-sqrt(avg(baseline_rmse*baseline_rmse))', 'sqrt(avg(baseline_rmse*baseline_rmse))')} AS class FROM sr WHERE station IN (SELECT station FROM fixed_) GROUP BY 1,2), jo AS (SELECT season, max(class) FILTER (metric='vector') AS vector, max(class) FILTER (metric='speed') AS speed FROM ev GROUP BY 1), jc AS (SELECT *, {JOINT} AS event_class FROM jo)"
 
 
-def event_rows(spark, d):
-    rows = station_rows(spark, d)
+def event_rows(spark, d, rows=None):
+    rows = written_rows(spark, d) if rows is None else rows
     fixed = rows.join(campaign.cohort(rows, 8, 20), "station", "left_semi")
     s = campaign.equal_station_summary(fixed, ["season", "metric"])
     return s.withColumn("class", stats.material_change(F.col("candidate_equal_rmse") - F.col("baseline_equal_rmse"), F.col("baseline_equal_rmse")))
@@ -101,8 +107,9 @@ def joint_event_class(spark, d):
 
 @query("decision_readout", f"WITH {ROWS}, {FOUR}, {EVENTS_SQL}, n AS (SELECT count(*) AS events, count(*) FILTER (event_class IN ('strong','qualified')) AS good, count(*) FILTER (event_class IN ('degraded','mixed')) AS bad FROM jc) SELECT *, CASE WHEN good>=3 AND bad=0 THEN 'improved' WHEN bad>=2 THEN 'degraded' ELSE 'inconclusive' END AS campaign_class, (SELECT count(*) FROM fixed_) AS cohort FROM n")
 def decision_readout(spark, d):
-    size = campaign.cohort(station_rows(spark, d), 8, 20).agg(F.count("*").alias("cohort"))
-    return campaign.decision(event_rows(spark, d)).crossJoin(F.broadcast(size))
+    rows = written_rows(spark, d)
+    size = campaign.cohort(rows, 8, 20).agg(F.count("*").alias("cohort"))
+    return campaign.decision(event_rows(spark, d, rows)).crossJoin(F.broadcast(size))
 
 
 @query("leave_one_out", f"WITH {ROWS}, s AS (SELECT DISTINCT season AS omitted FROM sr) SELECT omitted, metric, round(median(delta),6)+0.0 AS median, median(delta) <= 1e-12 AS nondegrading FROM sr JOIN s ON season <> omitted GROUP BY 1,2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skillgrid.functions import stats
 from skillgrid.operators import campaign, raster, regrid, spatial
+from skillgrid.operators.order import quantiles
 from skillgrid.plans import bindings as B
 from skillgrid.plans.registry import query, r6, rounded, sql6
 from skillgrid.session import materialize
@@ -233,7 +234,7 @@ def neighbor_join(spark, d):
 def terrain_metrics(spark, d):
     g = B.grid(spark, d)
     p = raster.neighbour_pairs(g, ["land", "height"]).where("land and next_land").select(F.abs(F.col("next_height") - F.col("height")).alias("j"))
-    jumps = p.agg(F.max("j").alias("max_jump"), F.percentile("j", F.lit(0.999)).alias("p999_jump"), F.avg("j").alias("mean_jump"))
+    jumps = p.agg(F.max("j").alias("max_jump"), F.lit(quantiles(p, "j", [0.999])[0]).alias("p999_jump"), F.avg("j").alias("mean_jump"))
     return rounded(g.where("land").agg(F.min("height").alias("lowest"), F.avg("height").alias("mean"), F.max("height").alias("highest")).join(F.broadcast(jumps)))
 
 
@@ -242,7 +243,7 @@ def block_mean_change(spark, d):
     g = B.grid(spark, d)
     e = g.agg((F.floor((F.max("y") + 1) / 5) * 5).alias("ny"), (F.floor((F.max("x") + 1) / 5) * 5).alias("nx"))
     b = g.join(F.broadcast(e)).where("y < ny and x < nx and land").groupBy(F.floor(F.col("y") / 5).alias("by"), F.floor(F.col("x") / 5).alias("bx")).agg(F.avg(F.col("size") * 0.1).alias("ch"))
-    return rounded(b.agg(F.avg("ch").alias("mean"), F.sqrt(F.avg(F.col("ch") * F.col("ch"))).alias("rms"), F.percentile(F.abs("ch"), F.lit(0.99)).alias("p99"), F.max(F.abs("ch")).alias("largest"), F.count("*").alias("blocks")))
+    return rounded(b.agg(F.avg("ch").alias("mean"), F.sqrt(F.avg(F.col("ch") * F.col("ch"))).alias("rms"), F.lit(quantiles(b.select(F.abs("ch").alias("a")), "a", [0.99])[0]).alias("p99"), F.max(F.abs("ch")).alias("largest"), F.count("*").alias("blocks")))
 
 
 @query("category_fraction", f"WITH {B.GRID}, f AS (SELECT y//4 AS ty, x//4 AS tx, size % 5 AS category, count(*) AS n, sum(count(*)) OVER (PARTITION BY y//4, x//4) AS total FROM grid GROUP BY 1,2,3) SELECT ty, tx, category, round(n/total::DOUBLE,6)+0.0 AS fraction FROM f")
