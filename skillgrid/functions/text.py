@@ -21,6 +21,11 @@ def iso_utc(text: Column) -> Column:
     return F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def snapped(time: Column, tolerance: float) -> Column:
+    """A time without its fraction of a second, where that is no more than ``tolerance`` seconds; else as it is."""
+    return F.when(F.unix_micros(time.cast("timestamp")) % 1000000 <= tolerance * 1e6, F.date_trunc("second", time.cast("timestamp"))).otherwise(time.cast("timestamp"))
+
+
 def step_hours(step: Column) -> Column:
     """Hours of a number with a unit (s, m, h, d); a bare number is hours; null unless whole."""
     number, unit = F.regexp_extract(step, r"^(\d+)([smhd]?)$", 1).try_cast("long"), F.regexp_extract(step, r"^(\d+)([smhd]?)$", 2)

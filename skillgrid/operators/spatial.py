@@ -76,6 +76,14 @@ def nearest_land_cell(sites: DataFrame, cells: DataFrame, keys: list[str], bound
     return first.join(best, keys, "left").withColumn("override", (F.col("y") != F.col("y0")) | (F.col("x") != F.col("x0")))
 
 
+def within_domain(sites: DataFrame, cells: DataFrame, keys: list[str], most_km: float) -> DataFrame:
+    """(keys, y, x, km, kept) of every site; ``kept`` where its cell is no further than ``most_km``. That none is kept is an error."""
+    out = materialize(nearest_anywhere(sites, cells, keys), "in-domain").withColumn("kept", F.col("km") <= most_km)
+    if out.where("kept").isEmpty():
+        raise ValueError("no site within the domain")
+    return out
+
+
 def k_nearest(targets: DataFrame, donors: DataFrame, k: int, size: float, most_rounds: int = 14) -> DataFrame:
     """(target, rank, donor, km, ...): the k nearest donors on the sphere, ties by donor, for every target. ``targets`` and ``donors`` have (target | donor, lat, lon).
 

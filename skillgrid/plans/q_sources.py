@@ -93,11 +93,14 @@ def station_reference_export(spark, d):
     return rounded(spark.read.schema("station long, hour int, value double").option("header", True).csv(path))
 
 
-@query("time_decode", "SELECT event_id, CASE WHEN microsecond(ts) % 1000000 <= 500000 THEN date_trunc('second', ts) ELSE ts END AS valid, microsecond(ts) % 1000000 > 500000 AS violation FROM events")
+@query("time_decode", "SELECT event_id, CASE WHEN microsecond(ts) % 1000000 <= 500000 THEN date_trunc('second', ts) ELSE ts END AS valid, microsecond(ts) % 1000000 > 500000 AS violation, date_trunc('second', ts) AS surface_valid FROM events")
 def time_decode(spark, d):
+    """Times snapped by half a second, for which more is a violation in a campaign, and by a second."""
+    from skillgrid.functions.text import snapped
+
     e = B.table(spark, d, "events")
     off = F.unix_micros(F.col("ts").cast("timestamp")) % 1000000
-    return e.select("event_id", F.when(off <= 500000, F.date_trunc("second", "ts").cast("timestamp_ntz")).otherwise(F.col("ts")).alias("valid"), (off > 500000).alias("violation"))
+    return e.select("event_id", snapped(F.col("ts"), 0.5).cast("timestamp_ntz").alias("valid"), (off > 500000).alias("violation"), snapped(F.col("ts"), 1.0).cast("timestamp_ntz").alias("surface_valid"))
 
 
 @query("report_scan", f"WITH {ROWS} SELECT station, season, metric, CASE WHEN station%7<>0 THEN pair_count END AS pair_count, CASE WHEN station%7<>0 THEN round(candidate_rmse,6)+0.0 END AS candidate_rmse, CASE WHEN station%7=0 THEN 'issues' END AS rejected FROM sr")

@@ -176,12 +176,20 @@ def finite_parse(spark, d):
     return e.select("event_id", r6(finite(text)).alias("value"))
 
 
-@query("eval_window", "SELECT o_orderkey AS record, date_diff('hour', TIMESTAMP '1996-01-01', o_orderdate) AS lead FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'")
+TENS = "tens AS (SELECT user_id % 2 AS station, make_timestamp((ceil(epoch_us(ts)/600000000.0)*600000000)::BIGINT) AS slot FROM events GROUP BY 1, 2), hh AS (SELECT station, date_trunc('hour', slot - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS hour, count(*) AS samples FROM tens GROUP BY 1, 2)"
+
+
+@query("eval_window", f"WITH {TENS}, w AS (SELECT station, unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-20', INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT station FROM hh)) SELECT w.station, w.hour, date_diff('hour', TIMESTAMP '2024-01-02', w.hour) AS lead, coalesce(samples, 0) AS samples, coalesce(samples, 0) = 6 AS complete FROM w LEFT JOIN hh ON hh.station=w.station AND hh.hour=w.hour")
 def eval_window(spark, d):
-    from skillgrid.operators.temporal import lead_hour
+    """Every hour of an inclusive window with its lead; one that lacks any of its six samples isn't complete."""
+    from skillgrid.operators.temporal import ending_hour_wind, lead_hour
 
-    c = B.catalog(spark, d).where("valid between timestamp_ntz'1996-01-01' and timestamp_ntz'1996-12-31'")
-    return c.select("record", lead_hour(F.col("valid"), F.lit("1996-01-01").cast("timestamp")).alias("lead")).where("lead is not null")
+    e = B.table(spark, d, "events").select((F.col("user_id") % 2).alias("station"), "ts", F.col("value").alias("s"), F.lit(0.0).alias("d"))
+    have = ending_hour_wind(e, ["station"], "ts", "s", "d").select("station", "hour", "samples")
+    hours = F.expr("sequence(timestamp'2024-01-05', timestamp'2024-01-20', interval 1 hour)")
+    w = e.select("station").distinct().withColumn("hour", F.explode(hours)).join(have, ["station", "hour"], "left")
+    n = F.coalesce("samples", F.lit(0).cast("long"))
+    return w.select("station", F.col("hour").cast("timestamp_ntz").alias("hour"), lead_hour(F.col("hour"), F.lit("2024-01-02").cast("timestamp")).alias("lead"), n.alias("samples"), (n == 6).alias("complete"))
 
 
 BAND = "CASE WHEN z<500 THEN '<500' WHEN z<1000 THEN '500-1000' WHEN z<1500 THEN '1000-1500' WHEN z<2000 THEN '1500-2000' WHEN z<3000 THEN '2000-3000' ELSE '>=3000' END"
@@ -212,10 +220,13 @@ def metric_prune(spark, d):
     return rounded(r.join(F.broadcast(asked), "metric", "left_semi").select("station", "metric", "c", "b"))
 
 
-@query("domain_site_filter", "SELECT s_suppkey AS site, CASE WHEN abs(s_acctbal)/1000 <= greatest(1.0, 3*0.9) THEN 'kept' ELSE 'excluded' END AS verdict FROM supplier")
+@query("domain_site_filter", f"WITH {B.GRID}, {B.SITES}, t AS (SELECT site, lat + CASE WHEN site % 10 = 0 THEN 0.3 ELSE 0 END AS lat, lon FROM sites), p AS (SELECT site, min(sqrt(((t.lat-g.lat)*110.57)*((t.lat-g.lat)*110.57)+((t.lon-g.lon)*111.32*cos(radians(t.lat)))*((t.lon-g.lon)*111.32*cos(radians(t.lat))))) AS km FROM t, grid g GROUP BY 1) SELECT site, round(km,6)+0.0 AS km, km <= greatest(1.0, 3*0.2) AS kept FROM p")
 def domain_site_filter(spark, d):
-    km = F.abs(F.col("s_acctbal")) / 1000
-    return B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), F.when(km <= F.greatest(F.lit(1.0), F.lit(3 * 0.9)), "kept").otherwise("excluded").alias("verdict"))
+    """Sites within a kilometre, or three cells, of the grid, and those that are not; no site at all within it is an error."""
+    from skillgrid.operators import spatial
+
+    s = B.sites(spark, d).select("site", (F.col("lat") + F.when(F.col("site") % 10 == 0, 0.3).otherwise(0.0)).alias("lat"), "lon")
+    return rounded(spatial.within_domain(s, B.grid(spark, d), ["site"], max(1.0, 3 * 0.2)).select("site", "km", "kept"))
 
 
 @query("daylight_filter", "WITH w AS (SELECT user_id % 25 AS station, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) SELECT station, count(*) AS pairs, round(avg(value),6)+0.0 AS mean FROM w WHERE value > 5 AND prev IS NOT NULL GROUP BY station")

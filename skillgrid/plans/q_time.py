@@ -114,6 +114,18 @@ def midnight_merge(spark, d):
     return rounded(r.where("n = 1").drop("n"))
 
 
+@query("midnight_checks", f"WITH {B.ENDPOINTS}, {MERGE}, n AS (SELECT file_day, station, count(*) AS hours FROM dd GROUP BY 1,2), f AS (SELECT file_day, count(*) AS stations, count(*) FILTER (hours=25) AS whole FROM n GROUP BY 1) SELECT file_day, stations, whole, whole = stations AS complete, coalesce(date_diff('day', lag(file_day) OVER w, file_day) = 1, TRUE) AS follows, coalesce(stations = lag(stations) OVER w, TRUE) AS same_stations FROM f WINDOW w AS (ORDER BY file_day)")
+def midnight_checks(spark, d):
+    """What each daily file must have before it is merged: 25 endpoints of every station, the day after the last file's, and as many stations."""
+    e = endpoints(spark, d)
+    days = e.withColumn("file_day", F.to_date("hour")).unionByName(e.where("hour = date_trunc('day', hour)").withColumn("file_day", F.date_sub(F.to_date("hour"), 1)))
+    n = days.groupBy("file_day", "station").agg(F.count("*").alias("hours"))
+    f = n.groupBy("file_day").agg(F.count("*").alias("stations"), F.count_if(F.col("hours") == 25).alias("whole"))
+    w = Window.orderBy("file_day")  # a row a file
+    yes = F.lit(True)
+    return f.select("file_day", "stations", "whole", (F.col("whole") == F.col("stations")).alias("complete"), F.coalesce(F.datediff("file_day", F.lag("file_day").over(w)) == 1, yes).alias("follows"), F.coalesce(F.col("stations") == F.lag("stations").over(w), yes).alias("same_stations"))
+
+
 @query("time_bracketed_sum", f"WITH {B.ENDPOINTS} SELECT station, hour, round(CASE WHEN count(*) OVER w = 3 THEN sum(value) OVER w END,6)+0.0 AS total FROM endpoints WINDOW w AS (PARTITION BY station ORDER BY hour RANGE BETWEEN INTERVAL 10799 SECOND PRECEDING AND CURRENT ROW)")
 def time_bracketed_sum(spark, d):
     return rounded(pairing.bracketed_sum(endpoints(spark, d), ["station"], "hour", "value", 3).drop("value"))
