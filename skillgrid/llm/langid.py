@@ -9,7 +9,8 @@ The dictionaries are fitted on a bounded sample of labelled rows: of each langua
 documents, chosen by a hash of the id, and ``DICT_BYTES`` of their text. Predictions read whole texts and nothing else.
 
 Defined results: ``und`` with score 0 for a null text and for one without a letter; languages of equal size are
-ordered by name; without labelled rows every text is ``und``; repeated rows stay; an empty table gives an empty one.
+ordered by name; without labelled rows every text is ``und``; repeated rows stay; very long
+texts are read whole, piece by piece; a null id is like any other; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def words_of(text: str) -> bytes:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows whose labels are never learned from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Rows whose labels are never learned from; a null id isn't held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _dictionary(rows: DataFrame, each: int, dict_bytes: int) -> dict[str, bytes]:

@@ -16,7 +16,7 @@ One fingerprint finds texts that differ in very little. For texts that share fou
 average, ``copies`` of it with other hashes and a wider ``bits`` are needed; ``sure`` then keeps the posting lists short.
 
 Defined results: a null text or one without words has fingerprint zero; a text with fewer words than a shingle is one shingle; repeated rows have
-equal fingerprints and so one component; an empty table gives an empty one. A null id counts as the smallest.
+equal fingerprints and so one component; very long texts are counted 4,096 shingles at a time; an empty table gives an empty one. A null id counts as the smallest.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ corpus. A store is a folder of two Parquet tables:
 Blocks are decoded independently of each other, by one table lookup a symbol, all runs of a block at once.
 
 Defined results: documents stand in ascending order of id (nulls first), equal ids in order of their ids' crc32;
-a null or empty text is the end id alone; repeated rows stay; an empty table gives an empty store.
+ids are whole numbers or null, anything else
+is an error; a null or empty text is the end id alone; repeated rows stay; very long texts are encoded alone; an empty table gives an empty store.
 """
 
 from __future__ import annotations

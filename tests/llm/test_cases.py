@@ -394,6 +394,12 @@ def test_language_held_out(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
+def test_a_null_id_is_not_held_out(spark):
+    df = spark.createDataFrame([(None,), (1,), (3,)], "doc_id long")
+    got = {r[0]: r[1] for r in df.select("doc_id", langid.held_out(F.col("doc_id"))).collect()}
+    assert got == {None: False, 1: zlib.crc32(b"1") % 4 == 2, 3: zlib.crc32(b"3") % 4 == 2}
+
+
 def test_language_of_odd_rows(spark, docs, none):
     dictionaries = langid.fit(docs)
     got = {r.doc_id: r for r in langid.classify(docs, dictionaries).collect()}
