@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pytest
@@ -121,7 +122,7 @@ def test_labels_in_scan_order(spark):
 def test_kernel_weights_sum_to_one():
     rng = np.random.default_rng(0)
     donors = regrid._unit(46 + 0.01 * rng.random((20, 9)), 7 + 0.01 * rng.random((20, 9)))
-    w = regrid.kernel_weights(regrid._unit(np.full(20, 46.005), np.full(20, 7.005)), donors, 1e-4)
+    w, _ = regrid.kernel_weights(regrid._unit(np.full(20, 46.005), np.full(20, 7.005)), donors, 1e-4)
     assert w.sum(axis=1) == pytest.approx(np.ones(20))
 
 
@@ -192,6 +193,11 @@ def test_without_the_other_package(tmp_path):
 
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "skillgrid", tmp_path / "skillgrid", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and not any(k.startswith('op') and k[2].isdigit() for k in q)"
-    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, timeout=120).returncode == 0
+    alone = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=alone, timeout=120).returncode == 0
+    # and its tests are all there and can be collected
+    listed = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=tmp_path, env=alone, timeout=120, capture_output=True, text=True)
+    assert listed.returncode == 0, listed.stdout
