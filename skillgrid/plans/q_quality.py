@@ -11,6 +11,7 @@ from skillgrid.plans import bindings as B
 from skillgrid.plans.q_grid import S121
 from skillgrid.plans.q_time import VECTORS, vectors
 from skillgrid.plans.registry import query, r6, rounded, sql6
+from skillgrid.sources import fields
 
 CELLS = "cells AS (SELECT 'quantity' AS var, l_orderkey AS a, l_partkey AS b, l_suppkey AS c, l_linenumber AS e, l_shipdate AS t, l_quantity AS value FROM lineitem UNION ALL SELECT 'discount', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_discount FROM lineitem)"
 
@@ -108,11 +109,28 @@ def closure_contract(spark, d):
     return rounded(Q.closure(f, "y", "fraction"))
 
 
-@query("lifetime_contract", "WITH f AS (SELECT DISTINCT p_brand AS field, p_type AS lifetime FROM part), r AS (SELECT 'ECONOMY' AS lifetime, 'static' AS product UNION ALL SELECT 'STANDARD', 'external' UNION ALL SELECT 'PROMO', 'initial') SELECT field, f.lifetime, product, product IS NULL AS violation FROM f LEFT JOIN r ON f.lifetime=r.lifetime")
+_Q = lambda x: "NULL" if x is None else "'" + x + "'"
+#: The registry in SQL, a row for each name.
+REGISTRY = "reg AS (SELECT * FROM (VALUES " + ", ".join(f"({_Q(n)}, {_Q(f)}, {_Q(l)}, {_Q(s)}, {_Q(u)})" for f, l, s, _, a, u in fields.entries() for n in (f, *a)) + ") t(name, field, lifetime, support, runits))"
+_NAMES = [n for f, *_, a, _u in fields.entries() for n in (f, *a)] + ["no_such_field"]
+_LIST = "[" + ", ".join(map(_Q, _NAMES)) + "]"
+_PLAIN = "regexp_replace(lower({0}), '[\\^\\s*/]', '', 'g')"
+DECLARED = f"decl AS (SELECT DISTINCT ['static','external','initial'][p_size % 3 + 1] AS product, {_LIST}[p_partkey % {len(_NAMES)} + 1] AS name, ['m','K','M','kg / m**-3','degrees_north'][p_size % 5 + 1] AS units, [['y','x'],['epoch','y'],['month','y'],['time','y']][p_size % 4 + 1] AS axes FROM part)"
+
+
+def declared(spark, d):
+    pick = lambda names, at: F.element_at(F.array(*names), at)
+    p, n = B.table(spark, d, "part"), F.col("p_size")
+    axes = [F.array(*map(F.lit, a)) for a in (("y", "x"), ("epoch", "y"), ("month", "y"), ("time", "y"))]
+    name = pick(map(F.lit, _NAMES), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
+    return p.select(pick(map(F.lit, ("static", "external", "initial")), (n % 3 + 1).cast("int")).alias("product"), name.alias("name"), pick(map(F.lit, ("m", "K", "M", "kg / m**-3", "degrees_north")), (n % 5 + 1).cast("int")).alias("units"), pick(axes, (n % 4 + 1).cast("int")).alias("axes")).distinct()
+
+
+@query("lifetime_contract", f"WITH {REGISTRY}, {DECLARED}, j AS (SELECT decl.*, field, lifetime, support, runits FROM decl LEFT JOIN reg USING (name)) SELECT product, name, units, array_to_string(axes, ',') AS axes, field, CASE WHEN field IS NULL THEN 'unknown' WHEN runits IS NOT NULL AND {_PLAIN.format('units')} <> {_PLAIN.format('runits')} THEN 'units' WHEN NOT ((product='static' AND lifetime='invariant') OR (product='external' AND lifetime IN ('epoch','climatology','time_series')) OR (product='initial' AND lifetime IN ('initial_only','invariant'))) THEN 'lifetime' WHEN product='initial' AND lifetime='invariant' AND support<>'coordinate' THEN 'repeated' WHEN lifetime='invariant' AND (list_contains(axes,'time') OR list_contains(axes,'month') OR list_contains(axes,'epoch')) THEN 'axes' WHEN lifetime='climatology' AND NOT list_contains(axes,'month') THEN 'axes' WHEN lifetime='epoch' AND NOT list_contains(axes,'epoch') THEN 'axes' WHEN lifetime='time_series' AND support<>'coordinate' AND NOT list_contains(axes,'time') THEN 'axes' END AS violation FROM j")
 def lifetime_contract(spark, d):
-    f = B.table(spark, d, "part").select(F.col("p_brand").alias("field"), F.col("p_type").alias("lifetime")).distinct()
-    r = spark.createDataFrame([("ECONOMY", "static"), ("STANDARD", "external"), ("PROMO", "initial")], "lifetime string, product string")
-    return f.join(F.broadcast(r), "lifetime", "left").select("field", "lifetime", "product", F.col("product").isNull().alias("violation"))
+    """Declared fields against the closed list: unknown ones, other units, lifetimes that the product may not hold, axes that don't go with them."""
+    out = fields.check_fields(declared(spark, d), fields.registry(spark))
+    return out.select("product", "name", "units", F.concat_ws(",", "axes").alias("axes"), "field", "violation")
 
 
 _EDGE = "least(x-x0, x1-x, y-y0, y1-y)"

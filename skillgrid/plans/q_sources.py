@@ -8,7 +8,7 @@ from skillgrid.operators import quality
 from skillgrid.plans import bindings as B
 from skillgrid.plans.q_campaign import ROWS, station_rows
 from skillgrid.plans.registry import query, r6, rounded, sql6
-from skillgrid.sources import products, station_files
+from skillgrid.sources import fields, products, station_files
 from skillgrid.session import shared_path
 
 #: What the station file holds: some speeds are negative, some directions impossible, one site moves and one lies outside the range.
@@ -157,11 +157,21 @@ def compact_lossless(spark, d):
     return products.same_rows(left, right).withColumn("smaller", F.lit(smaller)).crossJoin(F.broadcast(right.agg(F.count("*").alias("rows_"))))
 
 
-@query("product_partition", f"WITH {B.GRID} SELECT CASE WHEN size<20 THEN 'static' WHEN size<40 THEN 'external' ELSE 'initial' END AS product, count(*) AS cells, round(sum(height),6)+0.0 AS total FROM grid GROUP BY 1")
+_LIFE = {"invariant": "static", "epoch": "external", "climatology": "external", "time_series": "external", "initial_only": "initial"}
+_FIELDS = [(f, _LIFE[l], l == "epoch") for f, l, *_ in fields.entries()]
+_OF = "[" + ", ".join(f"'{f}'" for f, *_ in _FIELDS) + f"][p_partkey % {len(_FIELDS)} + 1]"
+
+
+@query("product_partition", f"WITH r AS (SELECT * FROM (VALUES {', '.join(f'({f!r}, {p!r}, {e})' for f, p, e in _FIELDS)}) t(field, product, epoch)), c AS (SELECT {_OF} AS field, p_retailprice AS height FROM part) SELECT product, field, CASE WHEN epoch THEN 2020 END AS epoch, count(*) AS cells, round(sum(height),6)+0.0 AS total FROM c JOIN r USING (field) GROUP BY 1,2,3")
 def product_partition(spark, d):
+    """One wide source split into static, external and initial products by the lifetime of its fields; epoch fields get an epoch."""
+    p = B.table(spark, d, "part")
+    cells = p.select(F.element_at(F.array(*[F.lit(f) for f, *_ in _FIELDS]), (F.col("p_partkey") % len(_FIELDS) + 1).cast("int")).alias("name"), F.col("p_retailprice").alias("height"))
+    life = F.create_map(*[F.lit(x) for pair in _LIFE.items() for x in pair])
+    of = fields.registry(spark).select("name", "field", life[F.col("lifetime")].alias("product"), F.when(F.col("lifetime") == "epoch", F.lit(2020)).alias("epoch"))
     path = shared_path(spark, "products")
-    products.write_product(B.grid(spark, d).withColumn("product", F.when(F.col("size") < 20, "static").when(F.col("size") < 40, "external").otherwise("initial")), path, "product")
-    return rounded(spark.read.parquet(path).groupBy("product").agg(F.count("*").alias("cells"), F.sum("height").alias("total")))
+    products.write_product(cells.join(F.broadcast(of), "name").drop("name"), path, "product")
+    return rounded(spark.read.parquet(path).groupBy("product", "field", "epoch").agg(F.count("*").alias("cells"), F.sum("height").alias("total")))
 
 
 _EDGE = "least(x-x0, x1-x, y-y0, y1-y)"
