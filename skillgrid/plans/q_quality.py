@@ -91,14 +91,50 @@ def _rules(name: str, prelude: str, source_sql: str, rules: dict[str, str], fram
     run.__doc__ = f"Violations of each rule of ``{name}``."
 
 
-_rules("forcing_contract", B.GRID, "SELECT * FROM grid", {"height_range": "height BETWEEN 900 AND 1095", "latitude": "lat BETWEEN 46 AND 46.1", "longitude": "lon BETWEEN 7 AND 7.2", "land_defined": "land IS NOT NULL", "size_positive": "size > 0", "water_low": "land OR height < 1090"}, B.grid)
-_rules("runtime_contract", B.GRID, "SELECT * FROM grid", {"class_present": "class IS NOT NULL", "snow_bounds": "size <= 45 OR height >= 1000", "glacier_dry": "size <> 50 OR land"}, B.grid)
-_rules("native_state_contract", B.PROFILE, "SELECT *, z - lag(z) OVER (PARTITION BY column_id ORDER BY level) AS dz FROM profile", {"heights_increase": "dz IS NULL OR dz > 0", "moist_below_one": "value/60 < 1", "bottom_near_surface": "level > 1 OR z <= 106"}, lambda s, d: B.profile(s, d).withColumn("dz", F.col("z") - F.lag("z").over(Window.partitionBy("column_id").orderBy("level"))))
-_rules("surface_plausibility", B.GRID, "SELECT *, lead(height) OVER (PARTITION BY y ORDER BY x) - height AS jump FROM grid", {"hard_range": "height > 0", "jump_small": "jump IS NULL OR abs(jump) <= 50", "warn_fallback": "size <= 48"}, lambda s, d: B.grid(s, d).withColumn("jump", F.lead("height").over(raster.along("x")) - F.col("height")))
-_rules("receipt_contract", B.CATALOG, "SELECT * FROM catalog", {"record_named": "record >= 0", "size_positive": "bytes > 0", "priority_known": "priority IN ('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW')", "time_in_period": "valid >= TIMESTAMP '1995-01-01'"}, B.catalog)
-_rules("output_contract", B.WIND, "SELECT * FROM wind", {"speed_present": "speed IS NOT NULL", "direction_range": "direction >= 0 AND direction < 360", "kind_known": "kind IN ('view','click','purchase','error','signup')"}, B.wind)
+#: Grid cells with their neighbours' coordinates, how many cells their row has, and a sea surface where there is water.
+GRID_CONTEXT = "SELECT *, lat - lag(lat) OVER (PARTITION BY x ORDER BY y) AS dlat, lon - lag(lon) OVER (PARTITION BY y ORDER BY x) AS dlon, height - lag(height) OVER (PARTITION BY y ORDER BY x) AS dh, count(*) OVER (PARTITION BY y) AS row_cells, count(*) OVER (PARTITION BY y, x) AS copies, CASE WHEN NOT land THEN 290.0 - height*0.006 END AS sst, size*0.02 AS snow, 260.0 + size*0.5 AS skin FROM grid"
+
+
+def grid_context(spark, d):
+    x, y = raster.along("x"), raster.along("y")
+    g = B.grid(spark, d)
+    return g.withColumns({
+        "dlat": F.col("lat") - F.lag("lat").over(y), "dlon": F.col("lon") - F.lag("lon").over(x), "dh": F.col("height") - F.lag("height").over(x),
+        "row_cells": F.count("*").over(Window.partitionBy("y")), "copies": F.count("*").over(Window.partitionBy("y", "x")),
+        "sst": F.when(~F.col("land"), 290.0 - F.col("height") * 0.006), "snow": F.col("size") * 0.02, "skin": 260.0 + F.col("size") * 0.5,
+    })
+
+
+FORCING = {
+    "height_there": "height IS NOT NULL", "height_range": "height BETWEEN 900 AND 1095", "latitude_there": "lat IS NOT NULL", "latitude": "lat BETWEEN 46 AND 46.9", "longitude_there": "lon IS NOT NULL", "longitude": "lon BETWEEN 7 AND 7.2",
+    "rows_ascend": "dlat IS NULL OR dlat > 0", "columns_ascend": "dlon IS NULL OR dlon > 0", "rows_even": "dlat IS NULL OR abs(dlat - 0.002) < 1e-9", "columns_even": "dlon IS NULL OR abs(dlon - 0.003) < 1e-9",
+    "row_length": "row_cells = 50", "unique_cell": "copies = 1", "land_defined": "land IS NOT NULL", "class_there": "class IS NOT NULL", "size_positive": "size > 0", "water_low": "land OR height < 1090",
+    "sst_on_water": "(sst IS NOT NULL) = (NOT land)", "sst_range": "sst IS NULL OR sst BETWEEN 271 AND 310", "skin_range": "skin BETWEEN 180 AND 340", "snow_range": "snow BETWEEN 0 AND 20", "geometry": "abs(lat - (46 + 0.002*y)) < 1e-9 AND abs(lon - (7 + 0.003*x)) < 1e-9",
+}
+_rules("forcing_contract", B.GRID, GRID_CONTEXT, FORCING, grid_context)
+_rules("runtime_contract", B.GRID, GRID_CONTEXT, {"class_present": "class IS NOT NULL", "row_length": "row_cells = 50", "unique_cell": "copies = 1", "finite": "height IS NOT NULL AND skin IS NOT NULL", "snow_bounds": "snow >= 0 AND snow <= 0.9 + 1e-4", "snow_cold": "snow < 0.8 OR skin <= 273.15 + 1e-4", "glacier_dry": "size <> 50 OR land", "skin_range": "skin BETWEEN 180 AND 340"}, grid_context)
+LEVELS = "SELECT *, z - lag(z) OVER (PARTITION BY column_id ORDER BY level) AS dz, 100000.0*exp(-z/8000.0) - lag(100000.0*exp(-z/8000.0)) OVER (PARTITION BY column_id ORDER BY level) AS dp FROM profile"
+
+
+def levels(spark, d):
+    w, p = Window.partitionBy("column_id").orderBy("level"), 100000.0 * F.exp(-F.col("z") / 8000.0)
+    return B.profile(spark, d).withColumns({"dz": F.col("z") - F.lag("z").over(w), "dp": p - F.lag(p).over(w)})
+
+
+_rules("native_state_contract", B.PROFILE, LEVELS, {"heights_increase": "dz IS NULL OR dz > 0", "pressure_decreases": "dp IS NULL OR dp < 0", "moist_below_one": "value/60 < 1", "bottom_near_surface": "level > 1 OR abs(z - 103) <= 1", "value_range": "value BETWEEN 1 AND 50"}, levels)
+_rules("surface_plausibility", B.GRID, GRID_CONTEXT, {"hard_range": "height > 0", "hard_skin": "skin BETWEEN 180 AND 340", "hard_jump": "dh IS NULL OR abs(dh) <= 50", "warn_jump": "dh IS NULL OR abs(dh) <= 15", "warn_clip": "snow < 0.98", "warn_fallback": "size <= 48"}, grid_context)
+RECEIPTS = "SELECT *, lag(valid) OVER (PARTITION BY segment ORDER BY valid, record) AS before, count(*) OVER (PARTITION BY segment, valid) AS copies, sha256(record::VARCHAR||':'||strftime(valid,'%Y-%m-%d')) AS digest FROM catalog"
+
+
+def receipts(spark, d):
+    digest = F.sha2(F.concat_ws(":", F.col("record").cast("string"), F.date_format("valid", "yyyy-MM-dd")), 256)
+    return B.catalog(spark, d).withColumns({"before": F.lag("valid").over(Window.partitionBy("segment").orderBy("valid", "record")), "copies": F.count("*").over(Window.partitionBy("segment", "valid")), "digest": digest})
+
+
+_rules("receipt_contract", B.CATALOG, RECEIPTS, {"record_named": "record >= 0", "size_positive": "bytes > 0", "priority_known": "priority IN ('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW')", "time_in_period": "valid >= TIMESTAMP '1995-01-01'", "digest_whole": "length(digest) = 64", "times_in_order": "before IS NULL OR before <= valid", "time_of_its_own": "copies = 1", "complete_if_late": "complete OR valid < TIMESTAMP '2002-01-01'"}, receipts)
+_rules("output_contract", B.WIND, "SELECT *, CASE WHEN station % 2 = 0 THEN 10 ELSE 50 END AS level, CASE kind WHEN 'view' THEN 'time: mean' WHEN 'click' THEN 'time: maximum' END AS methods FROM wind", {"speed_present": "speed IS NOT NULL", "direction_range": "direction >= 0 AND direction < 360", "kind_known": "kind IN ('view','click','purchase','error','signup')", "level_listed": "level IN (10, 50)", "methods_declared": "methods IS NOT NULL"}, lambda s, d: B.wind(s, d).withColumns({"level": F.expr("case when station % 2 = 0 then 10 else 50 end"), "methods": F.expr("case kind when 'view' then 'time: mean' when 'click' then 'time: maximum' end")}))
 _rules("support_field_contract", B.GRID, "SELECT *, CASE WHEN NOT land AND size < 4 THEN 1 ELSE 0 END AS unsupported, CASE WHEN NOT land AND size < 4 THEN size*0.2 END AS distance FROM grid", {"only_on_water": "unsupported = 0 OR NOT land", "distance_on_mask": "(unsupported = 1) = (distance IS NOT NULL)", "binary": "unsupported IN (0, 1)"}, lambda s, d: B.grid(s, d).withColumn("unsupported", F.expr("case when not land and size < 4 then 1 else 0 end")).withColumn("distance", F.expr("case when not land and size < 4 then size * 0.2 end")))
-_rules("geometry_contract", B.PROFILE, "SELECT *, z - lag(z) OVER (PARTITION BY column_id ORDER BY level) AS dz FROM profile", {"thickness": "dz IS NULL OR dz >= 12", "spacing": "z > 0"}, lambda s, d: B.profile(s, d).withColumn("dz", F.col("z") - F.lag("z").over(Window.partitionBy("column_id").orderBy("level"))))
+_rules("geometry_contract", B.PROFILE, LEVELS, {"thickness": "dz IS NULL OR dz >= 12", "spacing": "z > 0", "jacobian": "dz IS NULL OR dz/100.0 > 0.5"}, levels)
 _rules("reuse_contract", B.GRID, "SELECT * FROM grid", {"spacing_matches": "abs(lat - (46 + 0.002*y)) < 1e-9", "window_inside": "y >= 0 AND x BETWEEN 0 AND 49", "range": "height BETWEEN -500 AND 9000"}, B.grid)
 
 
