@@ -6,7 +6,7 @@ language of the smallest total wins. The margin to the second smallest is the sc
 A text of less than ``SHORT`` bytes is compressed as repeats of itself: alone it would be stored as it is, at the same size for every language.
 
 The dictionaries are fitted on a bounded sample of labelled rows: of each language about twice ``SAMPLE_DOCS``
-documents, chosen by a hash of the id, and ``DICT_BYTES`` of their text. Predictions read whole texts and nothing else.
+documents, chosen by a hash of id and text, and ``DICT_BYTES`` of their text. Predictions read whole texts and nothing else.
 
 Defined results: ``und`` with score 0 for a null text and for one without a letter; languages of equal size are
 ordered by name; without labelled rows every text is ``und``; repeated rows stay; very long
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillgrid.session import fresh, materialize
+from skillgrid.session import drop, fresh, materialize
 
 SAMPLE_DOCS, DICT_BYTES, PIECE, LEVEL, SHORT = 1500, 110_000, 1024, 6, 128
 
@@ -39,11 +39,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _dictionary(rows: DataFrame, each: int, dict_bytes: int) -> dict[str, bytes]:
-    """Stretches of ``each`` characters, from a place of the text that its id chooses, of rows (doc_id, lang, text)."""
-    at = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) % F.greatest(F.length("text") - each + 1, F.lit(1))).cast("int") + 1
+    """Stretches of ``each`` characters, from a place of the text that its key chooses, of rows (k, lang, text)."""
+    at = (F.pmod(F.xxhash64("k", F.lit(1)), F.lit(1 << 30)) % F.greatest(F.length("text") - each + 1, F.lit(1))).cast("int") + 1
     out: dict[str, list] = {}
-    for lang, h, t in rows.select("lang", F.xxhash64("doc_id"), F.substring("text", at, F.lit(each))).collect():
-        out.setdefault(lang, []).append((h, t))
+    for lang, k, t in rows.select("lang", "k", F.substring("text", at, F.lit(each))).collect():
+        out.setdefault(lang, []).append((k, t))
     return {k: b" ".join(words_of(t) for _, t in sorted(v))[-dict_bytes:] or k.encode() for k, v in out.items()}
 
 
@@ -51,20 +51,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A dictionary for each language of the rows that aren't held out.
 
     Labels may be wrong, so one half of the sample judges the other: dictionaries of the first half classify the texts of the
-    second, and those that get their own label make the dictionaries.
+    second, and those that get their own label make the dictionaries. Rows that are alike in id and text count once.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * sample_docs / n)))])
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    u = F.pmod("k", F.lit(1 << 30)) / (1 << 30)
     each = max(64, dict_bytes // sample_docs * 4)
-    sample = materialize(rows.where(u < share[F.col("lang")]), "lang-sample")
-    first = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)) == 0
+    sample = materialize(rows.where(u < share[F.col("lang")]).groupBy("k", "lang").agg(F.first("text").alias("text")), "lang-sample")
+    first = F.pmod(F.xxhash64("k", F.lit(2)), F.lit(2)) == 0
     judges = {k: b"" for k in counts} | _dictionary(sample.where(first), each, dict_bytes)
     judged = classify(sample.where(~first), {k: v or k.encode() for k, v in judges.items()}, keep=sample.columns)
-    return {k: v or k.encode() for k, v in judges.items()} | _dictionary(judged.where(F.col("_lang") == F.col("lang")), each, dict_bytes)
+    found = {k: v or k.encode() for k, v in judges.items()} | _dictionary(judged.where(F.col("_lang") == F.col("lang")), each, dict_bytes)
+    drop(sample)
+    return found
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("_lang", "_score")) -> DataFrame:
