@@ -10,7 +10,7 @@ Windows of ``K`` words are the edges of the graph, the ``K - 1`` words that two
    those stretches. Branching nodes go to the tasks as a filter, too; one that is taken for branching without being so makes a cut more and changes nothing;
 4. the documents' runs are cut at branching nodes and at the windows of step 2. What is left in one piece is a path without a branch: wherever one of
    its windows stands, all of it stands, so a path is a repeat as a whole or not at all;
-5. equal paths compact by a join on their words themselves, with the document of their first occurrence as the source. Occurrences keep their coordinates (document
+5. a filter of the hashes of paths that two documents have lets on what may be repeated; equal paths compact by a join on their words themselves, with the document of their first occurrence as the source. Occurrences keep their coordinates (document
    and word); those in a later document than the source's are repeats. No hash decides that two stretches are equal;
 6. spans go back to their documents by an equi-join on the id and a hash of the text.
 
@@ -195,6 +195,18 @@ def paths(rows: DataFrame, known: tuple[int, np.ndarray], branching: tuple[int,
     return rows.select("d", "th", "text").mapInArrow(run, "words string, d long, th long, at int, n int")
 
 
+def maybe(found: DataFrame, twice: tuple[int, np.ndarray]) -> DataFrame:
+    """Occurrences of paths whose hash ``p`` passes a filter of those that two documents have."""
+    shared = found.sparkSession.sparkContext.broadcast(twice)
+
+    def run(batches):
+        for batch in batches:
+            key = batch.column(batch.schema.get_field_index("p")).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(passes(shared.value, key)))
+
+    return found.mapInArrow(run, found.schema)
+
+
 def repeated_paths(rows: DataFrame, k: int = K, gram: int = GRAM, slice_bytes: int = 12_000_000) -> DataFrame:
     """(d, th, at, n, sd): occurrences of compacted paths in documents of a larger id than their source's, ``sd``."""
     spark = rows.sparkSession
@@ -206,14 +218,18 @@ def repeated_paths(rows: DataFrame, k: int = K, gram: int = GRAM, slice_bytes: i
     branching = key_filter(nodes)
     drop(nodes)
     release(spark)
-    found = materialize(paths(rows, known, branching, k, gram, slice_bytes), "span-paths")
+    found = materialize(paths(rows, known, branching, k, gram, slice_bytes).withColumn("p", F.xxhash64("words")), "span-paths")
+    release(spark)
+    # by a hash first, which moves no words: what two documents may have in common
+    twice = materialize(found.groupBy("p").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select(F.col("p").alias("key")), "span-twice")
+    some = materialize(maybe(found, key_filter(twice)), "span-some")
+    drop(found, twice)
     release(spark)
-    keyed = found.withColumn("p", F.xxhash64("words"))  # sorts faster than words, and goes before them
-    sources = keyed.groupBy("p", "words").agg(F.min("d").alias("sd"), F.max("d").alias("b")).where("sd < b").drop("b")
+    sources = some.groupBy("p", "words").agg(F.min("d").alias("sd"), F.max("d").alias("b")).where("sd < b").drop("b")
     sources = materialize(sources, "span-sources")  # a table of its own: a join with it, not with an aggregate, is split where a path is in very many documents
     release(spark)
-    repeats = materialize(keyed.join(sources, ["p", "words"]).where("d > sd").select("d", "th", "at", "n", "sd"), "span-repeats")
-    drop(found, sources)
+    repeats = materialize(some.join(sources, ["p", "words"]).where("d > sd").select("d", "th", "at", "n", "sd"), "span-repeats")
+    drop(some, sources)
     release(spark)
     return repeats
 
