@@ -50,4 +50,20 @@ u AS (SELECT source, target, {_SUMS} FROM j GROUP BY 1, 2),
 e AS (SELECT source, {_BEST} AS seed FROM u)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + ({_CHOSEN} < rate - floor(rate))::INT))::BIGINT AS taken FROM j JOIN e ON j.source IS NOT DISTINCT FROM e.source"""
 
-ORACLES = {"op2_repeated_spans": OP2, "op4_decontaminate": OP4, "op5_exact_dedup": OP5, "op6_mix_sources": OP6}
+TERMS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, t, count(*) AS repeats FROM (SELECT item_id, unnest({TERMS}) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY 1, 2),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2, 3),
+v AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, docs),
+r AS (SELECT item_id, doc_id, sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score FROM q JOIN v USING (t) JOIN p USING (t), s GROUP BY 1, 2)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0) WHERE rank <= 10"""
+
+OP12 = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE alike) WHERE n <= 5),
+n AS (SELECT p.*, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+ORACLES = {"op2_repeated_spans": OP2, "op4_decontaminate": OP4, "op5_exact_dedup": OP5, "op6_mix_sources": OP6, "op11_lexical_search": OP11, "op12_hard_negatives": OP12}

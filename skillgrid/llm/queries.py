@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontaminate, exact, html_cut, langid, mixing, pii, simhash, substrings, token_counts, token_store
+from skillgrid.llm import decontaminate, exact, html_cut, langid, lexical, mixing, negatives, pii, simhash, substrings, token_counts, token_store
 from skillgrid.llm.oracles import ORACLES  # noqa: F401
 from skillgrid.session import bound_batches, materialize, shared_path
 
@@ -71,4 +71,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_repeated_spans, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_mix_sources, op7_main_text, op8_personal_data, op9_language, op10_token_counts)}
\ No newline at end of file
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", changed), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_repeated_spans, op3_simhash, op4_decontaminate, op5_exact_dedup, op6_mix_sources, op7_main_text, op8_personal_data, op9_language, op10_token_counts, op11_lexical_search, op12_hard_negatives)}
