@@ -201,8 +201,15 @@ def sleve_slope(zeta: Column, top: float, scale: float, exponent: float) -> Colu
 
 
 def land_temperature(skin: Column, dz: Column, depth: Column) -> Column:
-    """Lapse correction that fades with depth over 3 m."""
-    return skin - LAPSE_LAND * dz * clip(1 - depth / 3.0, 0.0, 1.0)
+    """A soil temperature at a depth, brought to another height: the change grows with depth, see ``depth_share``."""
+    return skin - LAPSE_LAND * dz * depth_share(depth)
+
+
+def depth_share(depth: Column | float, full: float = 3.0):
+    """The share of a change of height that a depth takes: 0 at the surface, 1 from ``full`` metres on, by a rational blend of third order."""
+    c = 3 * full
+    x = min(max(depth, -full), full) if isinstance(depth, (int, float)) else clip(depth, -full, full)
+    return (9 * c * c * x + 27 * x * x * x) / (c * c * c + 27 * c * x * x)
 
 
 def wrap_lon(lon: Column) -> Column:

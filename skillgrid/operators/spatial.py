@@ -1,12 +1,13 @@
-"""Spatial joins by bins: candidates share a bin or lie in one next to it, so no theta join is planned."""
+"""Spatial joins without a theta join: within a bound by bins, candidates sharing one or lying in one next to it; the nearest, however far, by a tree."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillgrid.functions.physics import EARTH_KM, KM_PER_LAT, KM_PER_LON, arc_km
-from skillgrid.session import materialize
+from skillgrid.functions.physics import KM_PER_LAT, KM_PER_LON, arc_km
+from skillgrid.operators.nearest import nearest
+from skillgrid.session import fresh
 
 
 def planar_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, at_lat: Column) -> Column:
@@ -26,46 +27,30 @@ def candidates(sites: DataFrame, cells: DataFrame, size: float, rings: int = 1,
     return s.join(c, ["_by", "_bx"]).drop("_by", "_bx")
 
 
-def nearest_cell(sites: DataFrame, cells: DataFrame, keys: list[str], size: float = 0.01, rings: int = 1, at_lat: Column | None = None, where: Column | None = None) -> DataFrame:
-    """The nearest cell of each site; ties go to the first (y, x). Complete for sites whose nearest cell is within ``rings`` bins, and
-    ``certain`` says so: the distance is no more than the covered radius."""
-    pairs = candidates(sites, cells, size, rings)
-    if where is not None:
-        pairs = pairs.where(where)
-    pairs = pairs.withColumn("km", planar_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"), F.col("lat") if at_lat is None else at_lat))
-    best = pairs.groupBy(*keys).agg(F.min_by(F.struct("y", "x", "km"), F.struct("km", "y", "x")).alias("b"), F.first("lat").alias("_lat"))
-    # what lies outside the bins is at least so far away; a degree of longitude is the shorter one
-    covered = rings * size * KM_PER_LON * F.cos(F.radians(F.abs("_lat") + rings * size))
-    return best.select(*keys, "b.*", (F.col("b.km") <= covered).alias("certain"))
+def nearest_cell(sites: DataFrame, cells: DataFrame, keys: list[str], at_lat: Column | None = None) -> DataFrame:
+    """(keys, y, x, km) of the cell next to each site, however far; ties go to the first (y, x). Distances are planar at ``at_lat``, the site's own latitude if not given.
 
+    A site without coordinates, or any where there are no cells, keeps its row with nulls: a violation.
+    """
+    at = fresh("at_lat", [*sites.columns, "y", "x", "cell_lat", "cell_lon", "km"])
+    sites = sites.withColumn(at, F.col("lat") if at_lat is None else at_lat)
 
-def _widen(todo: DataFrame, keys: list[str], found, size: float, most_rounds: int) -> DataFrame:
-    """Results of ``found(rows, rings)`` (keys, ..., certain), with twice the rings for those rows whose answer isn't certain yet, until all are; an error if some never are."""
-    out, rings = None, 1
-    for _ in range(most_rounds):
-        best = materialize(found(todo, rings), "nearest")
-        sure = best.where("certain").drop("certain")
-        out = sure if out is None else out.unionByName(sure)
-        todo = todo.join(sure.select(*keys).distinct(), keys, "left_anti")
-        if todo.isEmpty():
-            return out
-        rings *= 2
-    raise ValueError(f"rows without an answer within {rings // 2 * size:g} degrees")
-
+    def first(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.withColumn("km", planar_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"), F.col(at)))
+        return pairs.groupBy(*keys).agg(F.min_by(F.struct("y", "x", "km"), F.struct("km", "y", "x")).alias("b")).select(*keys, "b.*")
 
-def nearest_anywhere(sites: DataFrame, cells: DataFrame, keys: list[str], size: float = 0.01, where: Column | None = None, at_lat: Column | None = None, most_rounds: int = 14) -> DataFrame:
-    """As ``nearest_cell``, for every site, however far its cell."""
-    return _widen(sites, keys, lambda rows, rings: nearest_cell(rows, cells, keys, size, rings, at_lat, where), size, most_rounds)
+    points = cells.select("y", "x", F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
+    return nearest(sites.select(*keys, "lat", "lon", at), points, 1, [F.col("lat"), F.col("lon")], [F.col("cell_lat"), F.col("cell_lon")], first, [F.lit(KM_PER_LAT), KM_PER_LON * F.cos(F.radians(at))])
 
 
-def nearest_land_cell(sites: DataFrame, cells: DataFrame, keys: list[str], bound_km: float, size: float = 0.01) -> DataFrame:
+def nearest_land_cell(sites: DataFrame, cells: DataFrame, keys: list[str], bound_km: float) -> DataFrame:
     """(keys, y0, x0, km0, y, x, km, displacement, override): the cell next to a site, and of the land cells that are no further than ``bound_km`` from that cell the
     one next to the site. Distances are planar at the mean latitude of the cells. A site without such a cell keeps its row, with nulls: a violation.
     """
     mean = cells.agg(F.avg("lat").alias("mean_lat"))
     at = F.col("mean_lat")
     sites, cells = sites.crossJoin(F.broadcast(mean)), cells.select("y", "x", "lat", "lon", "land")
-    first = nearest_anywhere(sites, cells, keys, size, at_lat=at).select(*keys, F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("km").alias("km0"))
+    first = nearest_cell(sites, cells, keys, at).select(*keys, F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("km").alias("km0"))
     origin = first.join(cells.select(F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0")), ["y0", "x0"]).join(sites, keys)
     # bins as wide as the bound even where a degree of longitude is half as long
     near = candidates(origin, cells.where("land"), 2 * bound_km / KM_PER_LAT, 1, ("lat0", "lon0"))
@@ -78,29 +63,32 @@ def nearest_land_cell(sites: DataFrame, cells: DataFrame, keys: list[str], bound
 
 def within_domain(sites: DataFrame, cells: DataFrame, keys: list[str], most_km: float) -> DataFrame:
     """(keys, y, x, km, kept) of every site; ``kept`` where its cell is no further than ``most_km``. That none is kept is an error."""
-    out = materialize(nearest_anywhere(sites, cells, keys), "in-domain").withColumn("kept", F.col("km") <= most_km)
+    out = nearest_cell(sites, cells, keys).withColumn("kept", F.col("km") <= most_km)
     if out.where("kept").isEmpty():
         raise ValueError("no site within the domain")
     return out
 
 
-def k_nearest(targets: DataFrame, donors: DataFrame, k: int, size: float, most_rounds: int = 14) -> DataFrame:
-    """(target, rank, donor, km, ...): the k nearest donors on the sphere, ties by donor, for every target. ``targets`` and ``donors`` have (target | donor, lat, lon).
+def on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """A place as a point of the unit sphere; straight distances grow with those along the surface."""
+    lat, lon = F.radians(lat), F.radians(lon)
+    return [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
+
 
-    A target is done when the bins that were looked through reach at least as far as its k-th donor; till then it goes on with twice as many.
+def k_nearest(targets: DataFrame, donors: DataFrame, k: int) -> DataFrame:
+    """(target, rank, donor, km, lat, lon, cell_lat, cell_lon): the k nearest donors on the sphere, ties by donor, for every target; all of them if they are fewer.
+    ``targets`` and ``donors`` have (target | donor, lat, lon).
+
+    A target without coordinates, or any where there are no donors, keeps one row with nulls: a violation.
     """
 
-    def within(rows: DataFrame, rings: int) -> DataFrame:
-        pairs = candidates(rows, donors, size, rings).withColumn("km", arc_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")))
+    def first(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.withColumn("km", arc_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")))
         w = Window.partitionBy("target").orderBy(F.round("km", 9), "donor")
-        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        # what lies outside the bins is at least so far away; a degree of longitude is the shorter one
-        covered = F.radians(F.lit(rings * size)) * EARTH_KM * F.cos(F.radians(F.abs("lat") + rings * size))
-        whole = Window.partitionBy("target")
-        best = best.withColumn("certain", (F.count("*").over(whole) == k) & (F.max("km").over(whole) <= covered))
-        return best.select("target", "rank", "donor", "km", "lat", "lon", "cell_lat", "cell_lon", "certain")
-
-    return _widen(targets, ["target"], within, size, most_rounds)
+        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("target", "rank", "donor", "km", "lat", "lon", "cell_lat", "cell_lon")
+
+    points = donors.select("donor", F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
+    return nearest(targets.select("target", "lat", "lon"), points, k, on_sphere(F.col("lat"), F.col("lon")), on_sphere(F.col("cell_lat"), F.col("cell_lon")), first)
 
 
 def footprint(sites: DataFrame, cells: DataFrame, radius_km: float, dx_km: float) -> DataFrame:

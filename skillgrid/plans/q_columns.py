@@ -137,25 +137,6 @@ def grid_rotation(spark, d):
     return rounded(raster.rotation(g, 500.0))
 
 
-_CODE = "(size % 10 + 1)"
-_BY = lambda values: f"(CASE {_CODE} " + " ".join(f"WHEN {k} THEN {v!r}" for k, v in enumerate(values, 1)) + " END)::DOUBLE"
-_VWC = "(size*0.4/(1000.0*(0.09-0.03)))::DOUBLE"
-_ACTIVE = f"{_CODE} BETWEEN 3 AND 8"
-
-
-@query("surface_state", f"WITH {B.GRID}, k AS (SELECT y, x, land, 280.0+size*0.1 AS source, height-1000 AS dz, CASE WHEN {_ACTIVE} THEN greatest(({_VWC}-{_BY(P.WILTING_POINT)})/({_BY(P.FIELD_CAPACITY)}-{_BY(P.WILTING_POINT)}),0.0) END AS smi, CASE WHEN {_ACTIVE} THEN least(greatest({_VWC}/{_BY(P.POROSITY)},0.0),1.0) END AS sat, {_VWC} AS vwc, size*0.5 AS swe, size*0.002 AS depth FROM grid), t AS (SELECT *, CASE WHEN land THEN source-0.007*dz ELSE 283.0 END::DOUBLE AS skin FROM k) SELECT y, x, round(skin,6)+0.0 AS skin, round(CASE WHEN land THEN source-0.007*dz*(1-0.2/3.0) ELSE 283.0 END,6)+0.0 AS soil_top, round(CASE WHEN land THEN source-0.007*dz*(1-1.5/3.0) ELSE 283.0 END,6)+0.0 AS soil_deep, round(CASE WHEN land THEN least(greatest(0.08+smi*(0.3-0.08),0.05),0.42) ELSE 1.0 END::DOUBLE,6)+0.0 AS water_index, round(CASE WHEN land THEN least(greatest(sat*0.42,0.05),0.42) ELSE 1.0 END::DOUBLE,6)+0.0 AS water_saturation, round(CASE WHEN land THEN least(greatest(vwc,0.05),0.42) ELSE 1.0 END::DOUBLE,6)+0.0 AS water_absolute, round(CASE WHEN land AND depth>0 THEN swe/depth END::DOUBLE,6)+0.0 AS snow_density, round(CASE WHEN land THEN least(greatest(skin,greatest(skin-10,180.0)),least(skin,273.15)) END::DOUBLE,6)+0.0 AS snow_temperature FROM t")
-def surface_state(spark, d):
-    """Skin and soil temperatures over the target's own height, soil water by three methods and snow; water cells have fixed values and no snow."""
-    g = B.grid(spark, d)
-    land = lambda x, other: F.when(F.col("land"), x).otherwise(other)
-    source, dz, code, mass = 280.0 + F.col("size") * 0.1, F.col("height") - 1000, F.col("size") % 10 + 1, F.col("size") * 0.4
-    dry, wilting, capacity, most = map(F.lit, (0.05, 0.08, 0.3, 0.42))
-    at = lambda depth: land(P.land_temperature(source, dz, F.lit(depth)), 283.0)
-    out = g.select("y", "x", "land", "size", at(0.0).alias("skin"), at(0.2).alias("soil_top"), at(1.5).alias("soil_deep"), land(P.index_to_water(P.soil_moisture_index(mass, 2, code), dry, wilting, capacity, most), 1.0).alias("i"), land(P.saturation_to_water(P.relative_saturation(mass, 2, code), dry, most), 1.0).alias("s"), land(P.clip(P.water_content(mass, 2), 0.05, 0.42), 1.0).alias("a"))
-    snow = lambda x: F.when(F.col("land"), x)
-    return rounded(out.select("y", "x", "skin", "soil_top", "soil_deep", F.col("i").alias("water_index"), F.col("s").alias("water_saturation"), F.col("a").alias("water_absolute"), snow(F.try_divide(F.col("size") * 0.5, F.col("size") * 0.002)).alias("snow_density"), snow(P.snow_temperature(F.col("skin"))).alias("snow_temperature")))
-
-
 @query("udf_column")
 def udf_column(spark, d):
     """The column kernel's own check: how far the last round still moved each column, and how many of its levels lie within the source."""

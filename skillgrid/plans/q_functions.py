@@ -93,7 +93,7 @@ register("relax_weight", lambda i: {"weight": P.relaxation_weight(i.dist, 3000.0
 register("wind10_weight", lambda i: {"weight": P.wind10_weight(i.size / 5.0, i.size / 5.0 + 8.0)}, {"weight": d6("least(greatest((10-size/5.0)/((size/5.0+8.0)-size/5.0),0.0),1.0)")})
 register("shapiro_response", lambda i: {"response": P.shapiro_response(4, 0.9, i.size + 2.0)}, {"response": d6("1-0.9*pow(sin(pi()/(size+2.0)),4.0)")})
 register("sleve_basis", lambda i: {"decay": P.sleve_basis(i.dist, 6000.0, 5000.0, 1.35)}, {"decay": d6("((exp(pow(6000.0/5000.0,1.35)-pow(dist/5000.0,1.35))-exp(-(pow(6000.0/5000.0,1.35)-pow(dist/5000.0,1.35))))/2)/((exp(pow(6000.0/5000.0,1.35))-exp(-pow(6000.0/5000.0,1.35)))/2)")})
-register("land_temp_correction", lambda i: {"corrected": P.land_temperature(i.t, i.dz, i.dist / 1000)}, {"corrected": d6("t-0.007*dz*least(greatest(1-(dist/1000)/3.0,0.0),1.0)")})
+register("land_temp_correction", lambda i: {"corrected": P.land_temperature(i.t, i.dz, i.dist / 1000)}, {"corrected": d6("t-0.007*dz*(729*least(dist/1000,3.0)+27*least(dist/1000,3.0)*least(dist/1000,3.0)*least(dist/1000,3.0))/(729+243*least(dist/1000,3.0)*least(dist/1000,3.0))")})
 register("wrap_lon", lambda i: {"wrapped": P.wrap_lon(i.lon)}, {"wrapped": d6(MOD("lon+180.0", "360.0") + " - 180.0")})
 CODE = "(size % 10 + 1)"
 _CASE = lambda values: f"(CASE {CODE} " + " ".join(f"WHEN {k} THEN {v!r}" for k, v in enumerate(values, 1)) + " END)::DOUBLE"

@@ -21,13 +21,13 @@ def _nearest_sql(at: str, more: str = "") -> str:
 
 @query("nearest_cell", _nearest_sql("46.04"))
 def nearest_cell(spark, d):
-    return rounded(spatial.nearest_anywhere(B.sites(spark, d), B.grid(spark, d), ["site"], at_lat=F.lit(46.04)))
+    return rounded(spatial.nearest_cell(B.sites(spark, d), B.grid(spark, d), ["site"], F.lit(46.04)))
 
 
 @query("nearest_native_cell", _nearest_sql("s.lat", ", km > 2.0 AS beyond"))
 def nearest_native_cell(spark, d):
     """Every site's cell; what is over 2 km away is marked, not left out."""
-    return rounded(spatial.nearest_anywhere(B.sites(spark, d), B.grid(spark, d), ["site"]).withColumn("beyond", F.col("km") > 2.0))
+    return rounded(spatial.nearest_cell(B.sites(spark, d), B.grid(spark, d), ["site"]).withColumn("beyond", F.col("km") > 2.0))
 
 
 AT_MEAN = "(SELECT avg(lat) FROM grid)"
@@ -47,7 +47,7 @@ ARC = "2*6371.0*asin(least(sqrt((cos(radians({a}.lat))*cos(radians({a}.lon))-cos
 @query("nearest_great_circle", f"WITH {B.GRID}, {B.SITES} SELECT site, round(min({ARC.format(a='s', b='g')}),6)+0.0 AS km FROM sites s, grid g WHERE NOT land GROUP BY site")
 def nearest_great_circle(spark, d):
     water = B.grid(spark, d).where("not land").select((F.col("y").cast("long") * 50 + F.col("x")).alias("donor"), "lat", "lon")
-    near = spatial.k_nearest(B.sites(spark, d).select(F.col("site").alias("target"), "lat", "lon"), water, 1, 0.01)
+    near = spatial.k_nearest(B.sites(spark, d).select(F.col("site").alias("target"), "lat", "lon"), water, 1)
     return rounded(near.select(F.col("target").alias("site"), "km"))
 
 
@@ -76,13 +76,13 @@ SPACING = f"sp AS (SELECT median(km) AS spacing FROM (SELECT a.y*50+a.x AS t, mi
 
 
 def spacing(spark, d) -> float:
-    return regrid.spacing_km(donors(spark, d).select("donor", "lat", "lon"), 0.01).first()[0]
+    return regrid.spacing_km(donors(spark, d).select("donor", "lat", "lon")).first()[0]
 
 
 @query("knn_donors", f"WITH {B.GRID}, {TARGETS}, {SPACING}, p AS (SELECT target, g.y::BIGINT*50+g.x AS donor, {ARC.format(a='t', b='g')} AS km FROM t JOIN grid g ON abs(t.lat-g.lat) < 0.02 AND abs(t.lon-g.lon) < 0.03), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(km,9), donor) AS rank, min(km) OVER (PARTITION BY target) AS nearest FROM p) SELECT target, rank::INT AS rank, donor, round(km,6)+0.0 AS km, nearest <= 3*spacing AS covered FROM r, sp WHERE rank <= 10")
 def knn_donors(spark, d):
     """Ten donors for every target; one whose nearest donor is over three spacings away isn't covered."""
-    near = spatial.k_nearest(targets(spark, d), donors(spark, d), 10, 0.01)
+    near = spatial.k_nearest(targets(spark, d), donors(spark, d), 10)
     covered = F.min("km").over(Window.partitionBy("target")) <= regrid.MOST_SPACINGS * spacing(spark, d)
     return rounded(near.withColumn("covered", covered).select("target", "rank", "donor", "km", "covered"))
 
@@ -90,14 +90,14 @@ def knn_donors(spark, d):
 @query("grid_spacing", f"WITH {B.GRID}, {SPACING} SELECT round(spacing,6)+0.0 AS spacing_km, round(0.05*spacing/13.0*1.0,9)+0.0 AS scale FROM sp")
 def grid_spacing(spark, d):
     """The median distance to the next point, and the scale of the kernel that goes with it."""
-    s = regrid.spacing_km(donors(spark, d).select("donor", "lat", "lon"), 0.01)
+    s = regrid.spacing_km(donors(spark, d).select("donor", "lat", "lon"))
     return s.select(r6("spacing_km").alias("spacing_km"), (F.round(regrid.SCALE * F.col("spacing_km") / regrid.SCALE_KM, 9) + F.lit(0.0)).alias("scale"))
 
 
 def weights(spark, d):
-    """Weights of ten donors for every target that has sound ones."""
+    """Weights of ten donors for every target that has sound ones, worked out once."""
     km = spacing(spark, d)
-    return regrid.rbf_weights(targets(spark, d), donors(spark, d).select("donor", "lat", "lon"), 10, 0.01, regrid.kernel_scale(km), km, strict=False)
+    return materialize(regrid.rbf_weights(targets(spark, d), donors(spark, d).select("donor", "lat", "lon"), 10, regrid.kernel_scale(km), km, strict=False), "weights")
 
 
 @query("rbf_weights")
@@ -115,31 +115,19 @@ def rbf_apply(spark, d):
     return rounded(regrid.apply_weights(filled, donors(spark, d).withColumn("constant", F.lit(5.0)), "constant"))
 
 
-@query("rbf_vector")
-def rbf_vector(spark, d):
-    """(u, v) from edge-normal winds, by one set of weights for each component."""
-    edges = donors(spark, d).select("donor", F.cos(F.radians(F.col("size") * 7.0)).alias("ne"), F.sin(F.radians(F.col("size") * 7.0)).alias("nn"), (F.col("height") / 100).alias("vn"))
-    return rounded(regrid.wind_from_normals(weights(spark, d), edges))
-
+def edges(spark, d):
+    """Cells as edges with normals that turn with the cells' sizes, and the wind along them: of a uniform (3, 7) m/s, and of the cells' heights."""
+    ne, nn = F.cos(F.radians(F.col("size") * 7.0)), F.sin(F.radians(F.col("size") * 7.0))
+    return donors(spark, d).select("donor", "lat", "lon", ne.alias("ne"), nn.alias("nn"), (3 * ne + 7 * nn).alias("uniform"), (F.col("height") / 100).alias("vn"))
 
-@query("same_surface_remap")
-def same_surface_remap(spark, d):
-    """Every target's height from cells of its own surface: by weights, from the stencil, or from the nearest such cell of all."""
-    src = donors(spark, d).select("donor", F.col("land").alias("surface"), "height", "lat", "lon")
-    own = targets(spark, d).select("target", (F.col("target") % 3 != 0).alias("surface"), "lat", "lon")
-    return rounded(regrid.same_surface(weights(spark, d), src, own, "height", 0.01))
 
-
-@query("sst_target")
-def sst_target(spark, d):
-    """Same-surface value on water, the all-surface value where the stencil has none, which it was, and how far the nearest water is there."""
-    w, src, at = weights(spark, d), donors(spark, d), targets(spark, d)
-    water = regrid.same_surface(w, src.select("donor", F.col("land").alias("surface"), "height"), at.select("target", F.lit(False).alias("surface")), "height")
-    every = regrid.apply_weights(w, src.withColumnRenamed("height", "any"), "any")
-    lost = at.join(water.where("height is null").select("target"), "target", "left_semi")
-    near = spatial.k_nearest(lost, src.where("not land").select("donor", "lat", "lon"), 1, 0.01).select("target", F.col("km").alias("candidate_km"))
-    out = water.drop("km").join(every, "target").join(near, "target", "left")
-    return rounded(out.select("target", F.coalesce("height", "any").alias("sst"), F.col("height").isNull().alias("unsupported"), "candidate_km"))
+@query("rbf_vector")
+def rbf_vector(spark, d):
+    """(u, v) of every target from winds along nine edges' normals by the vector kernel: of any wind, and of a uniform one, which comes back where the weights are sound."""
+    at, km = edges(spark, d), spacing(spark, d)
+    w = materialize(regrid.vector_weights(targets(spark, d), at, 9, regrid.kernel_scale(km), km, strict=False), "vector-weights")
+    uniform = regrid.wind_from_normals(w, at, "uniform").withColumnsRenamed({"u": "u_uniform", "v": "v_uniform"})
+    return rounded(regrid.wind_from_normals(w, at).join(uniform, "target"))
 
 
 @query("box_mean_2d", f"WITH {B.GRID} SELECT a.y, a.x, round(avg(b.height),6)+0.0 AS height FROM grid a JOIN grid b ON abs(a.y-b.y)<=2 AND abs(a.x-b.x)<=2 GROUP BY 1,2")
@@ -390,7 +378,7 @@ def distribution_by_class(spark, d):
 def grid_interp(spark, d):
     """Nearest and linear interpolation; linear has no value outside the grid."""
     s, g = B.sites(spark, d), B.grid(spark, d)
-    at = spatial.nearest_anywhere(s, g, ["site"]).select("site", "y", "x")
+    at = spatial.nearest_cell(s, g, ["site"]).select("site", "y", "x")
     near = at.join(g.select("y", "x", F.col("height").alias("nearest")), ["y", "x"]).select("site", "nearest")
     return rounded(near.join(spatial.bilinear(s, g, "height", "site").select("site", F.col("height").alias("linear")), "site"))
 

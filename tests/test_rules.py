@@ -22,29 +22,6 @@ def plane(spark, ny=12, nx=9):
     return spark.range(ny * nx).selectExpr("cast(id div %d as int) y" % nx, "cast(id %% %d as int) x" % nx).selectExpr("y", "x", "46 + 0.01D*y lat", "7 + 0.02D*x lon", "2D*y + 3D*x height", "(y + x) % 5 != 0 land", "cast(y*100 + x as long) donor")
 
 
-def test_nearest_widens_until_certain(spark):
-    """Cells a degree apart and bins of a hundredth: one ring finds none."""
-    cells = spark.createDataFrame([(0, 0, 46.0, 7.0), (0, 1, 46.0, 8.0), (1, 0, 47.0, 7.0)], "y int, x int, lat double, lon double")
-    sites = spark.createDataFrame([(1, 46.4, 7.1), (2, 46.9, 7.2), (3, 46.0, 7.9)], "site int, lat double, lon double")
-    got = {r.site: (r.y, r.x) for r in spatial.nearest_anywhere(sites, cells, ["site"], 0.01).collect()}
-    assert got == {1: (0, 0), 2: (1, 0), 3: (0, 1)}
-    with pytest.raises(ValueError):
-        spatial.nearest_anywhere(sites, cells.where("false"), ["site"], 0.01, most_rounds=2)
-
-
-@pytest.mark.parametrize("size", [0.004, 0.1])
-def test_k_nearest_against_all_pairs(spark, size):
-    rng = np.random.default_rng(4)
-    at = lambda n: list(zip(range(n), (46 + rng.random(n)).tolist(), (7 + rng.random(n)).tolist()))
-    t, d = at(40), at(60)
-    got = {}
-    for r in spatial.k_nearest(spark.createDataFrame(t, "target long, lat double, lon double"), spark.createDataFrame(d, "donor long, lat double, lon double"), 5, size).collect():
-        got.setdefault(r.target, {})[r["rank"]] = r.donor
-    unit = lambda p: np.array([[np.cos(np.radians(a)) * np.cos(np.radians(b)), np.cos(np.radians(a)) * np.sin(np.radians(b)), np.sin(np.radians(a))] for _, a, b in p])
-    near = np.argsort(np.linalg.norm(unit(t)[:, None] - unit(d)[None], axis=2), axis=1, kind="stable")[:, :5]
-    assert got == {k: dict(enumerate(row.tolist(), 1)) for k, row in enumerate(near)}
-
-
 def test_land_cells_within_a_bound(spark):
     """Water at the site's own cell: the next land cell is taken if it lies within the bound, and else the row is a violation."""
     cells = spark.createDataFrame([(0, x, 46.0, 7 + 0.01 * x, x >= 2) for x in range(5)], "y int, x int, lat double, lon double, land boolean")
@@ -103,27 +80,10 @@ def test_kernel_weights(spark):
 def test_targets_without_sound_weights(spark):
     donors = plane(spark).select("donor", "lat", "lon")
     far = spark.createDataFrame([(1, 46.05, 7.05), (2, 47.5, 9.0)], "target long, lat double, lon double")
-    w = regrid.rbf_weights(far, donors, 10, 0.05, regrid.kernel_scale(1.5), 1.1, strict=False)
+    w = regrid.rbf_weights(far, donors, 10, regrid.kernel_scale(1.5), 1.1, strict=False)
     assert {r.target: r.n for r in w.groupBy("target").agg(F.count("weight").alias("n")).collect()} == {1: 10, 2: 0}
     with pytest.raises(Exception, match="sound weights"):
-        regrid.rbf_weights(far, donors, 10, 0.05, regrid.kernel_scale(1.5), 1.1).count()
-
-
-def test_a_surface_from_weights_stencil_and_anywhere(spark):
-    weights = spark.createDataFrame([(1, 1, 10, 0.6), (1, 2, 11, 0.4), (2, 1, 10, 0.5), (2, 2, 12, 0.5), (3, 1, 11, 1.0)], "target long, rank int, donor long, weight double")
-    source = spark.createDataFrame([(10, True, 1.0, 46.0, 7.0), (11, True, 3.0, 46.0, 7.1), (12, False, 9.0, 46.0, 7.2), (13, False, 5.0, 46.0, 8.0)], "donor long, surface boolean, v double, lat double, lon double")
-    targets = spark.createDataFrame([(1, True, 46.0, 7.0), (2, False, 46.0, 7.1), (3, False, 46.0, 7.9)], "target long, surface boolean, lat double, lon double")
-    got = {r.target: (r.v, r.how) for r in regrid.same_surface(weights, source, targets, "v", 0.05).collect()}
-    assert got[1] == (pytest.approx(1.8), "weights") and got[2] == (9.0, "weights") and got[3] == (5.0, "nearest")
-
-
-def test_wind_from_normals(spark):
-    """A uniform wind seen along any normals comes back."""
-    angle = F.radians(F.col("donor") * 25.0)
-    edges = spark.range(1, 9).select(F.col("id").alias("donor")).select("donor", F.cos(angle).alias("ne"), F.lit(0.0).alias("nn"), (F.cos(angle) * 4.0).alias("vn"))
-    w = spark.range(1, 9).selectExpr("1L target", "id donor", "0.125D weight")
-    r = regrid.wind_from_normals(w, edges).first()
-    assert r.u == pytest.approx(4.0) and r.v is None
+        regrid.rbf_weights(far, donors, 10, regrid.kernel_scale(1.5), 1.1).count()
 
 
 # ---- columns and time ----------------------------------------------------------------------------
