@@ -45,9 +45,10 @@ def q_from_dewpoint(td: Column, p: Column) -> Column:
 
 
 def q_saturation(t: Column, p: Column) -> Column:
+    """Specific humidity of saturated air over water."""
     tc = t - 273.15
-    e = F.least(611.2 * F.exp(17.67 * tc / (tc + 243.5)), 0.99 * p)
-    return EPSILON * e / (p - (1 - EPSILON) * e)
+    e = F.least(610.94 * F.exp(17.625 * tc / (tc + 243.04)), 0.99 * p)
+    return EPSILON * e / F.greatest(p - (1 - EPSILON) * e, F.lit(1.0))
 
 
 def height_adjust_temperature(t: Column, dz: Column) -> Column:
@@ -71,9 +72,8 @@ def arc_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float
 
 
 def blend(distance: Column, transition: float) -> Column:
-    """Compact transition from 1 at 0 to 0 at ``transition``: 1 - 3r^2 + 2r^3 on the clipped ratio."""
-    r = clip(distance / transition, 0.0, 1.0)
-    return 1 - 3 * r * r + 2 * r * r * r
+    """Compact transition from 1 at 0 to 0 from ``transition`` on, by the rational blend of ``depth_share``."""
+    return 1 - depth_share(clip(distance, 0.0, transition), transition)
 
 
 def edge_taper(distance: Column, width: float, shape: str) -> Column:

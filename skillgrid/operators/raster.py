@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillgrid.functions.physics import edge_taper
 from skillgrid.operators.graph import connected_components
 from skillgrid.operators.order import ranked
+from skillgrid.operators.tiles import Tile, box_medians, over_tiles
 from skillgrid.session import materialize
 
 
@@ -31,13 +34,15 @@ def box_mean(cells: DataFrame, value: str, half: int, passes: int = 1) -> DataFr
     return cells
 
 
-def box_median(cells: DataFrame, value: str, half: int, name: str = "median") -> DataFrame:
-    """Median over a square of half-width ``half`` cut at the edges: values of a row's stretch first, then those of the rows around; no cell is joined with its neighbours."""
-    row = cells.withColumn("_r", F.collect_list(value).over(along("x").rangeBetween(-half, half)))
-    box = row.withColumn("_b", F.array_sort(F.flatten(F.collect_list("_r").over(along("y").rangeBetween(-half, half)))))
-    n = F.size("_b")
-    middle = (F.element_at("_b", ((n + 1) / 2).cast("int")) + F.element_at("_b", (n / 2).cast("int") + 1)) / 2
-    return box.withColumn(name, F.when(n > 0, middle)).drop("_r", "_b")
+def box_median(cells: DataFrame, value: str, half: int, name: str = "median", side: int = 128) -> DataFrame:
+    """``cells`` with the median over a square of half-width ``half`` cut at the edges, null where it holds no value. By tiles that have the box around them, so that no task holds a row or
+    a column of the raster."""
+
+    def run(tile: Tile, table: pa.Table) -> dict[str, pa.Array]:
+        values = table[value].to_numpy().astype(np.float64)
+        return {name: pa.array(tile.rows(box_medians(tile.dense(values), half)), from_pandas=True)}
+
+    return over_tiles(cells, half, run, f"`{name}` double", max(side, half))
 
 
 def smooth_121(cells: DataFrame, value: str, active: str) -> DataFrame:
@@ -77,13 +82,17 @@ def reblend(cells: DataFrame, value: str, outer: Column, width: float) -> DataFr
     return cells.withColumn(value, (1 - w) * outer + w * F.col(value))
 
 
-def gradient(cells: DataFrame, value: str, axis: str, step: float) -> Column:
-    """Second-order difference: centred inside, one-sided over two steps at the edges."""
-    w = along(axis)
+def second_order(value: str, w, step: float) -> Column:
+    """Second-order difference along a window: centred inside, one-sided over two steps at the ends."""
     v, b, f, b2, f2 = F.col(value), F.lag(value).over(w), F.lead(value).over(w), F.lag(value, 2).over(w), F.lead(value, 2).over(w)
     return F.when(b.isNull() & f2.isNotNull(), (-3 * v + 4 * f - f2) / (2 * step)).when(f.isNull() & b2.isNotNull(), (3 * v - 4 * b + b2) / (2 * step)).when(b.isNull(), (f - v) / step).when(f.isNull(), (v - b) / step).otherwise((f - b) / (2 * step))
 
 
+def gradient(cells: DataFrame, value: str, axis: str, step: float) -> Column:
+    """Second-order difference along a row or a column."""
+    return second_order(value, along(axis), step)
+
+
 def faces(cells: DataFrame, value: str, axis: str) -> tuple[Column, Column]:
     """Values at a cell's two faces along an axis: midway to the neighbours, and the cell's own at the raster's edge. Their mean brings a face field back to cells."""
     w, v = along(axis), F.col(value)
@@ -112,9 +121,10 @@ def neighbour_pairs(cells: DataFrame, keep: list[str]) -> DataFrame:
     return out
 
 
-def label_components(cells: DataFrame, mask: Column, width: int = 1 << 20) -> DataFrame:
+def label_components(cells: DataFrame, mask: Column) -> DataFrame:
     """(y, x, label) of masked cells; labels number the 4-connected groups in order of their first cell."""
-    on = cells.where(mask).select("y", "x", (F.col("y").cast("long") * width + F.col("x")).alias("node"))
+    width = F.broadcast(cells.agg((F.max("x").cast("long") + 1).alias("_width")))  # one row
+    on = cells.where(mask).select("y", "x").crossJoin(width).select("y", "x", (F.col("y").cast("long") * F.col("_width") + F.col("x")).alias("node"))
     edges = neighbour_pairs(on, ["node"]).select(F.col("node").alias("src"), F.col("next_node").alias("dst"))
     found = connected_components(edges)
     named = on.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from skillgrid.functions import physics as P
 from skillgrid.operators import columns as C
 from skillgrid.operators import raster
+from skillgrid.operators.tiles import fused_slope_wind
 from skillgrid.plans import bindings as B
 from skillgrid.plans.q_campaign import ROWS, station_rows
+from skillgrid.plans.q_grid import targets
+from skillgrid.plans.q_surface import inverse_distance
 from skillgrid.plans.registry import query, r6, rounded, sql6
+from skillgrid.session import materialize
 
 HEIGHTS = [120.0, 205.0, 333.0, 470.0]
 
@@ -35,27 +39,53 @@ def hydrostatic_integrate(spark, d):
     return rounded(C.hydrostatic(rows, "column_id", "level", "z", "tv", F.lit(100000.0)).select("column_id", "level", "pressure"))
 
 
-def profile_columns(spark, d, surface: float):
-    """Columns of the profiles with temperature, water and winds, over ground at the source's and at another height."""
-    rows = B.profile(spark, d).withColumns({"t": surface - F.col("z") * 0.0065, "q": F.col("value") * 1e-4, "u": F.col("value") * 0.1, "v": 3.0 - F.col("value") * 0.05})
-    cols = C.as_arrays(rows, "column_id", "level", "z", "t", "q", "u", "v")
-    return cols.withColumns({"p0": F.lit(100000.0), "ground": F.lit(50.0), "own_ground": 20.0 + (F.col("column_id") % 5) * 60.0})
+SPECIES = ["cloud", "rain"]
+
+
+def source_columns(spark, d):
+    """A column for each order, six levels higher than its profile, with cloud and rain, and the levels of a target whose ground lies lower, alike or higher; some can't be done."""
+    rows = arrays(spark, d)
+    n = F.size("value") + 6
+    hhl = F.transform(F.sequence(F.lit(0), n), lambda k: 50.0 + 110.0 * k + (F.col("column_id") % 7) * k)
+    c = rows.select("column_id", hhl.alias("hhl"), F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.element_at("value", F.least(k + 1, F.size("value")).cast("int"))).alias("x"))
+    c = c.withColumn("z", F.zip_with(F.slice("hhl", F.lit(2), F.size("hhl") - 1), F.slice("hhl", F.lit(1), F.size("hhl") - 1), lambda a, b: (a + b) / 2))
+    over = lambda f: F.zip_with("z", "x", f)
+    own = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: 20.0 + (F.col("column_id") % 6) * 60.0 + k * (90.0 + k * 5))
+    return c.select("column_id", "hhl", own.alias("own_hhl"), over(lambda z, x: 290 - 0.0065 * z + 0.05 * x).alias("t"), over(lambda z, x: 1e5 * F.exp(-z / 8000)).alias("p"), over(lambda z, x: 0.004 + x * 1.5e-4).alias("qv"), over(lambda z, x: x * 0.1).alias("u"), over(lambda z, x: 3 - x * 0.05 + z * 0.01).alias("v"), over(lambda z, x: F.when(x > 25, x * 1e-5).otherwise(0.0)).alias("cloud"), over(lambda z, x: F.when(z < 400, x * 2e-6).otherwise(0.0)).alias("rain"))
 
 
 @query("column_reconstruct")
 def column_reconstruct(spark, d):
-    """State of each column on heights above its own ground; the residual of the last round is next to nothing."""
-    return rounded(C.reconstruct(profile_columns(spark, d, 290.0), "column_id", HEIGHTS))
+    """State of each column on the levels of its target, with cloud and rain; columns that can't be done keep a row with a violation."""
+    state = C.reconstruct(source_columns(spark, d), "column_id", SPECIES)
+    arrays_ = ["z", "t", "p", "qv", "u", "v", *SPECIES, "theta", "rho"]
+    return rounded(C.by_level(state, ["column_id", "terrain", "anchor_m", "below", "buried", "violation"], *arrays_))
+
+
+def donor_columns(spark, d):
+    """Every cell as a donor: a column of twelve layers over its height, drier and thinner upwards."""
+    size, n = F.col("size"), 12
+    g = B.grid(spark, d).select((F.col("y").cast("long") * 50 + F.col("x")).alias("donor"), "size", (F.col("height") / 2).alias("ground"))
+    hhl = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.col("ground") + k * (60.0 + size) + k * k * 8.0)
+    c = g.withColumn("hhl", hhl).withColumn("z", F.zip_with(F.slice("hhl", 2, n), F.slice("hhl", 1, n), lambda a, b: (a + b) / 2))
+    over = lambda f: F.transform("z", f)
+    cloud = over(lambda z: F.when((z > 1200) & (z < 1500), size * 1e-5).otherwise(0.0))
+    return c.select("donor", "hhl", over(lambda z: 293 - 0.0065 * z + size * 0.02).alias("t"), over(lambda z: 101000.0 * F.exp(-z / 8200)).alias("p"), over(lambda z: 0.008 * F.exp(-z / 2500) + size * 1e-5).alias("qv"), over(lambda z: size * 0.1 + z * 0.002).alias("u"), over(lambda z: 5.0 - size * 0.05).alias("v"), F.transform("hhl", lambda z: (z - F.col("ground")) * 1e-4 + size * 1e-3).alias("w"), cloud.alias("cloud"), over(lambda z: F.when(z < 900, size * 3e-6).otherwise(0.0)).alias("rain"))
+
+
+def target_columns(spark, d):
+    """Every target of the regridding as a cell of a raster with seven layers over its own ground."""
+    t = F.col("target")
+    ground = 400.0 + (t % 50) * 6 + F.floor(t / 50) * 2
+    own = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: ground + k * 70.0 + k * k * 6.0)
+    return targets(spark, d).select("target", F.floor(t / 50).cast("int").alias("y"), (t % 50).cast("int").alias("x"), own.alias("own_hhl"))
 
 
 @query("state_transform")
 def state_transform(spark, d):
-    """Reconstructed state, winds and dry mixing ratios of each column, with the vertical wind of a slope, quiet at the top, in one pipeline."""
-    state = C.reconstruct(profile_columns(spark, d, 288.0), "column_id", HEIGHTS)
-    dry = P.dry_mixing_ratio([F.col("vapour"), F.col("cloud")])
-    quiet = F.element_at(F.map_from_arrays(F.array(*map(F.lit, HEIGHTS)), F.array(*map(F.lit, C.quiet_top(len(HEIGHTS))))), F.col("target_z"))
-    w = P.blend(F.col("target_z"), 4000.0) * (0.02 * F.col("u") + 0.01 * F.col("v")) * quiet
-    return rounded(state.select("column_id", "target_z", "theta", dry[0].alias("vapour"), dry[1].alias("cloud"), (F.col("p") / (P.R_DRY * F.col("t"))).alias("density"), "u", "v", w.alias("w")))
+    """From source columns to the state on the target raster in one go: sparse weights, interfaces, columns with cloud and rain, and the vertical wind over slopes."""
+    state = C.transform_state(inverse_distance(spark, d), donor_columns(spark, d), target_columns(spark, d), SPECIES, 200.0, 200.0, side=32)
+    return rounded(C.by_level(state, ["target", "terrain", "buried", "violation"], "z", "t", "p", "qv", "u", "v", "w", *SPECIES, "theta", "rho"))
 
 
 @query("interface_remap", f"WITH {B.PROFILE}, a AS (SELECT column_id, level, value*500.0/sum(value) OVER (PARTITION BY column_id) AS t FROM profile), b AS (SELECT *, sum(greatest(20-t,0)) OVER p AS need, sum(greatest(t-20,0)) OVER p AS excess FROM a WINDOW p AS (PARTITION BY column_id)), u AS (SELECT column_id, level, CASE WHEN t<20 THEN 20 ELSE t-(t-20)*CASE WHEN excess<>0 THEN need/excess END END AS u FROM b) SELECT column_id, level, round(sum(u) OVER (PARTITION BY column_id ORDER BY level),6)+0.0 AS interface FROM u")
@@ -67,17 +97,31 @@ def interface_remap(spark, d):
 GRADX = "CASE WHEN lag(height) OVER w IS NULL THEN (-3*height+4*lead(height) OVER w-lead(height,2) OVER w)/400.0 WHEN lead(height) OVER w IS NULL THEN (3*height-4*lag(height) OVER w+lag(height,2) OVER w)/400.0 ELSE (lead(height) OVER w-lag(height) OVER w)/400.0 END"
 
 
-@query("terrain_w", f"WITH {B.GRID}, g AS (SELECT y, x, size, {GRADX} AS sx FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)), h AS (SELECT y, x, {GRADX} AS sy FROM grid WINDOW w AS (PARTITION BY x ORDER BY y)), z AS (SELECT unnest([0.0,1000.0,2500.0,5000.0,7000.0]::DOUBLE[]) AS z, unnest([1.0,1.0,0.66,0.33,0.0]::DOUBLE[]) AS quiet), i AS (SELECT y, x, z, (1-3*least(z/4000,1)*least(z/4000,1)+2*least(z/4000,1)*least(z/4000,1)*least(z/4000,1)) AS b, sx*size*0.5+sy*2.0 AS slope, size*0.01 AS given, quiet FROM g JOIN h USING (y, x), z), w AS (SELECT y, x, z, (b*slope+(1-b)*given)*quiet AS w FROM i) SELECT y, x, z, {sql6('w')}, round((w+lead(w) OVER (PARTITION BY y, x ORDER BY z))/2,6)+0.0 AS w_mass FROM w")
+ZETA = (0.0, 1000.0, 2500.0, 5000.0, 7000.0)
+_SLOPES = f"g AS (SELECT y, x, height, size, {GRADX} AS sx FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)), h AS (SELECT y, x, {GRADX} AS sy FROM grid WINDOW w AS (PARTITION BY x ORDER BY y))"
+_AGL = "least(hhl-min(hhl) OVER c, 4000.0)"
+#: Interfaces by hand: slopes shrink with the terrain's share of each, winds stand between mass levels.
+TERRAIN_W = f"""WITH {B.GRID}, {_SLOPES}, l AS (SELECT unnest(range(5))::INT AS k, unnest({list(ZETA)}::DOUBLE[]) AS zeta, unnest([1.0,1.0,0.66,0.33,0.0]::DOUBLE[]) AS quiet),
+i AS (SELECT y, x, k, quiet, zeta+height*(1-zeta/7000) AS hhl, sx*(1-zeta/7000) AS dzdx, sy*(1-zeta/7000) AS dzdy, size*0.01*(k+1) AS given, size*0.5+k AS u, 2-0.1*k AS v FROM g JOIN h USING (y, x), l),
+m AS (SELECT *, (hhl+lead(hhl) OVER c)/2 AS z FROM i WINDOW c AS (PARTITION BY y, x ORDER BY k)),
+p AS (SELECT *, CASE WHEN k IN (0, 4) THEN 0 ELSE (hhl-lag(z) OVER c)/(z-lag(z) OVER c) END AS part, CASE k WHEN 0 THEN u WHEN 4 THEN lag(u) OVER c ELSE lag(u) OVER c END AS u0, CASE k WHEN 4 THEN lag(u) OVER c ELSE u END AS u1, CASE k WHEN 0 THEN v ELSE lag(v) OVER c END AS v0, CASE k WHEN 4 THEN lag(v) OVER c ELSE v END AS v1, {_AGL} AS agl FROM m WINDOW c AS (PARTITION BY y, x ORDER BY k)),
+t AS (SELECT *, (u0+part*(u1-u0))*dzdx+(v0+part*(v1-v0))*dzdy AS terrain, (1296000000.0*agl+27*agl*agl*agl)/(1728000000000.0+324000*agl*agl) AS f FROM p),
+w AS (SELECT y, x, k, (f*given+(1-f)*terrain)*quiet AS w FROM t)"""
+
+
+def interfaces(spark, d):
+    """Cells with arrays over five interfaces that follow the terrain less and less: heights, given vertical wind, and winds of the four layers between."""
+    size = F.col("size")
+    arr = lambda f, n: F.array(*[f(k) for k in range(n)])
+    return B.grid(spark, d).select("y", "x", arr(lambda k: ZETA[k] + F.col("height") * (1 - ZETA[k] / 7000), 5).alias("hhl"), arr(lambda k: size * 0.01 * (k + 1), 5).alias("w"), arr(lambda k: size * 0.5 + k, 4).alias("u"), arr(lambda k: F.lit(2 - 0.1 * k), 4).alias("v"))
+
+
+@query("terrain_w", f"{TERRAIN_W} SELECT y, x, k, {sql6('w')}, round((w+lead(w) OVER (PARTITION BY y, x ORDER BY k))/2,6)+0.0 AS w_mass FROM w")
 def terrain_w(spark, d):
     """Vertical wind at interfaces: the slope wind at the ground, fading into the given one over 4 km; a third, two thirds and all of it taken away at the top three; then at mass levels."""
-    g = B.grid(spark, d)
-    s = g.select("y", "x", "size", raster.gradient(g, "height", "x", 200.0).alias("sx"), raster.gradient(g, "height", "y", 200.0).alias("sy"))
-    heights = (0.0, 1000.0, 2500.0, 5000.0, 7000.0)
-    levels = s.withColumn("l", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(q).alias("quiet")) for z, q in zip(heights, C.quiet_top(len(heights)))])))
-    b = P.blend(F.col("l.z"), 4000.0)
-    w = (b * (F.col("sx") * F.col("size") * 0.5 + F.col("sy") * 2.0) + (1 - b) * F.col("size") * 0.01) * F.col("l.quiet")
-    w = levels.select("y", "x", F.col("l.z").alias("z"), w.alias("w"))
-    return rounded(w.withColumn("w_mass", (F.col("w") + F.lead("w").over(Window.partitionBy("y", "x").orderBy("z"))) / 2))
+    levels = interfaces(spark, d).select("y", "x", F.posexplode("hhl").alias("k", "hhl"), "w", "u", "v")
+    at = lambda c: F.get(c, F.col("k"))
+    return rounded(C.slope_wind(levels.select("y", "x", "k", "hhl", at("w").alias("given"), at("u").alias("u"), at("v").alias("v")), 200.0, 200.0))
 
 
 SINH = "((exp({0})-exp(-({0})))/2)"
@@ -139,14 +183,18 @@ def grid_rotation(spark, d):
 
 @query("udf_column")
 def udf_column(spark, d):
-    """The column kernel's own check: how far the last round still moved each column, and how many of its levels lie within the source."""
-    state = C.reconstruct(profile_columns(spark, d, 290.0), "column_id", HEIGHTS)
-    return state.groupBy("column_id").agg((F.max("residual") < 1e-9).alias("settled"), F.count("t").alias("levels"), F.first("terrain").alias("terrain"))
+    """The column kernel's rounds: how far each still moved log pressure, by how many it was let run, and how many columns had settled."""
+    cols = materialize(source_columns(spark, d), "source-columns")
+    out = None
+    for rounds in (1, 2, 4, C.ROUNDS):
+        s = C.reconstruct(cols, "column_id", SPECIES, rounds).where("violation is null")
+        g = s.agg(F.lit(rounds).alias("rounds"), F.count("*").alias("columns"), F.max("residual").alias("residual"), F.count_if(F.col("residual") < 1e-9).alias("settled"))
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
-@query("udf_fused_w", f"WITH {B.GRID}, g AS (SELECT y, x, {GRADX} AS s FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT y, x, round((s*3.0+s*3.0*(1-3*0.25*0.25+2*0.25*0.25*0.25))/2,6)+0.0 AS w_mass FROM g")
+@query("udf_fused_w", f"{TERRAIN_W}, q AS (SELECT y, x, k, (w+lead(w) OVER (PARTITION BY y, x ORDER BY k))/2 AS w_mass FROM w) SELECT y, x, k, {sql6('w_mass')} FROM q WHERE k < 4")
 def udf_fused_w(spark, d):
-    """Interface winds, then their mean at mass levels, in two stages as expressions; no fused kernel."""
-    s = B.grid(spark, d).select("y", "x", raster.gradient(B.grid(spark, d), "height", "x", 200.0).alias("s"))
-    at = lambda z: P.blend(F.lit(z), 4000.0) * F.col("s") * 3.0
-    return rounded(s.select("y", "x", ((at(0.0) + at(1000.0)) / 2).alias("w_mass")))
+    """The same vertical wind at mass levels by one kernel over tiles of the raster with their borders."""
+    made = fused_slope_wind(interfaces(spark, d), 200.0, 200.0, side=16)
+    return rounded(made.select("y", "x", F.posexplode("w_mass").alias("k", "w_mass")))

@@ -62,14 +62,16 @@ register("rotate_wind", lambda i: {**dict(zip(("gu", "gv"), P.earth_to_grid(i.u,
 register("obs_units", lambda i: {"kelvin": i.t + 273.15, "pascal": i.p * 100, "metres": i.dz / 100}, {"kelvin": d6("t+273.15"), "pascal": d6("p*100"), "metres": d6("dz/100")})
 register("rel_humidity", lambda i: {"rh": P.relative_humidity(i.t, i.q, i.p)}, {"rh": d6(f"100.0*(q*p/(0.622+(1-0.622)*q))/({ES})")})
 register("q_from_dewpoint", lambda i: {"value": P.q_from_dewpoint(i.t, i.p)}, {"value": d6(f"0.622*({ES})/(p-(1-0.622)*({ES}))")})
-register("q_sat", lambda i: {"value": P.q_saturation(i.t + 60, i.p)}, {"value": d6(f"0.622*least({ES.replace('(t-', '(t+60-')},0.99*p)/(p-(1-0.622)*least({ES.replace('(t-', '(t+60-')},0.99*p))")})
+EW = "least(610.94*exp(17.625*(t+60-273.15)/((t+60-273.15)+243.04)),0.99*p)"
+register("q_sat", lambda i: {"value": P.q_saturation(i.t + 60, i.p)}, {"value": d6(f"0.622*{EW}/greatest(p-(1-0.622)*{EW},1.0)")})
 register("height_adjust", lambda i: {"temperature": P.height_adjust_temperature(i.t, i.dz), "pressure": P.height_adjust_pressure(i.p, i.dz, i.t)}, {"temperature": d6("t-0.0065*dz"), "pressure": d6("p*exp(-9.80665*dz/(287.05*t))")})
 register("unit_sphere", lambda i: dict(zip("xyz", P.unit_sphere(i.lat, i.lon))), {"x": d6("cos(radians(lat))*cos(radians(lon))"), "y": d6("cos(radians(lat))*sin(radians(lon))"), "z": d6("sin(radians(lat))")})
 CH = "sqrt((cos(radians(lat))*cos(radians(lon))-cos(radians(46.5))*cos(radians(8.0)))*(cos(radians(lat))*cos(radians(lon))-cos(radians(46.5))*cos(radians(8.0)))+(cos(radians(lat))*sin(radians(lon))-cos(radians(46.5))*sin(radians(8.0)))*(cos(radians(lat))*sin(radians(lon))-cos(radians(46.5))*sin(radians(8.0)))+(sin(radians(lat))-sin(radians(46.5)))*(sin(radians(lat))-sin(radians(46.5))))"
 register("arc", lambda i: {"km": P.arc_km(i.lat, i.lon, F.lit(46.5), F.lit(8.0))}, {"km": d6(f"2*6371.0*asin(least({CH}/2,1.0))")})
 register("angle_units", lambda i: {"degrees": P.to_degrees(i.lon, F.when(i.size % 2 == 0, "radians").otherwise("degrees_east"))}, {"degrees": d6("CASE WHEN size % 2 = 0 THEN degrees(lon) ELSE lon END")})
 R = "least(greatest(dist/4000.0,0.0),1.0)"
-register("blend", lambda i: {"weight": P.blend(i.dist, 4000.0)}, {"weight": d6(f"1-3*{R}*{R}+2*{R}*{R}*{R}")})
+X4 = "least(greatest(dist,0.0),4000.0)"
+register("blend", lambda i: {"weight": P.blend(i.dist, 4000.0)}, {"weight": d6(f"1-(1296000000.0*{X4}+27*{X4}*{X4}*{X4})/(1728000000000.0+324000*{X4}*{X4})")})
 register("edge_taper", lambda i: {k: P.edge_taper(i.dist, 4000.0, k) for k in ("linear", "cosine", "smoother")}, {"linear": d6(R), "cosine": d6(f"0.5-0.5*cos(pi()*{R})"), "smoother": d6(f"{R}*{R}*{R}*({R}*({R}*6-15)+10)")})
 SILT = "(100.0-sand-clay)"
 TEXTURE = [

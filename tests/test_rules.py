@@ -89,32 +89,6 @@ def test_targets_without_sound_weights(spark):
 # ---- columns and time ----------------------------------------------------------------------------
 
 
-def test_reconstructed_columns(spark):
-    """Pressure is hydrostatic, water is kept, vapour is at most saturated, buried levels go, and above the source's top there is nothing."""
-    from skillgrid.operators import columns as C
-
-    z = [100.0, 600.0, 1500.0, 3000.0, 5000.0]
-    rows = [(k, z, [288 - 0.0065 * h for h in z], [0.02, 0.012, 0.006, 0.003, 0.001], [1.0, 2.0, 3.0, 4.0, 5.0], [0.0] * 5, 100000.0, 50.0, own) for k, own in enumerate((50.0, 50.5, 10.0, 900.0, 6000.0))]
-    cols = spark.createDataFrame(rows, "k long, z array<double>, t array<double>, q array<double>, u array<double>, v array<double>, p0 double, ground double, own_ground double")
-    at = [50.0, 400.0, 1000.0, 4500.0]
-    got = {}
-    for r in C.reconstruct(cols, "k", at).collect():
-        got.setdefault(r.k, []).append(r)
-    assert [got[k][0].terrain for k in range(5)] == ["matched", "matched", "lower", "higher", "higher"]
-    assert [got[k][0].buried for k in range(5)] == [0, 0, 0, 2, 5]
-    for k in range(4):
-        own = rows[k][-1]
-        inside = [r for r in got[k] if own + r.target_z <= z[-1]]
-        assert all(r.t is None and r.p is None and r.u is None for r in got[k] if own + r.target_z > z[-1]) and len(inside) >= 3
-        assert all(a.p > b.p for a, b in zip(inside, inside[1:])) and all(r.residual < 1e-9 for r in inside)
-        for a, b in zip(inside, inside[1:]):
-            tv = (a.t * (1 + 0.61 * a.vapour) + b.t * (1 + 0.61 * b.vapour)) / 2
-            assert np.log(a.p / b.p) == pytest.approx(9.80665 * (b.target_z - a.target_z) / (287.05 * tv), rel=1e-6)
-        assert all(r.humidity <= 100 + 1e-6 and r.cloud >= -1e-12 for r in inside)
-    assert all(r.t is None for r in got[4])
-    assert got[0][1].u == pytest.approx(1 + (450 - 100) / 500) and got[0][1].vapour + got[0][1].cloud == pytest.approx(0.02 - 0.008 * 0.7)
-
-
 def test_quiet_top():
     from skillgrid.operators.columns import quiet_top
 
