@@ -61,31 +61,56 @@ def lead_hour(valid: Column, start: Column) -> Column:
     return F.when((s >= 0) & (s % 3600 == 0), F.floor(s / 3600))
 
 
+#: Stretches of time that a series is cut into.
+STRETCHES = 64
+
+
+def around(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, stretches: int = STRETCHES) -> DataFrame:
+    """``left`` with ``_before`` and ``_after``: structs (t, v) of the last row of ``right`` at or before its time and of the first after it, and ``_first``, the series' first; null where there is none.
+
+    Time is cut into ``stretches`` with about as many rows each, and windows run within one key and stretch, so one long series goes to many tasks. What a stretch
+    needs of those before and after it, the last and the first row there, comes from a scan over stretches, of which a key has ``stretches`` at most, and is put in as two rows of its own.
+    """
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    kind = f"struct<t:{right.schema[right_time].dataType.simpleString()},v:{right.schema[value].dataType.simpleString()}>"
+    times = left.select(at(left_time).alias("t")).unionAll(right.select(at(right_time).alias("t")))
+    cuts = sorted(set(times.agg(F.percentile_approx("t", [k / stretches for k in range(1, stretches)], 1000)).first()[0] or []))
+    stretch = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= c)) if cuts else F.lit(0)
+    a = left.withColumns({"_t": at(left_time), "_s": F.lit(1)}).withColumn("_k", F.when(F.col("_t").isNotNull(), stretch(F.col("_t"))))
+    b = right.select(*keys, at(right_time).alias("_t"), F.lit(0).alias("_s"), F.struct(F.col(right_time).alias("t"), F.col(value).alias("v")).alias("_x")).where("_t is not null").withColumn("_k", stretch(F.col("_t")))
+    ends = b.groupBy(*keys, "_k").agg(F.min_by("_x", "_t").alias("_lo"), F.max_by("_x", "_t").alias("_hi"))
+    asked = a.select(*keys, "_k").distinct().withColumns({"_lo": F.lit(None).cast(kind), "_hi": F.lit(None).cast(kind)})
+    places = ends.unionByName(asked).groupBy(*keys, "_k").agg(F.first("_lo", ignorenulls=True).alias("_lo"), F.first("_hi", ignorenulls=True).alias("_hi"))
+    w = Window.partitionBy(*keys).orderBy("_k")
+    ever = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = places.select(*keys, "_k", F.last("_hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_p"), F.first("_lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_n"), F.first("_lo", ignorenulls=True).over(ever).alias("_w"))
+    ends_of_time = F.array(F.struct(F.lit(-(1 << 63)).alias("_t"), F.col("_p").alias("_x"), F.col("_w").alias("_w")), F.struct(F.lit((1 << 63) - 1).alias("_t"), F.col("_n").alias("_x"), F.lit(None).cast(kind).alias("_w")))
+    carried = carried.select(*keys, "_k", F.explode(ends_of_time).alias("_e")).select(*keys, "_k", "_e.*", F.lit(0).alias("_s"))
+    both = a.unionByName(b, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    part = Window.partitionBy(*keys, "_k").orderBy("_t", "_s")
+    out = both.withColumns({"_before": F.last("_x", ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first("_x", ignorenulls=True).over(part.rowsBetween(1, Window.unboundedFollowing)), "_first": F.first("_w", ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0))})
+    return out.where("_s = 1").select(*left.columns, "_before", "_after", "_first")
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, back: bool = False) -> DataFrame:
-    """The last ``value`` with right_time <= left_time, as union and a running last: one shuffle by keys, no range join.
+    """The last ``value`` with right_time <= left_time, without a range join: see ``around``.
 
     Before the first there is none, or, with ``back``, the first one's; ``extrapolated`` says so. Without any there is null.
     """
-    a = left.withColumns({"_t": F.col(left_time), "_s": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType), "_f": F.lit(None).cast(right.schema[right_time].dataType)})
-    b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_s"), F.col(value).alias("_v"), F.col(right_time).alias("_f"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_s")
-    past, all_ = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    both = a.unionByName(b, allowMissingColumns=True)
-    pick = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(all_)) if back else F.last(c, ignorenulls=True).over(past)
-    out = both.withColumns({value: pick("_v"), "valid_from": pick("_f")})
-    return out.where("_s = 1").withColumn("extrapolated", F.coalesce(F.col("valid_from") > F.col(left_time), F.lit(False))).drop("_t", "_s", "_v", "_f")
+    found = around(left, right, keys, left_time, right_time, value)
+    x = F.coalesce("_before", "_first") if back else F.col("_before")
+    out = found.withColumn("_x", x).withColumns({value: F.col("_x.v"), "valid_from": F.col("_x.t")})
+    return out.withColumn("extrapolated", F.coalesce(F.col("valid_from") > F.col(left_time), F.lit(False))).drop("_x", "_before", "_after", "_first")
 
 
 def bracket_interpolate(left: DataFrame, series: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """Linear interpolation of ``series`` at the times of ``left``; null outside."""
-    nxt = Window.partitionBy(*keys).orderBy(time)
-    s = series.select(*keys, F.col(time).alias("_t0"), F.col(value).alias("_v0"), F.lead(time).over(nxt).alias("_t1"), F.lead(value).over(nxt).alias("_v1"))
-    on = [left[k] == s[k] for k in keys] + [left[time] >= s["_t0"], (left[time] < s["_t1"]) | (s["_t1"].isNull() & (left[time] == s["_t0"]))]
-    seconds = lambda c: F.unix_seconds(c.cast("timestamp")).cast("double")
-    part = F.coalesce((seconds(left[time]) - seconds(F.col("_t0"))) / (seconds(F.col("_t1")) - seconds(F.col("_t0"))), F.lit(0.0))
-    joined = left.join(s, on, "left")
-    out = F.col("_v0") + part * (F.coalesce("_v1", "_v0") - F.col("_v0"))
-    return joined.select(*[left[c] for c in left.columns], out.alias("interpolated"))
+    """Linear interpolation of ``series`` at the times of ``left``; null outside. The series' rows next to each time come from ``around``."""
+    found = around(left, series, keys, time, time, value)
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    (t0, v0), (t1, v1) = ((F.col(f"{side}.t"), F.col(f"{side}.v")) for side in ("_before", "_after"))
+    part = (seconds(F.col(time)) - seconds(t0)) / (seconds(t1) - seconds(t0))
+    out = F.when(t0 == F.col(time), v0).otherwise(v0 + part * (v1 - v0))
+    return found.withColumn("interpolated", out).drop("_before", "_after", "_first")
 
 
 def month_anchor(valid: Column) -> Column:
