@@ -105,13 +105,6 @@ def grid_context(spark, d):
     })
 
 
-FORCING = {
-    "height_there": "height IS NOT NULL", "height_range": "height BETWEEN 900 AND 1095", "latitude_there": "lat IS NOT NULL", "latitude": "lat BETWEEN 46 AND 46.9", "longitude_there": "lon IS NOT NULL", "longitude": "lon BETWEEN 7 AND 7.2",
-    "rows_ascend": "dlat IS NULL OR dlat > 0", "columns_ascend": "dlon IS NULL OR dlon > 0", "rows_even": "dlat IS NULL OR abs(dlat - 0.002) < 1e-9", "columns_even": "dlon IS NULL OR abs(dlon - 0.003) < 1e-9",
-    "row_length": "row_cells = 50", "unique_cell": "copies = 1", "land_defined": "land IS NOT NULL", "class_there": "class IS NOT NULL", "size_positive": "size > 0", "water_low": "land OR height < 1090",
-    "sst_on_water": "(sst IS NOT NULL) = (NOT land)", "sst_range": "sst IS NULL OR sst BETWEEN 271 AND 310", "skin_range": "skin BETWEEN 180 AND 340", "snow_range": "snow BETWEEN 0 AND 20", "geometry": "abs(lat - (46 + 0.002*y)) < 1e-9 AND abs(lon - (7 + 0.003*x)) < 1e-9",
-}
-_rules("forcing_contract", B.GRID, GRID_CONTEXT, FORCING, grid_context)
 _rules("runtime_contract", B.GRID, GRID_CONTEXT, {"class_present": "class IS NOT NULL", "row_length": "row_cells = 50", "unique_cell": "copies = 1", "finite": "height IS NOT NULL AND skin IS NOT NULL", "snow_bounds": "snow >= 0 AND snow <= 0.9 + 1e-4", "snow_cold": "snow < 0.8 OR skin <= 273.15 + 1e-4", "glacier_dry": "size <> 50 OR land", "skin_range": "skin BETWEEN 180 AND 340"}, grid_context)
 LEVELS = "SELECT *, z - lag(z) OVER (PARTITION BY column_id ORDER BY level) AS dz, 100000.0*exp(-z/8000.0) - lag(100000.0*exp(-z/8000.0)) OVER (PARTITION BY column_id ORDER BY level) AS dp FROM profile"
 
