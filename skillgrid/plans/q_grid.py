@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skillgrid.functions import stats
-from skillgrid.operators import campaign, raster, regrid, spatial
+from skillgrid.operators import campaign, raster, regrid, spatial, zonal
 from skillgrid.operators.order import quantiles
 from skillgrid.plans import bindings as B
 from skillgrid.plans.registry import query, r6, rounded, sql6
@@ -246,9 +246,30 @@ def argmax_category(spark, d):
     return f.groupBy("ty", "tx").agg(F.max_by("category", F.struct("n", -F.col("category"))).alias("dominant"))
 
 
-@query("public_static", f"WITH {B.GRID} SELECT y//2 AS ty, x//2 AS tx, round(avg(height),6)+0.0 AS terrain, count(*) FILTER (size % 17 <> 16) > 0 AS land, round(avg(size),6)+0.0 AS sand FROM grid GROUP BY 1,2")
+#: Two overlapping tiles: the first ends at column 30 and has holes, the second begins at column 24 and stands a little higher.
+TILES = "tiles AS (SELECT 0 AS tile, y, x, CASE WHEN size <> 13 THEN height END AS terrain FROM grid WHERE x < 30 UNION ALL SELECT 1, y, x, height+0.5 FROM grid WHERE x >= 24), mosaic AS (SELECT y, x, arg_min(terrain, tile) AS terrain FROM tiles WHERE terrain IS NOT NULL GROUP BY 1,2)"
+_SHARES = [(p, k, f"{a}+(size*{m}+{k}*3) % {n}") for p, a, m, n in (("sand", 20, 7, 40), ("silt", 15, 3, 25)) for k in range(6)]
+_SOIL = ", ".join(f"CASE WHEN NOT (y BETWEEN 9 AND 17 AND x BETWEEN 18 AND 30) THEN ({e})::DOUBLE END AS {p}{k}" for p, k, e in _SHARES)
+_OVER = "greatest(0, least(y*30.0+40, (cell_y+1)*70.0)-greatest(y*30.0+10, cell_y*70.0)) * greatest(0, least(x*30.0+35, (cell_x+1)*70.0)-greatest(x*30.0+5, cell_x*70.0))"
+#: Which source depths each target layer overlaps, and by how many centimetres.
+_DEPTHS = (((0, 5), (1, 5)), ((1, 5), (2, 15)), ((3, 30), (4, 10)), ((4, 30), (5, 50)))
+_MIX = lambda p, k: "(" + "+".join(f"{p}{j}*{w}" for j, w in _DEPTHS[k]) + f")/{sum(w for _, w in _DEPTHS[k])}.0"
+TEXTURE = "CASE WHEN clay>=40 AND sand<=45 AND silt<40 THEN 12 WHEN clay>=40 AND silt>=40 THEN 11 WHEN clay>=35 AND sand>45 THEN 10 WHEN clay>=27 AND clay<40 AND sand>20 AND sand<=45 THEN 9 WHEN clay>=27 AND clay<40 AND sand<=20 THEN 8 WHEN clay>=20 AND clay<35 AND silt<28 AND sand>45 THEN 7 WHEN clay>=7 AND clay<27 AND silt>=28 AND silt<50 AND sand<=52 THEN 6 WHEN silt>=80 AND clay<12 THEN 5 WHEN silt>=50 AND ((clay>=12 AND clay<27) OR (clay<12 AND silt<80)) THEN 4 WHEN silt+2*clay>=30 AND ((clay>=7 AND clay<20 AND sand>52) OR (clay<7 AND silt<50)) THEN 3 WHEN sand>=70 AND sand<90 AND silt+1.5*clay>=15 AND silt+2*clay<30 THEN 2 WHEN sand>=85 AND silt+1.5*clay<15 THEN 1 ELSE 6 END"
+
+
+@query("public_static", f"WITH {B.GRID}, {TILES}, pix AS (SELECT g.y, g.x, m.terrain, size % 20 + 1 AS category, {_SOIL} FROM grid g LEFT JOIN mosaic m USING (y, x)), pixels AS (SELECT *, {', '.join(f'100-sand{k}-silt{k} AS clay{k}' for k in range(6))} FROM pix), o AS (SELECT *, {_OVER} AS area FROM (SELECT p.*, floor((y*30.0+10)/70)::INT+a AS cell_y, floor((x*30.0+5)/70)::INT+b AS cell_x FROM pixels p, (SELECT unnest([0,1]) AS a) aa, (SELECT unnest([0,1]) AS b) bb)), c AS (SELECT cell_y, cell_x, sum(terrain*area) FILTER (terrain IS NOT NULL)/sum(area) FILTER (terrain IS NOT NULL) AS terrain, {', '.join(f'sum({p}{k}*area)/sum(area) FILTER ({p}{k} IS NOT NULL) AS {p}{k}' for p in ('sand', 'silt', 'clay') for k in range(6))} FROM o WHERE area > 0 GROUP BY 1,2), f AS (SELECT cell_y, cell_x, category, sum(area) AS area, sum(sum(area)) OVER (PARTITION BY cell_y, cell_x) AS total FROM o WHERE area > 0 GROUP BY 1,2,3), d AS (SELECT cell_y, cell_x, arg_min(category, (-round(area/total,9), category)) AS category, max(area/total) AS share FROM f GROUP BY 1,2), m AS (SELECT cell_y, cell_x, {', '.join(f'{_MIX(p, k)} AS {p}_{k}' for p in ('sand', 'silt', 'clay') for k in range(4))} FROM c), lost AS (SELECT cell_y, cell_x FROM m WHERE sand_0 IS NULL), near AS (SELECT l.cell_y, l.cell_x, arg_min((m.cell_y, m.cell_x), ((l.cell_y-m.cell_y)**2+(l.cell_x-m.cell_x)**2, m.cell_y, m.cell_x)) AS src, sqrt(min((l.cell_y-m.cell_y)**2+(l.cell_x-m.cell_x)**2)) AS gap FROM lost l, m WHERE sand_0 IS NOT NULL GROUP BY 1,2), w AS (SELECT a.cell_y, a.cell_x, coalesce(gap, 0.0)::DOUBLE AS gap_cells, {', '.join(f'b.{p}_{k}' for p in ('sand', 'silt', 'clay') for k in range(4))} FROM m a LEFT JOIN near n ON n.cell_y=a.cell_y AND n.cell_x=a.cell_x JOIN m b ON (n.src IS NULL AND b.cell_y=a.cell_y AND b.cell_x=a.cell_x) OR (n.src IS NOT NULL AND (b.cell_y, b.cell_x) = n.src)) SELECT cell_y, cell_x, round(terrain,6)+0.0 AS terrain, category, round(share,6)+0.0 AS share, category <> 16 AS land, {', '.join(f'(SELECT {TEXTURE} FROM (SELECT sand_{k} AS sand, silt_{k} AS silt, clay_{k} AS clay))::INT AS texture{k}' for k in range(4))}, round(gap_cells,6)+0.0 AS gap_cells FROM c JOIN d USING (cell_y, cell_x) JOIN w USING (cell_y, cell_x)")
 def public_static(spark, d):
-    return rounded(B.grid(spark, d).groupBy(F.floor(F.col("y") / 2).alias("ty"), F.floor(F.col("x") / 2).alias("tx")).agg(F.avg("height").alias("terrain"), (F.count_if(F.col("size") % 17 != 16) > 0).alias("land"), F.avg("size").alias("sand")))
+    """Terrain, the leading category with its share, and four texture layers of cells of 70 m, from pixels of 30 m in two overlapping tiles; cells without soil are filled from the nearest."""
+    g = B.grid(spark, d)
+    tile = lambda k, rows, terrain: rows.select(F.lit(k).alias("tile"), "y", "x", terrain.alias("terrain"))
+    terrain = zonal.mosaic(tile(0, g.where("x < 30"), F.when(F.col("size") != 13, F.col("height"))).unionAll(tile(1, g.where("x >= 24"), F.col("height") + 0.5)), "terrain")
+    there = ~(F.col("y").between(9, 17) & F.col("x").between(18, 30))
+    soil = {f"{p}{k}": F.when(there, F.expr(e).cast("double")) for p, k, e in _SHARES}
+    pixels = g.join(terrain, ["y", "x"], "left").select("y", "x", "terrain", (F.col("size") % 20 + 1).alias("category"), *[c.alias(n) for n, c in soil.items()])
+    pixels = pixels.withColumns({f"clay{k}": 100 - F.col(f"sand{k}") - F.col(f"silt{k}") for k in range(6)})
+    over = materialize(zonal.over_cells(pixels, 30.0, 70.0, (10.0, 5.0)), "overlaps")
+    cells = zonal.zonal_mean(over, "terrain").join(zonal.dominant(zonal.zonal_shares(over, "category"), "category"), ["cell_y", "cell_x"])
+    return rounded(cells.join(zonal.soil_layers(over, "sand", "silt", "clay"), ["cell_y", "cell_x"]))
 
 
 MASK = "size % 3 = 0"
