@@ -214,14 +214,14 @@ def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", tex
 
     A document is an id, which may be null or shared, and its text: the smallest such pair stays, of rows with that pair one.
     """
-    names = [fresh(n, [*docs.columns, "component"]) for n in ("near_id", "near_hash")]
+    names = [fresh(n, [*docs.columns, "component"]) for n in ("near_id", "near_hash", "dropped_hash")]
     hashed = docs.withColumn(names[1], F.xxhash64(text_col))
     members = hashed.select(F.struct(F.col(id_col).alias("id"), F.col(names[1]).alias("text_hash")).alias("doc")).distinct()
     members = materialize(members.join(components, F.col("doc.text_hash") == F.col("text_hash")).select("doc", "component"), "members")
     first = members.groupBy("component").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
     first = materialize(first, "firsts")  # a table, so that a join with it is split where one component is large
-    dropped = members.join(first, "component").where(~F.col("doc").eqNullSafe(F.col("first"))).select(F.col("doc.id").alias(names[0]), F.col("doc.text_hash").alias("dropped_hash"))
-    kept = hashed.join(dropped, docs[id_col].eqNullSafe(F.col(names[0])) & (F.col(names[1]) == F.col("dropped_hash")), "left_anti")
+    dropped = members.join(first, "component").where(~F.col("doc").eqNullSafe(F.col("first"))).select(F.col("doc.id").alias(names[0]), F.col("doc.text_hash").alias(names[2]))
+    kept = hashed.join(dropped, docs[id_col].eqNullSafe(F.col(names[0])) & (F.col(names[1]) == F.col(names[2])), "left_anti")
     return kept.dropDuplicates([id_col, names[1]]).select(*docs.columns)
 
 

@@ -4,6 +4,7 @@ import collections
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skillgrid.llm import similar, simhash
@@ -74,6 +75,16 @@ def test_near_dedup_of_chains(spark):
     assert near_dedup(spark, rows) == brute_force(rows)
 
 
+@pytest.mark.parametrize("keep", [similar.keep_first, simhash.keep_first])
+def test_columns_named_like_inner_ones(spark, keep):
+    """Every name that near-dedup uses inside may be a column of the table."""
+    names = ("near_id", "near_hash", "dropped_hash", "doc", "component", "first", "text_hash", "size", "keys", "node", "band", "key", "n", "src", "dst", "marks", "hashes", "a", "b", "low", "high", "fps", "nameless")
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + " more and other words that it has alone")], "doc_id long, text string").withColumns({n: F.col("doc_id") for n in names})
+    kept = keep(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r)[::2][:1] for r in kept.collect()) == [(1,), (3,)]
+
+
 @pytest.mark.parametrize("keep", [similar.keep_first, simhash.keep_first])
 def test_null_and_shared_ids(spark, keep):
     """A document is its id and text: neither a null id nor one that two texts share takes other texts with it."""
