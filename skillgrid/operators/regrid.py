@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skillgrid.operators.digest import fingerprint
 from skillgrid.operators.order import quantiles
 from skillgrid.operators.spatial import k_nearest
 
@@ -180,3 +181,23 @@ def spacing_km(cells: DataFrame) -> DataFrame:
 
 def tie_rank(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def save_weights(weights: DataFrame, path: str, source: DataFrame, targets: DataFrame, method: str, scale: float) -> None:
+    """Write weights (target, rank, donor, ...) with what they belong to: digests of both grids and of themselves, method, scale and largest nugget."""
+    spark, columns = weights.sparkSession, weights.columns
+    weights.write.parquet(f"{path}/weights")
+    back = spark.read.parquet(f"{path}/weights")
+    nugget = back.agg(F.max("nugget")).first()[0] if "nugget" in columns else None
+    told = (fingerprint(source, ["donor", "lat", "lon"]), fingerprint(targets, ["target", "lat", "lon"]), fingerprint(back, columns), method, scale, nugget)
+    spark.createDataFrame([told], "source string, target string, weights string, method string, scale double, nugget double").coalesce(1).write.parquet(f"{path}/about")
+
+
+def load_weights(spark: SparkSession, path: str, source: DataFrame, targets: DataFrame, method: str | None = None) -> DataFrame:
+    """Weights that ``save_weights`` wrote. That they belong to another grid, to another method, or aren't what was written is an error."""
+    about, weights = spark.read.parquet(f"{path}/about").first(), spark.read.parquet(f"{path}/weights")
+    checks = {"source grid": (about.source, fingerprint(source, ["donor", "lat", "lon"])), "target grid": (about.target, fingerprint(targets, ["target", "lat", "lon"])), "weights": (about.weights, fingerprint(weights, weights.columns)), "method": (about.method, method or about.method)}
+    for what, (told, found) in checks.items():
+        if told != found:
+            raise ValueError(f"the {what} is not the one that was written: {told}, {found}")
+    return weights

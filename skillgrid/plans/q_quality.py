@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skillgrid.operators import quality as Q
-from skillgrid.operators import raster
+from skillgrid.operators import digest, raster, temporal
 from skillgrid.plans import bindings as B
 from skillgrid.plans.q_grid import S121
 from skillgrid.plans.q_time import VECTORS, vectors
@@ -257,11 +257,41 @@ def filter_static(spark, d):
     return rounded(out.crossJoin(F.broadcast(other)))
 
 
-@query("runtime_assemble", f"WITH {B.GRID} SELECT g.y, g.x, g.height, g.size*0.01::DOUBLE AS vegetation, month(o.o_orderdate)::INT AS month FROM grid g JOIN orders o ON o.o_orderkey = g.y*50+g.x")
+@query("tile_digest", f"WITH {B.GRID}, t AS (SELECT DISTINCT y//16 AS tile_y, x//16 AS tile_x FROM grid) SELECT tile_y::INT AS tile_y, tile_x::INT AS tile_x, CASE WHEN (tile_y, tile_x) = (0, 2) THEN 'gone' ELSE 'changed' END AS what FROM t WHERE (tile_y, tile_x) IN ((0, 0), (1, 1), (0, 2), (0, 3)) UNION ALL SELECT -1, 0, 'new'")
+def tile_digest(spark, d):
+    """Which tiles of a raster differ from a copy with one value off by 1e-9, one cell less, one cell twice, one tile less and one more."""
+    g = B.grid(spark, d).select("y", "x", "height", "land")
+    copy = g.where("not (y = 17 and x = 18) and not (y < 16 and x between 32 and 47)").withColumn("height", F.when((F.col("y") == 3) & (F.col("x") == 7), F.col("height") + 1e-9).otherwise(F.col("height")))
+    copy = copy.unionAll(g.where("y = 2 and x = 49")).unionAll(g.where("y = 0 and x = 0").withColumn("y", F.lit(-3)))
+    return digest.changed_tiles(digest.tile_digests(g, ["height", "land"], 16), digest.tile_digests(copy, ["height", "land"], 16))
+
+
+MONTHS = "[" + ", ".join(f"size*0.01*{m}" for m in range(1, 13)) + "]::DOUBLE[]"
+
+
+@query("runtime_assemble", f"WITH {B.GRID} SELECT y, x, height, CASE WHEN size <> 9 THEN 280.0+size*0.1 END::DOUBLE AS skin, (size % 24 + 2)::INT AS landuse, TIMESTAMP '2024-01-01' AS landuse_from, round(size*0.01*(3+(5.0/31)),6)+0.0 AS vegetation, round(size*0.01*12,6)+0.0 AS december, CASE WHEN size = 9 THEN 'surface' ELSE '' END AS missing, TRUE AS refused FROM grid")
 def runtime_assemble(spark, d):
-    g = B.grid(spark, d)
-    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.month("o_orderdate").alias("month"))
-    return g.withColumn("k", F.col("y").cast("long") * 50 + F.col("x")).join(o, "k").select("y", "x", "height", (F.col("size") * 0.01).alias("vegetation"), "month")
+    """Static, surface and external fields on one raster, each by its recorded digest: the epoch in force on 20 March, and the monthly field between the 15ths. A part with one changed cell is refused, and so is a field of two parts."""
+    g, size = B.grid(spark, d), F.col("size")
+    when = "2024-03-20 00:00:00"
+    epochs = g.select("y", "x", "size", F.explode(F.array(*[F.lit(y) for y in (2020, 2024, 2025)])).alias("year")).select("y", "x", F.make_timestamp("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("valid_from"), (size % 24 + F.when(F.col("year") == 2020, 1).when(F.col("year") == 2024, 2).otherwise(3)).cast("int").alias("value"))
+    months = g.select("y", "x", "size", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")).select("y", "x", "month", (size * 0.01 * F.col("month")).alias("value"))
+    parts = {"static": g.select("y", "x", "height"), "surface": g.where("size <> 9").select("y", "x", (280.0 + size * 0.1).alias("skin")), "landuse": digest.at_time(epochs, "landuse", when), "vegetation": digest.months_of(months, "vegetation")}
+    recorded = {n: digest.fingerprint(p, p.columns) for n, p in parts.items()}
+
+    def refused(other: dict) -> bool:
+        try:
+            digest.assemble(other, recorded, "static")
+        except ValueError:
+            return True
+        return False
+
+    changed = parts | {"surface": parts["surface"].withColumn("skin", F.when((F.col("y") == 1) & (F.col("x") == 1), F.col("skin") + 1e-9).otherwise(F.col("skin")))}
+    out = digest.assemble(parts, recorded, "static")
+    t = F.lit(when).cast("timestamp")
+    this = F.month(temporal.month_anchor(t))
+    v0, v1 = F.element_at("vegetation", this), F.element_at("vegetation", this % 12 + 1)
+    return out.select("y", "x", "height", "skin", "landuse", F.col("landuse_from").cast("timestamp_ntz").alias("landuse_from"), r6(v0 + temporal.month_part(t) * (v1 - v0)).alias("vegetation"), r6(F.element_at("vegetation", 12)).alias("december"), F.array_join("missing", ",").alias("missing"), F.lit(refused(changed)).alias("refused"))
 
 
 @query("epoch_append", f"WITH {B.CATALOG}, base AS (SELECT * FROM catalog WHERE valid < TIMESTAMP '1998-01-01'), new AS (SELECT * FROM catalog WHERE valid >= TIMESTAMP '1997-06-01'), m AS (SELECT segment, max(valid) AS last FROM base GROUP BY 1) SELECT n.segment, count(*) AS appended, min(n.valid) AS first FROM new n LEFT JOIN m USING (segment) WHERE last IS NULL OR n.valid > last GROUP BY 1")

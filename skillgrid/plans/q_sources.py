@@ -220,16 +220,30 @@ def sequence_manifest(spark, d):
     return spark.read.schema("valid timestamp_ntz, n long, digest string").json(path)
 
 
-@query("weights_io")
+@query("weights_io", "SELECT count(*) AS targets, 4*count(*) AS written, 0::BIGINT AS different, TRUE AS other_grid_refused, TRUE AS other_method_refused FROM part")
 def weights_io(spark, d):
-    """Weights written, read back and compared row by row."""
-    from skillgrid.plans.q_grid import weights
-
-    path = shared_path(spark, "weights")
-    w = weights(spark, d)
-    products.write_product(w, path)
-    back = spark.read.parquet(path)
-    return back.groupBy("target").agg(F.count("*").alias("donors"), r6(F.sum("weight")).alias("total"))
+    """Weights written with the digests of their grids, read back and compared row by row; one moved cell of either grid, or another method, is refused."""
+    from skillgrid.operators import regrid
+    from skillgrid.plans.q_grid import targets
+    from skillgrid.plans.q_surface import cells, inverse_distance
+
+    path, source, own = shared_path(spark, "weights"), cells(spark, d), targets(spark, d)
+    w = inverse_distance(spark, d)
+    regrid.save_weights(w, path, source, own, "inverse_distance", 0.1)
+    back = regrid.load_weights(spark, path, source, own, "inverse_distance")
+
+    def refused(*given) -> bool:
+        try:
+            regrid.load_weights(spark, path, *given)
+        except ValueError:
+            return True
+        return False
+
+    moved = source.withColumn("lat", F.when(F.col("donor") == 107, F.col("lat") + 1e-12).otherwise(F.col("lat")))
+    shifted = own.withColumn("lon", F.when(F.col("target") == 3, F.col("lon") + 1e-12).otherwise(F.col("lon")))
+    other = refused(moved, own) and refused(source, shifted)
+    j = w.select("target", "rank", "donor", F.col("weight").alias("a")).join(back.select("target", "rank", "donor", F.col("weight").alias("b")), ["target", "rank", "donor"], "full")
+    return j.agg(F.count_distinct("target").alias("targets"), F.count("b").alias("written"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different"), F.lit(other).alias("other_grid_refused"), F.lit(refused(source, own, "kernel")).alias("other_method_refused"))
 
 
 @query("bit_patterns", "SELECT count(*) AS cells, 0::BIGINT AS bits_different FROM part")
