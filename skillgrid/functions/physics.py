@@ -214,3 +214,26 @@ def depth_share(depth: Column | float, full: float = 3.0):
 
 def wrap_lon(lon: Column) -> Column:
     return F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
+
+
+#: Units of the observations' parameters and what makes them the models': a factor, and what is added after it.
+OBSERVED = {"celsius": (1.0, 273.15), "hectopascal": (100.0, 0.0), "centimetre": (0.01, 0.0)}
+
+
+def from_observed(value: Column, unit: str) -> Column:
+    """An observed value in the models' unit: kelvin, pascal or metre. Another unit is an error."""
+    if unit not in OBSERVED:
+        raise ValueError(f"unknown unit {unit}")
+    factor, added = OBSERVED[unit]
+    return value * factor + added
+
+
+def slope_of(nx: Column, ny: Column, nz: Column) -> tuple[Column, Column]:
+    """Slope and aspect in radians of a surface from its normal, of any length but 0: the slope from 0, the aspect from north by east."""
+    length = F.sqrt(nx * nx + ny * ny + nz * nz)
+    return F.acos(clip(F.try_divide(nz, length), -1.0, 1.0)), F.pmod(F.pi() / 2 - F.atan2(ny, nx), 2 * F.pi())
+
+
+def horizon_zenith(horizon: Column) -> Column:
+    """Zenith angle in degrees of a horizon in radians; one under the level counts as level."""
+    return 90.0 - F.greatest(F.degrees(horizon), F.lit(0.0))

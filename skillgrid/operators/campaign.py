@@ -30,6 +30,14 @@ def exclusions(rows: DataFrame, least: int = 20) -> DataFrame:
     return rows.withColumn("reason", F.when(F.col("candidate_count") != F.col("baseline_count"), "unequal_counts").when(F.col("pair_count") < least, "too_few_pairs"))
 
 
+def diagnosis(rows: DataFrame, sites: DataFrame, key: str, worst: int, ridge: float = 150.0, high: float = 2000.0) -> DataFrame:
+    """(key, reasons, excluded) of sites (key, z, rel) on a ridge, high up, or among the ``worst`` by delta of rows (key, delta, reason). Rows with a reason to be left out aren't ranked; their reason stays beside the site's."""
+    top = rows.where("reason is null").orderBy(F.desc("delta"), key).limit(worst).select(key, F.lit(True).alias("worst"))  # a few rows
+    left_out = rows.where("reason is not null").select(key, F.col("reason").alias("excluded"))
+    why = F.array_compact(F.array(F.when(F.col("rel") > ridge, "ridge"), F.when(F.col("z") >= high, "high"), F.when(F.col("worst"), "worst")))
+    return sites.join(F.broadcast(top), key, "left").join(left_out, key, "left").select(key, F.concat_ws(",", why).alias("reasons"), "excluded").where("reasons != ''")
+
+
 def equal_station_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Network scores of a group: each station equally, and pooled by pairs."""
     c, b, n = F.col("candidate_rmse"), F.col("baseline_rmse"), F.col("pair_count")
@@ -124,3 +132,16 @@ def footprint_errors(rows: DataFrame, site: str) -> tuple[DataFrame, DataFrame]:
     out = whole.join(nearest, site, "left").join(fixed, site, "left")
     sites = out.select(site, "times", "nearest_rmse", "mean_vector_rmse", "cells", F.col("q")[0].alias("median"), F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"), F.col("best.y").alias("best_y"), F.col("best.x").alias("best_x"), F.col("best.rmse").alias("best_rmse"))
     return sites, at.select(site, "t", "cells", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), "largest")
+
+
+def wind_maxima(cells: DataFrame, most: float, levels: tuple = (10, 50)) -> DataFrame:
+    """(height, strongest, y, x, over, bounded): of winds (y, x, t, height, u, v) the strongest at each height, its first cell by time, row and column, and how many are over ``most``.
+
+    Other heights than ``levels``, or one of them missing, are an error.
+    """
+    found = sorted(r[0] for r in cells.select("height").distinct().collect())  # as many as there are levels
+    if found != sorted(levels):
+        raise ValueError(f"winds at heights {found}, not {sorted(levels)}")
+    speed = F.hypot("u", "v")
+    first = F.max_by(F.struct("y", "x"), F.struct(F.round(speed, 9), -F.col("t"), -F.col("y"), -F.col("x")))
+    return cells.groupBy("height").agg(F.max(speed).alias("strongest"), first.alias("_c"), F.count_if(speed > most).alias("over")).select("height", "strongest", "_c.y", "_c.x", "over", (F.col("strongest") <= most).alias("bounded"))

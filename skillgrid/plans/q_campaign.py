@@ -208,13 +208,13 @@ def min_pairs(spark, d):
     return r.groupBy(F.coalesce(F.concat_ws(":", F.when(F.col("reason").isNotNull(), F.col("reason")), F.when(F.col("reason").isNotNull(), F.col("season")), F.when(F.col("reason").isNotNull(), F.col("metric"))), F.lit("")).alias("v")).agg(F.count("*").alias("rows_")).select(F.when(F.col("v") == "", "accepted").otherwise(F.col("v")).alias("verdict"), "rows_")
 
 
-@query("diag_selection", f"WITH {ROWS}, a AS (SELECT station, candidate_rmse-baseline_rmse AS diff FROM sr WHERE metric='vector' AND season='DJF'), k AS (SELECT *, row_number() OVER (ORDER BY diff DESC, station) AS place FROM a), s AS (SELECT s_suppkey AS station, abs(s_acctbal/3) AS z, s_acctbal/20-250 AS rel FROM supplier) SELECT station, concat_ws(',', CASE WHEN rel>150 THEN 'ridge' END, CASE WHEN z>=2000 THEN 'high' END, CASE WHEN place<=5 THEN 'worst' END) AS reasons FROM s LEFT JOIN k USING (station) WHERE rel>150 OR z>=2000 OR place<=5")
+@query("diag_selection", f"WITH {ROWS}, a AS (SELECT station, candidate_rmse-baseline_rmse AS diff, station % 7 = 3 AS unequal FROM sr WHERE metric='vector' AND season='DJF'), k AS (SELECT *, row_number() OVER (ORDER BY diff DESC, station) AS place FROM a WHERE NOT unequal), s AS (SELECT s_suppkey AS station, abs(s_acctbal/3) AS z, s_acctbal/20-250 AS rel FROM supplier) SELECT s.station, concat_ws(',', CASE WHEN rel>150 THEN 'ridge' END, CASE WHEN z>=2000 THEN 'high' END, CASE WHEN place<=5 THEN 'worst' END) AS reasons, CASE WHEN a.unequal THEN 'unequal_counts' END AS excluded FROM s LEFT JOIN k USING (station) LEFT JOIN a ON a.station = s.station WHERE rel>150 OR z>=2000 OR place<=5")
 def diag_selection(spark, d):
-    a = station_rows(spark, d).where("metric = 'vector' and season = 'DJF'").select("station", F.lit(1).alias("one"), "delta")
-    top = a.orderBy(F.desc("delta"), "station").limit(5).select("station", F.lit(True).alias("worst"))
-    s = site_strata(spark, d).select("station", "z", "rel").distinct().join(F.broadcast(top), "station", "left")
-    why = F.array_compact(F.array(F.when(F.col("rel") > 150, "ridge"), F.when(F.col("z") >= 2000, "high"), F.when(F.col("worst"), "worst")))
-    return s.select("station", F.concat_ws(",", why).alias("reasons")).where("reasons != ''")
+    """Sites for a diagnosis with all their reasons; a site whose two pair counts differ isn't ranked, and is marked. Every seventh site's candidate lost a pair here."""
+    a = station_rows(spark, d).where("metric = 'vector' and season = 'DJF'")
+    lost = F.when(F.col("station") % 7 == 3, 1).otherwise(0)
+    marked = campaign.exclusions(a.withColumns({"candidate_count": F.col("pair_count") - lost, "baseline_count": F.col("pair_count")}), least=0)
+    return campaign.diagnosis(marked, site_strata(spark, d).select("station", "z", "rel").distinct(), "station", 5)
 
 
 @query("rank_worst", f"WITH {ROWS}, k AS (SELECT season, metric, station, delta, row_number() OVER (PARTITION BY season, metric ORDER BY delta DESC, station) AS place FROM sr) SELECT season, metric, station, {sql6('delta')}, place FROM k WHERE place <= 5")
@@ -231,8 +231,7 @@ def season_order(spark, d):
 
 @query("sql_report_views", f"WITH {ROWS} SELECT season, metric, count(*) AS stations, round(avg(delta),6)+0.0 AS mean_delta FROM sr GROUP BY season, metric ORDER BY {strata.SEASON_ORDER}, metric")
 def sql_report_views(spark, d):
-    station_rows(spark, d).createOrReplaceTempView("station_rows")
-    return spark.sql(f"SELECT season, metric, count(*) AS stations, round(avg(delta), 6) + 0D AS mean_delta FROM station_rows GROUP BY season, metric ORDER BY {strata.SEASON_ORDER}, metric")
+    return spark.sql(f"SELECT season, metric, count(*) AS stations, round(avg(delta), 6) + 0D AS mean_delta FROM {{rows}} GROUP BY season, metric ORDER BY {strata.SEASON_ORDER}, metric", rows=station_rows(spark, d))
 
 
 @query("top_abs_change", f"WITH {ROWS} SELECT station, season, round(abs(delta),6)+0.0 AS change FROM sr WHERE metric='speed' ORDER BY abs(delta) DESC, station, season LIMIT 20")

@@ -59,7 +59,7 @@ register("wind_uv", lambda i: dict(zip(("east", "north"), P.wind_uv(F.abs(i.u),
 register("wind_dir", lambda i: {"direction": P.wind_direction(i.u, i.v)}, {"direction": d6(MOD("270.0-degrees(atan2(v,u))", "360.0"))}, "u != 0 or v != 0")
 S, C = "sin(radians(dist/100))", "(cos(radians(dist/100))*1.01)"
 register("rotate_wind", lambda i: {**dict(zip(("gu", "gv"), P.earth_to_grid(i.u, i.v, F.sin(F.radians(i.dist / 100)), F.cos(F.radians(i.dist / 100)) * 1.01))), **dict(zip(("eu", "ev"), P.grid_to_earth(i.u, i.v, F.sin(F.radians(i.dist / 100)), F.cos(F.radians(i.dist / 100)) * 1.01)))}, {"gu": d6(f"u*{C}+v*{S}"), "gv": d6(f"v*{C}-u*{S}"), "eu": d6(f"(u*{C}-v*{S})/({S}*{S}+{C}*{C})"), "ev": d6(f"(u*{S}+v*{C})/({S}*{S}+{C}*{C})")})
-register("obs_units", lambda i: {"kelvin": i.t + 273.15, "pascal": i.p * 100, "metres": i.dz / 100}, {"kelvin": d6("t+273.15"), "pascal": d6("p*100"), "metres": d6("dz/100")})
+register("obs_units", lambda i: {"kelvin": P.from_observed(i.t, "celsius"), "pascal": P.from_observed(i.p, "hectopascal"), "metres": P.from_observed(i.dz, "centimetre")}, {"kelvin": d6("t+273.15"), "pascal": d6("p*100"), "metres": d6("dz/100")})
 register("rel_humidity", lambda i: {"rh": P.relative_humidity(i.t, i.q, i.p)}, {"rh": d6(f"100.0*(q*p/(0.622+(1-0.622)*q))/({ES})")})
 register("q_from_dewpoint", lambda i: {"value": P.q_from_dewpoint(i.t, i.p)}, {"value": d6(f"0.622*({ES})/(p-(1-0.622)*({ES}))")})
 EW = "least(610.94*exp(17.625*(t+60-273.15)/((t+60-273.15)+243.04)),0.99*p)"
@@ -109,7 +109,7 @@ register("step_hours", lambda i: {"hours": X.step_hours(F.concat((i.size * 30).c
 register("tile_ids", lambda i: {"one": X.tile_tag(i.lat, i.lon, 1), "three": X.tile_tag(i.lat, i.lon, 3)}, {k: f"(CASE WHEN floor(lat/{n})*{n}>=0 THEN 'N' ELSE 'S' END)||lpad(abs(floor(lat/{n})*{n})::INT::VARCHAR,2,'0')||(CASE WHEN floor(lon/{n})*{n}>=0 THEN 'E' ELSE 'W' END)||lpad(abs(floor(lon/{n})*{n})::INT::VARCHAR,3,'0')" for k, n in (("one", 1), ("three", 3))})
 register("canonical_hash", lambda i: {"digest": X.canonical_digest("size", "brand")}, {"digest": """sha256('{"brand":"'||brand||'","size":'||size||'}')"""})
 register("coalesce_alias", lambda i: {"value": X.first_given(F.when(i.size % 3 == 0, i.brand), F.when(i.size % 3 == 1, F.lit(" ")), i.id.cast("string"))}, {"value": "CASE WHEN size%3=0 THEN brand ELSE id::VARCHAR END"})
-register("slope_aspect", lambda i: {"slope": F.acos(P.clip(1 / F.sqrt(i.u * i.u + i.v * i.v + 1), -1.0, 1.0)), "aspect": F.pmod(F.pi() / 2 - F.atan2(i.v, i.u), 2 * F.pi()), "horizon": 90.0 - F.greatest(F.degrees(i.u / 40), F.lit(0.0))}, {"slope": d6("acos(least(greatest(1/sqrt(u*u+v*v+1),-1.0),1.0))"), "aspect": d6(MOD("pi()/2-atan2(v,u)", "(2*pi())")), "horizon": d6("90.0-greatest(degrees(u/40),0.0)")}, "u != 0 or v != 0")
+register("slope_aspect", lambda i: {**dict(zip(("slope", "aspect"), P.slope_of(i.u, i.v, F.lit(1.0)))), "horizon": P.horizon_zenith(i.u / 40)}, {"slope": d6("acos(least(greatest(1/sqrt(u*u+v*v+1),-1.0),1.0))"), "aspect": d6(MOD("pi()/2-atan2(v,u)", "(2*pi())")), "horizon": d6("90.0-greatest(degrees(u/40),0.0)")}, "u != 0 or v != 0")
 register("class_code", lambda i: {"valid": X.class_code(i.size / 2.0, 20)}, {"valid": "(size/2.0 = floor(size/2.0)) AND size/2.0 BETWEEN 1 AND 20"})
 register("season_label", lambda i: {"label": X.season_code(F.element_at(F.array(*map(F.lit, ("winter", " Spring", "SUMMER", "autumn", "harvest"))), i.size % 5 + 1))}, {"label": "CASE size%5 WHEN 0 THEN 'DJF' WHEN 1 THEN 'MAM' WHEN 2 THEN 'JJA' WHEN 3 THEN 'SON' END"})
 

@@ -318,11 +318,14 @@ def extrema_record(spark, d):
     return rounded(B.grid(spark, d).groupBy("class").agg(F.min_by(F.struct("y", "x", v.alias("least_value")), F.struct(v, "y", "x")).alias("b")).select("class", "b.*"))
 
 
-@query("wind_maxima", f"WITH {B.WIND}, a AS (SELECT CASE WHEN station%2=0 THEN 10 ELSE 50 END AS height, speed FROM wind) SELECT height, max(speed) AS strongest, max(speed) <= 200 AS bounded FROM a GROUP BY height")
+@query("wind_maxima", f"WITH {B.GRID}, w AS (SELECT y, x, t, h, CASE h WHEN 10 THEN height/100 - size + t ELSE 1.5*(height/100 - size) END AS u, CASE h WHEN 10 THEN size*0.4 - x*0.1 ELSE size*0.9 + t END AS v FROM grid, (SELECT unnest([10, 50]) AS h) hh, (SELECT unnest(range(3)) AS t) tt), s AS (SELECT *, sqrt(u*u + v*v) AS speed FROM w WHERE y > 0 AND x > 0) SELECT h::INT AS height, round(max(speed),6)+0.0 AS strongest, arg_max(y, (round(speed,9), -t, -y, -x))::INT AS y, arg_max(x, (round(speed,9), -t, -y, -x))::INT AS x, count(*) FILTER (speed > 60) AS over, max(speed) <= 60 AS bounded FROM s GROUP BY h")
 def wind_maxima(spark, d):
-    u, v = F.col("speed") * 0.6, F.col("speed") * 0.8
-    w = B.wind(spark, d).withColumn("s", F.round(F.hypot(u, v), 9))
-    return w.groupBy(F.when(F.col("station") % 2 == 0, 10).otherwise(50).alias("height")).agg(F.max("s").alias("strongest"), (F.max("s") <= 200).alias("bounded"))
+    """The strongest wind at 10 and 50 m over all core cells and three times, where it is, and how many are over 60 m/s."""
+    at = lambda h, u, v: F.struct(F.lit(h).alias("height"), u.cast("double").alias("u"), v.cast("double").alias("v"))
+    g = B.grid(spark, d).where("y > 0 and x > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("t"))
+    base, size, t = F.col("height") / 100 - F.col("size"), F.col("size"), F.col("t")
+    w = g.select("y", "x", "t", F.explode(F.array(at(10, base + t, size * 0.4 - F.col("x") * 0.1), at(50, 1.5 * base, size * 0.9 + t))).alias("w")).select("y", "x", "t", "w.*")
+    return rounded(campaign.wind_maxima(w, 60.0))
 
 
 @query("lookup_join", f"WITH {B.GRID}, l AS (SELECT * FROM (VALUES (0,1.5),(1,2.5),(2,4.0)) t(code, value)), j AS (SELECT y, x, coalesce(value, 7.0) AS value FROM grid LEFT JOIN l ON size%5=code) SELECT y, x, value::DOUBLE AS value FROM j")

@@ -269,7 +269,7 @@ def tile_digest(spark, d):
 MONTHS = "[" + ", ".join(f"size*0.01*{m}" for m in range(1, 13)) + "]::DOUBLE[]"
 
 
-@query("runtime_assemble", f"WITH {B.GRID} SELECT y, x, height, CASE WHEN size <> 9 THEN 280.0+size*0.1 END::DOUBLE AS skin, (size % 24 + 2)::INT AS landuse, TIMESTAMP '2024-01-01' AS landuse_from, round(size*0.01*(3+(5.0/31)),6)+0.0 AS vegetation, round(size*0.01*12,6)+0.0 AS december, CASE WHEN size = 9 THEN 'surface' ELSE '' END AS missing, TRUE AS refused FROM grid")
+@query("runtime_assemble", f"WITH {B.GRID} SELECT y, x, height, CASE WHEN size <> 9 THEN 280.0+size*0.1 END::DOUBLE AS skin, (size % 24 + 2)::INT AS landuse, TIMESTAMP '2024-01-01' AS landuse_from, round(size*0.01*(3+(5.0/31)),6)+0.0 AS vegetation, round((size*0.01*12)::DOUBLE,6)+0.0 AS december, CASE WHEN size = 9 THEN 'surface' ELSE '' END AS missing, TRUE AS refused FROM grid")
 def runtime_assemble(spark, d):
     """Static, surface and external fields on one raster, each by its recorded digest: the epoch in force on 20 March, and the monthly field between the 15ths. A part with one changed cell is refused, and so is a field of two parts."""
     g, size = B.grid(spark, d), F.col("size")

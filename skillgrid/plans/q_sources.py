@@ -8,7 +8,7 @@ from skillgrid.operators import quality
 from skillgrid.plans import bindings as B
 from skillgrid.plans.q_campaign import ROWS, station_rows
 from skillgrid.plans.registry import query, r6, rounded, sql6
-from skillgrid.sources import fields, products, station_files
+from skillgrid.sources import fields, lists, products, station_files
 from skillgrid.session import shared_path
 
 #: What the station file holds: some speeds are negative, some directions impossible, one site moves and one lies outside the range.
@@ -122,13 +122,16 @@ def file_catalog(spark, d):
     return B.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.count("*").alias("times"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), (F.count("*") - F.count_distinct("o_orderdate")).alias("duplicates"))
 
 
-@query("list_scan", "SELECT DISTINCT c_mktsegment AS key FROM customer")
+@query("list_scan", "SELECT (row_number() OVER (ORDER BY c_mktsegment DESC) - 1)::INT AS place, c_mktsegment AS entry, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS keys FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def list_scan(spark, d):
-    path = shared_path(spark, "key-list")
-    keys = B.table(spark, d, "customer").select(F.explode(F.array(F.concat(F.lit('  "'), F.col("c_mktsegment"), F.lit('"')), F.lit("# note"), F.lit(""))).alias("value")).distinct()
-    keys.write.text(path)
-    k = spark.read.text(path).select(F.regexp_replace(F.trim("value"), '^"|"$', "").alias("key"))
-    return k.where("key != '' and key not like '#%'").distinct()
+    """A list of quoted entries with blank lines between them, in its own order; the same as keys, with comments, counted."""
+    names = B.table(spark, d, "customer").groupBy().agg(F.sort_array(F.collect_set("c_mktsegment"), asc=False).alias("k"))  # five segments
+    path, keys = shared_path(spark, "path-list"), shared_path(spark, "key-list")
+    line = lambda pad: F.transform("k", lambda x: F.concat(F.lit('  "'), x, F.lit(pad)))
+    names.select(F.array_join(line('"\n\n'), "\n").alias("value")).write.text(path)
+    names.select(F.concat(F.lit("# note\n"), F.array_join(line('"'), "\n")).alias("value")).write.text(keys)
+    n = names.select(F.size("k")).first()[0]
+    return lists.ordered_list(spark, path).select("place", "entry", F.lit(lists.key_list(spark, keys, n).count()).alias("keys"))
 
 
 @query("inventory_messages", "WITH s AS (SELECT a.name, b.level FROM (SELECT DISTINCT event_type AS name FROM events) a, (SELECT unnest(range(0,7)) AS level) b), m AS (SELECT event_type AS name, event_id%6 AS level, count(*) AS n FROM events WHERE event_id%6<>2 OR event_type<>'click' GROUP BY 1,2) SELECT s.name, s.level::BIGINT AS level, CASE WHEN n IS NULL THEN 'missing' WHEN n>1 THEN 'duplicate' ELSE 'one' END AS state FROM s LEFT JOIN m USING (name, level)")

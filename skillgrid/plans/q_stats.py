@@ -90,9 +90,8 @@ def multi_grain(spark, d):
     sums = stats.pair_sums(F.col("candidate"), F.col("obs"))
     fine = B.accepted(spark, d).groupBy("station", "season", "lead", "metric").agg(*sums)
     rows = fine.join(site_strata(spark, d).select("station", "stratum"), "station")
-    rows.createOrReplaceTempView("_fine_sums")
     again = ", ".join(f"sum({c}) AS {c}" for c in ("n", "sm", "so", "sdd"))
-    sets = spark.sql(f"SELECT stratum, season, lead, station, metric, grouping(season) AS gs, grouping(lead) AS gl, grouping(station) AS gt, {again} FROM _fine_sums GROUP BY GROUPING SETS ((stratum, metric), (stratum, season, metric), (stratum, lead, metric), (stratum, station, metric))")
+    sets = spark.sql(f"SELECT stratum, season, lead, station, metric, grouping(season) AS gs, grouping(lead) AS gl, grouping(station) AS gt, {again} FROM {{rows}} GROUP BY GROUPING SETS ((stratum, metric), (stratum, season, metric), (stratum, lead, metric), (stratum, station, metric))", rows=rows)
     sets = sets.where("station is null or stratum = 'all'")
     grain = F.when(F.col("gt") == 0, "station").when(F.col("gl") == 0, "stratum+lead").when(F.col("gs") == 0, "stratum+season").otherwise("stratum")
     return sets.select(grain.alias("grain"), F.when(F.col("station").isNull(), F.col("stratum")).alias("stratum"), "season", "lead", "station", "metric", F.col("n").alias("pair_count"), r6(F.col("sm") / F.col("n") - F.col("so") / F.col("n")).alias("bias"), r6(F.sqrt(F.col("sdd") / F.col("n"))).alias("rmse"))
