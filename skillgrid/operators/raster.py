@@ -76,6 +76,22 @@ def edge_distance(cells: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(e)).withColumn("cells", F.least(F.col("x") - F.col("_x0"), F.col("_x1") - F.col("x"), F.col("y") - F.col("_y0"), F.col("_y1") - F.col("y"))).drop("_x0", "_x1", "_y0", "_y1")
 
 
+def embedded(outer: DataFrame, inner: DataFrame, value: str, most: float) -> DataFrame:
+    """(y, x, value, inside) of the cells of ``outer`` with those of ``inner`` in their place, bit by bit, where the two agree at the inner raster's edge; an error if they differ there by more than ``most``."""
+    gap = edge_gap(outer, inner, value).first()
+    if gap.cells and not (gap.largest is not None and gap.largest <= most):
+        raise ValueError(f"the rasters differ by {gap.largest} at the edge, the limit is {most}")
+    j = outer.select("y", "x", F.col(value).alias("_o")).join(inner.select("y", "x", F.col(value).alias("_i"), F.lit(True).alias("inside")), ["y", "x"], "left")
+    return j.select("y", "x", F.when(F.col("inside"), F.col("_i")).otherwise(F.col("_o")).alias(value), F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
+def edge_gap(outer: DataFrame, inner: DataFrame, value: str) -> DataFrame:
+    """One row: cells on the edge of ``inner``, and the largest difference, the 99th percentile and the mean of the two rasters there; largest is null where ``outer`` lacks one of them."""
+    edge = edge_distance(inner).where("cells = 0").select("y", "x", F.col(value).alias("_i"))
+    j = edge.join(outer.select("y", "x", F.col(value).alias("_o")), ["y", "x"], "left").withColumn("_d", F.abs(F.col("_o") - F.col("_i")))
+    return j.agg(F.count("*").alias("cells"), F.when(F.count("_d") == F.count("*"), F.max("_d")).alias("largest"), F.percentile("_d", 0.99).alias("p99"), F.avg("_d").alias("mean"))
+
+
 def reblend(cells: DataFrame, value: str, outer: Column, width: float) -> DataFrame:
     """``value`` blended into ``outer`` over ``width`` cells from the edges (x0, x1, y0, y1), which are columns."""
     w = edge_taper(F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y")), width, "cosine")

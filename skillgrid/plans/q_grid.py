@@ -378,11 +378,31 @@ def regular_grid(spark, d):
     return rounded(axes.select("y", "x", ((F.col("y") - F.col("my") / 2) * 200.0).alias("north"), ((F.col("x") - F.col("mx") / 2) * 200.0).alias("east")))
 
 
-@query("embed_dem", f"WITH {B.GRID}, i AS (SELECT y, x, height+1 AS inner_ FROM grid WHERE y BETWEEN 10 AND 29 AND x BETWEEN 10 AND 39) SELECT g.y, g.x, coalesce(inner_, height) AS height FROM grid g LEFT JOIN i USING (y,x)")
-def embed_dem(spark, d):
+INNER = "i AS (SELECT y, x, height + (abs(y-19)+abs(x-24))*0.01 AS inner_ FROM grid WHERE y BETWEEN 10 AND 29 AND x BETWEEN 10 AND 39)"
+
+
+def embedding(spark, d):
     g = B.grid(spark, d).select("y", "x", "height")
-    inner = g.where("y between 10 and 29 and x between 10 and 39").select("y", "x", (F.col("height") + 1).alias("inner"))
-    return g.join(inner, ["y", "x"], "left").select("y", "x", F.coalesce("inner", "height").alias("height"))
+    off = (F.abs(F.col("y") - 19) + F.abs(F.col("x") - 24)) * 0.01
+    return g, g.where("y between 10 and 29 and x between 10 and 39").withColumn("height", F.col("height") + off)
+
+
+@query("embed_dem", f"WITH {B.GRID}, {INNER} SELECT g.y, g.x, coalesce(inner_, height) AS height, inner_ IS NOT NULL AS inside FROM grid g LEFT JOIN i USING (y,x)")
+def embed_dem(spark, d):
+    """A raster with another in it, whose edge differs from it by a quarter of a metre at most."""
+    return raster.embedded(*embedding(spark, d), "height", 0.3)
+
+
+@query("embed_gate", f"WITH {B.GRID}, {INNER}, e AS (SELECT abs(height-inner_) AS gap FROM grid JOIN i USING (y, x) WHERE y IN (10, 29) OR x IN (10, 39)) SELECT count(*) AS cells, round(max(gap),6)+0.0 AS largest, round(quantile_cont(gap,0.99),6)+0.0 AS p99, round(avg(gap),6)+0.0 AS mean, TRUE AS refused FROM e")
+def embed_gate(spark, d):
+    """How far the two rasters differ along the inner one's edge; a lower limit refuses to embed."""
+    outer, inner = embedding(spark, d)
+    try:
+        raster.embedded(outer, inner, "height", 0.2)
+        refused = False
+    except ValueError:
+        refused = True
+    return rounded(raster.edge_gap(outer, inner, "height").withColumn("refused", F.lit(refused)))
 
 
 @query("grid_scan", f"WITH {B.GRID} SELECT c.site, g.height FROM (SELECT p_partkey AS site, (p_partkey//50)::INT AS y, (p_partkey%50)::INT AS x FROM part) c JOIN grid g USING (y,x)")

@@ -8,7 +8,7 @@ from skillgrid.operators import quality
 from skillgrid.plans import bindings as B
 from skillgrid.plans.q_campaign import ROWS, station_rows
 from skillgrid.plans.registry import query, r6, rounded, sql6
-from skillgrid.sources import fields, lists, products, station_files
+from skillgrid.sources import fields, lists, products, references, station_files
 from skillgrid.session import shared_path
 
 #: What the station file holds: some speeds are negative, some directions impossible, one site moves and one lies outside the range.
@@ -82,15 +82,23 @@ def ref_scan(spark, d):
     return rounded(once.select("station", F.to_timestamp("valid").cast("timestamp_ntz").alias("valid"), "value", "copies", (F.col("copies") > 1).alias("violation")))
 
 
-@query("station_reference_export", f"WITH {B.GRID}, c AS (SELECT p_partkey AS station, (p_partkey//50)::INT AS y, (p_partkey%50)::INT AS x FROM part), h AS (SELECT station, unnest(range(0,3)) AS hour FROM c) SELECT station, hour::INT AS hour, round(height+hour,6)+0.0 AS value FROM h JOIN c USING (station) JOIN grid USING (y,x)")
-def station_reference_export(spark, d):
-    from skillgrid.plans.q_grid import centres
+KM_SITE = "sqrt(((s.lat-g.lat)*110.57)*((s.lat-g.lat)*110.57)+((s.lon-g.lon)*111.32*cos(radians(s.lat)))*((s.lon-g.lon)*111.32*cos(radians(s.lat))))"
+
 
-    c = centres(spark, d).select(F.col("site").alias("station"), F.col("y0").alias("y"), F.col("x0").alias("x"))
-    rows = c.join(B.grid(spark, d).select("y", "x", "height"), ["y", "x"]).select("station", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("hour"), "height")
+@query("station_reference_export", f"WITH {B.GRID}, {B.SITES}, p AS (SELECT site AS station, g.*, {KM_SITE} AS km, row_number() OVER (PARTITION BY site ORDER BY {KM_SITE}, g.y, g.x) AS n FROM sites s, grid g), h AS (SELECT p.*, hour, CASE WHEN size = 7 AND hour = 2 THEN NULL ELSE 280+size*0.1+hour END::DOUBLE AS t, (90000-size*10.0)::DOUBLE AS ps, CASE WHEN size = 11 AND hour = 2 THEN 0.0 ELSE size*0.5*hour END::DOUBLE AS total FROM p, (SELECT unnest(range(3)) AS hour) hh WHERE n = 1), e AS (SELECT *, 611.2*exp(17.67*(t-5-273.15)/((t-5-273.15)+243.5)) AS vp, total - lag(total) OVER (PARTITION BY station ORDER BY hour) AS rain FROM h) SELECT station, hour::INT AS hour, y, x, round(km,6)+0.0 AS km, round(height,6)+0.0 AS terrain, round(t,6)+0.0 AS t, round(ps,6)+0.0 AS p, round(0.622*vp/(ps-(1-0.622)*vp),6)+0.0 AS q, round((size*0.1)::DOUBLE,6)+0.0 AS u, round((2.0-hour)::DOUBLE,6)+0.0 AS v, round((size*0.01)::DOUBLE,6)+0.0 AS snow, round(greatest(coalesce(rain, 0), 0),6)+0.0 AS precipitation, CASE WHEN km > 0.3 THEN 'too_far' WHEN t IS NULL THEN 'missing' WHEN rain < -0.01 THEN 'decreasing' END AS violation FROM e")
+def station_reference_export(spark, d):
+    """Three hours at every station from the native cell next to it, written as CSV and read back: humidity from the dew point, precipitation between hours; stations too far off, a missing field and a falling sum are marked."""
+    g, size, hour = B.grid(spark, d), F.col("size"), F.col("hour")
+    hours = g.select("y", "x", "size", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("hour"))
+    t = F.when(~((size == 7) & (hour == 2)), 280 + size * 0.1 + hour)
+    current = hours.select(hour.alias("time"), "y", "x", t.alias("t"), (t - 5).alias("td"), (90000 - size * 10.0).alias("p"), (size * 0.1).alias("u"), (2.0 - hour).alias("v"), (size * 0.01).alias("snow"))
+    total = hours.select(hour.alias("time"), "y", "x", F.when((size == 11) & (hour == 2), 0.0).otherwise(size * 0.5 * hour).alias("total"))
+    sites = B.sites(spark, d).select(F.col("site").alias("station"), "lat", "lon")
+    rows = references.station_reference(sites, g.select("y", "x", "lat", "lon", F.col("height").alias("terrain")), current, total, current.select("time").distinct(), 0.3)
     path = shared_path(spark, "station-reference")
-    products.write_csv(rows.select("station", "hour", (F.col("height") + F.col("hour")).alias("value")), path)
-    return rounded(spark.read.schema("station long, hour int, value double").option("header", True).csv(path))
+    products.write_csv(rows.withColumnRenamed("time", "hour"), path)
+    names = "station long, hour int, y int, x int, km double, terrain double, t double, p double, q double, u double, v double, snow double, precipitation double, violation string"
+    return rounded(spark.read.schema(names).option("header", True).csv(path))
 
 
 @query("time_decode", "SELECT event_id, CASE WHEN microsecond(ts) % 1000000 <= 500000 THEN date_trunc('second', ts) ELSE ts END AS valid, microsecond(ts) % 1000000 > 500000 AS violation, date_trunc('second', ts) AS surface_valid FROM events")
@@ -134,12 +142,36 @@ def list_scan(spark, d):
     return lists.ordered_list(spark, path).select("place", "entry", F.lit(lists.key_list(spark, keys, n).count()).alias("keys"))
 
 
-@query("inventory_messages", "WITH s AS (SELECT a.name, b.level FROM (SELECT DISTINCT event_type AS name FROM events) a, (SELECT unnest(range(0,7)) AS level) b), m AS (SELECT event_type AS name, event_id%6 AS level, count(*) AS n FROM events WHERE event_id%6<>2 OR event_type<>'click' GROUP BY 1,2) SELECT s.name, s.level::BIGINT AS level, CASE WHEN n IS NULL THEN 'missing' WHEN n>1 THEN 'duplicate' ELSE 'one' END AS state FROM s LEFT JOIN m USING (name, level)")
+#: A message for each event: five fields of which one has a single level, some with other units, kinds, times, steps or grids than they should have.
+MESSAGES = "m AS (SELECT event_type AS name, CASE WHEN event_id % 97 = 5 THEN 9 ELSE 1 END AS param, (event_id % 7)::INT AS level, CASE WHEN event_id % 31 = 2 THEN 'K' ELSE 'm s-1' END AS units, CASE WHEN event_id % 37 = 3 THEN 'surface' ELSE 'hybrid' END AS level_type, CASE WHEN event_id % 41 = 4 THEN 'accum' ELSE 'instant' END AS step_type, TIMESTAMP '2024-01-01' - INTERVAL 6 HOUR * (event_id % 43 = 1)::INT AS reference, TIMESTAMP '2024-01-01 03:00:00' + INTERVAL 1 HOUR * (event_id % 47 = 6)::INT AS valid, CASE WHEN event_id % 53 = 7 THEN 4 WHEN event_id % 43 = 1 THEN 9 WHEN event_id % 47 = 6 THEN 4 ELSE 3 END AS step, CASE WHEN event_id % 59 = 8 THEN '' WHEN event_id % 61 = 9 THEN 'other' ELSE 'grid' END AS grid FROM events WHERE event_type <> 'click' OR event_id % 7 <> 2)"
+SPEC = [("view", 1, "m/s-1", "hybrid", 5), ("click", 1, "m s-1", "hybrid", 6), ("purchase", 1, "m*s-1", "hybrid", 6), ("error", 1, "m s-1", "hybrid", 1), ("refund", 1, "K", "hybrid", 2)]
+SPEC_SQL = "spec(name, param, levels) AS (VALUES " + ", ".join(f"('{n}', {p}, {k})" for n, p, _, _, k in SPEC) + ")"
+WRONG = "CASE WHEN levels IS NULL THEN 'unexpected' WHEN units = 'K' THEN 'units' WHEN level_type = 'surface' THEN 'level_type' WHEN step_type = 'accum' THEN 'step_type' WHEN valid <> TIMESTAMP '2024-01-01 03:00:00' THEN 'valid_time' WHEN date_diff('hour', reference, valid) <> step THEN 'step' WHEN grid = '' THEN 'grid' WHEN reference <> TIMESTAMP '2024-01-01' OR grid = 'other' THEN 'mixed' END"
+
+
+def messages(spark, d):
+    e = B.table(spark, d, "events").where("event_type <> 'click' or event_id % 7 <> 2")
+    n = lambda k, at, yes, no: F.when(F.col("event_id") % k == at, yes).otherwise(no)
+    hour = lambda text, h: F.lit(text).cast("timestamp") + F.make_dt_interval(F.lit(0), h)
+    step = F.when(F.col("event_id") % 53 == 7, 4).otherwise(n(43, 1, 9, n(47, 6, 4, 3)))
+    return e.select(F.col("event_type").alias("name"), n(97, 5, 9, 1).alias("param"), (F.col("event_id") % 7).cast("int").alias("level"), n(31, 2, "K", "m s-1").alias("units"), n(37, 3, "surface", "hybrid").alias("level_type"), n(41, 4, "accum", "instant").alias("step_type"), hour("2024-01-01", n(43, 1, -6, 0)).alias("reference"), hour("2024-01-01 03:00:00", n(47, 6, 1, 0)).alias("valid"), step.alias("step"), n(59, 8, "", n(61, 9, "other", "grid")).alias("grid"))
+
+
+def message_spec(spark):
+    return spark.createDataFrame(SPEC, "name string, param int, units string, level_type string, levels int")
+
+
+@query("inventory_messages", f"WITH {MESSAGES}, {SPEC_SQL}, w AS (SELECT name, unnest(CASE WHEN levels = 1 THEN [0] ELSE range(1, levels+1) END)::INT AS level FROM spec), c AS (SELECT m.name, CASE WHEN any_n.levels = 1 THEN 0 ELSE level END AS level, {WRONG.replace('levels IS', 'm.levels IS')} AS violation FROM (SELECT m.*, spec.levels FROM m LEFT JOIN spec USING (name, param)) m LEFT JOIN spec any_n ON any_n.name = m.name), f AS (SELECT name, level, count(*) AS messages, count(violation) AS violations FROM c GROUP BY 1,2) SELECT name, level::INT AS level, coalesce(messages, 0) AS messages, CASE WHEN w.name IS NULL THEN 'extra' WHEN messages IS NULL THEN 'missing' WHEN messages > 1 THEN 'duplicate' ELSE 'one' END AS state, coalesce(violations, 0) AS violations FROM (SELECT *, TRUE AS want FROM w) w FULL JOIN f USING (name, level)".replace("WHEN w.name IS NULL", "WHEN want IS NULL"))
 def inventory_messages(spark, d):
-    e = B.table(spark, d, "events")
-    spec = e.select(F.col("event_type").alias("name")).distinct().withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
-    m = e.where("event_id % 6 != 2 or event_type != 'click'").groupBy(F.col("event_type").alias("name"), (F.col("event_id") % 6).alias("level")).agg(F.count("*").alias("n"))
-    return spec.join(m, ["name", "level"], "left").select("name", "level", F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate").otherwise("one").alias("state"))
+    """Every level that is expected or there, how many messages it has, and how many of them aren't as they should be."""
+    return references.inventory(messages(spark, d), message_spec(spark), "2024-01-01 03:00:00")
+
+
+@query("message_violations", f"WITH {MESSAGES}, {SPEC_SQL} SELECT name, {WRONG} AS violation, count(*) AS messages FROM m LEFT JOIN spec USING (name, param) GROUP BY 1, 2")
+def message_violations(spark, d):
+    """What is wrong with the messages of each field: units, kinds, times, steps, grids, and what isn't common to most."""
+    found = references.message_violations(messages(spark, d), message_spec(spark), "2024-01-01 03:00:00")
+    return found.groupBy("name", "violation").agg(F.count("*").alias("messages"))
 
 
 @query("json_csv_sink", f"WITH {ROWS} SELECT station, season, metric, {sql6('delta')}, outcome FROM sr")
