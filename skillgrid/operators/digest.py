@@ -75,3 +75,25 @@ def months_of(external: DataFrame, field: str) -> DataFrame:
     """(y, x, field): the twelve values of a monthly field (month, y, x, value) as an array; a null where a month is missing."""
     g = external.groupBy("y", "x").agg(F.map_from_entries(F.collect_list(F.struct("month", "value"))).alias("_m"))  # twelve at most
     return g.select("y", "x", F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.try_element_at("_m", m)).alias(field))
+
+
+def epoch_report(existing: DataFrame, new: DataFrame, fractions: list[str]) -> DataFrame:
+    """(valid_from, cells, fields, violation) of every epoch of ``new``: null where it can be appended to ``existing``, else not_later (than all that are there), fields (others than the existing ones), incomplete (a
+    field without one of the existing cells, or with one twice) or fraction (a share outside 0 to 1, or no number). Both: (field, valid_from, y, x, value).
+    """
+    held = existing.agg(F.max("valid_from").alias("_last"), F.array_sort(F.collect_set("field")).alias("_fields"))  # one row of a few names
+    cells = existing.groupBy("field", "valid_from").count().agg(F.max("count").alias("_cells"))
+    bad = F.col("value").isNull() | F.isnan("value") | (F.col("value") < 0) | (F.col("value") > 1)
+    each = new.groupBy("valid_from", "field").agg(F.count("*").alias("n"), F.count_distinct("y", "x").alias("places"), F.count_if(F.col("field").isin(fractions) & bad).alias("bad"))
+    g = each.groupBy("valid_from").agg(F.array_sort(F.collect_list("field")).alias("fields"), F.min("places").alias("cells"), F.max(F.col("n") - F.col("places")).alias("twice"), F.sum("bad").alias("bad"))
+    g = g.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(cells))
+    wrong = F.when(F.col("valid_from") <= F.col("_last"), "not_later").when(F.col("_fields").isNotNull() & (F.size("_fields") > 0) & (F.col("fields") != F.col("_fields")), "fields").when((F.col("cells") != F.coalesce("_cells", "cells")) | (F.col("twice") > 0), "incomplete").when(F.col("bad") > 0, "fraction")
+    return g.select("valid_from", "cells", F.array_join("fields", ",").alias("fields"), wrong.alias("violation"))
+
+
+def append_epochs(existing: DataFrame, new: DataFrame, fractions: list[str]) -> DataFrame:
+    """``existing`` with the epochs of ``new``; one that can't be appended is an error that names it, and nothing is."""
+    wrong = epoch_report(existing, new, fractions).where("violation is not null").limit(5).collect()
+    if wrong:
+        raise ValueError("; ".join(f"{r.valid_from}: {r.violation}" for r in wrong))
+    return existing.unionByName(new)

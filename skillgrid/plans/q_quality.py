@@ -294,12 +294,21 @@ def runtime_assemble(spark, d):
     return out.select("y", "x", "height", "skin", "landuse", F.col("landuse_from").cast("timestamp_ntz").alias("landuse_from"), r6(v0 + temporal.month_part(t) * (v1 - v0)).alias("vegetation"), r6(F.element_at("vegetation", 12)).alias("december"), F.array_join("missing", ",").alias("missing"), F.lit(refused(changed)).alias("refused"))
 
 
-@query("epoch_append", f"WITH {B.CATALOG}, base AS (SELECT * FROM catalog WHERE valid < TIMESTAMP '1998-01-01'), new AS (SELECT * FROM catalog WHERE valid >= TIMESTAMP '1997-06-01'), m AS (SELECT segment, max(valid) AS last FROM base GROUP BY 1) SELECT n.segment, count(*) AS appended, min(n.valid) AS first FROM new n LEFT JOIN m USING (segment) WHERE last IS NULL OR n.valid > last GROUP BY 1")
+EPOCHS = "ex AS (SELECT f.field, yr, y, x, CASE f.field WHEN 'albedo' THEN size*0.01 ELSE size % 24 END::DOUBLE AS value FROM grid, (SELECT unnest(['albedo', 'landuse']) AS field) f, (SELECT unnest([2020, 2022]) AS yr) e), nw AS (SELECT f.field, yr, y, x, CASE WHEN f.field = 'albedo' THEN CASE WHEN yr = 2025 AND size = 30 THEN 1.2 WHEN yr = 2026 AND size = 4 THEN NULL ELSE size*0.012 END ELSE size % 22 END::DOUBLE AS value FROM grid, (SELECT unnest(['albedo', 'landuse']) AS field) f, (SELECT unnest(range(2021, 2029)) AS yr) e WHERE NOT (yr = 2024 AND y = 3 AND x = 3) AND NOT (yr = 2027 AND f.field = 'landuse') UNION ALL SELECT 'albedo', 2028, y, x, 0.5 FROM grid WHERE y = 1 AND x = 1)"
+
+
+@query("epoch_append", f"WITH {B.GRID}, {EPOCHS}, n AS (SELECT (SELECT count(*) FROM grid) AS cells) SELECT make_timestamp(yr, 1, 1, 0, 0, 0) AS valid_from, min(places) AS cells, string_agg(field, ',' ORDER BY field) AS fields, CASE WHEN yr <= 2022 THEN 'not_later' WHEN count(*) < 2 THEN 'fields' WHEN min(places) <> any_value(cells) OR max(m) > any_value(cells) THEN 'incomplete' WHEN sum(bad) > 0 THEN 'fraction' END AS violation FROM (SELECT yr, field, count(*) AS m, count(DISTINCT (y, x)) AS places, count(*) FILTER (field = 'albedo' AND (value IS NULL OR value < 0 OR value > 1)) AS bad FROM nw GROUP BY 1, 2), n GROUP BY yr")
 def epoch_append(spark, d):
-    c = B.catalog(spark, d)
-    last = c.where("valid < timestamp_ntz'1998-01-01'").groupBy("segment").agg(F.max("valid").alias("last"))
-    new = c.where("valid >= timestamp_ntz'1997-06-01'").join(last, "segment", "left").where("last is null or valid > last")
-    return new.groupBy("segment").agg(F.count("*").alias("appended"), F.min("valid").alias("first"))
+    """Which of eight epochs can be appended to an external product of two: later ones, with the same fields on all cells, and shares from 0 to 1."""
+    g, size = B.grid(spark, d), F.col("size")
+    epoch = lambda rows: rows.select("field", F.make_timestamp("yr", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("timestamp_ntz").alias("valid_from"), "y", "x", F.col("value").cast("double").alias("value"))
+    spread = lambda years: g.withColumn("field", F.explode(F.array(F.lit("albedo"), F.lit("landuse")))).withColumn("yr", F.explode(F.array(*map(F.lit, years))))
+    albedo = F.col("field") == "albedo"
+    old = epoch(spread([2020, 2022]).withColumn("value", F.when(albedo, size * 0.01).otherwise(size % 24)))
+    share = F.when((F.col("yr") == 2025) & (size == 30), 1.2).when((F.col("yr") == 2026) & (size == 4), None).otherwise(size * 0.012)
+    new = spread(range(2021, 2029)).withColumn("value", F.when(albedo, share).otherwise(size % 22)).where("not (yr = 2024 and y = 3 and x = 3) and not (yr = 2027 and field = 'landuse')")
+    twice = g.where("y = 1 and x = 1").select(F.lit("albedo").alias("field"), F.lit(2028).alias("yr"), "y", "x", F.lit(0.5).alias("value"))
+    return digest.epoch_report(old, epoch(new).unionByName(epoch(twice)), ["albedo"])
 
 
 @query("column_total_differences", f"WITH {B.PROFILE}, c AS (SELECT column_id, sum(value*0.1*1000) AS one, sum(value*0.1*1000*(1+0.01*(level%3))) AS two, sum(value*0.1*1000)*0.98 AS three FROM profile GROUP BY 1), p AS (SELECT 'two-one' AS pair, two-one AS e FROM c UNION ALL SELECT 'three-one', three-one FROM c UNION ALL SELECT 'three-two', three-two FROM c) SELECT pair, round(avg(e),6)+0.0 AS mean, round(sqrt(avg(e*e)),6)+0.0 AS rmse, round(quantile_cont(abs(e),0.95),6)+0.0 AS p95, round(max(abs(e)),6)+0.0 AS largest FROM p GROUP BY 1")

@@ -64,3 +64,13 @@ def test_weights_that_were_changed_on_disk(spark, tmp_path):
     weights.limit(1).write.mode("append").parquet(f"{path}/weights")
     with pytest.raises(ValueError, match="weights"):
         regrid.load_weights(spark, path, source, targets)
+
+
+def test_epochs_are_appended_whole_or_not(spark):
+    rows = lambda at, n, value: [(f, at, 0, x, value) for f in ("albedo", "use") for x in range(n)]
+    table = lambda r: spark.createDataFrame(r, "field string, valid_from int, y int, x int, value double")
+    old = table(rows(1, 3, 0.5))
+    assert digest.append_epochs(old, table(rows(2, 3, 1.0) + rows(3, 3, 0.0)), ["albedo"]).count() == 18
+    for new, what in ((rows(1, 3, 0.5), "not_later"), (rows(2, 2, 0.5), "incomplete"), (rows(2, 3, 0.5) + [("albedo", 2, 0, 0, 0.5)], "incomplete"), (rows(2, 3, 1.5), "fraction"), (rows(2, 3, float("nan")), "fraction"), (rows(2, 3, 0.5)[:3], "fields")):
+        with pytest.raises(ValueError, match=what):
+            digest.append_epochs(old, table(new), ["albedo"])
