@@ -6,7 +6,7 @@ window is found by a hash over the numbers and verified by comparing all of them
 Texts stay where they are: the only thing that moves is the table of windows.
 
 The table is broadcast while it takes no more than ``BROADCAST_BYTES``, by a count of the benchmark's words. A larger benchmark is cut by a hash of the
-item into parts of that size on average, each scanned by its own pass, and the passes' hits are put together by document.
+item into parts of that size on average, each scanned by its own pass: its windows are built, broadcast and given up when its hits are written. The passes' hits are put together by document.
 
 Defined results: a null text has no words and no hits; repeated items count by their own id, and a null id as the text
 ``null``; an item that is there twice counts once; repeated rows stay; very long texts are scanned alone; an empty benchmark hits nothing; an empty table gives an empty one.
@@ -20,12 +20,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.llm.bpe import runs_of
 from skillgrid.llm.ragged import offsets_of, slices
-from skillgrid.session import fresh
+from skillgrid.session import fresh, materialize
 
 WINDOW = 10
 #: Most bytes of one broadcast table: its texts, and 12 for each of their words.
@@ -97,9 +98,13 @@ class Windows:
             yield begin[same], width, np.searchsorted(self.off, test[same], "right") - 1
 
 
-def scan(docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW, slice_bytes: int = 16_000_000) -> DataFrame:
-    """(doc_id, text_hash, n_words, spans, items): spans are the hit words as [from, to) pairs in order, items the ids with hits."""
-    shared = docs.sparkSession.sparkContext.broadcast(Windows(items, window))
+def windows_of(docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW) -> Broadcast:
+    """The windows of some items, broadcast."""
+    return docs.sparkSession.sparkContext.broadcast(Windows(items, window))
+
+
+def scan(docs: DataFrame, shared: Broadcast, slice_bytes: int = 16_000_000) -> DataFrame:
+    """(doc_id, text_hash, n_words, spans, items): spans are the hit words as [from, to) pairs in order, items the ids with hits. ``shared``: from ``windows_of``."""
 
     def run(batches):
         table = shared.value
@@ -129,15 +134,13 @@ def scan(docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW, sl
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n_words long, spans array<long>, items array<string>")
 
 
-def merged(spans: list[list[int]]) -> list[int]:
-    """The union of several lists of [from, to) pairs."""
-    out: list[int] = []
-    for a, b in sorted((x[i], x[i + 1]) for x in spans for i in range(0, len(x), 2)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+def merged(spans: Column) -> Column:
+    """The union of several lists of [from, to) pairs, given as an array of arrays."""
+    pairs = lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.size(x) - 2, F.lit(2)), lambda i: F.struct(F.get(x, i).alias("a"), F.get(x, i + 1).alias("b")))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    longer = lambda acc, p: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.greatest(last(acc), p["b"])))
+    step = lambda acc, p: F.when(p["a"] <= last(acc), longer(acc, p)).otherwise(F.concat(acc, F.array(p["a"], p["b"])))
+    return F.aggregate(F.array_sort(F.flatten(F.transform(spans, pairs))), F.array().cast("array<bigint>"), step)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -149,15 +152,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     size = tests.agg(F.sum(in_table)).first()[0] or 0
     passes = -(-size // most_bytes) or 1
     if passes == 1:
-        return scan(rows, [tuple(r) for r in tests.collect()], window)
+        return scan(rows, windows_of(rows, [tuple(r) for r in tests.collect()], window))
     tests = tests.withColumn("pass", F.pmod(F.xxhash64("item", "text"), F.lit(passes)))
-    parts = [scan(rows, [tuple(r) for r in tests.where(F.col("pass") == p).drop("pass").collect()], window) for p in range(passes)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionAll(p)
-    join = F.udf(merged, "array<long>")
-    both = union.groupBy("doc_id", "text_hash", "n_words").agg(F.collect_list("spans").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / passes).cast("int").alias("copies"))
-    return both.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("doc_id", "text_hash", "n_words", join("s").alias("spans"), "items")
+    found = None
+    for p in range(passes):  # one table of windows at a time: it goes when its hits are written
+        shared = windows_of(rows, [tuple(r) for r in tests.where(F.col("pass") == p).drop("pass").collect()], window)
+        hits = scan(rows, shared)
+        part = materialize((hits if p == 0 else hits.where(F.size("spans") > 0)).withColumn("row", F.lit(int(p == 0))), "hits")
+        shared.destroy()
+        found = part if found is None else found.unionAll(part)
+    both = found.groupBy("doc_id", "text_hash", "n_words").agg(merged(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("row").cast("int").alias("copies"))
+    return both.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("doc_id", "text_hash", "n_words", "spans", "items")
 
 
 def report(hits: DataFrame) -> DataFrame:
