@@ -90,3 +90,14 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROFILE = "profile AS (SELECT *, level*100.0 + column_id % 7 AS z FROM (SELECT l_orderkey AS column_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber, l_quantity, l_shipdate) AS level, l_quantity AS value FROM lineitem))"
+
+#: A small registry: field, lifetime, support, other names, units.
+FIELDS = [
+    ("row", "invariant", "coordinate", [], None), ("column", "invariant", "coordinate", [], None), ("height", "invariant", "cell", ["ground"], "m"), ("land", "invariant", "cell", [], None), ("texture", "invariant", "land", ["soil"], None),
+    ("cover", "epoch", "land", ["use"], None), ("roots", "epoch", "vegetation", [], "m"), ("greenness", "climatology", "vegetation", ["green"], None), ("month_axis", "climatology", "coordinate", [], None),
+    ("water_temperature", "time_series", "water", ["sea"], "K"), ("clock", "time_series", "coordinate", ["hour"], None), ("skin", "initial_only", "cell", ["surface"], "K"), ("soil_water", "initial_only", "land", [], "m3 m-3"), ("snow_density", "initial_only", "snow", ["density"], "kg m-3"),
+]
+
+
+def field_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FIELDS, "field string, lifetime string, support string, aliases array<string>, units string")

@@ -140,8 +140,8 @@ def closure_contract(spark, d):
 
 _Q = lambda x: "NULL" if x is None else "'" + x + "'"
 #: The registry in SQL, a row for each name.
-REGISTRY = "reg AS (SELECT * FROM (VALUES " + ", ".join(f"({_Q(n)}, {_Q(f)}, {_Q(l)}, {_Q(s)}, {_Q(u)})" for f, l, s, _, a, u in fields.entries() for n in (f, *a)) + ") t(name, field, lifetime, support, runits))"
-_NAMES = [n for f, *_, a, _u in fields.entries() for n in (f, *a)] + ["no_such_field"]
+REGISTRY = "reg AS (SELECT * FROM (VALUES " + ", ".join(f"({_Q(n)}, {_Q(f)}, {_Q(l)}, {_Q(s)}, {_Q(u)})" for f, l, s, a, u in B.FIELDS for n in (f, *a)) + ") t(name, field, lifetime, support, runits))"
+_NAMES = [n for f, *_, a, _u in B.FIELDS for n in (f, *a)] + ["no_such_field"]
 _LIST = "[" + ", ".join(map(_Q, _NAMES)) + "]"
 _PLAIN = "regexp_replace(lower({0}), '[\\^\\s*/]', '', 'g')"
 DECLARED = f"decl AS (SELECT DISTINCT ['static','external','initial'][p_size % 3 + 1] AS product, {_LIST}[p_partkey % {len(_NAMES)} + 1] AS name, ['m','K','M','kg / m**-3','degrees_north'][p_size % 5 + 1] AS units, [['y','x'],['epoch','y'],['month','y'],['time','y']][p_size % 4 + 1] AS axes FROM part)"
@@ -158,7 +158,7 @@ def declared(spark, d):
 @query("lifetime_contract", f"WITH {REGISTRY}, {DECLARED}, j AS (SELECT decl.*, field, lifetime, support, runits FROM decl LEFT JOIN reg USING (name)) SELECT product, name, units, array_to_string(axes, ',') AS axes, field, CASE WHEN field IS NULL THEN 'unknown' WHEN runits IS NOT NULL AND {_PLAIN.format('units')} <> {_PLAIN.format('runits')} THEN 'units' WHEN NOT ((product='static' AND lifetime='invariant') OR (product='external' AND lifetime IN ('epoch','climatology','time_series')) OR (product='initial' AND lifetime IN ('initial_only','invariant'))) THEN 'lifetime' WHEN product='initial' AND lifetime='invariant' AND support<>'coordinate' THEN 'repeated' WHEN lifetime='invariant' AND (list_contains(axes,'time') OR list_contains(axes,'month') OR list_contains(axes,'epoch')) THEN 'axes' WHEN lifetime='climatology' AND NOT list_contains(axes,'month') THEN 'axes' WHEN lifetime='epoch' AND NOT list_contains(axes,'epoch') THEN 'axes' WHEN lifetime='time_series' AND support<>'coordinate' AND NOT list_contains(axes,'time') THEN 'axes' END AS violation FROM j")
 def lifetime_contract(spark, d):
     """Declared fields against the closed list: unknown ones, other units, lifetimes that the product may not hold, axes that don't go with them."""
-    out = fields.check_fields(declared(spark, d), fields.registry(spark))
+    out = fields.check_fields(declared(spark, d), fields.registry(B.field_table(spark)))
     return out.select("product", "name", "units", F.concat_ws(",", "axes").alias("axes"), "field", "violation")
 
 

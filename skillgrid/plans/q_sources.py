@@ -193,7 +193,7 @@ def compact_lossless(spark, d):
 
 
 _LIFE = {"invariant": "static", "epoch": "external", "climatology": "external", "time_series": "external", "initial_only": "initial"}
-_FIELDS = [(f, _LIFE[l], l == "epoch") for f, l, *_ in fields.entries()]
+_FIELDS = [(f, _LIFE[l], l == "epoch") for f, l, *_ in B.FIELDS]
 _OF = "[" + ", ".join(f"'{f}'" for f, *_ in _FIELDS) + f"][p_partkey % {len(_FIELDS)} + 1]"
 
 
@@ -203,7 +203,7 @@ def product_partition(spark, d):
     p = B.table(spark, d, "part")
     cells = p.select(F.element_at(F.array(*[F.lit(f) for f, *_ in _FIELDS]), (F.col("p_partkey") % len(_FIELDS) + 1).cast("int")).alias("name"), F.col("p_retailprice").alias("height"))
     life = F.create_map(*[F.lit(x) for pair in _LIFE.items() for x in pair])
-    of = fields.registry(spark).select("name", "field", life[F.col("lifetime")].alias("product"), F.when(F.col("lifetime") == "epoch", F.lit(2020)).alias("epoch"))
+    of = fields.registry(B.field_table(spark)).select("name", "field", life[F.col("lifetime")].alias("product"), F.when(F.col("lifetime") == "epoch", F.lit(2020)).alias("epoch"))
     path = shared_path(spark, "products")
     products.write_product(cells.join(F.broadcast(of), "name").drop("name"), path, "product")
     return rounded(spark.read.parquet(path).groupBy("product", "field", "epoch").agg(F.count("*").alias("cells"), F.sum("height").alias("total")))

@@ -72,3 +72,12 @@ def test_units_and_slopes(spark):
     assert (r.k, r.pa, r.m, r.z) == (283.15, 90000.0, 0.25, 90.0) and r.slope == pytest.approx(0.7853981634) and r.aspect == pytest.approx(0.0)
     with pytest.raises(ValueError):
         P.from_observed(F.lit(1.0), "furlong")
+
+
+def test_names_of_two_fields_are_refused(spark):
+    from skillgrid.sources import fields
+
+    table = spark.createDataFrame([("a", "invariant", "cell", ["b"], None), ("c", "epoch", "cell", None, "m")], "field string, lifetime string, support string, aliases array<string>, units string")
+    assert {(r.name, r.field) for r in fields.registry(table).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    with pytest.raises(ValueError, match="two fields"):
+        fields.registry(table.union(table.where("field = 'c'")))
