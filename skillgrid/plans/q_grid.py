@@ -10,7 +10,8 @@ from skillgrid.operators import campaign, raster, regrid, spatial, zonal
 from skillgrid.operators.order import quantiles
 from skillgrid.plans import bindings as B
 from skillgrid.plans.registry import query, r6, rounded, sql6
-from skillgrid.session import materialize
+from skillgrid.session import materialize, shared_path
+from skillgrid.sources import clustered
 
 KM = "sqrt(((s.lat-g.lat)*110.57)*((s.lat-g.lat)*110.57)+((s.lon-g.lon)*111.32*cos(radians({at})))*((s.lon-g.lon)*111.32*cos(radians({at}))))"
 
@@ -405,11 +406,46 @@ def embed_gate(spark, d):
     return rounded(raster.edge_gap(outer, inner, "height").withColumn("refused", F.lit(refused)))
 
 
-@query("grid_scan", f"WITH {B.GRID} SELECT c.site, g.height FROM (SELECT p_partkey AS site, (p_partkey//50)::INT AS y, (p_partkey%50)::INT AS x FROM part) c JOIN grid g USING (y,x)")
+#: A product of three times over the grid: a third is added each hour, and cells of size 50 hold the fill value.
+HOURS = "SELECT unnest(range(3))::INT AS hour"
+
+
+def clustered_grid(spark, d) -> str:
+    path = shared_path(spark, "clustered")
+    g = B.grid(spark, d).crossJoin(F.broadcast(spark.range(3).withColumnRenamed("id", "hour")))
+    height = F.when(F.col("size") == 50, -9999.0).otherwise(F.col("height") + F.col("hour") / 3.0)
+    clustered.write(g.select(F.timestamp_seconds(1704067200 + 3600 * F.col("hour")).alias("valid"), "y", "x", height.alias("height"), "size"), path, 16, {"height": -9999.0})
+    return path
+
+
+@query("grid_scan", f"WITH {B.GRID} SELECT y, x, round(CASE WHEN size <> 50 THEN height + 2/3.0 END,6)+0.0 AS height FROM grid")
 def grid_scan(spark, d):
-    """Point samples: a small table of points against the cells."""
-    at = centres(spark, d).select("site", F.col("y0").alias("y"), F.col("x0").alias("x"))
-    return B.grid(spark, d).select("y", "x", "height").join(at, ["y", "x"]).select("site", "height")
+    """One field at one time, from the files of that time; masked cells are null."""
+    return rounded(clustered.slice_2d(spark, clustered_grid(spark, d), "height", "2024-01-01 02:00:00"))
+
+
+@query("point_scan", f"WITH {B.GRID}, {B.SITES}, p AS (SELECT site, floor((s.lat-46)/0.002)::INT AS y, floor((s.lon-7)/0.003)::INT AS x FROM sites s) SELECT site, hour, round(CASE WHEN size <> 50 THEN height + hour/3.0 END,6)+0.0 AS height, size FROM p JOIN grid USING (y, x), ({HOURS})")
+def point_scan(spark, d):
+    """The series of two fields at the cells of sites, from the files of their tiles."""
+    at = B.sites(spark, d).select("site", F.floor((F.col("lat") - 46) / 0.002).cast("int").alias("y"), F.floor((F.col("lon") - 7) / 0.003).cast("int").alias("x"))
+    rows = clustered.at_points(spark, clustered_grid(spark, d), at, "height", "size", side=16)
+    return rounded(rows.select("site", F.hour("valid").alias("hour"), "height", "size"))
+
+
+@query("axes_by_name", f"WITH {B.GRID} SELECT y, x, time, CASE WHEN size <> 7 THEN height + 1000.0*time END AS value FROM grid, (SELECT unnest(range(2))::INT AS time) WHERE x < 40 AND y IN (SELECT y FROM grid WHERE x < 40 GROUP BY y HAVING count(*) = 40)")
+def axes_by_name(spark, d):
+    """Rows of the grid as arrays whose axes stand in either order, with an axis of length one between them; time and cells are told by name."""
+    g = B.grid(spark, d).where("x < 40")  # 40 cells a row at most
+    value = lambda t: F.transform("cells", lambda c: F.when(c["size"] == 7, -1.0).otherwise(c["height"] + 1000.0 * t))
+    rows = g.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("x", "size", "height"))).alias("cells")).where(F.size("cells") == 40)
+    first, second = value(0), value(1)
+    words = lambda *a: F.array(*map(F.lit, a))
+    time_first = F.col("y") % 2 == 0
+    arrays = rows.select(
+        "y", F.when(time_first, words("time", "level", "x")).otherwise(words("x", "level", "time")).alias("dims"), F.when(time_first, words(2, 1, 40)).otherwise(words(40, 1, 2)).alias("shape"),
+        F.when(time_first, F.concat(first, second)).otherwise(F.flatten(F.zip_with(first, second, lambda a, b: F.array(a, b)))).alias("values"),
+    )
+    return clustered.unpack(arrays, ("time", "x"), fill=-1.0).where("violation is null").drop("violation")
 
 
 @query("distribution_by_class", f"WITH {B.GRID} SELECT class, min(height) AS least_, round(quantile_cont(height,0.01),6)+0.0 AS p01, round(quantile_cont(height,0.5),6)+0.0 AS p50, round(quantile_cont(height,0.99),6)+0.0 AS p99, max(height) AS max FROM grid WHERE land GROUP BY class")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skillgrid.operators import digest as digests
 from skillgrid.operators import quality
 from skillgrid.plans import bindings as B
 from skillgrid.plans.q_campaign import ROWS, station_rows
 from skillgrid.plans.registry import query, r6, rounded, sql6
-from skillgrid.sources import fields, lists, products, references, station_files
+from skillgrid.sources import clustered, fields, lists, products, references, station_files
 from skillgrid.session import shared_path
 
 #: What the station file holds: some speeds are negative, some directions impossible, one site moves and one lies outside the range.
@@ -223,13 +224,42 @@ def boundary_sink(spark, d):
     return rounded(spark.read.parquet(path))
 
 
-@query("forcing_record_sink", f"WITH {B.GRID} SELECT month(o_orderdate)::INT AS month, count(*) AS cells, round(avg(height),6)+0.0 AS mean FROM orders JOIN grid ON y=o_orderkey%(SELECT max(y)+1 FROM grid) AND x=o_custkey%50 GROUP BY 1")
+#: Records of three times and two levels; those of other times have one thing in them that isn't right.
+_RECORDS = f"""WITH {B.GRID}, t AS (SELECT unnest(range(8))::INT AS hour), n AS (SELECT count(*) AS cells FROM grid)"""
+_DEFECTS = {3: "grid", 4: "geometry", 5: "sst_cells", 6: "static_identity", 7: "sst_range"}
+
+
+def record_parts(spark, d):
+    """State, static cells and levels, sea surface and what the states say of themselves, of eight times; defects from the fourth on."""
+    g = B.grid(spark, d)
+    hours = spark.range(8).select(F.col("id").cast("int").alias("hour"), F.timestamp_seconds(1704067200 + 3600 * F.col("id")).alias("valid"))
+    levels = g.select("y", "x", "height", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    static_levels = levels.select("y", "x", "k", (F.col("height") + 500.0 * F.col("k")).alias("HHL"), (F.col("height") + 500.0 * F.col("k") + 250).alias("HFL"))
+    s = g.select("y", "x", "lat", "lon", "size").join(static_levels, ["y", "x"]).crossJoin(F.broadcast(hours))
+    one = (F.col("y") == 1) & (F.col("x") == 4)
+    state = s.select("valid", "y", "x", "k", F.when((F.col("hour") == 3) & one, F.col("lat") + 1e-9).otherwise(F.col("lat")).alias("lat"), "lon", F.when((F.col("hour") == 4) & one, F.col("HHL") - 1).otherwise(F.col("HHL")).alias("HHL"), "HFL", (290.0 - 6 * F.col("k") + F.col("hour") + F.col("size") * 0.1).alias("T"))
+    sst = g.select("y", "x", "size").crossJoin(F.broadcast(hours)).where(~((F.col("hour") == 5) & one)).select("valid", "y", "x", F.when((F.col("hour") == 7) & (F.col("size") == 3), 90.0).otherwise(280.0 + F.col("size") * 0.5 + F.col("hour")).alias("SST"))
+    digest = digests.fingerprint(static_levels, ["y", "x", "k", "HHL", "HFL"])
+    own = {"static_sha256": F.when(F.col("hour") == 6, F.lit("another")).otherwise(F.lit(digest)), **{k: F.lit(v) for k, v in clustered.SAID.items()}}
+    said = hours.select("valid", F.explode(F.map_from_arrays(F.array(*map(F.lit, own)), F.array(*own.values()))).alias("key", "value"))
+    return dict(state=state, static=g.select("y", "x", "lat", "lon", "land"), static_levels=static_levels, sst=sst, said=said, static_digest=digest)
+
+
+@query("forcing_record_sink", f"{_RECORDS} SELECT hour, count(*) AS cells, round(avg(290.0 - 6*k + hour + size*0.1),6)+0.0 AS mean, count(*) FILTER (NOT land) AS water, round(avg(CASE WHEN NOT land THEN 280.0 + size*0.5 + hour END),6)+0.0 AS sst FROM grid, t, (SELECT unnest(range(2))::INT AS k) WHERE hour < 3 GROUP BY 1")
 def forcing_record_sink(spark, d):
-    rows = B.grid(spark, d).agg((F.max("y") + 1).alias("ny"))
-    o = B.table(spark, d, "orders").crossJoin(F.broadcast(rows)).select(F.month("o_orderdate").alias("month"), (F.col("o_orderkey") % F.col("ny")).alias("y"), (F.col("o_custkey") % 50).alias("x"))
+    """The records that fit are written by time and tile, and read back; the sea surface is that of water alone."""
+    p = record_parts(spark, d)
+    early = {n: p[n].where("valid < timestamp'2024-01-01 03:00:00'") for n in ("state", "sst", "said")}
     path = shared_path(spark, "records")
-    products.write_product(o.join(B.grid(spark, d).select("y", "x", "height"), ["y", "x"]), path, "month")
-    return rounded(spark.read.parquet(path).groupBy("month").agg(F.count("*").alias("cells"), F.avg("height").alias("mean")))
+    clustered.write_records(**p | early, path=path, side=16)
+    rows = clustered.read(spark, path, "T", "SST")
+    return rounded(rows.groupBy(F.hour("valid").alias("hour")).agg(F.count("*").alias("cells"), F.avg("T").alias("mean"), F.count("SST").alias("water"), F.avg("SST").alias("sst")))
+
+
+@query("forcing_record_report", f"{_RECORDS}, w AS (SELECT * FROM (VALUES {', '.join(f'({h}, {v!r})' for h, v in _DEFECTS.items())}) v(hour, violation)) SELECT t.hour, 2*cells AS cells, coalesce(violation, '') AS violations FROM t LEFT JOIN w USING (hour), n")
+def forcing_record_report(spark, d):
+    """Which times can't become a record, and why."""
+    return clustered.record_report(**record_parts(spark, d)).select(F.hour("valid").alias("hour"), "cells", F.array_join("violations", ",").alias("violations"))
 
 
 @query("depth_stack", f"WITH {B.PROFILE} SELECT column_id, count(*) AS layers, string_agg(value::INT, ',' ORDER BY z) AS stack FROM profile GROUP BY 1")
