@@ -114,18 +114,6 @@ def levels(spark, d):
     return B.profile(spark, d).withColumns({"dz": F.col("z") - F.lag("z").over(w), "dp": p - F.lag(p).over(w)})
 
 
-_rules("native_state_contract", B.PROFILE, LEVELS, {"heights_increase": "dz IS NULL OR dz > 0", "pressure_decreases": "dp IS NULL OR dp < 0", "moist_below_one": "value/60 < 1", "bottom_near_surface": "level > 1 OR abs(z - 103) <= 1", "value_range": "value BETWEEN 1 AND 50"}, levels)
-_rules("surface_plausibility", B.GRID, GRID_CONTEXT, {"hard_range": "height > 0", "hard_skin": "skin BETWEEN 180 AND 340", "hard_jump": "dh IS NULL OR abs(dh) <= 50", "warn_jump": "dh IS NULL OR abs(dh) <= 15", "warn_clip": "snow < 0.98", "warn_fallback": "size <= 48"}, grid_context)
-RECEIPTS = "SELECT *, lag(valid) OVER (PARTITION BY segment ORDER BY valid, record) AS before, count(*) OVER (PARTITION BY segment, valid) AS copies, sha256(record::VARCHAR||':'||strftime(valid,'%Y-%m-%d')) AS digest FROM catalog"
-
-
-def receipts(spark, d):
-    digest = F.sha2(F.concat_ws(":", F.col("record").cast("string"), F.date_format("valid", "yyyy-MM-dd")), 256)
-    return B.catalog(spark, d).withColumns({"before": F.lag("valid").over(Window.partitionBy("segment").orderBy("valid", "record")), "copies": F.count("*").over(Window.partitionBy("segment", "valid")), "digest": digest})
-
-
-_rules("receipt_contract", B.CATALOG, RECEIPTS, {"record_named": "record >= 0", "size_positive": "bytes > 0", "priority_known": "priority IN ('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW')", "time_in_period": "valid >= TIMESTAMP '1995-01-01'", "digest_whole": "length(digest) = 64", "times_in_order": "before IS NULL OR before <= valid", "time_of_its_own": "copies = 1", "complete_if_late": "complete OR valid < TIMESTAMP '2002-01-01'"}, receipts)
-_rules("output_contract", B.WIND, "SELECT *, CASE WHEN station % 2 = 0 THEN 10 ELSE 50 END AS level, CASE kind WHEN 'view' THEN 'time: mean' WHEN 'click' THEN 'time: maximum' END AS methods FROM wind", {"speed_present": "speed IS NOT NULL", "direction_range": "direction >= 0 AND direction < 360", "kind_known": "kind IN ('view','click','purchase','error','signup')", "level_listed": "level IN (10, 50)", "methods_declared": "methods IS NOT NULL"}, lambda s, d: B.wind(s, d).withColumns({"level": F.expr("case when station % 2 = 0 then 10 else 50 end"), "methods": F.expr("case kind when 'view' then 'time: mean' when 'click' then 'time: maximum' end")}))
 _rules("support_field_contract", B.GRID, "SELECT *, CASE WHEN NOT land AND size < 4 THEN 1 ELSE 0 END AS unsupported, CASE WHEN NOT land AND size < 4 THEN size*0.2 END AS distance FROM grid", {"only_on_water": "unsupported = 0 OR NOT land", "distance_on_mask": "(unsupported = 1) = (distance IS NOT NULL)", "binary": "unsupported IN (0, 1)"}, lambda s, d: B.grid(s, d).withColumn("unsupported", F.expr("case when not land and size < 4 then 1 else 0 end")).withColumn("distance", F.expr("case when not land and size < 4 then size * 0.2 end")))
 _rules("geometry_contract", B.PROFILE, LEVELS, {"thickness": "dz IS NULL OR dz >= 12", "spacing": "z > 0", "jacobian": "dz IS NULL OR dz/100.0 > 0.5"}, levels)
 _rules("reuse_contract", B.GRID, "SELECT * FROM grid", {"spacing_matches": "abs(lat - (46 + 0.002*y)) < 1e-9", "window_inside": "y >= 0 AND x BETWEEN 0 AND 49", "range": "height BETWEEN -500 AND 9000"}, B.grid)
@@ -165,14 +153,6 @@ def lifetime_contract(spark, d):
 _EDGE = "least(x-x0, x1-x, y-y0, y1-y)"
 
 
-@query("boundary_contract", f"WITH {B.GRID}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM grid), e AS (SELECT y, x, CASE WHEN {_EDGE} >= 5 THEN 0.0::DOUBLE ELSE cos(0.5*pi()*{_EDGE}/5.0)*cos(0.5*pi()*{_EDGE}/5.0) END AS w FROM grid, b) SELECT count(*) AS points, count(DISTINCT (y,x)) AS unique_points, count(*) FILTER (w<0 OR w>1) AS outside, round(max(w),6)+0.0 AS edge FROM e WHERE w > 0")
-def boundary_contract(spark, d):
-    from skillgrid.functions.physics import relaxation_weight
-
-    e = raster.edge_distance(B.grid(spark, d)).withColumn("w", relaxation_weight(F.col("cells"), 5.0)).where("w > 0")
-    return rounded(e.agg(F.count("*").alias("points"), F.count_distinct("y", "x").alias("unique_points"), F.count_if((F.col("w") < 0) | (F.col("w") > 1)).alias("outside"), F.max("w").alias("edge")))
-
-
 @query("attr_match", "WITH a AS (SELECT p_partkey AS k, p_brand AS txt, p_retailprice AS num FROM part), b AS (SELECT k, CASE WHEN k%500=0 THEN 'other' ELSE txt END AS txt, num + CASE WHEN k%400=1 THEN 1e-3 ELSE 1e-10 END AS num FROM a) SELECT a.k, a.txt = b.txt AS text_equal, abs(a.num-b.num) <= 1e-8 AS number_equal FROM a JOIN b USING (k) WHERE NOT (a.txt=b.txt AND abs(a.num-b.num) <= 1e-8)")
 def attr_match(spark, d):
     a = B.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("txt"), F.col("p_retailprice").alias("num"))
@@ -181,14 +161,6 @@ def attr_match(spark, d):
     return j.where("not (text_equal and number_equal)")
 
 
-@query("chain_contract", f"WITH {B.CATALOG}, a AS (SELECT segment, year(valid) AS part, count(*) FILTER (complete) AS completed, count(*) AS attempts, count(DISTINCT valid)=count(*) AS unique_times FROM catalog GROUP BY 1,2), n AS (SELECT *, part - lag(part) OVER (PARTITION BY segment ORDER BY part) AS step FROM a) SELECT segment, part::INT AS part, completed, attempts, unique_times, coalesce(step = 1, TRUE) AS follows, completed = 1 AND unique_times AND coalesce(step = 1, TRUE) AS ok FROM n")
-def chain_contract(spark, d):
-    """Each part of a chain needs exactly one completed attempt and times of its own, and must follow the part before."""
-    a = B.catalog(spark, d).groupBy("segment", F.year("valid").alias("part")).agg(F.count_if("complete").alias("completed"), F.count("*").alias("attempts"), (F.count_distinct("valid") == F.count("*")).alias("unique_times"))
-    follows = F.coalesce(F.col("part") - F.lag("part").over(Window.partitionBy("segment").orderBy("part")) == 1, F.lit(True))
-    return a.withColumn("follows", follows).withColumn("ok", (F.col("completed") == 1) & F.col("unique_times") & F.col("follows"))
-
-
 @query("all_sites_covered", f"WITH {B.SITES}, {B.WIND} SELECT (SELECT count(DISTINCT station) FROM wind) AS observed, (SELECT count(*) FROM sites WHERE site < 25) AS mapped, (SELECT count(*) FROM (SELECT DISTINCT station FROM wind WHERE station NOT IN (SELECT site FROM sites))) AS excluded")
 def all_sites_covered(spark, d):
     w, s = B.wind(spark, d).select(F.col("station").alias("site")).distinct(), B.sites(spark, d).select("site")

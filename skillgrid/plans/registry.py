@@ -42,5 +42,5 @@ def sql6(*names: str) -> str:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from skillgrid.plans import q_campaign, q_columns, q_contracts, q_functions, q_grid, q_quality, q_sources, q_stats, q_streaming, q_surface, q_time  # noqa: F401
+    from skillgrid.plans import q_campaign, q_columns, q_contracts, q_functions, q_grid, q_products, q_quality, q_sources, q_stats, q_streaming, q_surface, q_time  # noqa: F401
 
