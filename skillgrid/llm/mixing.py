@@ -3,8 +3,10 @@
 Words are summed by source, targets are shares of ``total`` of all words by weight, none above ``most``
 times its source, and the excess goes to the others by weight until none is above. A source's rate is its
 target over its words. A document is emitted floor(rate) times, and once more where a number hashed from
-its id falls under the fraction. Each source takes, of ``SEEDS`` fixed seeds, the one whose draws come nearest
-to its target, so that a few very long documents don't pull a small source away from it.
+its id and ``SEED`` falls under the fraction: one draw, which no other document has a part in, so that the
+probability of the copy is the fraction (to 2^-32). What a source takes is its target on average; the standard
+deviation is the root of f(1-f) times the sum of its squared sizes, f being the fraction, which fades beside the
+target as documents grow in number but not where one of them is a large part of its source.
 
 Defined results: a null text has size 0 and is emitted like any other; a null source is a source, the last;
 a source without words has target and rate 0; repeated rows draw alike; an empty table gives an empty one.
@@ -20,8 +22,8 @@ from skillgrid.session import fresh, materialize
 
 #: Weights by a source's rank, repeating.
 WEIGHTS = (3, 1, 2)
-#: Draws that each source may choose from: four for each hash.
-SEEDS = 32
+#: What the draws of all documents depend on besides their ids.
+SEED = 0
 #: Sources up to which their table (some 60 bytes a row) is broadcast; beyond that it is joined by key.
 BROADCAST_SOURCES = 100_000
 
@@ -31,15 +33,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
+def draw(doc_id: Column, seed: int = SEED) -> Column:
     """A number from 0 to 1, exclusive, from an id and a seed."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed // 4)), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
-    return F.conv(F.substring(digest, 1 + 8 * (seed % 4), 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _copies(doc_id: Column, rate: Column, seed: Column | int) -> Column:
-    chosen = draw(doc_id, seed) if isinstance(seed, int) else F.element_at(F.array(*[draw(doc_id, s) for s in range(SEEDS)]), seed + 1)
-    return (F.floor(rate) + (chosen < rate - F.floor(rate)).cast("long")).cast("long")
+def _copies(doc_id: Column, rate: Column, seed: int) -> Column:
+    return (F.floor(rate) + (draw(doc_id, seed) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def source_rates(sized: DataFrame, weights: tuple = WEIGHTS, total: float = 1.5, most: int = 2) -> DataFrame:
@@ -71,14 +72,8 @@ def _with_rates(rows: DataFrame, rates: DataFrame, source: str) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, total: float = 1.5, most: int = 2) -> DataFrame:
-    """(source, source_size, target, rate, seed) from rows (doc_id, source, size): the chosen draw of every source."""
-    rates = materialize(source_rates(sized, weights, total, most), "mix-rates")
-    rows = _with_rates(sized, rates, "source")
-    taken = [F.sum(F.col("size") * _copies(F.col("doc_id"), F.col("rate"), s)).alias(f"t{s}") for s in range(SEEDS)]
-    sums = rows.groupBy("source", "target").agg(*taken)
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{s}") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS)]))["seed"]
-    seeds = sums.select(F.col("source").alias("_s"), nearest.alias("seed"))
-    return materialize(rates.join(seeds, rates["source"].eqNullSafe(F.col("_s"))).drop("_s"), "mix-plan")
+    """(source, source_size, target, rate) from rows (doc_id, source, size), written once."""
+    return materialize(source_rates(sized, weights, total, most), "mix-rates")
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -86,17 +81,17 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
 
 
-def taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
+def taken(sized: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) of every row."""
-    copies = _copies(F.col("doc_id"), F.col("rate"), F.col("seed")).alias("copies")
+    copies = _copies(F.col("doc_id"), F.col("rate"), seed).alias("copies")
     rows = _with_rates(sized, plan, "source").select("doc_id", "size", "source_size", "target", copies)
     return rows.withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, total: float = 1.5, most: int = 2) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, total: float = 1.5, most: int = 2, seed: int = SEED) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with its own columns. Texts aren't shuffled."""
     plan = plan_mix(sizes(docs, id_col, text_col, source_col), weights, total, most)
-    rate, seed, copy = (fresh(n, docs.columns) for n in ("mix_rate", "mix_seed", "mix_copy"))
-    rows = _with_rates(docs, plan.select("source", F.col("rate").alias(rate), F.col("seed").alias(seed)), source_col)
-    copies = _copies(F.col(id_col), F.col(rate), F.col(seed))
+    rate, copy = (fresh(n, docs.columns) for n in ("mix_rate", "mix_copy"))
+    rows = _with_rates(docs, plan.select("source", F.col("rate").alias(rate)), source_col)
+    copies = _copies(F.col(id_col), F.col(rate), seed)
     return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skillgrid.llm.mixing import SEEDS
+from skillgrid.llm.mixing import SEED
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -30,13 +30,7 @@ g AS (SELECT norm, count(*) AS group_size FROM t GROUP BY 1), r AS (SELECT doc_i
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r JOIN g USING (norm)"""
 
 
-def _draw(seed: int) -> str:
-    return f"(('0x' || substr(md5('{seed // 4}:' || coalesce(doc_id::VARCHAR, 'null')), {1 + 8 * (seed % 4)}, 8))::BIGINT / 4294967296.0::DOUBLE)"
-
-
-_SUMS = ", ".join(f"sum(size * (floor(rate) + ({_draw(s)} < rate - floor(rate))::INT))::DOUBLE AS t{s}" for s in range(SEEDS))
-_BEST = "list_min([" + ", ".join(f"{{'off': abs(t{s} - target), 'seed': {s}}}" for s in range(SEEDS)) + "]).seed"
-_CHOSEN = "CASE seed " + " ".join(f"WHEN {s} THEN {_draw(s)}" for s in range(SEEDS)) + " END"
+_DRAW = f"(('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 OP6 = f"""WITH z AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY 1),
@@ -45,10 +39,8 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - (sum(cap) OV
 v AS (SELECT (SELECT per FROM l WHERE cap > per * weight ORDER BY cap / weight, source NULLS LAST LIMIT 1) AS level),
 r AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, level * weight) END AS target FROM l, v),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM r),
-j AS (SELECT z.doc_id, z.size, q.* FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source),
-u AS (SELECT source, target, {_SUMS} FROM j GROUP BY 1, 2),
-e AS (SELECT source, {_BEST} AS seed FROM u)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + ({_CHOSEN} < rate - floor(rate))::INT))::BIGINT AS taken FROM j JOIN e ON j.source IS NOT DISTINCT FROM e.source"""
+j AS (SELECT z.doc_id, z.size, q.* FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + ({_DRAW} < rate - floor(rate))::INT))::BIGINT AS taken FROM j"""
 
 TERMS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 

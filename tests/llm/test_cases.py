@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -300,6 +301,24 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_one_draw_for_each_document(spark):
+    """A copy's probability is the fraction, whatever else the source holds; what is taken is within five standard deviations of the target."""
+    n = 20_000
+    sized = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"), (10 + F.col("id") * 7 % 90).alias("size"))
+    rates = spark.createDataFrame([("s0", 1.0, 1.0, 0.4), ("s1", 1.0, 1.0, 1.4), ("s2", 1.0, 1.0, 2.0), ("s3", 1.0, 1.0, 0.0)], "source string, source_size double, target double, rate double")
+    rows = mixing.taken(sized, rates).join(sized.select("doc_id", "source"), "doc_id")
+    seen = {r.source: r for r in rows.groupBy("source").agg(F.avg("copies").alias("copies"), F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("squares")).collect()}
+    for source, rate in (("s0", 0.4), ("s1", 1.4), ("s2", 2.0), ("s3", 0.0)):
+        f = rate % 1
+        assert abs(seen[source].copies - rate) <= 5 * math.sqrt(f * (1 - f) / (n / 4))
+        assert abs(seen[source].taken - rate * seen[source]["size"]) <= 5 * math.sqrt(f * (1 - f) * seen[source].squares)
+    few = mixing.taken(sized.where("doc_id % 1000 < 3"), rates)
+    both = few.select("doc_id", F.col("copies").alias("alone")).join(rows, "doc_id")
+    assert both.count() == 60 and both.where("alone <> copies").count() == 0
+    other = mixing.taken(sized, rates, seed=1).select("doc_id", F.col("copies").alias("other")).join(rows, "doc_id").where("source in ('s0', 's1')")
+    assert 0.4 < other.where("other <> copies").count() / other.count() < 0.56  # independent draws differ in 2 f (1 - f) = 0.48
+
+
 def test_water_filling(spark):
     rows = [("a", 100), ("b", 1000), ("c", 1000), ("d", 10)]
     sized = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(rows)], "doc_id long, source string, size long")
