@@ -161,17 +161,28 @@ def compared(docs: DataFrame, counts: DataFrame, frequent: pa.Table, model: Mode
 
 
 def logistic(features: np.ndarray, toxic: np.ndarray, ridge: float = 0.01, rounds: int = 50) -> list[float]:
-    """Intercept and weights of a logistic function, by Newton's method with a small ridge on features of unit spread."""
+    """Intercept and weights of a logistic function, by Newton's method with a small ridge on features of unit spread.
+
+    No weight is below zero: what says toxic can't lower a score. Documents compared without themselves lose words that they alone hold, which a small class feels most, so that
+    of few documents the plain fit may turn a feature's sign. Of such features the one with the lowest weight is left out and the rest fitted anew.
+    """
     spread = np.maximum(features.std(axis=0), 1e-9)
-    x = np.column_stack([np.ones(len(features)), features / spread])
-    w, pull = np.zeros(x.shape[1]), np.array([1e-6, *[ridge] * features.shape[1]])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (p - toxic) + pull * w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+    used = np.arange(features.shape[1])
+    while True:
+        x = np.column_stack([np.ones(len(features)), features[:, used] / spread[used]])
+        w, pull = np.zeros(x.shape[1]), np.array([1e-6, *[ridge] * len(used)])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (p - toxic) + pull * w)
+            w -= np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-9:
+                break
+        if not len(used) or w[1:].min() >= 0:
             break
-    return [float(w[0]), *(w[1:] / spread).tolist()]
+        used = np.delete(used, np.argmin(w[1:]))
+    weights = np.zeros(features.shape[1])
+    weights[used] = w[1:] / spread[used]
+    return [float(w[0]), *weights.tolist()]
 
 
 @dataclass

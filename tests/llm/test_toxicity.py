@@ -114,3 +114,30 @@ def test_op13_over_the_whole_table(spark):
         assert got[i].predicted == int(got[i].score >= 0.5)
     judged = [got[i].predicted == y for i, y in marks.items() if got[i].held_out]
     assert np.mean(judged) > 0.93
+
+
+def ranked(scores, marks):
+    """The share of pairs of a marked and an unmarked row in which the marked one has the higher score, ties as half."""
+    one, other = scores[marks == 1][:, None], scores[marks == 0][None, :]
+    return float((one > other).mean() + (one == other).mean() / 2)
+
+
+def test_few_marks_dont_turn_the_ranking(spark):
+    """Of the marks among 200 documents no weight is negative, and held-out rows rank the right way."""
+    big = SF.replace("0.01", "0.1")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    held = docs.where(toxicity.held_out(F.col("doc_id"))).join(labels.where("toxic is not null").select("doc_id", F.col("toxic").alias("mark")), "doc_id")
+    for first, least in ((900, 0.74), (2700, 0.5)):
+        fitted = toxicity.fit(docs, labels.where(F.col("doc_id").between(first, first + 199)))
+        assert min(fitted.model.logistic[1:]) >= 0 < max(fitted.model.logistic[1:])
+        rows = toxicity.score(held, fitted).join(held.select("doc_id", "mark"), "doc_id").toArrow()
+        assert ranked(rows["score"].to_numpy(), rows["mark"].to_numpy()) > least
+
+
+def test_no_weight_is_negative():
+    rng = np.random.default_rng(1)
+    y = (rng.random(400) < 0.3).astype(float)
+    x = np.column_stack([y + rng.normal(size=400), -y + rng.normal(size=400)])
+    a, b, c = toxicity.logistic(x, y)
+    assert b > 0 and c == 0.0
+    assert toxicity.logistic(-x[:, :1] * [1, 1], y)[1:] == [0.0, 0.0]
