@@ -91,12 +91,79 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROFILE = "profile AS (SELECT *, level*100.0 + column_id % 7 AS z FROM (SELECT l_orderkey AS column_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber, l_quantity, l_shipdate) AS level, l_quantity AS value FROM lineitem))"
 
-#: A small registry: field, lifetime, support, other names, units.
-FIELDS = [
-    ("row", "invariant", "coordinate", [], None), ("column", "invariant", "coordinate", [], None), ("height", "invariant", "cell", ["ground"], "m"), ("land", "invariant", "cell", [], None), ("texture", "invariant", "land", ["soil"], None),
-    ("cover", "epoch", "land", ["use"], None), ("roots", "epoch", "vegetation", [], "m"), ("greenness", "climatology", "vegetation", ["green"], None), ("month_axis", "climatology", "coordinate", [], None),
-    ("water_temperature", "time_series", "water", ["sea"], "K"), ("clock", "time_series", "coordinate", ["hour"], None), ("skin", "initial_only", "cell", ["surface"], "K"), ("soil_water", "initial_only", "land", [], "m3 m-3"), ("snow_density", "initial_only", "snow", ["density"], "kg m-3"),
-]
+#: The whole registry that the survey counts (69 fields): field, lifetime, support, other names, units.
+_REGISTRY = """
+x invariant coordinate - -
+y invariant coordinate - -
+lat invariant mass latitude degrees_north
+lon invariant mass longitude degrees_east
+azimuthal_equidistant invariant coordinate crs -
+topo invariant mass terrain,orog m
+topo_highres invariant mass - m
+topo_driving invariant mass - m
+topo_blend_weight invariant mass - -
+terrain_large_scale invariant mass h1 m
+terrain_small_scale invariant mass h2 m
+HHL invariant interface - m
+HFL invariant mass - m
+SLEVE_JACOBIAN invariant mass - -
+LAYER_THICKNESS invariant layer - m
+landmask invariant cell FR_LAND -
+soil_type invariant land - -
+soil_type_layer invariant land - -
+soil_layer invariant coordinate - -
+soil_layer_bounds_cm invariant coordinate - -
+soil_layer_bounds_m invariant coordinate - m
+landuse_category invariant coordinate - -
+soil_sand_percent invariant land - -
+soil_silt_percent invariant land - -
+soil_clay_percent invariant land - -
+root_depth epoch vegetation ROOTDP m
+vegetation_fraction_max epoch land PLCOV_MX -
+vegetation_fraction_min epoch land PLCOV_MN -
+leaf_area_index_max epoch vegetation LAI_MX -
+leaf_area_index_min epoch vegetation LAI_MN -
+ndvi_max epoch vegetation NDVI_MAX -
+emissivity_max epoch cell EMISS_MAX -
+soil_albedo_dry invariant land ALB_DRY -
+soil_albedo_saturated invariant land ALB_SAT -
+radiative_emissivity invariant cell EMISS_RAD -
+epoch_time epoch coordinate - -
+month climatology coordinate - -
+time time_series coordinate - -
+landuse epoch cell - -
+landuse_fraction epoch cell - -
+glacier_fraction epoch cell - -
+urban_fraction epoch cell - -
+LAI climatology vegetation leaf_area_index -
+VEGFRA climatology land vegetation_fraction,PLCOV -
+NDVI climatology vegetation - -
+NDVI_MRAT climatology vegetation - -
+ALBEDO climatology cell albedo,ALB_DIF12 -
+EMISSIVITY climatology cell emissivity,EMISS -
+EMISS_MRAT climatology cell - -
+roughness_length epoch cell Z0 -
+SST_CLIM climatology water T_SEA K
+snow_water_equivalent_climatology climatology cell W_SNOW -
+two_metre_temperature_climatology climatology cell T_2M_CLIM K
+cloud_droplet_number_climatology climatology cell cdnc,CDNC -
+SST time_series water sea_surface_temperature K
+lake_temperature time_series lake - K
+sea_ice_fraction time_series water - -
+soil_temperature initial_only land TSLB K
+soil_vwc initial_only land SMOIS m3 m-3
+soil_water_transfer_index initial_only land - -
+snow_water_equivalent initial_only cell SNOW -
+snow_density initial_only cell - kg m-3
+snow_depth initial_only cell SNOWH -
+snow_temperature_initial initial_only snow T_SNOW K
+skin_temperature initial_only cell TSK,surface_temperature K
+source_topography_on_target initial_only cell - m
+terrain_height_difference initial_only cell - m
+soil_deep_temperature initial_only land - K
+reference_layer_thickness invariant coordinate - m
+"""
+FIELDS = [(f, life, support, [] if names == "-" else names.split(","), None if units == "-" else units) for f, life, support, names, units in (row.split(" ", 4) for row in _REGISTRY.strip().splitlines())]
 
 
 def field_table(spark: SparkSession) -> DataFrame:

@@ -81,3 +81,17 @@ def test_names_of_two_fields_are_refused(spark):
     assert {(r.name, r.field) for r in fields.registry(table).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
     with pytest.raises(ValueError, match="two fields"):
         fields.registry(table.union(table.where("field = 'c'")))
+
+
+@pytest.mark.parametrize("name, column", [("lifetime_contract", "field")])
+def test_queries_take_the_whole_registry(spark, name, column):
+    """All 69 fields of the registry are split and judged, under all their names."""
+    from skillgrid.plans import bindings
+    from skillgrid.plans.registry import QUERIES, load
+
+    load()
+    rows = QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    fields = {f for f, *_ in bindings.FIELDS}
+    assert len(fields) == 69 and {r[column] for r in rows if r[column]} == fields
+    if name == "lifetime_contract":
+        assert {r.name for r in rows} == {n for f, _, _, names, _ in bindings.FIELDS for n in (f, *names)} | {"no_such_field"}
