@@ -83,7 +83,7 @@ def test_names_of_two_fields_are_refused(spark):
         fields.registry(table.union(table.where("field = 'c'")))
 
 
-@pytest.mark.parametrize("name, column", [("lifetime_contract", "field")])
+@pytest.mark.parametrize("name, column", [("product_partition", "field"), ("lifetime_contract", "field")])
 def test_queries_take_the_whole_registry(spark, name, column):
     """All 69 fields of the registry are split and judged, under all their names."""
     from skillgrid.plans import bindings
