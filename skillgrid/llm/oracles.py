@@ -39,8 +39,10 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - (sum(cap) OV
 v AS (SELECT (SELECT per FROM l WHERE cap > per * weight ORDER BY cap / weight, source NULLS LAST LIMIT 1) AS level),
 r AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, level * weight) END AS target FROM l, v),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM r),
-j AS (SELECT z.doc_id, z.size, q.* FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + ({_DRAW} < rate - floor(rate))::INT))::BIGINT AS taken FROM j"""
+j AS (SELECT z.doc_id, z.size, q.*, target - floor(rate) * source_size AS need, {_DRAW} AS draw FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source),
+t AS (SELECT source, need, draw AS lim, sum(size) OVER (PARTITION BY source ORDER BY draw)::DOUBLE AS upto FROM j UNION ALL SELECT DISTINCT source, need, -1.0::DOUBLE, 0.0::DOUBLE FROM j),
+e AS (SELECT source, min({{'off': abs(upto - need), 'lim': lim}}).lim AS lim FROM t GROUP BY 1)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw <= lim)::INT))::BIGINT AS taken FROM j JOIN e ON j.source IS NOT DISTINCT FROM e.source"""
 
 TERMS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 

@@ -426,3 +426,29 @@ def test_language_of_odd_rows(spark, docs, none):
     assert langid.keep_known(docs, dictionaries, 0.0).columns == docs.columns
     assert langid.classify(none, langid.fit(none)).count() == 0
     assert {r.lang_pred for r in langid.classify(docs, {}).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 65_536])
+def test_sources_come_near_their_targets(spark, docs, none, ranges):
+    """Each source takes the prefix of its documents, in order of their draws, that comes nearest to its target: by brute force, however many ranges; rows of an id go together."""
+    rng = np.random.default_rng(5)
+    rows = [(k, "abc"[k % 3], int(n)) for k, n in enumerate(rng.lognormal(4, 2, 400))] + [(1000 + k, None, 7) for k in range(9)] + [(2000, "d", 500), (2000, "d", 500), (2001, "d", 0), (2002, "d", 40), (None, "e", 3)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    rates = mixing.source_rates(sized)
+    got = {r.source: r.limit for r in mixing.draw_limits(sized, rates, ranges=ranges).collect()}
+    number = lambda i: int(hashlib.md5(f"0:{'null' if i is None else i}".encode()).hexdigest()[:8], 16) / 2**32
+    for r in rates.collect():
+        mine = [(number(i), n) for i, s, n in rows if s == r.source]
+        need = r.target - math.floor(r.rate) * r.source_size
+        sums = [0, *(sum(n for d, n in mine if d <= x) for x, _ in mine)]
+        assert sum(n for d, n in mine if d <= got[r.source]) == min(sums, key=lambda t: (abs(t - need), t))
+    assert mixing.draw_limits(mixing.sizes(none), mixing.source_rates(mixing.sizes(none))).count() == 0
+
+
+def test_mix_of_the_given_tables_comes_near(spark):
+    """Of 50 documents a source, no source is further from its target than half its largest document."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sized = mixing.sizes(table)
+    rows = mixing.taken(sized, mixing.plan_mix(sized)).join(table.select("doc_id", "source"), "doc_id")
+    for r in rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most")).collect():
+        assert abs(r.taken - r.target) <= min(r.most / 2, 0.03 * r.target)
