@@ -27,7 +27,7 @@ LETTERS, NUMBERS = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+|\n")
 #: A run with any other character, or with the opening of a special string, isn't plain.
 NOT_PLAIN = r"[^!-~\x{A1}-\x{12F}\x{131}-\x{17F}]|<\|"
-#: Pieces a worker remembers; beyond that it starts anew.
+#: Pieces a worker remembers; beyond that it keeps those that it has just met again.
 REMEMBERED = 200_000
 
 
@@ -60,49 +60,45 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        #: Place of each known piece; its ids are ``flat[starts[place]:starts[place + 1]]``.
-        self.known: dict[str, int] = {}
-        self.flat, self.starts = array("I"), array("q", [0])
+        #: Place of each known piece; its ids are ``flat[starts[place]:starts[place + 1]]``. The mark between two runs is the first, without ids.
+        self.known: dict[str, int] = {"\n": 0}
+        self.flat, self.starts = array("I"), array("q", [0, 0])
 
-    def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and offsets of distinct plain pieces."""
+    def keep(self, pieces: list[str]) -> None:
+        """Forget all but some known pieces, or all if these are more than half of what is remembered."""
+        known, flat, starts = self.known, np.array(self.flat, np.uint32), np.array(self.starts)
+        self.forget()
+        if 2 * len(pieces) <= REMEMBERED:
+            pieces = [p for p in pieces if p != "\n"]
+            ids, n = gather(flat, starts, np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)))
+            self.known.update(zip(pieces, range(1, len(pieces) + 1)))
+            self.flat.extend(ids.tolist())
+            self.starts.extend(offsets_of(n)[1:].tolist())
+
+    def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of plain pieces and marks, their numbers, and the places of the pieces."""
         if len(self.known) > REMEMBERED:
-            self.forget()
-        new = [p for p in pieces if p not in self.known]
+            self.keep([p for p in {*pieces} if p in self.known])
+        known = self.known
+        new = list({p for p in pieces if p not in known})
         for a in range(0, len(new), 128):
             some = new[a : a + 128]
             done = self.pieces.encode(" ".join(some).encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
             ends = np.searchsorted(np.array(done.word_ids), np.arange(1, len(some) + 1))
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+            known.update(zip(some, range(len(known), len(known) + len(some))))
             self.starts.extend((ends + len(self.flat)).tolist())
             self.flat.extend(done.ids)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        ids, lengths = gather(np.array(self.flat, np.uint32), np.array(self.starts), at)
-        return ids, offsets_of(lengths)
+        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        return *gather(np.array(self.flat, np.uint32), np.array(self.starts), at), at
 
     def run_ids(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of distinct runs without ASCII white space."""
         odd = pc.match_substring_regex(runs, NOT_PLAIN).to_numpy(zero_copy_only=False)
         plain = runs.filter(pa.array(~odd))
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), "\n")[0].as_py() if len(plain) else ""
-        cut = pa.array(PIECES.findall(joined.lower() + "\n") if len(plain) else [], pa.string()).dictionary_encode()
-        names = cut.dictionary.to_pylist()
-        code = cut.indices.to_numpy()
         if len(plain):
-            mark = names.index("\n")
-            ends = np.flatnonzero(code == mark)
-            names[mark] = ""
-            flat, off = self.piece_ids([p for p in names if p])
-            lengths = np.diff(off)
-            at = np.insert(np.arange(len(names) - 1), mark, 0) if len(names) > 1 else np.zeros(1, np.int64)
-            of_name = lengths[at] if len(lengths) else np.zeros(len(names), np.int64)
-            of_name[mark] = 0
-            starts = off[at] if len(lengths) else np.zeros(len(names), np.int64)
-            # ids of all pieces in order, and how many fall before the end of each run
-            n = of_name[code]
-            where = offsets_of(n)
-            take = np.arange(where[-1]) + np.repeat(starts[code] - where[:-1], n)
-            plain_ids, plain_len = flat[take], np.diff(np.concatenate([[0], where[ends]]))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), "\n")[0].as_py()
+            plain_ids, n, at = self.piece_ids(PIECES.findall(joined.lower() + "\n"))
+            plain_len = np.diff(np.concatenate([[0], offsets_of(n)[np.flatnonzero(at == 0)]]))
         else:
             plain_ids, plain_len = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if not odd.any():

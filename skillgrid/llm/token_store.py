@@ -77,12 +77,26 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, int]:
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, width: int) -> tuple[bytes, bytes]:
     """Bits of a block, and the number of bits of each lane as little-endian unsigned 16-bit integers."""
-    n = lengths[ids]
-    top = (codes[ids] << np.uint32(32 - width)).astype(">u4")
-    bits = np.unpackbits(top.view(np.uint8).reshape(-1, 4), axis=1, count=width)
-    stream = np.packbits(bits[np.arange(width) < n[:, None]])
-    lanes = np.add.reduceat(n.astype(np.int64), np.arange(0, len(ids), LANE)) if len(ids) else np.zeros(0)
-    return stream.tobytes(), lanes.astype("<u2").tobytes()
+    if not len(ids):
+        return b"", b""
+    n = lengths[ids].astype(np.uint64)
+    lanes = np.add.reduceat(n, np.arange(0, len(ids), LANE))
+    bits = (codes >> (width - lengths.astype(np.int64)).clip(0, 31).astype(np.uint32))[ids].astype(np.uint64)
+    for _ in range(2 if width <= 16 else 1):  # neighbours become one code of at most 64 bits
+        if len(n) % 2:
+            bits, n = np.append(bits, np.uint64(0)), np.append(n, np.uint64(0))
+        bits, n = (bits[0::2] << n[1::2]) | bits[1::2], n[0::2] + n[1::2]
+    end = np.cumsum(n)
+    begin = end - n
+    at, free = (begin >> np.uint64(6)).astype(np.int64), np.uint64(64) - (begin & np.uint64(63))
+    over = np.maximum(n, free) - free  # bits that go on in the next word
+    out = np.zeros((int(end[-1]) + 63) // 64 + 1, np.uint64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    # shifts stay below 64: a code that fills its word is not moved
+    out[at[first]] = np.bitwise_or.reduceat(np.where(over > 0, bits >> over, bits << (free - np.minimum(n, free)) % np.uint64(64)), first)
+    split = np.flatnonzero(over)
+    out[at[split] + 1] |= bits[split] << (np.uint64(64) - over[split])
+    return out.astype(">u8").tobytes()[: (int(end[-1]) + 7) // 8], lanes.astype("<u2").tobytes()
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:

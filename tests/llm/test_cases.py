@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,3 +453,34 @@ def test_mix_of_the_given_tables_comes_near(spark):
     rows = mixing.taken(sized, mixing.plan_mix(sized)).join(table.select("doc_id", "source"), "doc_id")
     for r in rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most")).collect():
         assert abs(r.taken - r.target) <= min(r.most / 2, 0.03 * r.target)
+
+
+def test_what_a_worker_remembers_never_changes_ids(monkeypatch):
+    """With room for a few pieces only, some are kept and others encoded again; the ids are the library's, and what is met again isn't encoded again."""
+    from tokenizers import Tokenizer
+
+    from skillgrid.llm import bpe
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    enc, whole, rng, asked = bpe.Encoder(vocabulary()), Tokenizer.from_file(vocabulary()), np.random.default_rng(2), []
+    pieces = enc.pieces
+    enc.pieces = type("Counted", (), {"encode": lambda self, text, **k: (asked.extend(text.split(" ")), pieces.encode(text, **k))[1]})()
+    for size in (12, 12, 90, 12, 0, 12, 12, 12):
+        texts = ["the cat don't sit", " ".join(f"w{int(k)}x!" for k in rng.integers(0, 10_000, size)), "日本 the"]
+        ids, n = enc.texts(pa.array([*texts, None]))
+        assert [ids[a:b].tolist() for a, b in zip(np.cumsum([0, *n]), np.cumsum(n))] == [whole.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+    assert asked.count("cat") < 3
+
+
+def test_packed_bits(spark):
+    """The codes end to end, bit for bit, at all widths and numbers of symbols."""
+    rng = np.random.default_rng(8)
+    for k in range(300):
+        size, n = int(rng.integers(1, 70_000 if k % 60 == 0 else 90)), int(rng.integers(0, 400))
+        ids = (rng.zipf(1.2, n) % size).astype(np.uint32)
+        lengths = token_store.code_lengths(np.bincount(ids, minlength=size) + (k % 60 == 0))
+        codes, width = token_store.canonical(lengths)
+        bits, lanes = token_store.pack(ids, codes, lengths, width)
+        want = "".join(f"{int(codes[i]):0{width}b}"[: lengths[i]] for i in ids)
+        assert bits == bytes(int(want[a : a + 8].ljust(8, "0"), 2) for a in range(0, len(want), 8))
+        assert np.frombuffer(lanes, "<u2").tolist() == [int(lengths[ids[a : a + token_store.LANE]].sum()) for a in range(0, n, token_store.LANE)]
