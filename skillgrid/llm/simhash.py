@@ -52,7 +52,11 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, copies: int = 1) -> list[int]:
     """``copies`` fingerprints of one text, as signed 64-bit integers: the first from the shingles' hashes, the others from mixtures of them."""
-    hashes = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle), copies)
+
+
+def fingerprint_of(hashes: np.ndarray, copies: int = 1) -> list[int]:
+    """The same of a text's shingle hashes."""
     if not len(hashes):
         return [0] * copies
     set_bits = np.zeros((copies, 64), np.int64)

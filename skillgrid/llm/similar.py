@@ -1,12 +1,16 @@
-"""Near copies by the Jaccard similarity of their shingles: a positional inverted index with count filtering, verified by the shingles themselves.
+"""Near copies: SimHash proposes, signatures of minima propose what fingerprints can't tell, and shingles decide.
 
-A text's signature is ``ROWS * BANDS`` places, each the minimum of its shingles' hashes under a hash of its own; two texts agree in a place with a
+A text's fingerprint is SimHash's, over the same shingles. Texts whose fingerprints differ in ``BITS`` bits or fewer are proposed as in ``simhash``: posting lists of
+positional bytes, tallies, differing bits, a spanning forest of each list. Texts that share four fifths of their shingles differ in nine bits or more on average, and no lists
+of byte positions find all pairs that far; these are found by a positional inverted index, too, over other places:
+
+a text's signature is ``ROWS * BANDS`` places, each the minimum of its shingles' hashes under a hash of its own; two texts agree in a place with a
 probability that is their similarity. A text is posted under ``BANDS`` keys of ``ROWS`` places: texts of similarity s share a key with a probability
-of ``1 - (1 - s**ROWS)**BANDS``, for s = 0.8 all but 3 in 100,000. What shares a key is compared shingle by shingle, so no pair below the asked similarity
+of ``1 - (1 - s**ROWS)**BANDS``, for s = 0.8 all but 3 in 100,000. What is proposed is compared shingle by shingle, so no pair below the asked similarity
 is ever linked:
 
 1. texts of the same words are one class;
-2. every class of a key is compared with the smallest of that key, and what is alike becomes components;
+2. every link of SimHash is verified, and every class of a key compared with the smallest of that key; what is alike becomes components;
 3. within a key, pairs that are in different components after that are tallied, a byte a place: those that agree in enough places, ``SURE`` deviations
    fewer than expected of a pair as alike as asked (3 in 100,000 are below it), are verified, and what is alike becomes one component at once. A list of over
    ``BLOCK`` texts is cut into blocks, each pair of blocks a piece of work. So no link is left out because the smallest of a key wasn't alike, texts that only have a
@@ -23,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillgrid.llm.simhash import in_parts, keep_one, shingle_hashes, whole_lists
+from skillgrid.llm import simhash
+from skillgrid.llm.simhash import BITS, fingerprint_of, in_parts, keep_one, shingle_hashes, whole_lists
 from skillgrid.operators.graph import connected_components
 from skillgrid.session import drop, materialize, release
 
@@ -49,26 +54,28 @@ def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def signatures(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(text_hash, node, size, keys, marks) of rows (text_hash, text): node stands for the words, size is the number of distinct shingles, marks is a byte for each minimum."""
+    """(text_hash, node, size, fp, keys, marks) of rows (text_hash, text): node stands for the words, size is the number of distinct shingles, fp the fingerprint, marks a byte for each minimum."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            node, size, keys, marks = [], [], [], []
+            node, size, fp, keys, marks = [], [], [], [], []
             for text in batch.column(1):
                 text = text.as_py()
-                hashes = np.unique(shingle_hashes(text, shingle))
+                every = shingle_hashes(text, shingle)
+                hashes = np.unique(every)
+                fp += fingerprint_of(every)
                 words = b" ".join(text.encode().lower().split()) if text else b""
                 node.append(xxhash.xxh64_intdigest(words) - (1 << 63))
                 size.append(len(hashes))
                 both = band_keys(hashes) if len(hashes) else (None, None)
                 keys.append(both[0])
                 marks.append(both[1])
-            cols = [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["text_hash", "node", "size", "keys", "marks"])
+            cols = [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["text_hash", "node", "size", "fp", "keys", "marks"])
 
-    return texts.select("text_hash", "text").mapInArrow(run, "text_hash long, node long, size long, keys array<long>, marks binary")
+    return texts.select("text_hash", "text").mapInArrow(run, "text_hash long, node long, size long, fp long, keys array<long>, marks binary")
 
 
 def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -156,11 +163,13 @@ def linked(lists: DataFrame, least: float = LEAST) -> DataFrame:
     return rows.select("band", "key", "part", "node", "component", "size", "marks", "hashes").mapInArrow(run, "src long, dst long")
 
 
-def components(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def components(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST, bits: int = BITS) -> DataFrame:
     """(text_hash, component) of every text: texts linked by chains of pairs with a similarity of ``least`` or more."""
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     signed = materialize(signatures(texts, shingle), "signatures")
+    prints = signed.where("size > 0").select("node", F.array("fp").alias("fps")).dropDuplicates(["node"])
+    prints = materialize(simhash.links(prints, bits).distinct(), "print-links")
     classes = signed.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
     posted = classes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     lists = posted.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -168,8 +177,8 @@ def components(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
     # sets whose sizes differ too much can't be alike
     near = F.least("size", "first.size") >= F.lit(least) * F.greatest("size", "first.size")
     tried = shared.where(F.col("node") != F.col("first.node")).where(near).select(F.col("first.node").alias("src"), F.col("node").alias("dst")).distinct()
-    tried = materialize(tried, "pairs")
-    ends = shared.select("node").distinct()
+    tried = materialize(tried.unionAll(prints).distinct(), "pairs")
+    ends = shared.select("node").unionAll(prints.select("src")).unionAll(prints.select("dst")).distinct()
     places = signed.join(ends, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
     sets = materialize(shingle_sets(texts.join(places, "text_hash").select("node", "text").dropDuplicates(["node"]), shingle), "shingle-sets")
     found = materialize(alike(tried, sets, least), "links")
@@ -180,7 +189,7 @@ def components(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
     marks = signed.where("size > 0").groupBy("node").agg(F.first("marks").alias("marks"))
     lists = materialize(grouped.join(mixed, ["band", "key"]).join(marks, "node"), "mixed-keys")
     both = materialize(found.unionAll(linked(lists.join(sets, "node"), least)), "links")
-    drop(shared, tried, lists, sets, found)
+    drop(prints, shared, tried, lists, sets, found)
     release(spark)
     of = signed.select("text_hash", "node").distinct().join(connected_components(both), "node", "left")
     return of.select("text_hash", F.coalesce("component", "node").alias("component"))

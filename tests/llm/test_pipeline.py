@@ -109,3 +109,20 @@ def test_language_margins(spark):
     assert kept["g"] <= 2
     assert kept["s"] >= 185
     assert kept["clean"] >= 0.98 * clean.count()
+
+
+def test_near_dedup_goes_through_simhash(spark, monkeypatch):
+    """With no key of minima in common, near copies whose fingerprints differ in three bits or fewer are still found; what is as near and less alike than 0.8 isn't."""
+    whole = similar.signatures
+    monkeypatch.setattr(similar, "signatures", lambda *a: whole(*a).withColumn("keys", F.transform("keys", lambda k, i: F.xxhash64("text_hash", i))))
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(60):
+        words = [f"{k}w{j}" for j in range(int(rng.integers(300, 3000)))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], f"{k}last"]))]
+    rows += [(200, "a a a a a"), (201, "a " * 10 + "b")]  # 6 of 7 shingles are one, so the fingerprints are equal
+    prints = [simhash.fingerprint(t, 5)[0] for _, t in rows]
+    assert prints[120] == prints[121]
+    near = [k for k in range(0, 120, 2) if ((prints[k] ^ prints[k + 1]) & 2**64 - 1).bit_count() <= 3]
+    kept = {i for i, _ in near_dedup(spark, rows)}
+    assert len(near) > 30 and {*range(0, 120, 2), 200, 201} <= kept and kept & {*range(1, 120, 2)} == {k + 1 for k in range(0, 120, 2)} - {k + 1 for k in near}
