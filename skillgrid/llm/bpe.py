@@ -38,6 +38,23 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(rest)} | {32: 32}
 
 
+class Places(dict):
+    """A place for each piece; one that is looked up for the first time gets the next place and is noted as new."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = place = len(self)
+        self.new.append(piece)
+        return place
+
+    def take_new(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
 class Encoder:
     """Ids of texts by one tokenizer file; keeps what it has learned for later batches of the same worker."""
 
@@ -61,7 +78,7 @@ class Encoder:
 
     def forget(self) -> None:
         #: Place of each known piece; its ids are ``flat[starts[place]:starts[place + 1]]``. The mark between two runs is the first, without ids.
-        self.known: dict[str, int] = {"\n": 0}
+        self.known = Places({"\n": 0})
         self.flat, self.starts = array("I"), array("q", [0, 0])
 
     def keep(self, pieces: list[str]) -> None:
@@ -79,16 +96,14 @@ class Encoder:
         """Flat ids of plain pieces and marks, their numbers, and the places of the pieces."""
         if len(self.known) > REMEMBERED:
             self.keep([p for p in {*pieces} if p in self.known])
-        known = self.known
-        new = list({p for p in pieces if p not in known})
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        new = self.known.take_new()
         for a in range(0, len(new), 128):
             some = new[a : a + 128]
             done = self.pieces.encode(" ".join(some).encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
             ends = np.searchsorted(np.array(done.word_ids), np.arange(1, len(some) + 1))
-            known.update(zip(some, range(len(known), len(known) + len(some))))
             self.starts.extend((ends + len(self.flat)).tolist())
             self.flat.extend(done.ids)
-        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         return *gather(np.array(self.flat, np.uint32), np.array(self.starts), at), at
 
     def run_ids(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
