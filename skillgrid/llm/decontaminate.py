@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.llm.bpe import runs_of
-from skillgrid.llm.ragged import offsets_of, slices
+from skillgrid.llm.ragged import offsets_of, slices, tidy
 from skillgrid.session import fresh, materialize
 
 WINDOW = 10
@@ -103,7 +103,7 @@ def windows_of(docs: DataFrame, items: list[tuple[str, str]], window: int = WIND
     return docs.sparkSession.sparkContext.broadcast(Windows(items, window))
 
 
-def scan(docs: DataFrame, shared: Broadcast, slice_bytes: int = 16_000_000) -> DataFrame:
+def scan(docs: DataFrame, shared: Broadcast, slice_bytes: int = 4_000_000) -> DataFrame:
     """(doc_id, text_hash, n_words, spans, items): spans are the hit words as [from, to) pairs in order, items the ids with hits. ``shared``: from ``windows_of``."""
 
     def run(batches):
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, shared: Broadcast, slice_bytes: int = 16_000_000) -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(off), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text_hash", "n_words", "spans", "items"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n_words long, spans array<long>, items array<string>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, n_words long, spans array<long>, items array<string>")
 
 
 def merged(spans: Column) -> Column:

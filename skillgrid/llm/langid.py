@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skillgrid.llm.ragged import tidy
 from skillgrid.session import drop, fresh, materialize
 
 SAMPLE_DOCS, DICT_BYTES, PIECE, LEVEL, SHORT = 1500, 110_000, 1024, 6, 128
@@ -100,7 +101,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     kept = docs.select(F.col(id_col), F.col(text_col)) if keep is None else docs.select(*keep)
     kinds = [kept.schema[0].dataType.simpleString()] if keep is None else [f.dataType.simpleString() for f in kept.schema]
-    return kept.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(out, [*kinds, "string", "double"])))
+    return kept.mapInArrow(tidy(run), ", ".join(f"`{n}` {k}" for n, k in zip(out, [*kinds, "string", "double"])))
 
 
 def keep_known(docs: DataFrame, dictionaries: dict[str, bytes], least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,6 +24,28 @@ def gather(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[
     return values[at], lengths
 
 
+def release() -> None:
+    """Give what was freed back to the system: Arrow's memory, and what numpy and Python took from the C library where that can do it (glibc)."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``, where memory is given back before each batch and at the end: a worker lives on from task to task, and would hold the most that any took."""
+
+    def each(batches):
+        for batch in batches:
+            release()
+            yield batch
+
+    def whole(batches):
+        yield from run(each(batches))
+        release()
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
     """Cut a batch into runs of rows of about ``most_bytes`` of text; a longer row comes alone."""
     text = batch.column(batch.schema.get_field_index(column))
@@ -31,4 +55,4 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
-            pa.default_memory_pool().release_unused()
+            release()

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillgrid.llm.ragged import tidy
 from skillgrid.operators.graph import connected_components
 from skillgrid.session import fresh, materialize, release
 
@@ -153,7 +154,7 @@ def links(classes: DataFrame, bits: int = BITS, sure: int | None = None, most: i
             if len(src):
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return rows.select("set", "key", "part", "fp", "node").mapInArrow(run, "src long, dst long")
+    return rows.select("set", "key", "part", "fp", "node").mapInArrow(tidy(run), "src long, dst long")
 
 
 def in_parts(posted: DataFrame, keys: list[str], most: int = LIST) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.llm import simhash
+from skillgrid.llm.ragged import tidy
 from skillgrid.llm.simhash import BITS, fingerprint_of, in_parts, keep_one, shingle_hashes, whole_lists
 from skillgrid.operators.graph import connected_components
 from skillgrid.session import drop, materialize, release
@@ -75,7 +76,7 @@ def signatures(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             cols = [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["text_hash", "node", "size", "fp", "keys", "marks"])
 
-    return texts.select("text_hash", "text").mapInArrow(run, "text_hash long, node long, size long, fp long, keys array<long>, marks binary")
+    return texts.select("text_hash", "text").mapInArrow(tidy(run), "text_hash long, node long, size long, fp long, keys array<long>, marks binary")
 
 
 def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -86,7 +87,7 @@ def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return texts.select("node", "text").mapInArrow(tidy(run), "node long, hashes binary")
 
 
 def in_both(a: np.ndarray, b: np.ndarray) -> int:
@@ -106,7 +107,7 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
 
     with_src = pairs.join(sets.select(F.col("node").alias("src"), F.col("hashes").alias("a")), "src")
     with_both = with_src.join(sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b")), "dst")
-    return with_both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    return with_both.select("src", "dst", "a", "b").mapInArrow(tidy(run), "src long, dst long")
 
 
 def linked(lists: DataFrame, least: float = LEAST) -> DataFrame:
@@ -160,7 +161,7 @@ def linked(lists: DataFrame, least: float = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["src", "dst"])
 
     rows = in_parts(lists, ["band", "key"], BLOCK)
-    return rows.select("band", "key", "part", "node", "component", "size", "marks", "hashes").mapInArrow(run, "src long, dst long")
+    return rows.select("band", "key", "part", "node", "component", "size", "marks", "hashes").mapInArrow(tidy(run), "src long, dst long")
 
 
 def components(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST, bits: int = BITS) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillgrid.llm.bpe import encoder
-from skillgrid.llm.ragged import offsets_of, slices
+from skillgrid.llm.ragged import offsets_of, slices, tidy
 from skillgrid.session import discard, shared_path
 
 #: Symbols between two checkpoints, tokens after which a block ends, and the longest code. The decoder reads windows of at most 25 bits.
@@ -152,7 +152,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(crc, pa.int64()), pc.cast(data, pa.binary())], ["doc_id", "crc", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, crc long, ids binary").withColumn("wide", F.lit(not small))
+    return rows.mapInArrow(tidy(run), "doc_id long, crc long, ids binary").withColumn("wide", F.lit(not small))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -170,7 +170,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["symbol", "count"])
 
-    counted = ids.select("ids", "wide").mapInArrow(tally, "symbol int, count long").groupBy("symbol").agg(F.sum("count").alias("count")).toArrow()
+    counted = ids.select("ids", "wide").mapInArrow(tidy(tally), "symbol int, count long").groupBy("symbol").agg(F.sum("count").alias("count")).toArrow()
     counts = np.zeros(size, np.int64)
     counts[counted["symbol"].to_numpy()] = counted["count"].to_numpy()
     lengths = code_lengths(counts)
@@ -203,7 +203,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
 
     kind = "part int, seq int, doc_ids array<long>, n_tokens array<int>, total long, lanes binary, bits binary"
     ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first(), "crc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc", "ids")
-    ordered.select("doc_id", "ids", "wide").mapInArrow(encode, kind).write.parquet(f"{path}/blocks")
+    ordered.select("doc_id", "ids", "wide").mapInArrow(tidy(encode), kind).write.parquet(f"{path}/blocks")
     discard(spark, raw)
 
 
@@ -232,7 +232,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary())] if with_ids else cols, ["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     kind = "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    rows = blocks.select("part", "seq", "doc_ids", "n_tokens", "total", "lanes", "bits").mapInArrow(decode, kind)
+    rows = blocks.select("part", "seq", "doc_ids", "n_tokens", "total", "lanes", "bits").mapInArrow(tidy(decode), kind)
     sizes = blocks.select("part", "seq", "total")
     parts = sizes.groupBy("part").agg(F.sum("total").alias("t"))
     before = parts.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("base"))
