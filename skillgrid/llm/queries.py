@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontaminate, exact, html_cut, langid, lexical, mixing, negatives, pii, simhash, substrings, token_counts, token_store, toxicity
+from skillgrid.llm import decontaminate, exact, histories, html_cut, langid, lexical, mixing, negatives, pii, simhash, substrings, token_counts, token_store, toxicity
 from skillgrid.llm.oracles import ORACLES  # noqa: F401
 from skillgrid.session import bound_batches, materialize, shared_path
 
@@ -82,7 +82,7 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    out = histories.score(docs, histories.fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

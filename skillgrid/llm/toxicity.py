@@ -185,6 +185,13 @@ def logistic(features: np.ndarray, toxic: np.ndarray, ridge: float = 0.01, round
     return [float(w[0]), *weights.tolist()]
 
 
+def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, int, DataFrame]:
+    """The marks (doc_id, toxic) that may be learned from, as a table; their number; and the texts (doc_id, text) that may be."""
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("toxic"))
+    marks = materialize(marks.where(~held_out(F.col("doc_id"))), "marks")
+    return marks, marks.count(), docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+
+
 @dataclass
 class Fitted:
     """A model with its table of counts and the frequent words of it."""
@@ -196,10 +203,7 @@ class Fitted:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", share: float = SHARE, sample: int = SAMPLE, slice_bytes: int = 6_000_000) -> Fitted:
     """Counts of all labelled rows that aren't held out, and a logistic function fitted on a bounded sample of them."""
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("toxic"))
-    marks = materialize(marks.where(~held_out(F.col("doc_id"))), "marks")
-    n_marks = marks.count()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    marks, n_marks, texts = learned(docs, labels, id_col, text_col, label_col)
     labelled = texts.join(F.broadcast(marks) if n_marks <= BROADCAST_LABELS else marks, "doc_id")
     counts = materialize(word_counts(labelled, slice_bytes), "word-counts")
     own = [F.least(f"d{k}", f"c{k}") for k in (0, 1)]
