@@ -14,9 +14,10 @@ A document is compared by its log-likelihoods under both, over all its words in
 The logistic function of `toxicity` over the two makes the score; it is fitted on at most about ``toxicity.SAMPLE`` labelled documents, each compared as if it hadn't been counted itself.
 
 How it runs: the log-ratio of a place is r(w) + g(v), plus d(v, w) where labelled text has the pair, with r and d of what the models say of the word and of the pair, and g of the weights
-that they back off by. Pairs are dealt into ``PASSES`` by their hash, so that only that part of them is on disk at once: a pass counts its pairs in the labelled texts, joins them with the
-counts of their words, and joins what they say with the pairs of all texts, which are summed by text. Words and pairs that are a millionth of all places or more (at most a
-million each) are broadcast and looked up where texts are read, so no task gets all rows of a frequent one. Labels are handled as in `toxicity`, and so are odd rows.
+that they back off by. Pairs of labelled texts are counted once, dealt into ``PASSES`` by their hash, and kept as a table for each; the counts of words are summed from these. All texts are
+then read once for each pass, so that only that part of their pairs is on disk at once: what the models say of the most frequent words and pairs (at most 1 / ``share`` each, two million) is
+broadcast and looked up where texts are read, and of the others only those move that labelled text may have by a table of bits (16 MB a pass at most, wherever it is fuller more rows move), to be joined
+with what the models say of them and summed by text. So no task gets all rows of a frequent word or pair. Labels are handled as in `toxicity`, and so are odd rows.
 """
 
 from __future__ import annotations
@@ -33,11 +34,15 @@ from skillgrid.llm import toxicity
 from skillgrid.llm.bpe import runs_of
 from skillgrid.llm.decontaminate import fold
 from skillgrid.llm.ragged import offsets_of, slices
-from skillgrid.llm.substrings import word_hashes
+from skillgrid.llm.substrings import word_codes
 from skillgrid.session import drop, materialize, release
 
 #: Parts that pairs are dealt into: a power of two.
-PASSES = 8
+PASSES = 2
+#: The words, and the pairs, that are broadcast at most: one over this.
+SHARE = 5e-7
+#: The table of bits of a pass has 8 for each key, and at most two to the power of this.
+MOST_BITS = 27
 #: What stands before the first word of a text.
 START = 0
 COUNTS = ["before0", "before1", "after0", "after1", "places0", "places1"]
@@ -60,15 +65,27 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return h
 
 
-def places(part: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every place of a slice's texts the hash of the word before and of the word, and its text; and the number of words of every text."""
+@dataclass
+class Places:
+    """The places of a slice's texts: the different words (their hashes), and of each place which of these it has, the hash of its word and of the word before, and its text."""
+
+    different: np.ndarray
+    code: np.ndarray
+    v: np.ndarray
+    w: np.ndarray
+    of: np.ndarray
+    length: np.ndarray  # words of every text
+
+
+def places(part: pa.RecordBatch, column: str) -> Places:
     words, off = runs_of(fold(part.column(part.schema.get_field_index(column))))
-    w = word_hashes(words)
+    different, code = word_codes(words)
+    w = different[code]
     v = np.empty_like(w)
     v[1:] = w[:-1]
     n = np.diff(off)
     v[off[:-1][n > 0]] = START
-    return v, w, np.repeat(np.arange(len(n)), n), n
+    return Places(different, code, v, w, np.repeat(np.arange(len(n)), n), n)
 
 
 def counted(of: np.ndarray, key: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -97,7 +114,8 @@ def pair_counts(labelled: DataFrame, number: int, passes: int, slice_bytes: int)
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
-                v, w, of, _ = places(part, "text")
+                at = places(part, "text")
+                v, w, of = at.v, at.w, at.of
                 key = pair_key(v, w)
                 mine = np.flatnonzero(key & np.uint64(passes - 1) == number)
                 toxic = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -111,18 +129,30 @@ def pair_counts(labelled: DataFrame, number: int, passes: int, slice_bytes: int)
 
 
 def by_word(pairs: DataFrame) -> DataFrame:
-    """What pairs add to the counts of their words: different words before and after, places with one after, and of the pairs that begin with them those of one place and of two."""
+    """The counts of words that pairs give: different words before and after, and places with one after."""
     n = [F.col("n0"), F.col("n1")]
     there, none = [(x > 0).cast("long") for x in n], [F.lit(0).cast("long")]
-    few = [(x == k).cast("long") for x in n for k in (1, 2)]
-    names = ["w", *COUNTS, "once0", "twice0", "once1", "twice1"]
-    second, first = [F.col("w"), *there, *none * 8], [F.col("v"), *none * 2, *there, *n, *few]
-    rows = pairs.select(F.explode(F.array(*[F.struct(*[x.alias(c) for x, c in zip(side, names)]) for side in (second, first)])).alias("s")).select("s.*")
-    return summed(rows)
+    sides = [("w", [*there, *none * 4]), ("v", [*none * 2, *there, *n])]
+    rows = [pairs.select(F.col(key).alias("w"), *[x.alias(c) for x, c in zip(side, COUNTS)]) for key, side in sides]
+    return rows[0].unionAll(rows[1]).groupBy("w").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("w").agg(*[F.sum(c).alias(c) for c in rows.columns if c != "w"])
+def often() -> Column:
+    """By what a word is frequent: 1 at least."""
+    return F.col("places0") + F.col("places1") + F.col("before0") + F.col("before1")
+
+
+def most_frequent(rows: DataFrame, n: Column, share: float, total: int) -> int:
+    """The least n by which at most 1 / ``share`` of the rows are the most frequent; that share of the total is always enough."""
+    cap = int(np.ceil(max(1.0, share * total)))
+    counts = sorted(rows.groupBy(F.least(n, F.lit(cap)).alias("n")).count().collect(), reverse=True)
+    least, many = cap, 0
+    for r in counts:
+        many += r["count"]
+        if many > 1 / share:
+            break
+        least = r["n"]
+    return least
 
 
 @dataclass
@@ -142,9 +172,9 @@ class Model:
         backoff = (n[0] + n[1] + 1.0) / self.shared
         return [positive(n[y] - self.discount[y]) / self.total[y] + self.discount[y] * self.words[y] / self.total[y] * backoff for y in (0, 1)]
 
-    def gained(self, n: Column, after: Column, p: Column, y: int) -> Column:
-        """P_y(w | v) over what it backs off to, of a pair's places n, F_y(v) and P_y(w)."""
-        return F.when((n > 0) & (after > 0), 1 + F.greatest(n - self.pair_discount[y], F.lit(0.0)) / (self.pair_discount[y] * after * p)).otherwise(1.0)
+    def gained(self, n, after, p, y: int, most=np.maximum):
+        """P_y(w | v) over what it backs off to, of a pair's places n, F_y(v) and P_y(w); on arrays, and on columns with their ``most``."""
+        return 1 + most(n - self.pair_discount[y], 0.0) / (self.pair_discount[y] * most(after, 1.0) * p)
 
     def weight(self, after: Column, places: Column, y: int) -> Column:
         """The weight by which P_y(w | v) backs off, of F_y(v) and C_y(v)."""
@@ -159,13 +189,13 @@ class Model:
 
 @dataclass
 class Fitted:
-    """A model, the table of the counts of words, and the labelled texts, whose pairs are counted again, a pass after the other, where texts are scored."""
+    """A model, the table of the counts of words, and those of pairs, one for each pass."""
 
     model: Model
     words: DataFrame
-    labelled: DataFrame
-    least: float  # places that make a word or a pair frequent
-    passes: int
+    pairs: list[DataFrame]
+    least_word: int  # what makes a word or a pair frequent
+    least_pair: int
 
 
 def discount(n1: int, n2: int) -> float:
@@ -176,7 +206,7 @@ def named(words: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return words.select(F.col("w").alias(key), *columns)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", share: float = toxicity.SHARE, sample: int = toxicity.SAMPLE, passes: int = PASSES, slice_bytes: int = 6_000_000) -> Fitted:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", share: float = SHARE, sample: int = toxicity.SAMPLE, passes: int = PASSES, slice_bytes: int = 6_000_000) -> Fitted:
     """Counts of all labelled rows that aren't held out, and a logistic function fitted on a bounded sample of them."""
     spark = docs.sparkSession
     marks, n_marks, texts = toxicity.learned(docs, labels, id_col, text_col, label_col)
@@ -184,98 +214,97 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled = texts.join(F.broadcast(marks) if near else marks, "doc_id")
     labelled = labelled if near else materialize(labelled, "labelled")
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n_marks)) * (1 << 30))
-    some = materialize(labelled.where(chosen).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "sample")
-    parts, met = [], []
+    some = materialize(labelled.where(chosen).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "sample", cleanup=True)
+    parts = []
     for number in range(passes):
-        pairs = materialize(pair_counts(labelled, number, passes, slice_bytes), "pairs")
-        parts.append(materialize(by_word(pairs), "words-of-pairs"))
-        met.append(materialize(also_elsewhere(some, pairs, number, passes, slice_bytes), "sample-counts"))
-        drop(pairs)
+        parts.append(materialize(pair_counts(labelled, number, passes, slice_bytes), "pairs", cleanup=True))
         release(spark)
-    words = materialize(summed(reduce(DataFrame.unionAll, parts)), "words")
+    if not near:
+        drop(labelled)
+    pairs = reduce(DataFrame.unionAll, parts)
+    words = materialize(by_word(pairs), "words", cleanup=True)
+    release(spark)
     stats = [x for c in COUNTS[:2] for x in (F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2))]
-    few = [F.sum(c) for c in ("once0", "twice0", "once1", "twice1")]
-    s = [x or 0 for x in words.agg(*stats, *few, F.count_if(F.col("before0") + F.col("before1") > 0), F.sum(F.col("places0") + F.col("places1"))).first()]
+    s = [x or 0 for x in words.agg(*stats, F.count_if(F.col("before0") + F.col("before1") > 0), F.sum(F.col("places0") + F.col("places1"))).first()]
+    few = pairs.agg(*[F.count_if(F.col(c) == k) for c in ("n0", "n1") for k in (1, 2)]).first()
     toxic = marks.agg(F.avg("toxic")).first()[0] or 0.0
-    model = Model([s[0], s[4]], [s[1], s[5]], [discount(*s[2:4]), discount(*s[6:8])], [discount(*s[8:10]), discount(*s[10:12])], s[0] + s[4] + s[12] + 1, toxic)
-    least = share * s[13]
+    model = Model([s[0], s[4]], [s[1], s[5]], [discount(*s[2:4]), discount(*s[6:8])], [discount(*few[:2]), discount(*few[2:])], s[0] + s[4] + s[8] + 1, toxic)
+    least = most_frequent(pairs, F.col("n0") + F.col("n1"), share, s[9])
     if all(model.total):
-        x = without_themselves(some, reduce(DataFrame.unionAll, met), words, least, model, slice_bytes)
+        x = without_themselves(some, pairs, words, share * s[9], least, model, slice_bytes)
         x = x[np.lexsort(x.T)]
         if len(x):
             model.logistic = toxicity.logistic(x[:, :2], x[:, 2])
-    drop(some, *parts, *met)
-    return Fitted(model, words, labelled, least, passes)
-
+    drop(some)
+    release(spark)
+    return Fitted(model, words, parts, most_frequent(words, often(), share, 2 * s[9]), least)
 
-def also_elsewhere(some: DataFrame, pairs: DataFrame, number: int, passes: int, slice_bytes: int) -> DataFrame:
-    """(uid, k, n0, n1) of the different pairs of the pass of every row of (uid, doc_id, text, toxic), but for those that only the row itself has."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", slice_bytes):
-                v, w, of, _ = places(part, "text")
-                key = pair_key(v, w)
-                mine = np.flatnonzero(key & np.uint64(passes - 1) == number)
-                first, times = counted(of[mine], key[mine])
-                at = mine[first]
-                row = pa.array(of[at])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(2).take(row), toxicity.signed(v[at]), toxicity.signed(w[at]), pa.array(times)], ["uid", "toxic", "v", "w", "times"])
 
-    own = some.select("uid", "text", "toxic").mapInArrow(run, "uid long, toxic int, v long, w long, times long")
-    found = own.join(pairs, ["v", "w"]).where(F.col("n0") + F.col("n1") > F.col("times"))
-    return found.select("uid", F.xxhash64("v", "w").alias("k"), "n0", "n1")
+def without_themselves(some: DataFrame, pairs: DataFrame, words: DataFrame, least_word: float, least: int, model: Model, slice_bytes: int) -> np.ndarray:
+    """(mean, top, toxic) of every document of the sample, (uid, doc_id, text, toxic), by the counts without its own.
 
-
-def without_themselves(some: DataFrame, met: DataFrame, words: DataFrame, least: float, model: Model, slice_bytes: int) -> np.ndarray:
-    """(mean, top, toxic) of every document of the sample by the counts without its own; ``met``: the counts of its pairs that others have too.
-
-    Frequent words are broadcast; the counts of the others come to each document as a list.
+    Frequent words and pairs are broadcast; the counts of a document's others come to it as lists, but for pairs that it alone has.
     """
-    frequent = words.where(F.col("places0") + F.col("places1") >= least).orderBy("w").select("w", *COUNTS).toArrow().combine_chunks()
-    shared = some.sparkSession.sparkContext.broadcast(frequent)
+    n = F.col("n0") + F.col("n1")
+    keyed = pairs.select(F.xxhash64("v", "w").alias("k"), "n0", "n1")
+    of_words, of_pairs = by_key(words.where(F.col("places0") + F.col("places1") >= least_word).select("w", *COUNTS)), by_key(keyed.where(n >= least))
+    shared = some.sparkSession.sparkContext.broadcast((np.stack(of_words), np.stack(of_pairs)))
 
     def rare(batches):
-        known = shared.value["w"].to_numpy()
+        """Of every document the different words and pairs that aren't frequent, and the places of pairs (null of words)."""
+        known, known_pairs = (table[0] for table in shared.value)
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
-                _, w, _, length = places(part, "text")
-                of, own = toxicity.distinct_words(w, offsets_of(length))
+                at = places(part, "text")
+                of, own = toxicity.distinct_words(at.w, offsets_of(at.length))
                 of, own = np.concatenate([of, np.arange(part.num_rows)]), np.concatenate([own.view(np.int64), np.full(part.num_rows, START, np.int64)])
                 there, _ = found_in(known, own)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[~there])), pa.array(own[~there])], ["uid", "w"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[~there])), pa.array(own[~there]), pa.nulls(int((~there).sum()), pa.int64())], ["uid", "k", "times"])
+                key = pair_key(at.v, at.w).view(np.int64)
+                there, _ = found_in(known_pairs, key)
+                of, key = at.of[~there], key[~there]
+                first, times = counted(of, key)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[first])), pa.array(key[first]), pa.array(times)], ["uid", "k", "times"])
 
     def run(batches):
-        table = np.stack([shared.value[c].to_numpy() for c in ["w", *COUNTS]])
+        tables = shared.value
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
-                v, w, _, length = places(part, "text")
-                off = offsets_of(length)
+                at = places(part, "text")
+                off = offsets_of(at.length)
                 lists = [(np.stack([c.to_numpy() for c in x.values.flatten()]), x.offsets.to_numpy()) for x in (part.column(3), part.column(4))]
                 toxic = part.column(2).to_numpy()
                 found = np.zeros((part.num_rows, 2))
-                for i in np.flatnonzero(length):
-                    others, few = (values[:, bounds[i] : bounds[i + 1]] for values, bounds in lists)
-                    found[i] = alone(v[off[i] : off[i + 1]], w[off[i] : off[i + 1]], int(toxic[i]), others, [table, few[:, np.argsort(few[0])]], model)
+                for i in np.flatnonzero(at.length):
+                    few = [values[:, bounds[i] : bounds[i + 1]] for values, bounds in lists]
+                    few = [x[:, np.argsort(x[0])] for x in few]
+                    found[i] = alone(at.v[off[i] : off[i + 1]], at.w[off[i] : off[i + 1]], int(toxic[i]), [tables[1], few[0]], [tables[0], few[1]], model)
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "toxic", "mean", "top"])
 
-    listed = lambda rows, names: rows.groupBy("uid").agg(F.collect_list(F.struct(*names)).alias("list"))
-    few = some.select("uid", "text").mapInArrow(rare, "uid long, w long").join(words, "w")
-    rows = some.join(listed(met, ["k", "n0", "n1"]).withColumnRenamed("list", "others"), "uid", "left").join(listed(few, ["w", *COUNTS]).withColumnRenamed("list", "few"), "uid", "left")
+    own = materialize(some.select("uid", "text").mapInArrow(rare, "uid long, k long, times long"), "own", cleanup=True)
+    listed = lambda rows, names, to: rows.groupBy("uid").agg(F.collect_list(F.struct(*names)).alias(to))
+    # a pair that others have too is in two places at least
+    others = own.where("times IS NOT NULL").join(keyed.where((n > 1) & (n < least)), "k").where(n > F.col("times"))
+    few = own.where("times IS NULL").select("uid", F.col("k").alias("w")).join(words, "w")
+    rows = some.join(listed(others, ["k", "n0", "n1"], "others"), "uid", "left").join(listed(few, ["w", *COUNTS], "few"), "uid", "left")
     none = [F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in ("others", "few")]
     kind = some.schema["doc_id"].dataType.simpleString()
     compared = rows.select("text", "doc_id", "toxic", *none).mapInArrow(run, f"doc_id {kind}, toxic int, mean double, top double")
-    seen = compared.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in ("mean", "top", "toxic")]).toArrow()
-    shared.unpersist()
+    of_ids = materialize(compared.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in ("mean", "top", "toxic")]), "seen", cleanup=True)
+    seen = of_ids.toArrow()
+    shared.destroy()
+    drop(own, of_ids)
     return np.column_stack([seen[c].to_numpy() for c in ("mean", "top", "toxic")])
 
 
-def alone(v: np.ndarray, w: np.ndarray, own: int, others: np.ndarray, tables: list[np.ndarray], model: Model) -> tuple[float, float]:
-    """(mean, top) of one document by the counts without its own. ``others``: k, n0, n1 of its pairs that others have too; ``tables``: words and their counts, which between them hold all of its words."""
+def alone(v: np.ndarray, w: np.ndarray, own: int, pairs: list[np.ndarray], tables: list[np.ndarray], model: Model) -> tuple[float, float]:
+    """(mean, top) of one document by the counts without its own. ``pairs``: k, n0, n1 of pairs, between them of all that others have too; ``tables``: words and their counts, which between them hold all of its words."""
     key, first, times = np.unique(pair_key(v, w), return_index=True, return_counts=True)
     n = np.zeros((2, len(key)), np.int64)
     n[own] = times
-    n[:, np.searchsorted(key, others[0].view(np.uint64))] = others[1:]
+    for table in pairs:
+        there, at = found_in(table[0], key.view(np.int64))
+        n[:, there] = table[1:, at]
     n[own] -= times
     lost = n[own] == 0
     words, code = np.unique(np.concatenate([v[first], w[first]]).view(np.int64), return_inverse=True)
@@ -296,90 +325,168 @@ def alone(v: np.ndarray, w: np.ndarray, own: int, others: np.ndarray, tables: li
     return float(np.log(p[1] / p[0]) @ times / times.sum()), float(np.log(single[1] / single[0])[it].max())
 
 
-def values(fitted: Fitted, number: int, slice_bytes: int) -> DataFrame:
-    """(k, a, b, n) of the pass: of words (k is their hash) r and g, of pairs (k is theirs) d and 0, and n, the places of both."""
-    model, columns = fitted.model, [F.col(c) for c in COUNTS]
-    after, after_places = columns[2:4], columns[4:6]
-    p = model.word(columns[:2])
-    mine = lambda k: F.pmod(k, F.lit(fitted.passes)) == number
-    g = F.log(model.weight(after[1], after_places[1], 1) / model.weight(after[0], after_places[0], 0))
-    words = fitted.words.where(mine(F.col("w"))).select(F.col("w").alias("k"), F.log(p[1] / p[0]).alias("a"), g.alias("b"), (F.col("places0") + F.col("places1")).alias("n"))
-    pairs = pair_counts(fitted.labelled, number, fitted.passes, slice_bytes)
-    pairs = pairs.join(named(fitted.words, "w", COUNTS[:2]), "w").join(named(fitted.words, "v", COUNTS[2:4]), "v")
-    d = F.log(model.gained(F.col("n1"), after[1], p[1], 1) / model.gained(F.col("n0"), after[0], p[0], 0))
-    return words.unionAll(pairs.select(F.xxhash64("v", "w").alias("k"), d.alias("a"), F.lit(0.0).alias("b"), (F.col("n0") + F.col("n1")).alias("n")))
+def of_words(fitted: Fitted, number: int) -> DataFrame:
+    """(k, a, b, n) of the words of the pass: their hash, r, g and how often they are."""
+    model, c = fitted.model, {x: F.col(x) for x in COUNTS}
+    p = model.word([c["before0"], c["before1"]])
+    g = F.log(model.weight(c["after1"], c["places1"], 1) / model.weight(c["after0"], c["places0"], 0))
+    mine = fitted.words.where(F.pmod("w", F.lit(len(fitted.pairs))) == number)
+    return mine.select(F.col("w").alias("k"), F.log(p[1] / p[0]).alias("a"), g.alias("b"), often().alias("n"))
+
+
+def of_pairs(pairs: DataFrame, fitted: Fitted, shared) -> DataFrame:
+    """(k, a) of pairs: their hash and d. ``shared``: w, before0, before1, after0, after1 of the frequent words, by w; pairs with another word are joined with the counts of words."""
+    model, names = fitted.model, COUNTS[:4]
+
+    def looked_up(batches, both):
+        known, *counts = shared.value
+        for batch in batches:
+            v, w, *n = (x.to_numpy() for x in batch.columns)
+            (in_v, at_v), (in_w, at_w) = found_in(known, v), found_in(known, w)
+            there = in_v & in_w
+            if not both:
+                yield batch.filter(pa.array(~there))
+                continue
+            at_v, at_w = (np.searchsorted(known, x[there]) for x in (v, w))
+            p = model.word([x[at_w].astype(np.float64) for x in counts[:2]], lambda x: np.maximum(x, 0.0))
+            gained = [model.gained(n[y][there], counts[2 + y][at_v], p[y], y) for y in (0, 1)]
+            k = pair_key(v[there].view(np.uint64), w[there].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([toxicity.signed(k), pa.array(np.log(gained[1] / gained[0]))], ["k", "a"])
+
+    rows = pairs.select("v", "w", "n0", "n1")
+    known = rows.mapInArrow(lambda batches: looked_up(batches, True), "k long, a double")
+    if fitted.least_word <= 1:  # all words are
+        return known
+    others = rows.mapInArrow(lambda batches: looked_up(batches, False), "v long, w long, n0 long, n1 long")
+    others = others.join(named(fitted.words, "w", names[:2]), "w").join(named(fitted.words, "v", names[2:]), "v")
+    most = lambda x, least: F.greatest(x, F.lit(least))
+    p = model.word([F.col(c) for c in names[:2]])
+    gained = [model.gained(F.col(f"n{y}"), F.col(names[2 + y]).cast("double"), p[y], y, most) for y in (0, 1)]
+    return known.unionAll(others.select(F.xxhash64("v", "w").alias("k"), F.log(gained[1] / gained[0]).alias("a")))
+
+
+def by_key(rows: DataFrame) -> tuple[np.ndarray, ...]:
+    """The columns of a bounded number of rows, ordered by the first."""
+    found = rows.toArrow().combine_chunks()
+    columns = [c.to_numpy() for c in found.columns]
+    order = np.argsort(columns[0])
+    return tuple(c[order] for c in columns)
+
+
+def bits_of(keys: DataFrame, many: int) -> np.ndarray:
+    """A table of bits, of which those are set that the uppermost bits of k number; about ``many`` keys."""
+    power = int(np.clip(np.ceil(np.log2(8 * many + 1)), 7, MOST_BITS))
+    at = keys.select(F.shiftrightunsigned("k", 64 - power).alias("at"))
+    table = at.groupBy(F.expr("at div 64").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
+    table = materialize(table, "bits", cleanup=True)
+    found = table.toArrow()
+    drop(table)
+    bits = np.zeros(1 << (power - 6), np.uint64)
+    bits[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def may_have(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 def compared(docs: DataFrame, table: DataFrame, shared, fitted: Fitted, number: int, slice_bytes: int) -> DataFrame:
     """(t, n, total, top) of every text of (t, text): its words, and by the words and pairs of the pass the sum of their log-ratios and the largest of a word.
 
-    ``shared``: (k, a, b) of the frequent words and pairs of ``table``, by k.
+    ``table``: (k, a, b) of the words and pairs that aren't frequent; ``shared``: those of the frequent words, those of the frequent pairs, each by k, and the bits of the others.
     """
-    passes = fitted.passes
+    last = np.uint64(len(fitted.pairs) - 1)
+    p = fitted.model.word([0.0, 0.0], lambda x: max(x, 0.0))
+    unseen = float(np.log(p[1] / p[0]))
 
     def run(batches):
-        known, a, b = (shared.value[c].to_numpy() for c in ("k", "a", "b"))
-
+        (known, a, b), (known_pairs, d), bits = shared.value
         for batch in batches:
-            for part in slices(batch, "text", slice_bytes):
-                v, w, of, length = places(part, "text")
-                n = part.num_rows
-                followed = np.zeros(len(w), np.int64)
+            for part in slices(batch, "text", slice_bytes, tidy_each=False):
+                at = places(part, "text")
+                n, of = part.num_rows, at.of
+                full = np.flatnonzero(at.length)
+                followed = np.zeros(len(of), np.int64)
                 followed[:-1] = of[1:] == of[:-1]
-                pairs = pair_key(v, w)
-                # (text, key, places, places with a word after or -1 of a pair) of the pass: words, pairs, beginnings
-                mine = np.flatnonzero(w & np.uint64(passes - 1) == number)
-                first, times, before = counted(of[mine], w[mine], followed[mine])
-                found = [(of[mine[first]], w[mine[first]], times, before)]
-                mine = np.flatnonzero(pairs & np.uint64(passes - 1) == number)
-                first, times = counted(of[mine], pairs[mine])
-                found.append((of[mine[first]], pairs[mine[first]], times, np.full(len(first), -1)))
-                if START & (passes - 1) == number:
-                    full = np.flatnonzero(length)
-                    found.append((full, np.full(len(full), START, np.uint64), np.zeros(len(full), np.int64), np.ones(len(full), np.int64)))
-                row, key, times, before = (np.concatenate(x) for x in zip(*found))
-                key = key.view(np.int64)
-                there, at = found_in(known, key)
-                sums, tops = np.zeros(n), np.full(n, -np.inf)
-                sums += np.bincount(row[there], times[there] * a[at] + np.maximum(before[there], 0) * b[at], n)
-                word = (times[there] > 0) & (before[there] >= 0)
-                np.maximum.at(tops, row[there][word], a[at[word]])
-                tops = pa.array(np.where(np.isinf(tops), 0.0, tops), mask=np.isinf(tops))
-                names = ["k", "t", "times", "before", "n", "total", "top"]
+                # what each of the different words adds, itself and before another
+                there, where = found_in(known, at.different.view(np.int64))
+                mine = at.different & last == number
+                asked = mine & ~there
+                asked[asked] = may_have(bits, at.different[asked])
+                itself, before = np.where(mine & ~asked, unseen, 0.0), np.zeros(len(mine))
+                itself[there], before[there] = a[where], b[where]
+                value = itself[at.code]
+                sums, tops = np.bincount(of, value + followed * before[at.code], n).astype(np.float64), np.full(n, -np.inf)
+                value[~(mine & ~asked)[at.code]] = -np.inf
+                if len(full):
+                    tops[full] = np.maximum.reduceat(value, offsets_of(at.length)[full])
+                # (text, key, places, places with a word after or -1 of a pair) of those that move: words, pairs, beginnings
+                move = np.flatnonzero(asked[at.code])
+                first, times, after = counted(of[move], at.w[move], followed[move])
+                found = [(of[move[first]], at.w[move[first]], times, after)]
+                key = pair_key(at.v, at.w)
+                move = np.flatnonzero(key & last == number)
+                there, where = found_in(known_pairs, key[move].view(np.int64))
+                sums += np.bincount(of[move[there]], d[where], n)
+                move = move[~there]
+                move = move[may_have(bits, key[move])]
+                first, times = counted(of[move], key[move])
+                found.append((of[move[first]], key[move[first]], times, np.full(len(first), -1)))
+                if START & int(last) == number:
+                    there, where = found_in(known, np.array([START], np.int64))
+                    if there[0]:
+                        sums[full] += b[where[0]]
+                    else:
+                        found.append((full, np.full(len(full), START, np.uint64), np.zeros(len(full), np.int64), np.ones(len(full), np.int64)))
+                row, key, times, after = (np.concatenate(x) for x in zip(*found))
+                names = ["k", "uid", "times", "before", "total", "top"]
                 empty = lambda kind, many: pa.nulls(many, kind)
-                t, rare = part.column(0), np.flatnonzero(~there)
-                yield pa.RecordBatch.from_arrays([t, t, empty(pa.int32(), n), empty(pa.int32(), n), pa.array(length), pa.array(sums), tops], names)
-                numbers = [pa.array(x[rare].astype(np.int32)) for x in (times, before)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[rare]), t.take(pa.array(row[rare])), *numbers, empty(pa.int64(), len(rare)), empty(pa.float64(), len(rare)), empty(pa.float64(), len(rare))], names)
-
-    rows = docs.select("t", "text").mapInArrow(run, "k long, t long, times int, before int, n long, total double, top double")
-    joined = rows.join(table.select("k", "a", "b"), "k", "left")
-    unseen = fitted.model.word([F.lit(0.0), F.lit(0.0)])
+                uid = part.column(0)
+                tops = pa.array(np.where(np.isinf(tops), 0.0, tops), mask=np.isinf(tops))
+                yield pa.RecordBatch.from_arrays([part.column(1), uid, pa.array(at.length.astype(np.int32)), empty(pa.int32(), n), pa.array(sums), tops], names)
+                numbers = [pa.array(x.astype(np.int32)) for x in (times, after)]
+                yield pa.RecordBatch.from_arrays([toxicity.signed(key), uid.take(pa.array(row)), *numbers, empty(pa.float64(), len(row)), empty(pa.float64(), len(row))], names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "t", "text").mapInArrow(run, "k long, uid long, times int, before int, total double, top double")
+    joined = rows.join(table, "k", "left")
     word = F.col("before") >= 0
-    a = F.coalesce("a", F.when(word, F.log(unseen[1] / unseen[0])).otherwise(0.0))
+    a = F.coalesce("a", F.when(word, unseen).otherwise(0.0))
     value = F.coalesce("total", F.col("times") * a + F.greatest("before", F.lit(0)) * F.coalesce("b", F.lit(0.0)))
     top = F.coalesce("top", F.when(word & (F.col("times") > 0), a))
-    return joined.groupBy("t").agg(F.sum("n").alias("n"), F.sum(value).alias("total"), F.max(top).alias("top"))
+    whole = lambda c: F.when(F.col("total").isNotNull(), F.col(c))
+    return joined.groupBy("uid").agg(F.max(whole("k")).alias("t"), F.sum(whole("times")).alias("n"), F.sum(value).alias("total"), F.max(top).alias("top")).drop("uid")
 
 
-def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 6_000_000) -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1_500_000) -> DataFrame:
     """(doc_id, score, mean, top) of every row, from its text alone."""
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
     if not all(fitted.model.total):
         return rows.select("doc_id", F.lit(float(fitted.model.share)).alias("score"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("top"))
-    parts = []
-    for number in range(fitted.passes):
-        table = materialize(values(fitted, number, slice_bytes), "values")
+    least = [F.lit(fitted.least_word), F.lit(fitted.least_pair)]
+    frequent = fitted.words.where(often() >= least[0])
+    counts = spark.sparkContext.broadcast(by_key(frequent.select("w", *[F.col(c).cast("int") for c in COUNTS[:4]])))
+    n = F.col("n0") + F.col("n1")
+
+    def a_pass(number: int, pairs: DataFrame) -> DataFrame:
+        words, many, few = of_words(fitted, number), pairs.where(n >= least[1]), pairs.where(n < least[1])
+        rare = words.where(F.col("n") < least[0]).select("k", "a", "b")
+        bits = bits_of(few.select(F.xxhash64("v", "w").alias("k")).unionAll(rare.select("k")), pairs.count())
+        shared = spark.sparkContext.broadcast((by_key(words.where(F.col("n") >= least[0]).select("k", "a", "b")), by_key(of_pairs(many, fitted, counts)), bits))
         release(spark)
-        frequent = table.where(F.col("n") >= fitted.least).orderBy("k").select("k", "a", "b").toArrow().combine_chunks()
-        shared = spark.sparkContext.broadcast(frequent)
-        parts.append(materialize(compared(rows, table, shared, fitted, number, slice_bytes), "compared"))
-        shared.unpersist()
-        drop(table)
+        table = rare.unionAll(of_pairs(few, fitted, counts).withColumn("b", F.lit(0.0)))
+        found = materialize(compared(rows, table, shared, fitted, number, slice_bytes), "compared", cleanup=True)
+        shared.destroy()
+        return found
+
+    parts = []
+    for number, pairs in enumerate(fitted.pairs):
+        parts.append(a_pass(number, pairs))
         release(spark)
+    counts.destroy()
     # rows of equal texts add up in total and n alike; each pass counted all words
     by_text = reduce(DataFrame.unionAll, parts).groupBy("t").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top"))
-    mean = F.when(F.col("n") > 0, F.col("total") * fitted.passes / F.col("n")).otherwise(0.0)
+    mean = F.when(F.col("n") > 0, F.col("total") * len(fitted.pairs) / F.col("n")).otherwise(0.0)
     by_text = by_text.select("t", mean.alias("mean"), F.coalesce("top", F.lit(0.0)).alias("top"))
     return rows.select("doc_id", "t").join(by_text, "t").select("doc_id", fitted.model.score(F.col("mean"), F.col("top")).alias("score"), "mean", "top")

@@ -46,8 +46,8 @@ def tidy(run):
     return whole
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
-    """Cut a batch into runs of rows of about ``most_bytes`` of text; a longer row comes alone."""
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int, tidy_each: bool = True):
+    """Cut a batch into runs of rows of about ``most_bytes`` of text; a longer row comes alone. Memory is given back after each, or after the last only."""
     text = batch.column(batch.schema.get_field_index(column))
     sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     piece = np.cumsum(sizes) // most_bytes
@@ -55,4 +55,5 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
-            release()
+            if tidy_each or b == batch.num_rows:
+                release()

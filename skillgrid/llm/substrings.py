@@ -47,15 +47,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A hash of each word, worked out once for each distinct one."""
+def word_codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the different words, and which of them each word has."""
     import xxhash
 
     coded = words.dictionary_encode()
     one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
     distinct = pc.binary_join(one, "\n")[0].as_py().split("\n") if len(coded.dictionary) else []
-    table = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
-    return table[coded.indices.to_numpy()]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)), coded.indices.to_numpy()
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word, worked out once for each distinct one."""
+    table, code = word_codes(words)
+    return table[code]
 
 
 def combined(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:

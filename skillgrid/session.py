@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Most bytes of a batch of rows for Python.
 BATCH_BYTES = 8 << 20
+#: By this setting Spark deletes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "skillgrid") -> SparkSession:
@@ -57,11 +59,21 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+def materialize(df: DataFrame, name: str, cleanup: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
+
+    With ``cleanup`` the shuffle files of the write are deleted at its end, not when the driver's JVM has collected what refers to them.
+    """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     bound_batches(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if cleanup:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if cleanup:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     made = spark.read.schema(df.schema).parquet(path)
     made._shared_path = path
     return made

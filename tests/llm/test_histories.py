@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skillgrid.llm import histories, toxicity
 from skillgrid.llm.queries import QUERIES
+from skillgrid.session import CLEANUP, materialize
 from test_toxicity import SF, ranked, words
 
 
@@ -138,3 +139,39 @@ def test_op13_is_the_models_of_pairs(spark, monkeypatch):
     held = [i for i in marks if got[i].held_out]
     assert np.mean([got[i].predicted == marks[i] for i in held]) > 0.93
     assert ranked(np.array([got[i].score for i in held]), np.array([marks[i] for i in held])) > 0.8
+
+
+def test_texts_are_read_once_a_pass(spark, docs):
+    """The counts of pairs are kept: labelled texts aren't counted again where texts are scored."""
+    n, read = docs.count(), spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = docs.select("doc_id", "text")
+    labels = rows.where("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    got = histories.score(seen := rows.mapInArrow(run, rows.schema), histories.fit(seen, labels))
+    assert got.count() == n and read.value <= n * (2 * histories.PASSES + 2) <= 6 * n
+
+
+def test_bits_miss_no_key(spark):
+    """Every key's bit is set, whatever its sign, and few others."""
+    x = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, (2, 5000))
+    bits = histories.bits_of(spark.createDataFrame(x[0][:, None].tolist(), "k long"), x.shape[1])
+    assert histories.may_have(bits, x[0].view(np.uint64)).all() and histories.may_have(bits, x[1].view(np.uint64)).mean() < 0.15
+
+
+def test_frequent_ones_are_bounded(spark):
+    rows = spark.createDataFrame([(n,) for n in [1] * 50 + [2] * 20 + [3] * 5 + [40]], "n long")
+    for share, least in ((1.0, 40), (1 / 6, 3), (1 / 25, 3), (1 / 26, 2), (1 / 76, 1)):
+        assert histories.most_frequent(rows, F.col("n"), share, 145) == least
+    assert histories.most_frequent(rows.where("n < 0"), F.col("n"), 0.5, 0) == 1
+
+
+def test_cleanup_leaves_the_setting(spark):
+    """The setting that deletes shuffle files holds for the write alone."""
+    before = spark.conf.get(CLEANUP, None)
+    assert materialize(spark.range(100).groupBy(F.col("id") % 3).count(), "three", cleanup=True).count() == 3
+    assert spark.conf.get(CLEANUP, None) == before
