@@ -37,12 +37,14 @@ from skillgrid.llm.ragged import offsets_of, slices
 from skillgrid.llm.substrings import word_codes
 from skillgrid.session import drop, materialize, release
 
-#: Parts that pairs are dealt into: a power of two.
-PASSES = 2
+#: Parts that pairs are dealt into.
+PASSES = 3
 #: The words, and the pairs, that are broadcast at most: one over this.
 SHARE = 5e-7
 #: The table of bits of a pass has 8 for each key, and at most two to the power of this.
 MOST_BITS = 27
+#: Bits that are set at once, as a power of two: 64 KB.
+PIECE = 19
 #: What stands before the first word of a text.
 START = 0
 COUNTS = ["before0", "before1", "after0", "after1", "places0", "places1"]
@@ -88,6 +90,32 @@ def places(part: pa.RecordBatch, column: str) -> Places:
     return Places(different, code, v, w, np.repeat(np.arange(len(n)), n), n)
 
 
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Which of so many parts a hash belongs to, by its upper half."""
+    return ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def part_column(key: Column, parts: int) -> Column:
+    """``part_of`` on a long column."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * F.lit(parts).cast("long"), 32).cast("int")
+
+
+def packed(columns: tuple[np.ndarray, ...]) -> bytes:
+    """Columns, the first of which ascends, in little space: broadcasts are files at the driver and at every executor."""
+    first = columns[0].view(np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.diff(first, prepend=np.uint64(0))), *[pa.array(c) for c in columns[1:]]], [str(i) for i in range(len(columns))])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    first, *others = (c.to_numpy() for c in table.columns)
+    return np.cumsum(first, dtype=np.uint64).view(np.int64), *others
+
+
 def counted(of: np.ndarray, key: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Where the different (text, key) are first, and how often each is there; of ``also``, the sum over its places."""
     order = np.lexsort((key, of))
@@ -117,7 +145,7 @@ def pair_counts(labelled: DataFrame, number: int, passes: int, slice_bytes: int)
                 at = places(part, "text")
                 v, w, of = at.v, at.w, at.of
                 key = pair_key(v, w)
-                mine = np.flatnonzero(key & np.uint64(passes - 1) == number)
+                mine = np.flatnonzero(part_of(key, passes) == number)
                 toxic = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 _, first, code = np.unique(key[mine], return_index=True, return_inverse=True)
                 n = np.bincount(code * 2 + toxic[of[mine]], minlength=2 * len(first)).reshape(-1, 2)
@@ -215,9 +243,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled = labelled if near else materialize(labelled, "labelled")
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n_marks)) * (1 << 30))
     some = materialize(labelled.where(chosen).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "sample", cleanup=True)
-    parts = []
-    for number in range(passes):
-        parts.append(materialize(pair_counts(labelled, number, passes, slice_bytes), "pairs", cleanup=True))
+    parts, halves = [], (passes + 1) // 2  # counting takes less disk than scoring
+    for number in range(halves):
+        found = pair_counts(labelled, number, halves, slice_bytes).withColumn("part", part_column(F.xxhash64("v", "w"), passes))
+        parts.append(materialize(found, "pairs", cleanup=True, by=("part",)))
         release(spark)
     if not near:
         drop(labelled)
@@ -237,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             model.logistic = toxicity.logistic(x[:, :2], x[:, 2])
     drop(some)
     release(spark)
-    return Fitted(model, words, parts, most_frequent(words, often(), share, 2 * s[9]), least)
+    return Fitted(model, words, [pairs.where(F.col("part") == k).drop("part") for k in range(passes)], most_frequent(words, often(), share, 2 * s[9]), least)
 
 
 def without_themselves(some: DataFrame, pairs: DataFrame, words: DataFrame, least_word: float, least: int, model: Model, slice_bytes: int) -> np.ndarray:
@@ -330,7 +359,7 @@ def of_words(fitted: Fitted, number: int) -> DataFrame:
     model, c = fitted.model, {x: F.col(x) for x in COUNTS}
     p = model.word([c["before0"], c["before1"]])
     g = F.log(model.weight(c["after1"], c["places1"], 1) / model.weight(c["after0"], c["places0"], 0))
-    mine = fitted.words.where(F.pmod("w", F.lit(len(fitted.pairs))) == number)
+    mine = fitted.words.where(part_column(F.col("w"), len(fitted.pairs)) == number)
     return mine.select(F.col("w").alias("k"), F.log(p[1] / p[0]).alias("a"), g.alias("b"), often().alias("n"))
 
 
@@ -339,7 +368,7 @@ def of_pairs(pairs: DataFrame, fitted: Fitted, shared) -> DataFrame:
     model, names = fitted.model, COUNTS[:4]
 
     def looked_up(batches, both):
-        known, *counts = shared.value
+        known, *counts = unpacked(shared.value)
         for batch in batches:
             v, w, *n = (x.to_numpy() for x in batch.columns)
             (in_v, at_v), (in_w, at_w) = found_in(known, v), found_in(known, w)
@@ -374,21 +403,31 @@ def by_key(rows: DataFrame) -> tuple[np.ndarray, ...]:
 
 
 def bits_of(keys: DataFrame, many: int) -> np.ndarray:
-    """A table of bits, of which those are set that the uppermost bits of k number; about ``many`` keys."""
-    power = int(np.clip(np.ceil(np.log2(8 * many + 1)), 7, MOST_BITS))
-    at = keys.select(F.shiftrightunsigned("k", 64 - power).alias("at"))
-    table = at.groupBy(F.expr("at div 64").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
-    table = materialize(table, "bits", cleanup=True)
-    found = table.toArrow()
+    """A table of bits, of which those are set that the lowest bits of k number; about ``many`` keys."""
+    power = int(np.clip(np.ceil(np.log2(8 * many + 1)), PIECE, MOST_BITS))
+
+    def run(batches):
+        pieces = {}
+        for batch in batches:
+            piece, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for one in np.unique(piece):
+                pieces.setdefault(one, np.zeros(1 << PIECE, bool))[at[piece == one]] = True
+        names = list(pieces)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([np.packbits(pieces[one], bitorder="little").tobytes() for one in names], pa.binary())], ["piece", "bits"])
+
+    at = F.col("k").bitwiseAND(F.lit((1 << power) - 1))
+    dealt = keys.select(F.shiftright(at, PIECE).cast("int").alias("piece"), at.bitwiseAND(F.lit((1 << PIECE) - 1)).cast("int").alias("at"))
+    table = materialize(dealt.repartition("piece").mapInArrow(run, "piece int, bits binary"), "bits", cleanup=True)
+    bits = np.zeros((1 << (power - PIECE), 1 << (PIECE - 3)), np.uint8)
+    for r in table.collect():
+        bits[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
     drop(table)
-    bits = np.zeros(1 << (power - 6), np.uint64)
-    bits[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return bits
+    return bits.reshape(-1)
 
 
 def may_have(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    at = key & np.uint64(8 * len(bits) - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def compared(docs: DataFrame, table: DataFrame, shared, fitted: Fitted, number: int, slice_bytes: int) -> DataFrame:
@@ -396,12 +435,13 @@ def compared(docs: DataFrame, table: DataFrame, shared, fitted: Fitted, number:
 
     ``table``: (k, a, b) of the words and pairs that aren't frequent; ``shared``: those of the frequent words, those of the frequent pairs, each by k, and the bits of the others.
     """
-    last = np.uint64(len(fitted.pairs) - 1)
+    passes = len(fitted.pairs)
     p = fitted.model.word([0.0, 0.0], lambda x: max(x, 0.0))
     unseen = float(np.log(p[1] / p[0]))
 
     def run(batches):
-        (known, a, b), (known_pairs, d), bits = shared.value
+        (known, a, b), (known_pairs, d) = (unpacked(x) for x in shared.value[:2])
+        bits = np.frombuffer(pa.decompress(shared.value[2], shared.value[3], codec="zstd"), np.uint8)
         for batch in batches:
             for part in slices(batch, "text", slice_bytes, tidy_each=False):
                 at = places(part, "text")
@@ -411,7 +451,7 @@ def compared(docs: DataFrame, table: DataFrame, shared, fitted: Fitted, number:
                 followed[:-1] = of[1:] == of[:-1]
                 # what each of the different words adds, itself and before another
                 there, where = found_in(known, at.different.view(np.int64))
-                mine = at.different & last == number
+                mine = part_of(at.different, passes) == number
                 asked = mine & ~there
                 asked[asked] = may_have(bits, at.different[asked])
                 itself, before = np.where(mine & ~asked, unseen, 0.0), np.zeros(len(mine))
@@ -426,14 +466,14 @@ def compared(docs: DataFrame, table: DataFrame, shared, fitted: Fitted, number:
                 first, times, after = counted(of[move], at.w[move], followed[move])
                 found = [(of[move[first]], at.w[move[first]], times, after)]
                 key = pair_key(at.v, at.w)
-                move = np.flatnonzero(key & last == number)
+                move = np.flatnonzero(part_of(key, passes) == number)
                 there, where = found_in(known_pairs, key[move].view(np.int64))
                 sums += np.bincount(of[move[there]], d[where], n)
                 move = move[~there]
                 move = move[may_have(bits, key[move])]
                 first, times = counted(of[move], key[move])
                 found.append((of[move[first]], key[move[first]], times, np.full(len(first), -1)))
-                if START & int(last) == number:
+                if number == 0:  # the part of START
                     there, where = found_in(known, np.array([START], np.int64))
                     if there[0]:
                         sums[full] += b[where[0]]
@@ -466,14 +506,15 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
         return rows.select("doc_id", F.lit(float(fitted.model.share)).alias("score"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("top"))
     least = [F.lit(fitted.least_word), F.lit(fitted.least_pair)]
     frequent = fitted.words.where(often() >= least[0])
-    counts = spark.sparkContext.broadcast(by_key(frequent.select("w", *[F.col(c).cast("int") for c in COUNTS[:4]])))
+    counts = spark.sparkContext.broadcast(packed(by_key(frequent.select("w", *[F.col(c).cast("int") for c in COUNTS[:4]]))))
     n = F.col("n0") + F.col("n1")
 
     def a_pass(number: int, pairs: DataFrame) -> DataFrame:
         words, many, few = of_words(fitted, number), pairs.where(n >= least[1]), pairs.where(n < least[1])
         rare = words.where(F.col("n") < least[0]).select("k", "a", "b")
         bits = bits_of(few.select(F.xxhash64("v", "w").alias("k")).unionAll(rare.select("k")), pairs.count())
-        shared = spark.sparkContext.broadcast((by_key(words.where(F.col("n") >= least[0]).select("k", "a", "b")), by_key(of_pairs(many, fitted, counts)), bits))
+        known = [packed(by_key(x)) for x in (words.where(F.col("n") >= least[0]).select("k", "a", "b"), of_pairs(many, fitted, counts))]
+        shared = spark.sparkContext.broadcast((*known, pa.compress(bits.tobytes(), codec="zstd", asbytes=True), bits.nbytes))
         release(spark)
         table = rare.unionAll(of_pairs(few, fitted, counts).withColumn("b", F.lit(0.0)))
         found = materialize(compared(rows, table, shared, fitted, number, slice_bytes), "compared", cleanup=True)

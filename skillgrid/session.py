@@ -59,10 +59,10 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, name: str, cleanup: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, cleanup: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
-    With ``cleanup`` the shuffle files of the write are deleted at its end, not when the driver's JVM has collected what refers to them.
+    With ``by`` it is dealt into folders by these columns, which are its last ones. With ``cleanup`` the shuffle files of the write are deleted at its end, not when the driver's JVM has collected what refers to them.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     bound_batches(spark)
@@ -70,7 +70,7 @@ def materialize(df: DataFrame, name: str, cleanup: bool = False) -> DataFrame:
     if cleanup:
         spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     finally:
         if cleanup:
             spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
