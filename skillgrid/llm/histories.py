@@ -129,11 +129,37 @@ def counted(of: np.ndarray, key: np.ndarray, also: np.ndarray | None = None) ->
     return order[at], times, np.add.reduceat(also[order], at) if len(at) else also[:0]
 
 
-def found_in(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are among sorted ones, and the places of these."""
-    at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-    there = known[at] == key if len(known) else np.zeros(len(key), bool)
-    return there, at[there]
+class Known:
+    """Finds hashes among ascending, different ones: a table has where those of each range begin, of which most ranges have one or two."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.many = known, 1 << len(known).bit_length()
+        if len(known):
+            values = self.unsigned(known)
+            self.low = values[0]
+            self.scale = self.many / (float(values[-1] - self.low) + 1)
+            self.start = np.concatenate([[0], np.cumsum(np.bincount(self.range_of(values), minlength=self.many))]).astype(np.int32)
+
+    @staticmethod
+    def unsigned(key: np.ndarray) -> np.ndarray:
+        return key.view(np.uint64) ^ np.uint64(1 << 63)
+
+    def range_of(self, values: np.ndarray) -> np.ndarray:
+        return np.minimum((values - self.low).astype(np.float64) * self.scale, self.many - 1).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which signed keys are known, and the place of each that is."""
+        if not len(self.known):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        of = self.range_of(self.unsigned(key))
+        at, end = self.start[of], self.start[of + 1]
+        there = self.known[np.minimum(at, len(self.known) - 1)] == key
+        left = np.flatnonzero(~there & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            there[left] = hit = self.known[at[left]] == key[left]
+            left = left[~hit & (at[left] + 1 < end[left])]
+        return there, at
 
 
 def pair_counts(labelled: DataFrame, number: int, passes: int, slice_bytes: int) -> DataFrame:
@@ -281,22 +307,22 @@ def without_themselves(some: DataFrame, pairs: DataFrame, words: DataFrame, leas
 
     def rare(batches):
         """Of every document the different words and pairs that aren't frequent, and the places of pairs (null of words)."""
-        known, known_pairs = (table[0] for table in shared.value)
+        known, known_pairs = (Known(table[0]) for table in shared.value)
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
                 at = places(part, "text")
                 of, own = toxicity.distinct_words(at.w, offsets_of(at.length))
                 of, own = np.concatenate([of, np.arange(part.num_rows)]), np.concatenate([own.view(np.int64), np.full(part.num_rows, START, np.int64)])
-                there, _ = found_in(known, own)
+                there, _ = known.find(own)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[~there])), pa.array(own[~there]), pa.nulls(int((~there).sum()), pa.int64())], ["uid", "k", "times"])
                 key = pair_key(at.v, at.w).view(np.int64)
-                there, _ = found_in(known_pairs, key)
+                there, _ = known_pairs.find(key)
                 of, key = at.of[~there], key[~there]
                 first, times = counted(of, key)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[first])), pa.array(key[first]), pa.array(times)], ["uid", "k", "times"])
 
     def run(batches):
-        tables = shared.value
+        tables = [(Known(table[0]), table[1:]) for table in shared.value]
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
                 at = places(part, "text")
@@ -307,6 +333,7 @@ def without_themselves(some: DataFrame, pairs: DataFrame, words: DataFrame, leas
                 for i in np.flatnonzero(at.length):
                     few = [values[:, bounds[i] : bounds[i + 1]] for values, bounds in lists]
                     few = [x[:, np.argsort(x[0])] for x in few]
+                    few = [(Known(x[0]), x[1:]) for x in few]
                     found[i] = alone(at.v[off[i] : off[i + 1]], at.w[off[i] : off[i + 1]], int(toxic[i]), [tables[1], few[0]], [tables[0], few[1]], model)
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "toxic", "mean", "top"])
 
@@ -326,22 +353,22 @@ def without_themselves(some: DataFrame, pairs: DataFrame, words: DataFrame, leas
     return np.column_stack([seen[c].to_numpy() for c in ("mean", "top", "toxic")])
 
 
-def alone(v: np.ndarray, w: np.ndarray, own: int, pairs: list[np.ndarray], tables: list[np.ndarray], model: Model) -> tuple[float, float]:
-    """(mean, top) of one document by the counts without its own. ``pairs``: k, n0, n1 of pairs, between them of all that others have too; ``tables``: words and their counts, which between them hold all of its words."""
+def alone(v: np.ndarray, w: np.ndarray, own: int, pairs: list[tuple[Known, np.ndarray]], tables: list[tuple[Known, np.ndarray]], model: Model) -> tuple[float, float]:
+    """(mean, top) of one document by the counts without its own. ``pairs``: pairs with n0 and n1, between them all that others have too; ``tables``: words with their counts, between them all of its words."""
     key, first, times = np.unique(pair_key(v, w), return_index=True, return_counts=True)
     n = np.zeros((2, len(key)), np.int64)
     n[own] = times
-    for table in pairs:
-        there, at = found_in(table[0], key.view(np.int64))
-        n[:, there] = table[1:, at]
+    for known, table in pairs:
+        there, at = known.find(key.view(np.int64))
+        n[:, there] = table[:, at[there]]
     n[own] -= times
     lost = n[own] == 0
     words, code = np.unique(np.concatenate([v[first], w[first]]).view(np.int64), return_inverse=True)
     before_it, it = code[: len(key)], code[len(key) :]
     counts = np.zeros((6, len(words)))
-    for table in tables:
-        there, at = found_in(table[0], words)
-        counts[:, there] = table[1:, at]
+    for known, table in tables:
+        there, at = known.find(words)
+        counts[:, there] = table[:, at[there]]
     before, after, places_after = counts[:2], counts[2:4], counts[4:]
     before[own] -= np.bincount(it, lost, len(words))
     after[own] -= np.bincount(before_it, lost, len(words))
@@ -368,15 +395,16 @@ def of_pairs(pairs: DataFrame, fitted: Fitted, shared) -> DataFrame:
     model, names = fitted.model, COUNTS[:4]
 
     def looked_up(batches, both):
-        known, *counts = unpacked(shared.value)
+        names, *counts = unpacked(shared.value)
+        known = Known(names)
         for batch in batches:
             v, w, *n = (x.to_numpy() for x in batch.columns)
-            (in_v, at_v), (in_w, at_w) = found_in(known, v), found_in(known, w)
+            (in_v, at_v), (in_w, at_w) = known.find(v), known.find(w)
             there = in_v & in_w
             if not both:
                 yield batch.filter(pa.array(~there))
                 continue
-            at_v, at_w = (np.searchsorted(known, x[there]) for x in (v, w))
+            at_v, at_w = at_v[there], at_w[there]
             p = model.word([x[at_w].astype(np.float64) for x in counts[:2]], lambda x: np.maximum(x, 0.0))
             gained = [model.gained(n[y][there], counts[2 + y][at_v], p[y], y) for y in (0, 1)]
             k = pair_key(v[there].view(np.uint64), w[there].view(np.uint64))
@@ -441,6 +469,7 @@ def compared(docs: DataFrame, table: DataFrame, shared, fitted: Fitted, number:
 
     def run(batches):
         (known, a, b), (known_pairs, d) = (unpacked(x) for x in shared.value[:2])
+        known, known_pairs = Known(known), Known(known_pairs)
         bits = np.frombuffer(pa.decompress(shared.value[2], shared.value[3], codec="zstd"), np.uint8)
         for batch in batches:
             for part in slices(batch, "text", slice_bytes, tidy_each=False):
@@ -450,12 +479,13 @@ def compared(docs: DataFrame, table: DataFrame, shared, fitted: Fitted, number:
                 followed = np.zeros(len(of), np.int64)
                 followed[:-1] = of[1:] == of[:-1]
                 # what each of the different words adds, itself and before another
-                there, where = found_in(known, at.different.view(np.int64))
                 mine = part_of(at.different, passes) == number
-                asked = mine & ~there
-                asked[asked] = may_have(bits, at.different[asked])
+                ours = np.flatnonzero(mine)
+                there, where = known.find(at.different[ours].view(np.int64))
+                asked = np.zeros(len(mine), bool)
+                asked[ours[~there]] = may_have(bits, at.different[ours[~there]])
                 itself, before = np.where(mine & ~asked, unseen, 0.0), np.zeros(len(mine))
-                itself[there], before[there] = a[where], b[where]
+                itself[ours[there]], before[ours[there]] = a[where[there]], b[where[there]]
                 value = itself[at.code]
                 sums, tops = np.bincount(of, value + followed * before[at.code], n).astype(np.float64), np.full(n, -np.inf)
                 value[~(mine & ~asked)[at.code]] = -np.inf
@@ -467,14 +497,14 @@ def compared(docs: DataFrame, table: DataFrame, shared, fitted: Fitted, number:
                 found = [(of[move[first]], at.w[move[first]], times, after)]
                 key = pair_key(at.v, at.w)
                 move = np.flatnonzero(part_of(key, passes) == number)
-                there, where = found_in(known_pairs, key[move].view(np.int64))
-                sums += np.bincount(of[move[there]], d[where], n)
+                there, where = known_pairs.find(key[move].view(np.int64))
+                sums += np.bincount(of[move[there]], d[where[there]], n)
                 move = move[~there]
                 move = move[may_have(bits, key[move])]
                 first, times = counted(of[move], key[move])
                 found.append((of[move[first]], key[move[first]], times, np.full(len(first), -1)))
                 if number == 0:  # the part of START
-                    there, where = found_in(known, np.array([START], np.int64))
+                    there, where = known.find(np.array([START], np.int64))
                     if there[0]:
                         sums[full] += b[where[0]]
                     else:
@@ -498,7 +528,7 @@ def compared(docs: DataFrame, table: DataFrame, shared, fitted: Fitted, number:
     return joined.groupBy("uid").agg(F.max(whole("k")).alias("t"), F.sum(whole("times")).alias("n"), F.sum(value).alias("total"), F.max(top).alias("top")).drop("uid")
 
 
-def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 3_000_000) -> DataFrame:
     """(doc_id, score, mean, top) of every row, from its text alone."""
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))

@@ -173,6 +173,16 @@ def test_parts_are_those_of_spark(spark):
         assert all((a == b).all() and len(a) == len(b) for a, b in zip(histories.unpacked(histories.packed((some, some / 3))), (some, some / 3)))
 
 
+def test_known_hashes_are_found():
+    """Every one at its place and no other, of many, few and none, also where they stand close together."""
+    x = np.unique(np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 3000))
+    for some in (x, x[:1], x[:0], np.unique(np.concatenate([x[:5], np.arange(-40, 40)])), np.array([-(2**63), 0, 2**63 - 1])):
+        asked = np.concatenate([some, x[::-1], some + 1, np.arange(-50, 50), [-(2**63), 2**63 - 1]]).astype(np.int64)
+        there, at = histories.Known(some).find(asked)
+        assert there.tolist() == np.isin(asked, some).tolist()
+        assert (some[at[there]] == asked[there]).all()
+
+
 def test_frequent_ones_are_bounded(spark):
     rows = spark.createDataFrame([(n,) for n in [1] * 50 + [2] * 20 + [3] * 5 + [40]], "n long")
     for share, least in ((1.0, 40), (1 / 6, 3), (1 / 25, 3), (1 / 26, 2), (1 / 76, 1)):
