@@ -14,7 +14,7 @@ A document is compared by its log-likelihoods under both, over all its words in
 The logistic function of `toxicity` over the two makes the score; it is fitted on at most about ``toxicity.SAMPLE`` labelled documents, each compared as if it hadn't been counted itself.
 
 How it runs: the log-ratio of a place is r(w) + g(v), plus d(v, w) where labelled text has the pair, with r and d of what the models say of the word and of the pair, and g of the weights
-that they back off by. Pairs of labelled texts are counted once, dealt into ``PASSES`` by their hash, and kept as a table for each; the counts of words are summed from these. All texts are
+that they back off by. Pairs of labelled texts are counted once and kept in ``PASSES`` parts by their hash; the counts of words are summed from these. All texts are
 then read once for each pass, so that only that part of their pairs is on disk at once: what the models say of the most frequent words and pairs (at most 1 / ``share`` each, two million) is
 broadcast and looked up where texts are read, and of the others only those move that labelled text may have by a table of bits (16 MB a pass at most, wherever it is fuller more rows move), to be joined
 with what the models say of them and summed by text. So no task gets all rows of a frequent word or pair. Labels are handled as in `toxicity`, and so are odd rows.
