@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skillgrid.functions.physics import KM_PER_LAT, KM_PER_LON, arc_km
 from skillgrid.operators.nearest import nearest
-from skillgrid.session import fresh
+from skillgrid.session import fresh, shuffled
 
 
 def planar_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, at_lat: Column) -> Column:
@@ -97,7 +97,7 @@ def footprint(sites: DataFrame, cells: DataFrame, radius_km: float, dx_km: float
     steps = F.sequence(F.lit(-n), F.lit(n))
     off = sites.withColumn("oy", F.explode(steps)).withColumn("ox", F.explode(steps)).where(F.sqrt(F.col("oy") * F.col("oy") + F.col("ox") * F.col("ox")) * dx_km <= radius_km)
     off = off.withColumns({"y": F.col("y0") + F.col("oy"), "x": F.col("x0") + F.col("ox")})
-    return off.join(cells, ["y", "x"], "left")
+    return off.join(shuffled(cells), ["y", "x"], "left")
 
 
 def brackets(axis: DataFrame, value: str) -> DataFrame:
