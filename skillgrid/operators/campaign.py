@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skillgrid.functions import stats
 from skillgrid.operators.strata import elevation_class, terrain_class
+from skillgrid.session import shuffled
 
 TIE = 1e-12
 
@@ -123,13 +124,14 @@ def footprint_errors(rows: DataFrame, site: str) -> tuple[DataFrame, DataFrame]:
     single cells that are there at every time of the site, with the best of them. The second has a row for each site and time: count, mean, median, p90 and largest error.
     """
     e2 = lambda u, v: (F.col(u) - F.col("obs_u")) * (F.col(u) - F.col("obs_u")) + (F.col(v) - F.col("obs_v")) * (F.col(v) - F.col("obs_v"))
-    r = rows.withColumn("_e2", e2("u", "v"))
-    nearest = r.where("nearest").groupBy(site).agg(F.sqrt(F.avg("_e2")).alias("nearest_rmse"))
-    at = r.groupBy(site, "t").agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.first("obs_u").alias("obs_u"), F.first("obs_v").alias("obs_v"), F.count("*").alias("cells"), F.avg(F.sqrt("_e2")).alias("mean"), F.percentile(F.sqrt("_e2"), F.array(F.lit(0.5), F.lit(0.9))).alias("q"), F.max(F.sqrt("_e2")).alias("largest"))
-    whole = at.groupBy(site).agg(F.sqrt(F.avg(e2("u", "v"))).alias("mean_vector_rmse"), F.count("*").alias("times"))
-    cell = r.groupBy(site, "y", "x").agg(F.sqrt(F.avg("_e2")).alias("rmse"), F.count("*").alias("n")).join(whole.select(site, "times"), site).where("n = times")
+    # one shuffle, by site: all that follows is within sites
+    r = rows.withColumn("_e2", e2("u", "v")).repartition(site)
+    own = F.when(F.col("nearest"), F.col("_e2"))
+    at = r.groupBy(site, "t").agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.first("obs_u").alias("obs_u"), F.first("obs_v").alias("obs_v"), F.count("*").alias("cells"), F.avg(F.sqrt("_e2")).alias("mean"), F.percentile(F.sqrt("_e2"), F.array(F.lit(0.5), F.lit(0.9))).alias("q"), F.max(F.sqrt("_e2")).alias("largest"), F.sum(own).alias("_s"), F.count(own).alias("_n"))
+    whole = at.groupBy(site).agg(F.sqrt(F.avg(e2("u", "v"))).alias("mean_vector_rmse"), F.count("*").alias("times"), F.sqrt(F.try_divide(F.sum("_s"), F.sum("_n"))).alias("nearest_rmse"))
+    cell = r.groupBy(site, "y", "x").agg(F.sqrt(F.avg("_e2")).alias("rmse"), F.count("*").alias("n")).join(shuffled(whole.select(site, "times")), site).where("n - times = 0")  # as an equality of two columns it would be a key to shuffle by
     fixed = cell.groupBy(site).agg(F.count("*").alias("cells"), F.percentile("rmse", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("q"), F.min_by(F.struct("y", "x", "rmse"), F.struct("rmse", "y", "x")).alias("best"))
-    out = whole.join(nearest, site, "left").join(fixed, site, "left")
+    out = whole.join(shuffled(fixed), site, "left")
     sites = out.select(site, "times", "nearest_rmse", "mean_vector_rmse", "cells", F.col("q")[0].alias("median"), F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"), F.col("best.y").alias("best_y"), F.col("best.x").alias("best_x"), F.col("best.rmse").alias("best_rmse"))
     return sites, at.select(site, "t", "cells", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), "largest")
 

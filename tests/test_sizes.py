@@ -16,6 +16,13 @@ def broadcasts(df) -> list[str]:
     return re.findall(r"Broadcast(?:Hash|NestedLoop)Join.*", first + df._jdf.queryExecution().executedPlan().toString())
 
 
-@pytest.mark.parametrize("name", ["best_cell"])
+@pytest.mark.parametrize("name", ["best_cell", "footprint_spread"])
 def test_no_table_is_broadcast(spark, name):
     assert broadcasts(entry.queries()[name](spark, SF)) == []
+
+
+def test_footprints_are_shuffled_by_site_once(spark):
+    """Errors at times and of cells come from rows of a site that are in one place: nothing is exchanged but by the footprint's cell, then by site."""
+    plan = entry.queries()["footprint_stats"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = set(re.findall(r"hashpartitioning\((.*?), \d+\)", plan))
+    assert {re.sub(r"#\d+L?", "", k) for k in keys} == {"y, x", "site"}
