@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillgrid.session import shuffled
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -62,6 +64,10 @@ def with_below(levels: DataFrame, keys: list[str], level: str, *values: str) ->
     return levels.withColumns({f"{v}_below": F.lag(v).over(w) for v in values})
 
 
+#: Where a row of levels (y, x, k) and a geometry (_y, _x, _k) meet. As an equality of two columns the level would be a key to shuffle by.
+ON_LEVEL = "y = _y AND x = _x AND k - _k = 0"
+
+
 def as_map(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     """(record, name): the few attributes or variables of each record as a map; of a key that is there twice the smallest value counts."""
     one = rows.groupBy("record", key).agg(F.min(value).alias("_v"))
@@ -111,9 +117,10 @@ def forcing_scopes(values: DataFrame, cells: DataFrame, static_values: DataFrame
     values: (record, y, x, k, P, T, QV, U, V, W, HHL, HFL); cells: (record, y, x, SST, mask, distance, lat, lon); static_values: (y, x, k, HHL, HFL); static_cells: (y, x, land, lat, lon);
     variables: (record, var, axes, units); attributes and boundary: (record, key, value); times: (record, time, expected); static: (key, value), a few rows.
     """
-    geometry = static_values.select("y", "x", "k", F.col("HHL").alias("static_HHL"), F.col("HFL").alias("static_HFL"))
-    value = with_below(values, ["record", "y", "x"], "k", "HHL", "HFL").join(geometry, ["y", "x", "k"], "left")
-    cell = cells.join(static_cells.select("y", "x", "land", F.col("lat").alias("static_lat"), F.col("lon").alias("static_lon")), ["y", "x"], "left")
+    # shuffles go by the cell alone, so tables that come dealt by their cells stay where they are
+    geometry = static_values.select(*[F.col(c).alias(f"_{c}") for c in ("y", "x", "k")], F.col("HHL").alias("static_HHL"), F.col("HFL").alias("static_HFL"))
+    value = with_below(values, ["y", "x", "record"], "k", "HHL", "HFL").join(shuffled(geometry), F.expr(ON_LEVEL), "left").drop("_y", "_x", "_k")
+    cell = cells.join(shuffled(static_cells.select("y", "x", "land", F.col("lat").alias("static_lat"), F.col("lon").alias("static_lon"))), ["y", "x"], "left")
     facts = cell.groupBy("record").agg(F.count_if(~F.col("land")).alias("n_water"), F.count_if(F.col("mask") == 1).alias("n_mask"), F.max(F.when((F.col("mask") == 1) & ~F.isnan("distance"), F.col("distance"))).alias("most_distance"))
     time = times.groupBy("record").agg(F.array_sort(F.collect_list("time")).alias("times"), F.max("expected").alias("expected"))
     constant = static.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("s"))  # the attributes of one product

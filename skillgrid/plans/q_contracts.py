@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skillgrid.operators import contracts
 from skillgrid.plans import bindings as B
 from skillgrid.plans.registry import query
+from skillgrid.session import shuffled
 
 #: What is planted in the fields of which record, at cells and levels chosen for each: (record, condition, expression), as SQL that both engines read to make the tables. The rules are written twice.
 PLANTED = {
@@ -95,11 +96,11 @@ found AS (SELECT record, rule, 'value' AS scope, violations FROM (UNPIVOT (SELEC
 
 def found(spark, d):
     sql = lambda x: x.replace("'nan'::DOUBLE", "double('nan')").replace("NULL", "cast(NULL as double)")
-    g = B.grid(spark, d)
+    g = B.grid(spark, d).repartition("y", "x")  # its records and levels are made where the cells are
     geo = g.select("y", "x", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "height").select("y", "x", "k", (F.col("height") + 500.0 * F.col("k")).alias("HHL"), (F.col("height") + 500.0 * F.col("k") + 250).alias("HFL"))
     records = B.table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("record"))
     base = g.select("y", "x", "land", "size", "height", F.col("lat").alias("lat0"), F.col("lon").alias("lon0")).crossJoin(F.broadcast(records))  # 25 records
-    both = base.join(geo.select("y", "x", "k", F.col("HHL").alias("HHL0"), F.col("HFL").alias("HFL0")), ["y", "x"])
+    both = g.join(shuffled(geo.select("y", "x", "k", F.col("HHL").alias("HHL0"), F.col("HFL").alias("HFL0"))), ["y", "x"]).crossJoin(F.broadcast(records))
     values = both.select("record", "y", "x", "k", *[F.expr(sql(_case(n, s))).cast("double").alias(n) for n, s in SOUND.items()])
     cells = base.select("record", "y", "x", *[F.expr(sql(_case(n, s)) if n != "mask" else _case(n, s)).cast("double").alias(n) for n, s in SOUND_CELL.items()])
     hour = lambda c: F.timestamp_seconds(F.lit(1704067200) + 3600 * F.col(c))

@@ -10,7 +10,7 @@ from skillgrid.plans import bindings as B
 from skillgrid.plans.q_campaign import ROWS, station_rows
 from skillgrid.plans.registry import query, r6, rounded, sql6
 from skillgrid.sources import clustered, fields, lists, products, references, station_files
-from skillgrid.session import shared_path
+from skillgrid.session import shared_path, shuffled
 
 #: What the station file holds: some speeds are negative, some directions impossible, one site moves and one lies outside the range.
 SITE = "'S'||(user_id%25)"
@@ -231,11 +231,11 @@ _DEFECTS = {3: "grid", 4: "geometry", 5: "sst_cells", 6: "static_identity", 7: "
 
 def record_parts(spark, d):
     """State, static cells and levels, sea surface and what the states say of themselves, of eight times; defects from the fourth on."""
-    g = B.grid(spark, d)
+    g = B.grid(spark, d).repartition("y", "x")  # its times and levels are made where the cells are
     hours = spark.range(8).select(F.col("id").cast("int").alias("hour"), F.timestamp_seconds(1704067200 + 3600 * F.col("id")).alias("valid"))
     levels = g.select("y", "x", "height", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
     static_levels = levels.select("y", "x", "k", (F.col("height") + 500.0 * F.col("k")).alias("HHL"), (F.col("height") + 500.0 * F.col("k") + 250).alias("HFL"))
-    s = g.select("y", "x", "lat", "lon", "size").join(static_levels, ["y", "x"]).crossJoin(F.broadcast(hours))
+    s = g.select("y", "x", "lat", "lon", "size").join(shuffled(static_levels), ["y", "x"]).crossJoin(F.broadcast(hours))
     one = (F.col("y") == 1) & (F.col("x") == 4)
     state = s.select("valid", "y", "x", "k", F.when((F.col("hour") == 3) & one, F.col("lat") + 1e-9).otherwise(F.col("lat")).alias("lat"), "lon", F.when((F.col("hour") == 4) & one, F.col("HHL") - 1).otherwise(F.col("HHL")).alias("HHL"), "HFL", (290.0 - 6 * F.col("k") + F.col("hour") + F.col("size") * 0.1).alias("T"))
     sst = g.select("y", "x", "size").crossJoin(F.broadcast(hours)).where(~((F.col("hour") == 5) & one)).select("valid", "y", "x", F.when((F.col("hour") == 7) & (F.col("size") == 3), 90.0).otherwise(280.0 + F.col("size") * 0.5 + F.col("hour")).alias("SST"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skillgrid.operators.contracts import ON_LEVEL
+from skillgrid.session import shuffled
+
 #: Cells of a tile's side.
 SIDE = 256
 #: Tiles up to which the tiles of points are named to the reader; points in more of them are joined with all.
@@ -84,11 +87,18 @@ def at_points(spark: SparkSession, path: str, points: DataFrame, *fields: str, a
         by_row: dict[int, list[int]] = {}
         for t in tiles:
             by_row.setdefault(t.tile_y, []).append(t.tile_x)
-        named = F.lit(False)
+        alike: dict[tuple, list[int]] = {}  # rows of tiles whose points lie in the same columns share a test
         for y, xs in by_row.items():
-            named = named | ((F.col("tile_y") == y) & F.col("tile_x").isin(xs))
-        rows = rows.where(named)
-    return where.join(rows, ["tile_y", "tile_x", "y", "x"]).drop("tile_y", "tile_x")
+            alike.setdefault(tuple(sorted(xs)), []).append(y)
+        rows = rows.where(any_of([F.col("tile_y").isin(ys) & F.col("tile_x").isin(list(xs)) for xs, ys in alike.items()]))
+    return where.join(shuffled(rows), ["tile_y", "tile_x", "y", "x"]).drop("tile_y", "tile_x")
+
+
+def any_of(tests: list[Column]) -> Column:
+    """Whether one of the tests holds, as a tree that is as deep as the logarithm of their number; false if there are none."""
+    if len(tests) < 2:
+        return tests[0] if tests else F.lit(False)
+    return any_of(tests[: len(tests) // 2]) | any_of(tests[len(tests) // 2 :])
 
 
 def files_of(df: DataFrame) -> int:
@@ -150,18 +160,20 @@ def record_report(state: DataFrame, static: DataFrame, static_levels: DataFrame,
     Grids and geometry are compared cell by cell, without a tolerance. Counts are summed before they are shuffled.
     """
     at = ["y", "x", "k"]
-    geometry = static_levels.select(*at, F.col("HHL").alias("_h"), F.col("HFL").alias("_f")).join(static.select("y", "x", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), ["y", "x"])
+    # by the cell alone, with the level as a test, so that tables that come dealt by their cells stay where they are
+    levels = static_levels.select(*at, F.col("HHL").alias("_h"), F.col("HFL").alias("_f"))
+    geometry = levels.join(shuffled(static.select("y", "x", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))), ["y", "x"]).withColumnsRenamed({c: f"_{c}" for c in at})
     fields = [c for c in state.columns if c not in ("valid", "lat", "lon", *at)]
     finite = F.lit(True)
     for c in fields:
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     off = lambda ok, name: F.count_if(~ok).alias(name)
-    s = state.join(geometry, at, "left").groupBy("valid").agg(
+    s = state.join(shuffled(geometry), F.expr(ON_LEVEL), "left").groupBy("valid").agg(
         F.count("*").alias("cells"), off(finite, "finite"), off(same("lat", "_lat") & same("lon", "_lon"), "grid"), off(same("HHL", "_h") & same("HFL", "_f"), "geometry"),
     )
     copies = state.groupBy("valid", *at).count().groupBy("valid").agg(F.count_if(F.col("count") > 1).alias("copies"))
-    t = sst.join(static.select("y", "x", "land"), ["y", "x"], "left").groupBy("valid").agg(
+    t = sst.join(shuffled(static.select("y", "x", "land")), ["y", "x"], "left").groupBy("valid").agg(
         F.count("*").alias("sst_cells"), F.count_if(~F.coalesce(F.col("land") | (~F.isnan("SST") & F.col("SST").between(180, 350)), F.lit(False))).alias("sst_bad"),
     )
     claims = said.groupBy("valid").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_said"))  # a few for each time
@@ -181,5 +193,5 @@ def write_records(state: DataFrame, static: DataFrame, static_levels: DataFrame,
     wrong = record_report(state, static, static_levels, sst, said, static_digest).where("size(violations) > 0").orderBy("valid").limit(5).collect()
     if wrong:
         raise ValueError("; ".join(f"{r.valid}: {', '.join(r.violations)}" for r in wrong))
-    water = sst.join(static.select("y", "x", "land"), ["y", "x"]).select("valid", "y", "x", F.when(~F.col("land"), F.col("SST")).alias("SST"))
-    write(state.join(water, ["valid", "y", "x"], "left"), path, side)
+    water = sst.join(shuffled(static.select("y", "x", "land")), ["y", "x"]).select("valid", "y", "x", F.when(~F.col("land"), F.col("SST")).alias("SST"))
+    write(state.join(shuffled(water), ["valid", "y", "x"], "left"), path, side)
