@@ -25,6 +25,8 @@ from skillgrid.session import drop, fresh, materialize
 
 #: Points of a leaf, most halvings, sample points for each leaf, rows of one side of a piece of work.
 LEAF_ROWS, DEPTH, SAMPLED, GROUP_ROWS = 1000, 14, 64, 4000
+#: Distances to sample points that are worked out at once.
+REACH_CELLS = 1 << 20
 #: Relative width within which distances count as ties.
 TIE = 1e-5
 
@@ -42,7 +44,9 @@ class Tree:
             if b - a > 1:
                 axis = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
                 order[a:b] = order[a:b][np.argpartition(part[:, axis], middle)]
-                self.axis[node], self.cut[node] = axis, sample[order[a + middle], axis]
+                cut, above = sample[order[a + middle], axis], part[:, axis] > part[:, axis].min()
+                # more than half may share the smallest value: they are a half of their own
+                self.axis[node], self.cut[node] = axis, max(cut, part[above, axis].min()) if above.any() else cut
                 middle = int((part[:, axis] < self.cut[node]).sum())
                 order[a:b] = order[a:b][np.argsort(sample[order[a:b], axis] >= self.cut[node], kind="stable")]
             spans[2 * node], spans[2 * node + 1] = (a, a + middle), (a + middle, b)
@@ -80,8 +84,9 @@ class Tree:
                 if b - a < k:
                     left.append(some)
                     continue
-                for c in range(0, len(some), 4096):
-                    few = some[c : c + 4096]
+                step = min(4096, max(1, REACH_CELLS // int(b - a)))  # a part of points in one place may have any number
+                for c in range(0, len(some), step):
+                    few = some[c : c + step]
                     out[few] = np.partition(squares(at[few], scale[few], self.sample[a:b]), k - 1, axis=1)[:, k - 1]
             todo = np.concatenate(left) if left else np.zeros(0, np.int64)
             if not len(todo):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skillgrid.functions import physics as P
@@ -42,8 +43,9 @@ def hydraulics(spark):
 def inverse_distance(spark, d):
     """Weights of the four nearest donors by inverse distance, which SQL can express too."""
     near = spatial.k_nearest(targets(spark, d), donors(spark, d).select("donor", "lat", "lon"), 4)
-    total = near.groupBy("target").agg(F.sum(1 / (F.col("km") + 0.1)).alias("total"))
-    return materialize(near.join(total, "target").select("target", "rank", "donor", (1 / (F.col("km") + 0.1) / F.col("total")).alias("weight")), "inverse")
+    share = 1 / (F.col("km") + 0.1)
+    total = F.sum(share).over(Window.partitionBy("target"))
+    return materialize(near.select("target", "rank", "donor", (share / total).alias("weight")), "inverse")
 
 
 STENCIL = f"n AS (SELECT target, y::BIGINT*50+x AS donor, {ARC.format(a='t', b='g')} AS km FROM t JOIN grid g ON abs(t.lat-g.lat) < 0.02 AND abs(t.lon-g.lon) < 0.03), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(km,9), donor) AS rank FROM n), st AS (SELECT target, donor, rank, km, 1/(km+0.1)/sum(1/(km+0.1)) OVER (PARTITION BY target) AS weight FROM r WHERE rank <= 4), g AS (SELECT y::BIGINT*50+x AS donor, lat, lon, height, land, size FROM grid), j AS (SELECT st.*, height, land, size FROM st JOIN g USING (donor))"
