@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skillgrid.functions.physics import EPSILON, GRAVITY, R_DRY, blend
 from skillgrid.operators.raster import second_order
 from skillgrid.operators.tiles import fused_slope_wind
-from skillgrid.session import materialize
+from skillgrid.session import materialize, shuffled
 
 
 def as_arrays(rows: DataFrame, key: str, order: str, *values: str) -> DataFrame:
@@ -245,7 +245,7 @@ def regrid_arrays(weights: DataFrame, columns: DataFrame, names: list[str]) -> D
 
     A target has as many donors as its stencil, so its arrays meet in one row. Null weights or elements make nulls.
     """
-    j = weights.select("target", "rank", "donor", "weight").join(columns.select("donor", *names), "donor")
+    j = weights.select("target", "rank", "donor", "weight").join(shuffled(columns.select("donor", *names)), "donor")
     g = j.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("rank", "weight", *names))).alias("_s"))
 
     def summed(name: str) -> Column:
@@ -275,14 +275,15 @@ def transform_state(weights: DataFrame, donors: DataFrame, targets: DataFrame, s
     violation. Stages are written once each, since rows of targets meet again by tile.
     """
     fields = ["t", "p", "qv", "u", "v", "w", *species]
+    donors = donors.repartition("donor")  # by its files a table may be a task or two, whatever its columns cost
     given = donors.select("donor", *fields, F.zip_with(F.slice("hhl", F.lit(2), F.size("hhl") - 1), F.slice("hhl", F.lit(1), F.size("hhl") - 1), lambda a, b: a - b).alias("_thick"), F.array(F.get("hhl", F.lit(0)), F.element_at("hhl", -1)).alias("_ends"))
     come = regrid_arrays(weights, given, [*fields, "_thick", "_ends"])
-    come = come.withColumn("hhl", interfaces_from(F.get("_ends", F.lit(0)), F.get("_ends", F.lit(1)), F.col("_thick"), least)).join(targets.select("target", "y", "x", "own_hhl"), "target")
+    come = come.withColumn("hhl", interfaces_from(F.get("_ends", F.lit(0)), F.get("_ends", F.lit(1)), F.col("_thick"), least)).join(shuffled(targets.select("target", "y", "x", "own_hhl")), "target")
     come = materialize(come, "regridded")
     state = materialize(reconstruct(come, "target", species), "columns")
-    wind = come.withColumn("w", on_heights("w", "hhl", "own_hhl")).select("target", "y", "x", F.col("own_hhl").alias("hhl"), "w").join(state.select("target", "u", "v").where("u is not null"), "target")
+    wind = come.withColumn("w", on_heights("w", "hhl", "own_hhl")).select("target", "y", "x", F.col("own_hhl").alias("hhl"), "w").join(shuffled(state.select("target", "u", "v").where("u is not null")), "target")
     moved = fused_slope_wind(wind, dx, dy, transition, side).select("target", F.col("w_mass").alias("w"))
-    return come.select("target", "y", "x").join(state, "target").join(moved, "target", "left")
+    return come.select("target", "y", "x").join(shuffled(state), "target").join(shuffled(moved), "target", "left")
 
 
 def on_heights(values: str, heights: str, at: str) -> Column:

@@ -19,7 +19,7 @@ def broadcasts(df) -> list[str]:
     return re.findall(r"BroadcastHashJoin \[_?(?:y|site|target)#.*", first + df._jdf.queryExecution().executedPlan().toString())
 
 
-@pytest.mark.parametrize("name", ["best_cell", "footprint_spread", "forcing_contract", "forcing_verdict", "forcing_record_report", "surface_state", "surface_water"])
+@pytest.mark.parametrize("name", ["best_cell", "footprint_spread", "forcing_contract", "forcing_verdict", "forcing_record_report", "surface_state", "surface_water", "state_transform"])
 def test_no_table_is_broadcast(spark, name):
     assert broadcasts(entry.queries()[name](spark, SF)) == []
 
